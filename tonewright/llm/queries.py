@@ -2,22 +2,80 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import read_table
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify_quality
+
+    return classify_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def chat_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads formatted conversations back: turns from the text, loss text from token offsets and mask."""
+    from .chat import masked_text, parse
+
+    for b in batches:
+        rows = []
+        for conv_id, _, formatted, _, starts, ends, loss in zip(*b.columns):
+            text = formatted.as_py()
+            turns = parse(text)
+            seen = hashlib.sha256()
+            for role, said in turns:
+                seen.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+            under = masked_text(text, *(np.asarray(x.values) for x in (starts, ends)), np.asarray(loss.values.to_numpy(zero_copy_only=False), bool))
+            rows.append((conv_id.as_py(), len(turns), seen.hexdigest(), len(under), hashlib.sha256(under.encode("utf-8", "surrogatepass")).hexdigest(), len(text)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_conversations
+
+    table = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    done = format_conversations(table.unionByName(more), _tokenizer("byte_bpe_50k.json"))
+    return done.mapInArrow(chat_digests, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    pieces = pack_documents(read_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules}
+    return {f.__name__: f for f in (op1_quality_rules, op3_quality_classifier, op5_mixing, op7_chat_format, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import mixing
+
+    return {"op5_mixing": mixing.ORACLE_SQL}
