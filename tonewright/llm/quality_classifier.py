@@ -23,13 +23,15 @@ BITS = 18
 MAX_ROWS = 20_000
 SHARDS = 8
 EPOCHS = 6
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.002, 0.05
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.01, 0.5
 FOLDS, HELD_FOLD, THRESHOLD = 5, 0, 0.3
 CHUNK = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Kinds of bytes: 0 white space, 1 letters, digits and all beyond ASCII, 2 other marks. A word is a run of one kind.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[np.r_[48:58, 65:91, 97:123, 128:256]] = 1
 _PRIME = np.uint64(0x100000001B3)
 
 
@@ -46,8 +48,9 @@ def hashed_features(data: np.ndarray, ends: np.ndarray, bits: int = BITS) -> tup
     none = np.zeros(0, np.int64)
     if not len(data):
         return none, none
-    solid = ~_SPACE[data]
-    first = np.r_[True, ~solid[:-1]]
+    kind = _KIND[data]
+    solid = kind > 0
+    first = np.r_[True, kind[1:] != kind[:-1]]
     cuts = ends[ends < len(data)]
     first[cuts] = True
     begin = np.flatnonzero(solid & first)
@@ -61,7 +64,8 @@ def hashed_features(data: np.ndarray, ends: np.ndarray, bits: int = BITS) -> tup
     h = _mix(h)
     doc = np.searchsorted(ends, begin, side="right")
     same = doc[1:] == doc[:-1]
-    two = _mix(h[:-1] * np.uint64(3) + h[1:] * np.uint64(0x9E3779B97F4A7C15))[same]
+    two = _mix(h[:-1] * np.uint64(3) + h[1:] * np.uint64(0x9E3779B97F4A7C15))
+    two = np.where(h[1:] == h[:-1], np.uint64(0x9E3779B97F4A7C15), two)[same]  # a word and itself: one bigram for all words
     index = np.r_[h, two] >> np.uint64(64 - bits)
     return index.astype(np.int64), np.r_[doc, doc[1:][same]]
 
@@ -91,8 +95,8 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), pa.array(found, pa.list_(pa.int32()))], names=["shard", "doc_id", "label", "features"])
 
 
-def train_ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights (2^bits, and the bias last) after FTRL-proximal updates over (indexes, values, label)."""
+def train_ftrl(examples: list[tuple[np.ndarray, np.ndarray, int, float]], bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
+    """Weights (2^bits, and the bias last) after FTRL-proximal updates over (indexes, values, label, importance)."""
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
 
     def weight(i):
@@ -102,10 +106,10 @@ def train_ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = B
     bias, rng = 1 << bits, np.random.default_rng(7)
     for _ in range(epochs):
         for k in rng.permutation(len(examples)):
-            i, x, y = examples[k]
+            i, x, y, c = examples[k]
             i, x = np.r_[i, bias], np.r_[x, 1.0]
             w = weight(i)
-            g = (1 / (1 + np.exp(-np.clip(w @ x, -30, 30))) - y) * x
+            g = c * (1 / (1 + np.exp(-np.clip(w @ x, -30, 30))) - y) * x
             z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA * w
             n[i] += g * g
     return weight(np.arange(len(z)))
@@ -118,7 +122,9 @@ def _values(features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _train_shard(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("doc_id", kind="stable")
-    examples = [(*_values(np.asarray(f)), int(y)) for f, y in zip(rows["features"], rows["label"])]
+    ones = rows["label"].mean()
+    importance = {1: 0.5 / max(ones, 0.02), 0: 0.5 / max(1 - ones, 0.02)}  # either class counts alike
+    examples = [(*_values(np.asarray(f)), int(y), importance[int(y)]) for f, y in zip(rows["features"], rows["label"])]
     return pd.DataFrame({"weights": [train_ftrl(examples).astype(np.float32).tobytes()], "n": [len(rows)]})
 
 
