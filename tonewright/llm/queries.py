@@ -71,6 +71,12 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.mapInArrow(chat_digests, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentence_spans import remove_repeated_spans
+
+    return remove_repeated_spans(read_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -79,7 +85,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_quality_classifier, op5_mixing, op7_chat_format, op9_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_quality_classifier, op5_mixing, op7_chat_format, op8_sentence_spans, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
