@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import drop, materialize
 
@@ -99,7 +99,7 @@ def _stripped(docs: DataFrame, columns: list[str]) -> DataFrame:
     found = repeated_spans(docs).select(F.col("doc_id").alias("_id"), F.col("found").alias("_found"))
     rows = docs.select(*columns, F.col("doc_id").cast("bigint").alias("_key"), F.col("text").cast("string").alias("_text"))
     joined = rows.join(found.hint("shuffle_hash"), F.col("_key") == F.col("_id"), "left").select(*columns, "_text", "_found")
-    schema = joined.drop("_text", "_found").schema.add("_kept", "string").add("_sentences", "bigint").add("_removed", "bigint")
+    schema = joined.drop("_text", "_found").schema.add("_kept", T.StringType()).add("_sentences", T.LongType()).add("_removed", T.LongType())
     return joined.mapInArrow(_strip_batches, schema)
 
 
