@@ -24,6 +24,7 @@ SHARES = (3, 1, 2)
 TOTAL_SHARE = 1.5
 MOST_EPOCHS = 2
 BUCKET_ROWS = 2048
+SALTS = 64
 SEED = "mix-1"
 
 
@@ -82,7 +83,9 @@ def mix_sources(docs: DataFrame) -> DataFrame:
 
     # exp(-key) lies in (0, 1): equal slices of it hold a source's rows in key order
     slices = F.greatest(F.ceil(F.col("n") / BUCKET_ROWS), F.lit(1))
-    placed = rows.join(targets.drop("source"), "sk")
+    # the rows of a large source meet copies of its one row of figures in SALTS places
+    spread = targets.drop("source").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = rows.withColumn("salt", F.pmod("tie", F.lit(SALTS)).cast("int")).join(spread, ["sk", "salt"]).drop("salt")
     placed = placed.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * slices))
     buckets = placed.groupBy("sk", "bucket").agg(F.sum("size").alias("bucket_size"))
     run = Window.partitionBy("sk").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

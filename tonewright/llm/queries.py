@@ -43,6 +43,15 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, and pages under -1 - page_id."""
+    from .language_id import identify, of_documents, of_pages
+
+    docs = read_table(spark, sf_dir, "documents")
+    rows = of_documents(docs).unionByName(of_pages(read_table(spark, sf_dir, "pages")))
+    return identify(rows, docs.select("lang", "text"))
+
+
 def chat_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reads formatted conversations back: turns from the text, loss text from token offsets and mask."""
     from .chat import masked_text, parse
@@ -85,7 +94,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_quality_classifier, op5_mixing, op7_chat_format, op8_sentence_spans, op9_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_quality_classifier, op5_mixing, op6_language_id, op7_chat_format, op8_sentence_spans, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
