@@ -18,6 +18,7 @@ own. Extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,100 +29,146 @@ from pyspark.sql import DataFrame, functions as F
 SEQUENCE = 4096
 END_ID = 2
 MAX_SEGMENTS = 512
-BLOCK = 1024
-CACHE_WORDS = 200_000
+BLOCK = 512
+CACHE_WORDS = 1_000_000
 
 
 class WordEncoder:
-    """Ids of whole texts. The tokenizer's words never cross white space, so each distinct word is encoded once."""
+    """Ids of whole texts. The tokenizer's words never cross white space and it folds case, so each distinct lower-cased word is encoded once."""
 
     def __init__(self, tokenizer_file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark = self.special[0]
+        self.mark_id = self.tokenizer.token_to_id(self.mark)
+        self.known: dict[bytes, bytes] = {}
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode new words a few hundred at a time, one special token between them."""
+        if len(self.known) + len(words) > CACHE_WORDS:
+            self.known.clear()
+        texts = [w.decode() for w in words]
+        plain = [t for t in texts if not any(x in t for x in self.special)]
+        for t in set(texts).difference(plain):
+            self.known[t.encode()] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        for at in range(0, len(plain), 256):
+            part = plain[at : at + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [-1, *np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+            raw = ids.tobytes()
+            for k, t in enumerate(part):
+                self.known[t.encode()] = raw[4 * (cuts[k] + 1) : 4 * cuts[k + 1]]
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "replace").split()
-        new = list({w for w in words if w not in self.known})
-        if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 1000):
-                part = new[at : at + 1000]
-                for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                    self.known[w] = tuple(e.ids)
-        ids: list[int] = []
-        known, extend = self.known, ids.extend
-        for w in words:
-            extend(known[w])
-        ids.append(END_ID)
-        return np.array(ids, dtype="<u4")
+        data = (text or "").encode("utf-8", "replace")
+        words = data.split() if b"<|" in data else data.lower().split()  # special tokens are told by their case
+        known = self.known
+        try:
+            found = [known[w] for w in words]
+        except KeyError:
+            every = set(words)
+            new = [w for w in every if w not in known]
+            if len(known) + len(new) > CACHE_WORDS:
+                new = list(every)
+            self._learn(new)
+            found = [known[w] for w in words]
+        found.append(_END)
+        return np.frombuffer(b"".join(found), "<u4")
+
+
+_END = np.array([END_ID], "<u4").tobytes()
+#: Encoders live as long as their Python worker, over the tasks it runs.
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def _encoder(tokenizer_file: str) -> WordEncoder:
+    if tokenizer_file not in _ENCODERS:
+        _ENCODERS[tokenizer_file] = WordEncoder(tokenizer_file)
+    return _ENCODERS[tokenizer_file]
 
 
 class Packer:
-    """Pieces waiting for a sequence, and the sequences closed so far."""
+    """Pieces waiting for a sequence, and the sequences closed so far.
+
+    limits: tokens, segments and loss-bearing tokens of a sequence. ``loss`` of an
+    example is None where all its tokens bear loss, else one flag per token.
+    """
 
     def __init__(self, first_sequence: int, limits: tuple[int, int, int]):
         self.limits = np.array(limits, dtype=float)
         self.sequence = first_sequence
         self.waiting: list[tuple] = []  # (doc_id, start, ids, loss, doc_tokens)
+        self.needs: list[tuple[int, int, int]] = []  # their vectors
         self.placed: list[tuple] = []  # (doc_id, start, ids, doc_tokens, sequence, offset)
-
-    def add(self, doc_id, ids: np.ndarray, loss: np.ndarray) -> None:
-        size, whole = int(self.limits[0]), len(ids)
-        cut = whole - whole % size if loss.sum() <= self.limits[2] or self.limits[2] >= size else 0
-        for at in range(0, cut, size):
-            self.placed.append((doc_id, at, ids[at : at + size], whole, self.sequence, 0))
-            self.sequence += 1
-        while cut < whole:  # one turn, unless the loss limit binds
-            n = int(np.searchsorted(np.cumsum(loss[cut : cut + size]), self.limits[2], side="right"))
-            self.waiting.append((doc_id, cut, ids[cut : cut + n], loss[cut : cut + n], whole))
-            cut += n
+        self.tokens = 0
+
+    @staticmethod
+    def _reach(loss: np.ndarray | None, n: int, most: float) -> int:
+        """How many of the first n tokens stay within ``most`` loss-bearing ones."""
+        return int(min(n, most) if loss is None else np.searchsorted(np.cumsum(loss[:n]), most, side="right"))
+
+    def _wait(self, piece: tuple) -> None:
+        self.waiting.append(piece)
+        n = len(piece[2])
+        self.needs.append((n, 1, n if piece[3] is None else int(piece[3].sum())))
+        self.tokens += n
+
+    def add(self, doc_id, ids: np.ndarray, loss: np.ndarray | None = None) -> None:
+        size, whole, at = int(self.limits[0]), len(ids), 0
+        while at < whole:
+            part = None if loss is None else loss[at : at + size]
+            n = self._reach(part, min(size, whole - at), self.limits[2])
+            if n == size:
+                self.placed.append((doc_id, at, ids[at : at + n], whole, self.sequence, 0))
+                self.sequence += 1
+            else:
+                self._wait((doc_id, at, ids[at : at + n], None if part is None else part[:n], whole))
+            at += n
 
     def fill(self, capacity: int) -> None:
         """Close one sequence of at most ``capacity`` tokens."""
-        limits = np.array([capacity, self.limits[1], self.limits[2]])
-        free, offset, gone = limits.copy(), 0, []
-        need = np.array([(len(p[2]), 1, p[3].sum()) for p in self.waiting], dtype=float).reshape(-1, 3)
-        live = np.ones(len(need), bool)
-        while free[0] > 0 and free[1] > 0 and live.any():
-            fits = live & (need <= free).all(axis=1)
-            if fits.any():
-                k = int(np.argmax(np.where(fits, (need / self.limits) @ (free / self.limits), -1.0)))
-                piece = self.waiting[k]
-                live[k] = False
-                gone.append(k)
-            else:
-                k = int(np.argmax(np.where(live, need[:, 0], -1.0)))
+        free = np.array([capacity, self.limits[1], self.limits[2]], dtype=float)
+        need = np.array(self.needs, dtype=float)
+        scaled, offset, gone = need / self.limits**2, 0, set()
+        while free[0] > 0 and free[1] > 0 and len(gone) < len(need):
+            value = scaled @ free
+            value[(need > free).any(axis=1)] = -1.0
+            k = int(value.argmax())
+            doc_id, start, ids, loss, whole = self.waiting[k]
+            n = len(ids)
+            if value[k] < 0:  # none fits: cut the largest
+                k = int(np.where(need[:, 0] < np.inf, need[:, 0], -1.0).argmax())
                 doc_id, start, ids, loss, whole = self.waiting[k]
-                n = min(int(free[0]), len(ids), int(np.searchsorted(np.cumsum(loss), free[2], side="right")))
+                n = self._reach(loss, min(int(free[0]), len(ids)), free[2])
                 if n == 0:
                     break
-                piece = (doc_id, start, ids[:n], loss[:n], whole)
-                self.waiting[k] = (doc_id, start + n, ids[n:], loss[n:], whole)
-                need[k] = len(ids) - n, 1, loss[n:].sum()
-            doc_id, start, ids, loss, whole = piece
-            self.placed.append((doc_id, start, ids, whole, self.sequence, offset))
-            offset += len(ids)
-            free -= (len(ids), 1, loss.sum())
+                rest = None if loss is None else loss[n:]
+                self.waiting[k] = (doc_id, start + n, ids[n:], rest, whole)
+                self.needs[k] = (len(ids) - n, 1, len(ids) - n if loss is None else int(rest.sum()))
+                need[k] = self.needs[k]
+                scaled[k] = need[k] / self.limits**2
+            else:
+                gone.add(k)
+                need[k] = np.inf
+                scaled[k] = 0.0
+            self.placed.append((doc_id, start, ids[:n], whole, self.sequence, offset))
+            offset += n
+            free -= (n, 1, n if loss is None else int(loss[:n].sum()))
         self.sequence += 1
-        out = set(gone)
-        self.waiting = [p for k, p in enumerate(self.waiting) if k not in out]
-
-    def tokens(self) -> int:
-        return sum(len(p[2]) for p in self.waiting)
+        self.tokens -= offset
+        self.waiting = [p for k, p in enumerate(self.waiting) if k not in gone]
+        self.needs = [p for k, p in enumerate(self.needs) if k not in gone]
 
     def drain(self, last: bool) -> None:
         """Close full sequences; at the end of a partition, also what is left, in power-of-two lengths."""
-        left, size = self.tokens(), int(self.limits[0])
-        while left >= size:
+        size = int(self.limits[0])
+        while self.tokens >= size:
             self.fill(size)
-            left = self.tokens()
-        while last and left:
-            self.fill(1 << (left.bit_length() - 1))
-            left = self.tokens()
+        while last and self.tokens:
+            self.fill(1 << (self.tokens.bit_length() - 1))
 
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
@@ -141,13 +188,12 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, sequence: int = SEQUENC
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(tokenizer_file)
+        encode = _encoder(tokenizer_file)
         packer = Packer(TaskContext.get().partitionId() << 40, (sequence, max_segments, max_loss))
         since = 0
         for b in batches:
             for doc_id, text in zip(b.column(0), b.column(1)):
-                ids = encode(text.as_py())
-                packer.add(doc_id.as_py(), ids, np.ones(len(ids), np.int64))
+                packer.add(doc_id.as_py(), encode(text.as_py()))
                 since += 1
                 if since >= BLOCK:
                     packer.drain(last=False)
