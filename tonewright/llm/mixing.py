@@ -105,6 +105,14 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     )
 
 
+def repeat_documents(docs: DataFrame) -> DataFrame:
+    """The documents, each as many times as its ``copies``; rows that share a doc_id share the first one's."""
+    counts = mix_sources(docs).groupBy("doc_id").agg(F.min("copies").cast("int").alias("_copies")).where("_copies > 0")
+    counts = counts.withColumnRenamed("doc_id", "_id").hint("shuffle_hash")
+    taken = docs.join(counts, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source,

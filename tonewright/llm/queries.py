@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import read_table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -76,7 +77,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
-    done = format_conversations(table.unionByName(more), _tokenizer("byte_bpe_50k.json"))
+    done = format_conversations(table.unionByName(more), tokenizer_file("byte_bpe_50k.json"))
     return done.mapInArrow(chat_digests, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
@@ -89,7 +90,7 @@ def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    pieces = pack_documents(read_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    pieces = pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

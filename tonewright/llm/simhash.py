@@ -241,7 +241,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents whose component has no smaller doc_id; of rows that repeat a doc_id, one."""
+    """The documents whose component has no smaller doc_id; of rows that repeat a doc_id, one.
+
+    Only ids travel to find out what goes; texts are moved at most once, and not at
+    all where Spark finds the ids few enough to broadcast.
+    """
     found = near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"))
+    gone = materialize(ids.where("n > 1 or first = 0").select(F.col("doc_id").alias("_gone"), (F.col("first") == 1).alias("_one")), "gone")
+    key = F.col("doc_id").cast("bigint") == F.col("_gone")
+    kept = docs.join(gone, key, "left_anti")
+    several = gone.where("_one")
+    if several.isEmpty():
+        return kept
+    return kept.unionByName(docs.join(several, key, "left_semi").dropDuplicates(["doc_id"]))
