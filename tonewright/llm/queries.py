@@ -38,6 +38,13 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds sound: each vector of ``embeddings`` is played as a tune first."""
+    from .chroma import fingerprint_media, match_media, render_vectors
+
+    return match_media(fingerprint_media(render_vectors(read_table(spark, sf_dir, "embeddings"))))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -95,7 +102,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_quality_classifier, op5_mixing, op6_language_id, op7_chat_format, op8_sentence_spans, op9_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_quality_classifier, op4_chroma, op5_mixing, op6_language_id, op7_chat_format, op8_sentence_spans, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
