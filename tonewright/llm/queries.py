@@ -101,8 +101,15 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    done = remove_repeats(read_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_quality_classifier, op4_chroma, op5_mixing, op6_language_id, op7_chat_format, op8_sentence_spans, op9_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_quality_classifier, op4_chroma, op5_mixing, op6_language_id, op7_chat_format, op8_sentence_spans, op9_packing, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
