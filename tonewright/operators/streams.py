@@ -78,6 +78,7 @@ def reservoir(frames: DataFrame, keys: list[str], by: str, main_bytes: str, begi
 def accounting(frames: DataFrame, keys: list[str], by: str, main_bytes: str, begin: str, bits: str) -> DataFrame:
     """unused: whole bytes of main data a frame leaves; consistent: it starts within what the one before left (0 at first) and has its bits."""
     avail = 8 * (F.col(begin) + F.col(main_bytes))
-    t = frames.withColumn("unused", F.floor((avail - F.col(bits)) / 8)).withColumn("_before", F.lag(F.floor((avail - F.col(bits)) / 8)).over(_order(keys, by)))
+    left = F.floor(F.greatest(avail - F.col(bits), F.lit(0)) / 8)
+    t = frames.withColumn("unused", left).withColumn("_before", F.lag(left).over(_order(keys, by)))
     reach = F.when(F.col("_before").isNull(), F.col(begin) == 0).otherwise(F.col(begin) <= F.col("_before"))
     return t.withColumn("consistent", (F.col(bits) <= avail) & reach).drop("_before")

@@ -64,7 +64,7 @@ def reservoir_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 50 + l_suppkey % 300 AS main, l_partkey % 200 AS begin, l_partkey * 7 % 2400 AS bits FROM lineitem),
-    u AS (SELECT *, (8 * (begin + main) - bits) // 8 AS unused FROM p),
+    u AS (SELECT *, greatest(8 * (begin + main) - bits, 0) // 8 AS unused FROM p),
     l AS (SELECT *, lag(unused) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS before FROM u)
     SELECT l_orderkey, l_linenumber, CAST(unused AS BIGINT) AS unused, bits <= 8 * (begin + main) AND CASE WHEN before IS NULL THEN begin = 0 ELSE begin <= before END AS consistent FROM l"""
 )
