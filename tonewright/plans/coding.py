@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import encoding as E
 from ..operators import streams
-from ..functions.tables import BITRATES_MPEG1, LOWPASS, SLEN1, SLEN2
+from ..functions import scalefactors as S
+from ..functions.tables import BITRATES_MPEG1, LONG_44, LOWPASS, SHORT_44, SLEN1, SLEN2
 from .registry import query, sql_list, table
 
 
@@ -95,3 +96,45 @@ def encoded_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     rate = F.get(F.array(*map(F.lit, (44100, 48000, 32000, 22050, 24000, 16000))), (F.col("o_orderkey") % 6).cast("int"))
     frames, padding = E.extent(F.col("o_custkey") * 1009, F.when(rate >= 32000, 1152).otherwise(576))
     return t.select("o_orderkey", frames.alias("frames"), padding.alias("padding"))
+
+
+@query(
+    f"""WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey % 16 AS c, l_suppkey % 3 AS kind, l_partkey % 16 AS r0, l_suppkey % 8 AS r1, l_linenumber % 2 AS sw FROM lineitem),
+    e AS (SELECT *, {sql_list(SLEN1)}[c + 1] AS a, {sql_list(SLEN2)}[c + 1] AS b, {sql_list(LONG_44)} AS edges FROM p)
+    SELECT l_orderkey, l_linenumber, CAST(a * CASE kind WHEN 0 THEN 11 WHEN 1 THEN 18 ELSE 17 END + b * CASE kind WHEN 0 THEN 10 ELSE 18 END AS INTEGER) AS bits,
+      CAST(CASE WHEN sw = 1 THEN CASE WHEN kind = 1 THEN 36 ELSE 36 END ELSE edges[least(r0 + 1, 22) + 1] END AS INTEGER) AS region1, CAST(CASE WHEN sw = 1 THEN 576 ELSE edges[least(r0 + r1 + 2, 22) + 1] END AS INTEGER) AS region2 FROM e"""
+)
+def scalefactor_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits of the scalefactors and the bounds of the Huffman regions, at 44.1 kHz."""
+    t = table(spark, sf_dir, "lineitem")
+    kind = F.col("l_suppkey") % 3
+    one, two = S.region_bounds(F.col("l_linenumber") % 2, F.when(kind == 0, 0).otherwise(2), F.when(kind == 2, 1).otherwise(0), F.col("l_partkey") % 16, F.col("l_suppkey") % 8, LONG_44, SHORT_44)
+    bits = S.mpeg1_bits((F.col("l_partkey") % 16).cast("int"), kind)
+    return t.select("l_orderkey", "l_linenumber", bits.cast("int").alias("bits"), one.cast("int").alias("region1"), two.cast("int").alias("region2"))
+
+
+_GROUPS = sql_list(n for r in S.GROUPS_LSF for k in r for n in k)
+
+
+@query(
+    f"""WITH p AS (SELECT l_orderkey, l_linenumber, l_suppkey % 400 AS s, l_partkey % 3 AS kind FROM lineitem)
+    SELECT l_orderkey, l_linenumber, CAST((s >> 4) // 5 * {_GROUPS}[kind * 4 + 1] + (s >> 4) % 5 * {_GROUPS}[kind * 4 + 2] + (s % 16 >> 2) * {_GROUPS}[kind * 4 + 3] + s % 4 * {_GROUPS}[kind * 4 + 4] AS INTEGER) AS bits FROM p"""
+)
+def lsf_scalefactor_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.layers import lsf_lengths
+
+    t = table(spark, sf_dir, "lineitem")
+    lengths, row, _ = lsf_lengths((F.col("l_suppkey") % 400).cast("int"), F.lit(False))
+    return t.select("l_orderkey", "l_linenumber", S.lsf_bits(lengths, row, F.col("l_partkey") % 3).cast("int").alias("bits"))
+
+
+@query(
+    """WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 14 + 1 AS i FROM lineitem),
+    r AS (SELECT l_orderkey, sum(len) AS bytes, count(*) AS frames FROM (SELECT l_orderkey, 417 + l_partkey % 2 AS len FROM b) GROUP BY 1)
+    SELECT l_orderkey, CAST(frames AS BIGINT) AS frames, CAST(bytes AS BIGINT) AS bytes, CAST(bytes * 8 * 44100 // (frames * 1152) AS BIGINT) AS average_rate FROM r"""
+)
+def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames, bytes and average bit rate of each stream."""
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", (417 + F.col("l_partkey") % 2).alias("len"))
+    s = t.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("frames"), F.sum("len").alias("bytes"))
+    return s.withColumn("average_rate", F.floor(F.col("bytes") * 8 * 44100 / (F.col("frames") * 1152)))
