@@ -18,6 +18,18 @@ SAMPLE_RATES = (44100, 48000, 32000)
 # Fixed values (Table 3-B.8, 44.1 kHz): scalefactor band edges, long and short.
 LONG_44 = (0, 4, 8, 12, 16, 20, 24, 30, 36, 44, 52, 62, 74, 90, 110, 134, 162, 196, 238, 288, 342, 418, 576)
 SHORT_44 = (0, 4, 8, 12, 16, 22, 30, 40, 52, 66, 84, 106, 136, 192)
+# Fixed values (Table 3-B.8, 13818-3 B.2, and MPEG-2.5 as publicly documented): edges at the other rates.
+LONG_48 = (0, 4, 8, 12, 16, 20, 24, 30, 36, 42, 50, 60, 72, 88, 106, 128, 156, 190, 230, 276, 330, 384, 576)
+LONG_32 = (0, 4, 8, 12, 16, 20, 24, 30, 36, 44, 54, 66, 82, 102, 126, 156, 194, 240, 296, 364, 448, 550, 576)
+LONG_24 = (0, 6, 12, 18, 24, 30, 36, 44, 54, 66, 80, 96, 114, 136, 162, 194, 232, 278, 332, 394, 464, 540, 576)
+LONG_LOW = (0, 6, 12, 18, 24, 30, 36, 44, 54, 66, 80, 96, 116, 140, 168, 200, 238, 284, 336, 396, 464, 522, 576)
+LONG_8 = (0, 12, 24, 36, 48, 60, 72, 88, 108, 132, 160, 192, 232, 280, 336, 400, 476, 566, 568, 570, 572, 574, 576)
+SHORT_48 = (0, 4, 8, 12, 16, 22, 28, 38, 50, 64, 80, 100, 126, 192)
+SHORT_32 = (0, 4, 8, 12, 16, 22, 30, 42, 58, 78, 104, 138, 180, 192)
+SHORT_22 = (0, 4, 8, 12, 18, 24, 32, 42, 56, 74, 100, 132, 174, 192)
+SHORT_24 = (0, 4, 8, 12, 18, 26, 36, 48, 62, 80, 104, 136, 180, 192)
+SHORT_LOW = (0, 4, 8, 12, 18, 26, 36, 48, 62, 80, 104, 134, 174, 192)
+SHORT_8 = (0, 8, 16, 24, 36, 52, 72, 96, 124, 160, 162, 164, 166, 192)
 # Fixed values (Table 3-B.6).
 PRETAB = (0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1, 1, 1, 1, 2, 2, 3, 3, 3, 2, 0)
 # Fixed values (2.4.2.7): scalefac_compress to slen1, slen2.
@@ -36,3 +48,10 @@ def allocation_row(table: str, subband: int) -> tuple[int, ...]:
     """The steps that the allocation indexes 1, 2, ... of a subband select."""
     family = {"A": CLASSES_A, "B": CLASSES_A, "C": CLASSES_C, "D": CLASSES_C, "LSF": CLASSES_LSF}[table]
     return family[max(k for k in family if k <= subband)]
+
+
+def band_edges(rate: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """Long and short scalefactor band edges at a sampling rate."""
+    long = {44100: LONG_44, 48000: LONG_48, 32000: LONG_32, 24000: LONG_24, 8000: LONG_8}.get(rate, LONG_LOW)
+    short = {44100: SHORT_44, 48000: SHORT_48, 32000: SHORT_32, 22050: SHORT_22, 24000: SHORT_24, 8000: SHORT_8}.get(rate, SHORT_LOW)
+    return long, short
