@@ -11,10 +11,10 @@ from tonewright.sources import sideinfo
 
 
 def codes(path):
-    """Tables 1-3 hold values to 15 in 8-bit words, table 5 the same with 4 linbits; count-1 words are the 4 bits themselves."""
+    """Tables 1-3 hold values to 15 in 8-bit words, tables 5 and 6 the same with 4 and 13 linbits; count-1 words are the 4 bits themselves."""
     square = [[8, x << 4 | y, x, y] for x in range(16) for y in range(16)]
     quad = [[4, k, k >> 3 & 1, k >> 2 & 1, k >> 1 & 1, k & 1] for k in range(16)]
-    raw = {"pairs": {**{str(k): {"linbits": 0, "codes": square} for k in (1, 2, 3)}, "5": {"linbits": 4, "codes": square}}, "quads": [quad, [[4, 15 - k, *c[2:]] for k, c in enumerate(quad)]]}
+    raw = {"pairs": {**{str(k): {"linbits": 0, "codes": square} for k in (1, 2, 3)}, "5": {"linbits": 4, "codes": square}, "6": {"linbits": 13, "codes": square}}, "quads": [quad, [[4, 15 - k, *c[2:]] for k, c in enumerate(quad)]]}
     (path / "codes.json").write_text(json.dumps(raw))
     return layer3.Codes.load(str(path / "codes.json"))
 
