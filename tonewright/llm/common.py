@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: The six ASCII white-space characters that separate words. ``bytes.split()``
@@ -12,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: ``[^\x20\x09-\x0D]+`` of a text.
 SPACES = "\t\n\x0b\x0c\r "
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dir: str | None = None
 
 
@@ -30,11 +34,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and return a reader of it.
 
     Cuts the lineage: a lost executor costs a re-read of the table, never the
-    work before it. ``drop`` removes a table that no later plan reads.
+    work before it. The shuffle files of the work are removed once the table is whole. ``drop`` removes a table that no later plan reads.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tonewright-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._tonewright_path = path
     return back
@@ -51,6 +60,13 @@ def drop(*tables: DataFrame) -> None:
         at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that what Python holds of their texts at a time stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -30,7 +30,7 @@ SEQUENCE = 4096
 END_ID = 2
 MAX_SEGMENTS = 512
 BLOCK = 512
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 
 
 class WordEncoder:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import drop, materialize
+from .common import drop, materialize, sliced
 
 SPAN = 3
 _BREAK = re.compile(r"[.!?]+\s+|\n\s*")
@@ -48,7 +48,7 @@ def span_hashes(parts: list[str], span: int = SPAN) -> list[bytes]:
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["h1", "h2", "doc_id", "at"]
-    for b in batches:
+    for b in sliced(batches):
         ids, at, hashes = [], [], []
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
             first: dict[bytes, int] = {}
@@ -87,7 +87,7 @@ def strip(text: str | None, found: list[int] | None, span: int = SPAN) -> tuple[
 
 
 def _strip_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches):
         rows = [strip(t.as_py(), f.as_py()) for t, f in zip(b.column("_text"), b.column("_found"))]
         new = [pa.array(list(c), k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64()))] if rows else [pa.array([], k) for k in (pa.string(), pa.int64(), pa.int64())]
         kept = [k for k in range(b.num_columns) if b.schema.names[k] not in ("_text", "_found")]
