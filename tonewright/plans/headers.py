@@ -168,3 +168,33 @@ def tag_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = F.col("b")
     t = t.select("doc_id", be(b, 1, 4).alias("frames"), be(b, 5, 4).alias("bytes"), F.shiftright(be(b, 9, 3), 12).cast("int").alias("delay"), be(b, 9, 3).bitwiseAND(F.lit(4095)).cast("int").alias("padding"), (be(b, 12, 1) * 100).cast("int").alias("lowpass"), be(b, 13, 2).cast("int").alias("music_crc"))
     return t.withColumn("length", F.greatest(F.col("frames") * 1152 - F.col("delay") - F.col("padding"), F.lit(0)))
+
+
+@query(
+    """SELECT CAST(doc_id AS VARCHAR) AS stream_id, CAST(n AS BIGINT) AS frame_no, CAST(10 + n * 417 AS BIGINT) AS position, 'audio' AS kind, CAST(417 AS INTEGER) AS length, 'FFFB9064' AS head
+    FROM documents, (SELECT unnest(range(4)) AS n)"""
+)
+def framed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tag, noise and four frames made of each document's hash, framed again."""
+    from ..sources import framing
+
+    body = F.substring(F.repeat(F.md5("text"), 13), 1, 413)
+    frame = F.concat(F.lit("FFFB9064"), F.hex(body))
+    noise = F.lit("494433" + "03000000000000")  # an empty tag of ten bytes
+    made = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("stream_id"), F.unhex(F.concat(noise, F.repeat(frame, 4), F.hex(F.lit("TAG")), F.repeat(F.lit("20"), 125))).alias("content"))
+    f = framing.frames(made)
+    return f.select("stream_id", "frame_no", "position", "kind", F.length("bytes").alias("length"), F.hex(F.substring("bytes", 1, 4)).alias("head"))
+
+
+@query(
+    """WITH m AS (SELECT doc_id, md5(text) AS h FROM documents)
+    SELECT doc_id, CAST(('0x' || substr(h, 1, 4)) AS INTEGER) >> 7 AS main_data_begin, CAST(('0x' || substr(h, 6, 3)) AS INTEGER) AS part2_3_length, CAST(('0x' || substr(h, 9, 3)) AS INTEGER) >> 3 AS big_values FROM m"""
+)
+def side_info_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fields of side information (9, 12 and 9 bits at 0, 20 and 32) cut out of sixteen bytes by shifts and masks."""
+    t = table(spark, sf_dir, "documents").select("doc_id", F.unhex(F.md5("text")).alias("b"))
+    be = streams.big_endian
+    b = F.col("b")
+    return t.select(
+        "doc_id", F.shiftright(be(b, 1, 2), 7).cast("int").alias("main_data_begin"), be(b, 3, 2).bitwiseAND(F.lit(4095)).cast("int").alias("part2_3_length"), F.shiftright(be(b, 5, 2), 7).cast("int").alias("big_values")
+    )
