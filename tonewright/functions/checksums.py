@@ -28,3 +28,15 @@ def frame_crc(data: Column) -> Column:
     """The frame CRC over whole bytes: polynomial 0x8005, register all ones, most significant bit first."""
     shift = _eight(lambda c: F.shiftleft(c, 1).bitwiseAND(F.lit(0xFFFF)).bitwiseXOR(F.when(c.bitwiseAND(F.lit(0x8000)) != 0, FRAME_POLY).otherwise(0)))
     return F.aggregate(byte_array(data), F.lit(0xFFFF), lambda crc, b: shift(crc.bitwiseXOR(F.shiftleft(b, 8))))
+
+
+def fnv1a_64(data: Column) -> Column:
+    """FNV-1a over the bytes of a binary column, as an unsigned decimal; the wrap at 64 bits is a remainder."""
+    whole = lambda v: F.lit(v).cast("decimal(38,0)")
+
+    def step(h, b):
+        low = (h % 256).cast("int")
+        mixed = h - low + low.bitwiseXOR(b)
+        return ((mixed.cast("decimal(20,0)") * F.lit(1099511628211).cast("decimal(13,0)")) % whole(str(2**64))).cast("decimal(38,0)")
+
+    return F.aggregate(byte_array(data), whole("14695981039346656037"), step).cast("decimal(20,0)")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import header as H
@@ -83,8 +86,48 @@ def quiet_energy(edges: tuple[int, ...], hertz: float, band: Column) -> Column:
     return F.get(F.array(*map(F.lit, values)), band)
 
 
-def encode_pcm(blocks: DataFrame, codes: Codes, prototype: np.ndarray, rate: int, kbps: int) -> DataFrame:
-    """(stream_id, channel, slot, s: 32 samples) to constant-rate frames (stream_id, frame_no, bytes)."""
+def low_passed(lines: DataFrame, rate: int, hertz: float) -> DataFrame:
+    """x with the lines from ``hertz`` on set to zero, by line in long blocks and by line of a window in short ones."""
+    share = hertz / (rate / 2)
+    long, short = round(share * 576), round(share * 192)
+    place = lambda p: F.when(F.col("block_type") == 2, (p / 18).cast("int") * 6 + p % 6 < short).otherwise(p < long)
+    return lines.withColumn("x", F.transform("x", lambda v, p: F.when(place(p), v).otherwise(F.lit(0.0).cast("float"))))
+
+
+def pre_echo(masks: DataFrame) -> DataFrame:
+    """``allowed`` of long blocks held to twice that of the granule before, itself held; a short block clears the memory.
+
+    A recursion in order, so a channel's granules stream through one task; one granule is kept.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for b in batches:
+            out = []
+            at = b.schema.names.index("allowed")
+            for sid, ch, kind, allowed in zip(*(b.column(k).to_pylist() for k in ("stream_id", "channel", "block_type", "allowed"))):
+                if (sid, ch) != key:
+                    key, last = (sid, ch), None
+                if kind == 2:
+                    last = None
+                else:
+                    allowed = allowed if last is None else [min(a, 2 * p) for a, p in zip(allowed, last)]
+                    last = allowed
+                out.append(allowed)
+            yield b.set_column(at, "allowed", pa.array(out, pa.list_(pa.float64())))
+
+    t = masks.select("stream_id", "channel", "granule", "block_type", "x", "allowed")
+    return t.repartition("stream_id", "channel").sortWithinPartitions("stream_id", "channel", "granule").mapInArrow(run, t.schema)
+
+
+def encode_pcm(blocks: DataFrame, codes: Codes, prototype: np.ndarray, rate: int, kbps: int | None, lowpass: float | None = None, joint: bool = True, quality: int | None = None) -> DataFrame:
+    """(stream_id, channel, slot, s: 32 samples) to frames (stream_id, frame_no, bytes): constant rate, or variable by quality 0-9."""
     bands = filterbank.analyse(blocks, ["stream_id", "channel"], "slot", "s", prototype)
     rows = analysis.granules(bands).join(block_types_of(blocks), ["stream_id", "granule"])
-    return encoder.encode(allowances(analysis.forward_hybrid(rows), rate), codes, rate, kbps)
+    lines = analysis.forward_hybrid(rows)
+    offset = 0.0
+    if quality is not None:
+        offset, lowpass = -4.0 + 1.6 * quality, lowpass or 20000.0 - 700.0 * quality
+    if lowpass and lowpass < rate / 2:
+        lines = low_passed(lines, rate, lowpass)
+    return encoder.encode(pre_echo(allowances(lines, rate, offset)), codes, rate, kbps, joint)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.tables import BITRATES_LSF, BITRATES_MPEG1, SAMPLE_RATES, SLEN1, SLEN2, band_edges
 from ..sources import sideinfo
 from .analysis import coded_order, quantise_granule
-from .layer3 import Codes
+from .layer3 import Codes, layout
 
 
 class Books:
@@ -211,16 +211,37 @@ def encode_frame(granules: list[tuple], rate: int, books: Books, target_of, roun
     return best
 
 
-def encode(granules: DataFrame, codes: Codes, rate: int, kbps: int) -> DataFrame:
-    """(stream_id, granule, channel, block_type, x: lines in subband order, allowed) to frames (stream_id, frame_no, bytes) at a constant rate.
+def entropy(parts: list[tuple], rate: int) -> float:
+    """Perceptual entropy of granules of a frame: bits that their energies over their allowances ask for."""
+    total = 0.0
+    for t, x, allowed in parts:
+        band, window = layout(rate, int(t == 2))
+        cell = band * 3 + np.maximum(window, 0) if t == 2 else band
+        e, n = np.bincount(cell, weights=x * x, minlength=len(allowed)), np.bincount(cell, minlength=len(allowed))
+        over = e > allowed
+        total += float((n[over] * np.log2(1 + np.sqrt(e[over] / np.maximum(allowed[over], 1e-30)))).sum())
+    return total
 
+
+def as_mid_side(parts: list[tuple]) -> list[tuple]:
+    """Granules of two channels as sum and difference under the lower of both allowances."""
+    out = []
+    for (t, l, a), (_, r, b) in zip(parts[::2], parts[1::2]):
+        out += [(t, (l + r) / 2**0.5, np.minimum(a, b)), (t, (l - r) / 2**0.5, np.minimum(a, b))]
+    return out
+
+
+def encode(granules: DataFrame, codes: Codes, rate: int, kbps: int | None, joint: bool = False) -> DataFrame:
+    """(stream_id, granule, channel, block_type, x: lines in subband order, allowed) to frames (stream_id, frame_no, bytes).
+
+    kbps: the constant rate; None: each frame takes the first rate that, with half the reservoir, holds its bits at the mask.
+    joint: frames of two channels go as mid and side where that asks for fewer bits.
     Every granule has all channels of its stream; an odd last granule of MPEG-1 is dropped.
     """
     lsf = rate < 32000
     per = 1 if lsf else 2
     version = 3 if rate >= 32000 else 2 if rate >= 16000 else 0
-    index = (BITRATES_LSF if lsf else BITRATES_MPEG1)[2].index(kbps)
-    rest_of = (72 if lsf else 144) * kbps * 1000
+    table = (BITRATES_LSF if lsf else BITRATES_MPEG1)[2]
     shared = granules.sparkSession.sparkContext.broadcast(codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,15 +255,25 @@ def encode(granules: DataFrame, codes: Codes, rate: int, kbps: int) -> DataFrame
 
         def frame(parts):
             channels = len(parts) // per
-            state["acc"] += rest_of % rate
-            padding = int(state["acc"] >= rate)
-            state["acc"] -= rate * padding
-            word = 2047 << 21 | version << 19 | 1 << 17 | 1 << 16 | index << 12 | SAMPLE_RATES.index(rate * {3: 1, 2: 2, 0: 4}[version]) << 10 | padding << 9 | (3 if channels == 1 else 0) << 6
+            a, padding = state["assembly"], 0
+            ms = joint and channels == 2 and entropy(as_mid_side(parts), rate) < entropy(parts, rate)
+            parts = as_mid_side(parts) if ms else parts
             side = (9 if channels == 1 else 17) if lsf else (17 if channels == 1 else 32)
-            slot = rest_of // rate + padding - 4 - side
-            a = state["assembly"]
+            bytes_at = lambda k: (72 if lsf else 144) * table[k] * 1000
+            if kbps is None:
+                need = sum(c["part2_3_length"] for _, c in encode_frame(parts, rate, books, lambda n: n))
+                index = next((k for k in range(1, 15) if 8 * (bytes_at(k) // rate - 4 - side) + 4 * a.tail >= need), 14)
+            else:
+                index = table.index(kbps)
+                state["acc"] += bytes_at(index) % rate
+                padding = int(state["acc"] >= rate)
+                state["acc"] -= rate * padding
+            mode = 3 if channels == 1 else 1 if ms else 0
+            word = 2047 << 21 | version << 19 | 1 << 17 | 1 << 16 | index << 12 | SAMPLE_RATES.index(rate * {3: 1, 2: 2, 0: 4}[version]) << 10 | padding << 9 | mode << 6 | (2 << 4 if ms else 0)
+            slot = bytes_at(index) // rate + padding - 4 - side
             avail, mean, room = 8 * (a.tail + slot), 8 * slot, 8 * (a.limit - a.tail)
-            target = lambda need: min(min(need, mean + 8 * a.tail * 6 // 10) if need > mean else max(need, mean - room), avail)
+            constant = lambda need: min(min(need, mean + 8 * a.tail * 6 // 10) if need > mean else max(need, mean - room), avail)
+            target = constant if kbps else lambda need: min(need, avail)
             rows, w = [], _Writer()
             for n, ((t, *_), (q, c)) in enumerate(zip(parts, encode_frame(parts, rate, books, target))):
                 write_granule(w, q, c, rate, t, books)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.tables import PRETAB, SAMPLE_RATES, SLEN1, SLEN2, band_edges
 from ..functions.scalefactors import GROUPS_LSF, SCFSI_GROUPS
+from ..sources.layer12 import frame_crc
 from ..sources.sideinfo import Bits, parse
 from . import filterbank
 
@@ -263,8 +264,16 @@ def frame_spectrum(frame: bytes, main: bytes, codes: Codes) -> list[tuple]:
 SPECTRUM = "stream_id string, frame_no bigint, granule int, channel int, block_type int, mixed int, exact boolean, x array<float>, concealed boolean"
 
 
-def spectrum(mains: DataFrame, codes: Codes) -> DataFrame:
-    """``main_data`` rows to one row per granule and channel. A frame that cannot be read is silence, ``concealed``."""
+def crc_holds(frame: bytes) -> bool:
+    """Whether the CRC word, if there is one, fits the second half of the header and the side information."""
+    if frame[1] & 1:
+        return True
+    covered = frame[2:4] + frame[6 : header_facts(frame)["start"]]
+    return frame_crc(0xFFFF, int.from_bytes(covered, "big"), 8 * len(covered)) == int.from_bytes(frame[4:6], "big")
+
+
+def spectrum(mains: DataFrame, codes: Codes, check_crc: bool = False) -> DataFrame:
+    """``main_data`` rows to one row per granule and channel. A frame that cannot be read (or whose CRC fails, if checked) is silence, ``concealed``."""
     shared = mains.sparkSession.sparkContext.broadcast(codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,6 +285,8 @@ def spectrum(mains: DataFrame, codes: Codes) -> DataFrame:
                 try:
                     if main is None:
                         raise ValueError("main data before the stream")
+                    if check_crc and not crc_holds(frame):
+                        raise ValueError("the frame CRC does not match")
                     out += [(sid, no, *r[:5], r[5].astype(np.float32), False) for r in frame_spectrum(frame, main, shared.value)]
                 except (ValueError, KeyError, IndexError):
                     facts = header_facts(frame)

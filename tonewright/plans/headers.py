@@ -198,3 +198,14 @@ def side_info_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(
         "doc_id", F.shiftright(be(b, 1, 2), 7).cast("int").alias("main_data_begin"), be(b, 3, 2).bitwiseAND(F.lit(4095)).cast("int").alias("part2_3_length"), F.shiftright(be(b, 5, 2), 7).cast("int").alias("big_values")
     )
+
+
+@query(
+    "SELECT doc_id, CAST(list_reduce(list_concat([14695981039346656037::HUGEINT], "
+    + _BYTES.replace("AS BIGINT", "AS HUGEINT")
+    + "), lambda h, b: (h - h % 256 + xor((h % 256)::BIGINT, b::BIGINT)) * 1099511628211 % 18446744073709551616::HUGEINT) AS VARCHAR) AS fnv FROM documents"
+)
+def stream_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FNV-1a over sixteen bytes of each document."""
+    t = table(spark, sf_dir, "documents").select("doc_id", F.unhex(F.md5("text")).alias("b"))
+    return t.select("doc_id", checksums.fnv1a_64(F.col("b")).cast("string").alias("fnv"))
