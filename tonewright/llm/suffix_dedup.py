@@ -2,8 +2,8 @@
 
 A byte goes when it lies in a ``LENGTH``-byte string that also starts earlier. The
 difference cover modulo 3 samples the positions not divisible by 3. Each sampled
-position stands for a triple of 32-byte symbols; the triples of the corpus are range-sorted
-and equal ones share a name, which spans 96 bytes. Any two positions have both
+position stands for a triple of 32-byte symbols; the triples of the corpus are sorted within
+hash partitions and equal ones share a name, which spans 96 bytes. Any two positions have both
 become sampled after a step of 0, 1 or 2 bytes, so the remaining suffixes merge
 through a sampled neighbour: a string of 100 bytes is compared by the neighbour's name and the bytes that the
 name leaves out at either end, between adjacent rows of the sorted order. The recursion on names ends
@@ -13,8 +13,8 @@ Two exact reductions come first, so that text that cannot matter is not sorted:
 
 * segments between content-defined cuts, with the 99 bytes after them, that equal
   an earlier segment are removed whole, and leave the sort;
-* every 100-byte string is represented by its least 32-byte gram (winnowing); a string whose gram
-  occurs once among the remaining strings cannot repeat.
+* every 66 bytes are represented by their least 32-byte gram (winnowing); a string of 100 bytes that holds 66 bytes whose
+  gram occurs once among the remaining strings cannot repeat.
 
 Order is (doc_id, start). Null texts are empty. Texts under 100 bytes keep all.
 Repeated rows (same id and text) are one document and get the same result. Extra columns are ignored.
@@ -28,14 +28,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import drop, materialize
+from .common import drop, materialize, sliced
 
 LENGTH = 100
 GRAM = 32
-WINDOW = LENGTH - GRAM + 1
+GRAMS = LENGTH - GRAM + 1
+WINDOW = 35
 SYMBOL = 32
 SPAN = 3 * SYMBOL
 CUT_MASK, CUT_VALUE = 0x3F, 0x2B
+CHUNK = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -65,46 +67,54 @@ def _sliding(f, a: np.ndarray, width: int) -> np.ndarray:
     return f(a[: len(a) - (width - n)], a[width - n :]) if width > n else a
 
 
-def anchors(h: np.ndarray) -> np.ndarray:
-    """Positions of grams that are least in some window of WINDOW grams."""
-    if len(h) < WINDOW:
-        return np.zeros(0, np.int64)
-    least = _sliding(np.minimum, h, WINDOW)
-    pad = np.zeros(WINDOW - 1, np.uint64)
-    return np.flatnonzero(_sliding(np.maximum, np.r_[pad, least, pad], WINDOW) == h)
+def _bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
 
 
-def segments(data: np.ndarray) -> list[tuple[int, int]]:
-    """(start, end): string starts between content-defined cuts; cuts depend on the 32 bytes after them alone."""
-    strings = len(data) - LENGTH + 1
-    if strings < 1:
-        return []
-    h = grams(data)
-    cuts = np.flatnonzero((h & np.uint64(CUT_MASK)) == CUT_VALUE)
-    cuts = np.unique(np.r_[0, cuts[cuts < strings], strings]).tolist()
-    return list(zip(cuts[:-1], cuts[1:]))
+def _chunks(b: pa.RecordBatch) -> Iterator[tuple[slice, list[bytes], np.ndarray, np.ndarray]]:
+    """Runs of rows of about a megabyte: their texts, the bytes of all, and where each text starts and the last ends."""
+    raw = [_bytes(t.as_py()) for t in b.column("text")]
+    at = 0
+    while at < len(raw):
+        to, size = at, 0
+        while to < len(raw) and (to == at or size + len(raw[to]) <= CHUNK):
+            size += len(raw[to])
+            to += 1
+        starts = np.cumsum([0, *map(len, raw[at:to])])
+        yield slice(at, to), raw[at:to], np.frombuffer(b"".join(raw[at:to]), np.uint8), starts
+        at = to
 
 
-def _bytes(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
+def _strings(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(from, to) of the positions of each text at which a whole string starts."""
+    return starts[:-1], np.maximum(starts[1:] - LENGTH + 1, starts[:-1])
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments between cuts, which depend on the 32 bytes after them alone; ``own`` marks those that repeat within their document."""
     from xxhash import xxh3_128_digest
 
-    for b in batches:
-        ids, starts, ends, hashes = [], [], [], []
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-            raw = _bytes(text.as_py())
-            for a, c in segments(np.frombuffer(raw, np.uint8)):
-                ids.append(doc_id)
-                starts.append(a)
-                ends.append(c)
-                hashes.append(xxh3_128_digest(raw[a : c + LENGTH - 1]))
-        if ids:
-            pair = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-            cols = [pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["h1", "h2", "doc_id", "start", "stop"])
+    for b in sliced(batches):
+        ids = b.column("doc_id").to_pylist()
+        for rows, raw, data, starts in _chunks(b):
+            cuts = np.flatnonzero((grams(data) & np.uint64(CUT_MASK)) == CUT_VALUE)
+            lo, hi = _strings(starts)
+            part = np.split(cuts, np.searchsorted(cuts, starts[1:-1]))
+            out, hashes = [], []
+            for doc_id, text, base, stop, inside in zip(ids[rows], raw, lo.tolist(), (hi - lo).tolist(), part):
+                if stop < 1:
+                    continue
+                edges = [0, *(c for c in (inside - base).tolist() if 0 < c < stop), stop]
+                seen = set()
+                for x, y in zip(edges, edges[1:]):
+                    h = xxh3_128_digest(text[x : y + LENGTH - 1])
+                    hashes.append(h)
+                    out.append((doc_id, x, y, h in seen))
+                    seen.add(h)
+            if out:
+                pair = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+                cols = [pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), *(pa.array(list(c), k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.bool_())))]
+                yield pa.RecordBatch.from_arrays(cols, names=["h1", "h2", "doc_id", "start", "stop", "own"])
 
 
 def _intervals(spans: list[dict] | None, n: int) -> np.ndarray:
@@ -117,91 +127,138 @@ def _intervals(spans: list[dict] | None, n: int) -> np.ndarray:
     return np.cumsum(v[:-1]) > 0
 
 
+def _surplus(key: np.ndarray) -> np.ndarray:
+    """True for all but the first two rows of each key."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    third = np.zeros(len(key), bool)
+    third[order[2:]] = k[2:] == k[:-2]
+    return third
+
+
+def _fresh(starts: np.ndarray, copies: list) -> np.ndarray:
+    """True where a string starts that is in no copied segment."""
+    fresh = np.zeros(starts[-1], bool)
+    for lo, hi, spans in zip(*_strings(starts), copies):
+        fresh[lo:hi] = True
+        for s in spans or ():
+            fresh[lo + s["start"] : lo + s["stop"]] = False
+    return fresh
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, copies) to the anchors of strings outside copied segments."""
-    for b in batches:
-        ids, hashes, at = [], [], []
-        for doc_id, text, copies in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-            data = np.frombuffer(_bytes(text.as_py()), np.uint8)
+    """(doc_id, text, copies) to the anchors of strings outside copied segments: grams that are least in a window within one.
+
+    Of a gram that one run of rows holds more than twice, two rows tell all other tasks; the rest are known to
+    repeat and travel under a key of their own, so no task gets a frequent gram's rows.
+    """
+    for b in sliced(batches):
+        ids, copies = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("copies").to_pylist()
+        for rows, _, data, starts in _chunks(b):
             h = grams(data)
-            found = anchors(h)
-            if not len(found):
+            if len(h) < WINDOW:
                 continue
-            fresh = np.r_[0, np.cumsum(~_intervals(copies, len(data) - LENGTH + 1))]
-            found = found[fresh[np.minimum(found, len(fresh) - 2) + 1] > fresh[np.maximum(found - WINDOW + 1, 0)]]
-            hashes.append(h[found].view(np.int64))
-            at.append(found)
-            ids.append(np.full(len(found), doc_id))
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, ids, at)], names=["gram", "doc_id", "at"])
+            seen = np.cumsum(np.r_[0, _fresh(starts, copies[rows])])
+            least = _sliding(np.minimum, h, WINDOW)
+            t = np.arange(len(least))
+            least[seen[t + 1] == seen[np.maximum(t - (GRAMS - WINDOW), 0)]] = 0
+            pad = np.zeros(WINDOW - 1, np.uint64)
+            at = np.flatnonzero((_sliding(np.maximum, np.r_[pad, least, pad], WINDOW) == h) & (h > 0))
+            doc = np.searchsorted(starts, at, side="right") - 1
+            gram, place, doc_id = h[at].view(np.int64), at - starts[doc], ids[rows][doc]
+            known = _surplus(gram)
+            gram = np.where(known, _mix((doc_id * 1_000_003 + place).astype(np.uint64)).view(np.int64), gram)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, known, doc_id, place.astype(np.int32))], names=["gram", "known", "doc_id", "at"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of anchors sorted by gram, those whose neighbour has the same gram; the first and last of a partition count as repeated."""
-    held = None
-    last_gram = None
+    """Of anchors sorted by gram, those whose neighbour has the same gram, and those known to repeat."""
+    held, last_gram = None, None
     for b in batches:
         if not b.num_rows:
             continue
-        rows = [b.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+        rows = [b.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
         if held is not None:
             rows = [np.r_[x, y] for x, y in zip(held, rows)]
         g = rows[0]
-        before = np.r_[last_gram is None or g[0] == last_gram, g[1:] == g[:-1]]
-        same = before[:-1] | (g[1:] == g[:-1])
+        before = np.r_[last_gram is not None and g[0] == last_gram, g[1:] == g[:-1]]
         if len(g) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][same]) for x in rows[1:]], names=["doc_id", "at"])
+            keep = before[:-1] | (g[1:] == g[:-1]) | rows[1][:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep]) for x in rows[2:]], names=["doc_id", "at"])
             last_gram = g[-2]
         held = [x[-1:] for x in rows]
-    if held is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[1:]], names=["doc_id", "at"])
+    if held is not None and (held[1][0] or held[0][0] == last_gram):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[2:]], names=["doc_id", "at"])
 
 
 def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, copies, anchors) to the stretches of bytes whose strings may repeat."""
-    for b in batches:
-        ids, starts, pieces = [], [], []
-        for doc_id, text, copies, at in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
-            raw = _bytes(text.as_py())
-            n = len(raw) - LENGTH + 1
-            live = _intervals([{"start": a - WINDOW + 1, "stop": a + 1} for a in at], n) & ~_intervals(copies, n)
+    """(doc_id, text, copies, anchors that repeat) to the stretches of bytes whose strings may repeat: every window's least gram does."""
+    for b in sliced(batches):
+        ids, copies, anchors = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("copies").to_pylist(), b.column("anchors")
+        for rows, raw, data, starts in _chunks(b):
+            h = grams(data)
+            if len(h) < GRAMS:
+                continue
+            part = anchors[rows]
+            at = np.concatenate([np.asarray(a.values) for a in part]) + np.repeat(starts[:-1], [len(a) for a in part])
+            again = np.unique(h[at])
+            least = _sliding(np.minimum, h, WINDOW)
+            found = again[np.minimum(np.searchsorted(again, least), len(again) - 1)] == least
+            every = _sliding(np.minimum, found.view(np.int8), GRAMS - WINDOW + 1) > 0
+            live = _fresh(starts, copies[rows])
+            live[: len(every)] &= every
+            live[len(every) :] = False
             edge = np.flatnonzero(np.diff(np.r_[False, live, False].astype(np.int8)))
-            for a, c in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                ids.append(doc_id)
-                starts.append(a)
-                pieces.append(raw[a : c + LENGTH - 1])
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(pieces, pa.binary())], names=["doc_id", "start", "piece"])
+            lo, hi = edge[::2], edge[1::2]
+            doc = np.searchsorted(starts, lo, side="right") - 1
+            first = lo - starts[doc]
+            pieces = [raw[d][a : a + n] for d, a, n in zip(doc.tolist(), first.tolist(), (hi - lo + LENGTH - 1).tolist())]
+            if pieces:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows][doc]), pa.array(first), pa.array(pieces, pa.binary())], names=["doc_id", "start", "piece"])
 
 
 def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces to sampled positions: their triple of symbols and the bytes that a name leaves out.
 
     ends packs the two bytes before the position, the four after the triple, and which of
-    the strings that start 2, 1 and 0 bytes before the position lie in the piece.
+    the strings that start 2, 1 and 0 bytes before the position lie in the piece. A row that equals an
+    earlier one of its batch in all this is known to repeat, says so in a further bit and travels under a key of its own.
     """
     for b in batches:
-        out: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for doc_id, start, piece in zip(*(b.column(k).to_pylist() for k in range(3))):
-            data = np.frombuffer(piece, np.uint8)
-            n = len(data) - LENGTH + 1  # strings
-            p = np.arange(n + 2)
-            p = p[(p + start) % 3 != 0]
-            padded = np.r_[np.zeros(2, np.uint8), data, np.zeros(4, np.uint8)].astype(np.int64)
-            h = _mix(grams(data, SYMBOL, 0x9E3779B97F4A7C15 | 1)).view(np.int64) >> 32
-            ends = np.zeros(len(p), np.int64)
-            for k in (0, 1, 98, 99, 100, 101):  # places in padded: the position is at 2
-                ends = ends << 8 | padded[p + k]
-            for back in (2, 1, 0):
-                ends = ends << 1 | ((p - back >= 0) & (p - back < n))
-            for x, y in zip(out, (h[p], h[p + SYMBOL], h[p + 2 * SYMBOL], ends, np.full(len(p), doc_id), p + start)):
-                x.append(y)
-        if out[0]:
-            names = ["k1", "k2", "k3", "ends", "doc_id", "at"]
-            cols = [pa.array(np.concatenate(x).astype(np.int32) if k < 3 else np.concatenate(x)) for k, x in enumerate(out)]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-
+        if not b.num_rows:
+            continue
+        ids, first, pieces = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_pylist()
+        data = np.frombuffer(b"\0\0" + b"".join(pieces) + b"\0" * 6, np.uint8)
+        lens = np.array([len(p) for p in pieces])
+        places = lens - LENGTH + 3  # positions that a string of the piece can reach
+        which = np.repeat(np.arange(len(lens)), places)
+        p = np.arange(len(which)) - np.repeat(np.cumsum(places) - places, places)
+        base = 2 + np.cumsum(lens) - lens
+        sampled = (p + first[which]) % 3 != 0
+        which, p = which[sampled], p[sampled]
+        x = base[which] + p
+        h = (_mix(grams(data, SYMBOL, 0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        wide = data.astype(np.int64)
+        ends = np.zeros(len(p), np.int64)
+        for k in (-2, -1, SPAN, SPAN + 1, SPAN + 2, SPAN + 3):
+            ends = ends << 8 | wide[np.minimum(x + k, len(data) - 1)]
+        for back in (2, 1, 0):
+            ends = ends << 1 | ((p >= back) & (p - back < lens[which] - LENGTH + 1))
+        doc, at = ids[which], p + first[which]
+        keys = [h[x], h[x + SYMBOL], h[x + 2 * SYMBOL]]
+        order = np.lexsort((at, doc, ends, *keys[::-1]))
+        cols = [c[order] for c in (*keys, ends, doc, at)]
+        back = np.argsort(order)  # in the order of the text, ids and places take few bytes in a shuffle
+        known = np.r_[False, np.all([c[1:] == c[:-1] for c in cols[:4]], axis=0) & ((cols[4][1:] != cols[4][:-1]) | (cols[5][1:] != cols[5][:-1]))]
+        apart = _mix((cols[4] * 1_000_003 + cols[5]).astype(np.uint64))
+        for k in range(3):
+            cols[k] = np.where(known, (apart >> np.uint64(20 * k)).astype(np.uint32).view(np.int32), cols[k])
+        cols[3] = cols[3] | known.astype(np.int64) << KNOWN_BIT
+        cols = [c[back] for c in cols]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols[:5], cols[5].astype(np.int32))], names=["k1", "k2", "k3", "ends", "doc_id", "at"])
+
+
+KNOWN_BIT = 52
 #: By how many bytes the string starts before the sampled position: the bit that says it is there, and the out-lying bytes it covers.
 _KINDS = ((0, 0, 0x0000FFFFFFFF), (1, 1, 0x00FFFFFFFF00), (2, 2, 0xFFFFFFFF0000))
 
@@ -226,25 +283,29 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = np.cumsum(np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (k3[1:] != k3[:-1])])
         ids, places = [], []
         for back, bit, cover in _KINDS:
-            there = np.flatnonzero(ends >> bit & 1)
+            told = (ends >> KNOWN_BIT & 1).astype(bool)
+            there = np.flatnonzero((ends >> bit & 1).astype(bool) & ~told)
             key = np.stack([name[there], (ends[there] >> 3) & cover])
             order = np.lexsort((there, key[1], key[0]))
             k = key[:, order]
             again = np.zeros(len(order), bool)
             again[1:] = (k[:, 1:] == k[:, :-1]).all(axis=0)
             hit = there[order[again]]
-            hit = hit[hit >= old]
+            hit = np.r_[hit[hit >= old], np.flatnonzero((ends >> bit & 1).astype(bool) & told)[:]]
             ids.append(doc[hit])
             places.append(at[hit] - back)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(places))], names=["doc_id", "at"])
-        tail = np.flatnonzero(name == name[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int32))], names=["doc_id", "at"])
+        tail = np.flatnonzero((name == name[-1]) & ~told)
+        if not len(tail):
+            held = None
+            continue
         _, first = np.unique(ends[tail], return_index=True)
         keep = tail[np.unique(np.r_[first, len(tail) - 1])]
         held = [x[keep] for x in rows]
 
 
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches):
         out = []
         for doc_id, text, copies, at in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
             raw = _bytes(text.as_py())
@@ -263,27 +324,27 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, spans (start, stop) removed, kept (the remaining bytes)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cuts = materialize(docs.mapInArrow(_segment_rows, "h1 bigint, h2 bigint, doc_id bigint, start bigint, stop bigint"), "segments")
-    firsts = cuts.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = cuts.join(firsts, ["h1", "h2"])
-    inside = again.where("doc_id = first_doc").groupBy("h1", "h2").agg(F.min("start").alias("first_start"))
-    again = again.join(inside, ["h1", "h2"]).where((F.col("doc_id") > F.col("first_doc")) | (F.col("start") > F.col("first_start")))
+    cuts = materialize(docs.mapInArrow(_segment_rows, "h1 bigint, h2 bigint, doc_id bigint, start int, stop int, own boolean"), "segments")
+    once = cuts.where("NOT own")
+    firsts = once.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
+    again = once.join(firsts.hint("shuffle_hash"), ["h1", "h2"]).where("doc_id > first_doc").select("doc_id", "start", "stop")
+    again = again.union(cuts.where("own").select("doc_id", "start", "stop"))
     copies = materialize(again.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("copies")), "copies")
     drop(cuts)
     copies_of = copies.hint("shuffle_hash")
 
     known = docs.join(copies_of, "doc_id", "left")
-    grams_at = known.mapInArrow(_anchor_rows, "gram bigint, doc_id bigint, at bigint")
-    grams_at = grams_at.repartitionByRange(F.col("gram"), F.col("doc_id"), F.col("at")).sortWithinPartitions("gram", "doc_id", "at")
-    wanted = grams_at.mapInArrow(_repeated, "doc_id bigint, at bigint").groupBy("doc_id").agg(F.collect_list("at").alias("anchors"))
+    anchored = known.mapInArrow(_anchor_rows, "gram bigint, known boolean, doc_id bigint, at int")
+    anchored = anchored.repartition("gram").sortWithinPartitions("gram")
+    wanted = anchored.mapInArrow(_repeated, "doc_id bigint, at int").groupBy("doc_id").agg(F.collect_list("at").alias("anchors"))
     wanted = materialize(wanted, "anchors")
     pieces = docs.join(wanted.hint("shuffle_hash"), "doc_id").join(copies_of, "doc_id", "left").select("doc_id", "text", "copies", "anchors")
     pieces = materialize(pieces.mapInArrow(_piece_rows, "doc_id bigint, start bigint, piece binary"), "pieces")
     drop(wanted)
 
-    triples = pieces.mapInArrow(_triples, "k1 int, k2 int, k3 int, ends bigint, doc_id bigint, at bigint")
-    triples = triples.repartitionByRange("k1", "k2", "k3").sortWithinPartitions("k1", "k2", "k3", "doc_id", "at")
-    later = triples.mapInArrow(_later, "doc_id bigint, at bigint").groupBy("doc_id").agg(F.collect_set("at").alias("later"))
+    triples = pieces.mapInArrow(_triples, "k1 int, k2 int, k3 int, ends bigint, doc_id bigint, at int")
+    triples = triples.repartition("k1", "k2", "k3").sortWithinPartitions("k1", "k2", "k3", "doc_id", "at")
+    later = triples.mapInArrow(_later, "doc_id bigint, at int").groupBy("doc_id").agg(F.collect_list("at").alias("later"))
     later = materialize(later, "later")
     drop(pieces)
     done = docs.join(copies_of, "doc_id", "left").join(later.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "copies", "later")
