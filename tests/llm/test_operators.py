@@ -349,3 +349,17 @@ def test_suffix_dedup(spark, docs, nothing):
     edge = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix_dedup.remove_repeats(docs).collect()}
     assert edge == removed({e[0]: e[1] for e in EDGES})
     assert suffix_dedup.remove_repeats(nothing).count() == 0
+
+
+def test_rows_without_an_id(spark):
+    t = spark.createDataFrame([(None, SENTENCES * 2, "en", None, 1), (None, None, None, None, None), (7, SENTENCES * 2, "en", "a", 1), (8, SENTENCES * 2, "en", "a", 1)], SCHEMA)
+    labels = spark.createDataFrame([(None, 1), (7, 0), (8, 1)], "doc_id bigint, quality int")
+    for df in (
+        quality_rules.quality_rules(t), simhash.near_duplicates(t), quality_classifier.classify_quality(t, labels), mixing.mix_sources(t), language_id.identify(language_id.of_documents(t), t.select("lang", "text")),
+        sentence_spans.remove_repeated_spans(t), suffix_dedup.remove_repeats(t),
+    ):
+        assert df.count() == 4
+    assert {r.doc_id for r in packing.pack_documents(t, tokenizer_file("word_bpe_49k.json")).collect()} == {None, 7, 8}
+    kept = {r.doc_id: len(r.kept) for r in suffix_dedup.remove_repeats(t).where("n_bytes > 0").collect()}
+    assert kept[None] == 2 * len(SENTENCES) and kept[8] == 0 and kept[7] == 2 * len(SENTENCES)
+    assert {r.doc_id for r in simhash.keep_first(t).collect()} >= {7} and simhash.keep_first(t).where("doc_id = 8").count() == 0

@@ -10,7 +10,7 @@ aggregation; a row's own vote is taken out of its host's and domain's counts.
 A row is kept when it has letters and the posterior of its best language reaches
 the threshold. Null and empty texts have no text evidence and are not kept;
 null or unknown declarations, hosts and suffixes are evidence of nothing but their
-own kind. Repeated rows each count. Extra columns are ignored.
+own kind. Repeated rows and rows without an id each count. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ keys fall into buckets of about ``BUCKET_ROWS`` rows, whose sums are added up pe
 source, so no task holds the rows of a large source.
 
 Null and empty texts have size 0 and are never taken; a null source is a source
-of its own. Repeated rows count each on its own. Extra columns are ignored.
+of its own. Repeated rows, and rows without an id, count each on its own. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ Packing runs inside each input partition: nothing is shuffled, a partition holds
 at most ``BLOCK`` waiting examples, and sequence ids carry the partition number.
 A lost executor repeats its partitions with the same result.
 
-Null and empty texts give the end id alone. Repeated rows are packed each on its
+Null and empty texts give the end id alone. Repeated rows, and rows without an id, are packed each on its
 own. Extra columns are ignored.
 """
 

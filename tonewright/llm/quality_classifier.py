@@ -6,7 +6,7 @@ documents, and the shards' weights are averaged. Every text is then scored whole
 as a sparse dot product with a model of fixed size.
 
 Null and empty texts get the score of the bias alone. Repeated rows are scored
-alike; labels that are null are not learnt from; extra columns are ignored.
+alike; rows without an id are scored and never learnt from; labels that are null are not learnt from; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ documents; a document is kept when its posterior of being good reaches the
 threshold. No rule alone removes a document, except the two hard base limits.
 
 Null and empty texts have no words and fail the base limits; repeated rows are
-scored alike, each on its own; extra columns are ignored.
+scored alike, each on its own, with or without an id; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ The aggregation combines before its shuffle, so a run that a third of all
 documents hold costs one row per task; the join back is one Spark can split.
 
 Null texts stay null, empty ones empty, with no sentences. Rows that share a doc_id
-are one document's and are treated alike. Extra columns pass through ``clean_documents``.
+are one document's and are treated alike; rows without an id keep all. Extra columns pass through ``clean_documents``.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ bound prunes well.
 4. A shard reports a spanning set of its links; components are found on the distributed links.
 
 Null and empty texts have fingerprint zero and are linked like any other.
-Repeated rows share their component. Extra columns are ignored.
+Repeated rows share their component. Rows without an id are linked too, but lend no component their id. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ Two exact reductions come first, so that text that cannot matter is not sorted:
   gram occurs once among the remaining strings cannot repeat.
 
 Order is (doc_id, start). Null texts are empty. Texts under 100 bytes keep all.
-Repeated rows (same id and text) are one document and get the same result. Extra columns are ignored.
+Repeated rows (same id and text) are one document and get the same result. Rows without an id have no place in the order:
+they keep all and take nothing from others. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -324,7 +325,8 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, spans (start, stop) removed, kept (the remaining bytes)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cuts = materialize(docs.mapInArrow(_segment_rows, "h1 bigint, h2 bigint, doc_id bigint, start int, stop int, own boolean"), "segments")
+    named = docs.where("doc_id IS NOT NULL")
+    cuts = materialize(named.mapInArrow(_segment_rows, "h1 bigint, h2 bigint, doc_id bigint, start int, stop int, own boolean"), "segments")
     once = cuts.where("NOT own")
     firsts = once.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
     again = once.join(firsts.hint("shuffle_hash"), ["h1", "h2"]).where("doc_id > first_doc").select("doc_id", "start", "stop")
@@ -333,12 +335,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     drop(cuts)
     copies_of = copies.hint("shuffle_hash")
 
-    known = docs.join(copies_of, "doc_id", "left")
+    known = named.join(copies_of, "doc_id", "left")
     anchored = known.mapInArrow(_anchor_rows, "gram bigint, known boolean, doc_id bigint, at int")
     anchored = anchored.repartition("gram").sortWithinPartitions("gram")
     wanted = anchored.mapInArrow(_repeated, "doc_id bigint, at int").groupBy("doc_id").agg(F.collect_list("at").alias("anchors"))
     wanted = materialize(wanted, "anchors")
-    pieces = docs.join(wanted.hint("shuffle_hash"), "doc_id").join(copies_of, "doc_id", "left").select("doc_id", "text", "copies", "anchors")
+    pieces = named.join(wanted.hint("shuffle_hash"), "doc_id").join(copies_of, "doc_id", "left").select("doc_id", "text", "copies", "anchors")
     pieces = materialize(pieces.mapInArrow(_piece_rows, "doc_id bigint, start bigint, piece binary"), "pieces")
     drop(wanted)
 
