@@ -42,7 +42,7 @@ def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.col("w")
     t = words(spark, sf_dir).where(H.is_valid(w))
-    return t.withColumns({"layer": H.layer(w), "rate": H.sample_rate(w), "br": H.bitrate(w), "spf": H.samples(w), "len": H.frame_length(w), "ch": H.channels(w)})
+    return t.withColumns({"place": F.struct("l_linenumber", "l_partkey", "l_suppkey"), "layer": H.layer(w), "rate": H.sample_rate(w), "br": H.bitrate(w), "spf": H.samples(w), "len": H.frame_length(w), "ch": H.channels(w)})
 
 
 @query(
@@ -69,30 +69,30 @@ def header_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""{FIELDS} , k AS (SELECT *, vc * 32 + lc * 8 + ri * 2 + CASE WHEN bi = 0 THEN 1 ELSE 0 END AS key, CASE WHEN md = 3 THEN 1 ELSE 2 END AS ch FROM frames),
-    l AS (SELECT *, lag(key) OVER o AS last_key, lag(ch) OVER o AS last_ch, lead(key) OVER o AS next_key FROM k WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber))
+    l AS (SELECT *, lag(key) OVER o AS last_key, lag(ch) OVER o AS last_ch, lead(key) OVER o AS next_key FROM k WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))
     SELECT l_orderkey, l_linenumber, coalesce(key = last_key, false) AS follows, coalesce(key = next_key, false) AS confirmed,
-      CAST(sum(CASE WHEN ch <> last_ch THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM l"""
+      CAST(sum(CASE WHEN ch <> last_ch THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM l"""
 )
 def stream_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which headers may follow each other, and the segments between channel changes."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    order = Window.partitionBy("l_orderkey").orderBy("place")
     t = frames(spark, sf_dir).withColumn("key", H.stream_key(F.col("w")))
     t = t.withColumn("follows", F.coalesce(F.col("key") == F.lag("key").over(order), F.lit(False))).withColumn("confirmed", F.coalesce(F.col("key") == F.lead("key").over(order), F.lit(False)))
-    return streams.channel_segments(t, ["l_orderkey"], "l_linenumber", "ch").select("l_orderkey", "l_linenumber", "follows", "confirmed", "segment")
+    return streams.channel_segments(t, ["l_orderkey"], "place", "ch").select("l_orderkey", "l_linenumber", "follows", "confirmed", "segment")
 
 
 @query(
     f"""{FIELDS} SELECT l_orderkey, l_linenumber, row_number() OVER o - 1 AS frame_no, CAST(coalesce(sum(len) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS position,
-    CAST(coalesce(sum(spf) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_sample FROM frames WHERE br > 0 WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber)"""
+    CAST(coalesce(sum(spf) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_sample FROM frames WHERE br > 0 WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)"""
 )
 def frame_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = streams.offsets(frames(spark, sf_dir).where("br > 0"), ["l_orderkey"], "l_linenumber", "len", "spf")
+    t = streams.offsets(frames(spark, sf_dir).where("br > 0"), ["l_orderkey"], "place", "len", "spf")
     return t.select("l_orderkey", "l_linenumber", "frame_no", "position", "first_sample")
 
 
 @query(
     f"""{FIELDS} , o AS (SELECT l_orderkey, l_linenumber, spf, l_orderkey % 1200 AS delay, l_orderkey % 700 AS tail, row_number() OVER w1 AS n, count(*) OVER (PARTITION BY l_orderkey) AS total,
-      CAST(coalesce(sum(spf) OVER (w1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(sum(spf) OVER (PARTITION BY l_orderkey) AS BIGINT) AS everything FROM frames WINDOW w1 AS (PARTITION BY l_orderkey ORDER BY l_linenumber)),
+      CAST(coalesce(sum(spf) OVER (w1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(sum(spf) OVER (PARTITION BY l_orderkey) AS BIGINT) AS everything FROM frames WINDOW w1 AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
     g AS (SELECT *, delay + 529 AS skip, greatest(everything - delay - tail, 0) AS length FROM o)
     SELECT l_orderkey, l_linenumber, CAST(skip AS BIGINT) AS skip, CAST(length AS BIGINT) AS length, CAST(greatest(least(skip, start + spf), start) - start AS BIGINT) AS keep_from,
       CAST(greatest(greatest(least(skip + length, start + spf), start) - start, greatest(least(skip, start + spf), start) - start) AS BIGINT) AS keep_to FROM g"""
@@ -100,32 +100,32 @@ def frame_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gapless_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which samples of each frame remain after the encoder's delay and padding are cut; delay and padding come from the order key."""
     t = frames(spark, sf_dir).withColumn("delay", F.col("l_orderkey") % 1200).withColumn("tail", F.col("l_orderkey") % 700)
-    t = streams.gapless(t, ["l_orderkey"], "l_linenumber", "spf", "delay", "tail")
+    t = streams.gapless(t, ["l_orderkey"], "place", "spf", "delay", "tail")
     return t.select("l_orderkey", "l_linenumber", "skip", "length", "keep_from", "keep_to")
 
 
 @query(
-    f"""{FIELDS} , p AS (SELECT l_orderkey, CAST(coalesce(sum(len) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS position,
-      row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS frame_no, count(*) OVER (PARTITION BY l_orderkey) AS n, CAST(sum(len) OVER (PARTITION BY l_orderkey) AS BIGINT) AS total FROM frames WHERE br > 0),
+    f"""{FIELDS} , p AS (SELECT l_orderkey, CAST(coalesce(sum(len) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS position,
+      row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS frame_no, count(*) OVER (PARTITION BY l_orderkey) AS n, CAST(sum(len) OVER (PARTITION BY l_orderkey) AS BIGINT) AS total FROM frames WHERE br > 0),
     i AS (SELECT unnest(range(100)) AS entry)
     SELECT l_orderkey, CAST(entry AS INTEGER) AS entry, CAST(least((position + 417) * 256 // (total + 417), 255) AS INTEGER) AS value FROM p JOIN i ON frame_no = entry * n // 100"""
 )
 def seek_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hundred seek points of each stream behind a tag frame of 417 bytes."""
-    return streams.seek_points(frames(spark, sf_dir).where("br > 0"), ["l_orderkey"], "l_linenumber", "len", 417).select("l_orderkey", "entry", "value")
+    return streams.seek_points(frames(spark, sf_dir).where("br > 0"), ["l_orderkey"], "place", "len", 417).select("l_orderkey", "entry", "value")
 
 
 @query(
     """WITH f AS (SELECT l_orderkey, l_linenumber, [32000, 40000, 48000, 56000, 64000, 80000, 96000, 112000, 128000, 160000, 192000, 224000, 256000, 320000][l_orderkey % 14 + 1] AS br, [44100, 48000, 32000][l_orderkey % 3 + 1] AS rate,
-      row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM lineitem)
+      row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem)
     SELECT l_orderkey, l_linenumber, CAST(n * (144 * br % rate) // rate - (n - 1) * (144 * br % rate) // rate AS INTEGER) AS padding, CAST(144 * br // rate + n * (144 * br % rate) // rate - (n - 1) * (144 * br % rate) // rate AS BIGINT) AS frame_length FROM f"""
 )
 def padding_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which frames of a constant-rate stream carry a padding slot: the accumulator in closed form."""
-    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("place"))
     t = t.withColumn("br", F.get(F.array(*(F.lit(1000 * k) for k in BITRATES_MPEG1[2][1:])), (F.col("l_orderkey") % 14).cast("int")))
     t = t.withColumn("rate", F.get(F.array(*map(F.lit, SAMPLE_RATES)), (F.col("l_orderkey") % 3).cast("int")))
-    return streams.padding(t, ["l_orderkey"], "l_linenumber", F.lit(1152), F.col("br"), F.col("rate")).select("l_orderkey", "l_linenumber", "padding", "frame_length")
+    return streams.padding(t, ["l_orderkey"], "place", F.lit(1152), F.col("br"), F.col("rate")).select("l_orderkey", "l_linenumber", "padding", "frame_length")
 
 
 @query(
