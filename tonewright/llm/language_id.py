@@ -148,6 +148,7 @@ def fuse(scored: DataFrame) -> DataFrame:
         says = lambda name: F.log((F.col(f"{name}_{x}") - mine[x] + 1.0) / (n + len(LANGUAGES)))  # noqa: E731, B023
         logs[x] = F.col(f"t_{x}") + F.log(F.greatest(prior, F.lit(1e-9))) + says("c") + says("s")
     t = t.select("doc_id", "declared", "host", "suffix", "letters", "best", *(logs[x].alias(f"p_{x}") for x in LANGUAGES))
+    t = materialize(t, "fused")  # in one expression with what follows, the generated code outgrows the compiler
     most = F.greatest(*(F.col(f"p_{x}") for x in LANGUAGES))
     mass = sum((F.exp(F.col(f"p_{x}") - most) for x in LANGUAGES), F.lit(0.0))
     language = F.coalesce(*(F.when(F.col(f"p_{x}") >= most, x) for x in LANGUAGES))
