@@ -30,7 +30,7 @@ SEQUENCE = 4096
 END_ID = 2
 MAX_SEGMENTS = 512
 BLOCK = 512
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 
 class WordEncoder:
@@ -45,11 +45,38 @@ class WordEncoder:
         self.mark = self.special[0]
         self.mark_id = self.tokenizer.token_to_id(self.mark)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.stops = {b: np.array(self.tokenizer.encode(b.decode(), add_special_tokens=False).ids, "<u4").tobytes() for b in (b",", b".")}
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Make every word known: from the older half of the cache, from its stem, or by the tokenizer.
+
+        A comma or full stop behind a letter is a word of its own to the tokenizer.
+        """
+        if len(self.known) + len(words) > CACHE_WORDS // 2:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        stems, fresh = [], set()
+        for w in words:
+            if w in known:
+                continue
+            if w in older:
+                known[w] = older[w]
+            elif w[-1:] in self.stops and w[-2:-1].isalpha():
+                stems.append(w)
+                if w[:-1] not in known:
+                    if w[:-1] in older:
+                        known[w[:-1]] = older[w[:-1]]
+                    else:
+                        fresh.add(w[:-1])
+            else:
+                fresh.add(w)
+        self._encode(list(fresh))
+        for w in stems:
+            known[w] = known[w[:-1]] + self.stops[w[-1:]]
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode new words a few hundred at a time, one special token between them."""
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
+    def _encode(self, words: list[bytes]) -> None:
+        """A few hundred words at a time, one special token between them."""
         texts = [w.decode() for w in words]
         plain = [t for t in texts if not any(x in t for x in self.special)]
         for t in set(texts).difference(plain):
@@ -65,15 +92,12 @@ class WordEncoder:
     def __call__(self, text: str | None) -> np.ndarray:
         data = (text or "").encode("utf-8", "replace")
         words = data.split() if b"<|" in data else data.lower().split()  # special tokens are told by their case
-        known = self.known
         try:
+            known = self.known
             found = [known[w] for w in words]
         except KeyError:
-            every = set(words)
-            new = [w for w in every if w not in known]
-            if len(known) + len(new) > CACHE_WORDS:
-                new = list(every)
-            self._learn(new)
+            self._learn(set(words))
+            known = self.known
             found = [known[w] for w in words]
         found.append(_END)
         return np.frombuffer(b"".join(found), "<u4")
