@@ -276,6 +276,40 @@ def test_sentence_spans(spark, docs, nothing):
     assert sentence_spans.remove_repeated_spans(nothing).count() == 0
 
 
+def surviving_stretches(texts, kept, n=50):
+    """Stretches of n words or more that an earlier document holds and of which a document keeps n words in a row; and all such stretches."""
+    seen, survive, stretches = set(), 0, 0
+    for i, t in sorted(texts.items()):
+        windows = [tuple(w) for w in zip(*(WORD.findall(t or "")[k:] for k in range(n)))]
+        hit = np.flatnonzero([w in seen for w in windows])
+        stretches += len(hit) and 1 + int((np.diff(hit) > 1).sum())
+        left = set(zip(*(WORD.findall(kept[i] or "")[k:] for k in range(n))))
+        survive += sum(windows[k] in left for k in hit)
+        seen.update(windows)
+    return survive, stretches
+
+
+def test_no_stretch_of_fifty_words_survives(spark):
+    texts = texts_of()
+    got = {r.doc_id: r.text for r in queries()["op8_sentence_spans"](spark, SF).collect()}
+    survive, stretches = surviving_stretches(texts, got)
+    assert stretches > 10 and survive == 0
+
+
+def test_passages_of_any_borders(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [
+        (1, f"An opening: {long} and the end."), (2, f"Other {long} joined to more words. And a last sentence."), (3, long), (4, "a short text of one sentence"),
+        (5, "a short  text of one sentence"), (6, "a short text of one sentence"), (7, "word"), (8, "word"), (9, " ".join(f"w{k}" for k in range(49))), (None, long), (10, "x " + long + " y " + long), (11, f"one two\t{long.upper()}\nthree"),
+        (12, "of " * 200), (13, None),
+    ]
+    got = {r.doc_id: (r.text, r.n_removed) for r in sentence_spans.remove_repeated_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    texts = dict(rows)
+    assert got[2] == ("Other joined to more words. And a last sentence.", 1) and got[3] == ("", 1) and got[6] == ("", 1)
+    assert got[10] == ("x y ", 1) and got[12][0].split() == ["of"] * 50
+    assert all(got[k] == (texts[k], 0) for k in (1, 4, 5, 7, 8, 9, 11, 13, None))
+
+
 def test_packing(spark, docs, nothing):
     from tokenizers import Tokenizer
 

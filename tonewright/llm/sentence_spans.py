@@ -1,22 +1,28 @@
-"""Substring dedup by sliding sentence spans.
+"""Substring dedup by sliding sentence spans and word windows.
 
-Every run of ``SPAN`` consecutive sentences is hashed (128 bits); the runs of the
-whole corpus meet in one aggregation, and in each document but the one with the smallest id
-that holds a run, the run's sentences are removed. Within a document the first
-occurrence stays. A sentence ends after ``.``, ``!`` or ``?`` before white space, or at a line
-break; outer white space does not count in a comparison.
+Two units are hashed (128 bits). Every run of ``SPAN`` consecutive sentences, or the whole text
+where it has fewer sentences (and ``SPAN`` words at least); and every window of ``WORDS`` words, whatever
+sentences it crosses. In each document but the one with the smallest id that holds a unit, what the
+unit covers is removed. Within a document the first occurrence stays. A sentence ends after ``.``,
+``!`` or ``?`` before white space, or at a line break; white space does not count in a comparison of
+words, outer white space not in one of sentences.
 
-The aggregation combines before its shuffle, so a run that a third of all
-documents hold costs one row per task; the join back is one Spark can split.
+Word windows meet in two steps, both exact. Of the runs of ``ANCHOR`` words in a window the one of least hash is the
+window's anchor, so equal windows have equal anchors and a text has few of them; only windows whose anchor
+another document holds are hashed and compared themselves.
+
+The aggregations combine before their shuffle, so a unit that a third of all
+documents hold costs one row per task; the joins back are ones Spark can split.
 
 Null texts stay null, empty ones empty, with no sentences. Rows that share a doc_id
-are one document's and are treated alike; rows without an id keep all. Extra columns pass through ``clean_documents``.
+are one document's and are treated alike; rows without an id keep all but what repeats within them. Extra columns pass through ``clean_documents``.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +31,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import drop, materialize, sliced
 
 SPAN = 3
+WORDS = 50
+ANCHOR = 25
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BREAK = re.compile(r"[.!?]+\s+|\n\s*")
 
 
@@ -39,56 +48,152 @@ def sentences(text: str | None) -> list[str]:
 
 
 def span_hashes(parts: list[str], span: int = SPAN) -> list[bytes]:
-    """A 128-bit hash of each run of ``span`` sentences."""
+    """A 128-bit hash of each run of ``span`` sentences; of all of them where they are fewer but have ``span`` words."""
     from xxhash import xxh3_128_digest as digest
 
+    if len(parts) < span and sum(len(_WORD.findall(p)) for p in parts) < span:
+        return []
     each = [digest(p.strip().encode("utf-8", "surrogatepass")) for p in parts]
-    return [digest(b"".join(each[k : k + span])) for k in range(len(each) - span + 1)]
+    return [digest(b"".join(each[k : k + span])) for k in range(max(1, len(each) - span + 1))]
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    from xxhash import xxh3_64_intdigest as digest
+
+    return np.array(list(map(digest, (text or "").encode("utf-8", "surrogatepass").split())), np.uint64)
+
+
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+@lru_cache(maxsize=8)
+def _powers(base: int, bits: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full((1 << bits) - 1, base, np.uint64)])
+
+
+def rolling(words: np.ndarray, n: int, base: int = _BASES[0]) -> np.ndarray:
+    """A hash of each run of ``n`` word hashes."""
+    if len(words) < n:
+        return np.zeros(0, np.uint64)
+    bits = max(10, len(words).bit_length())
+    up, down = _powers(base, bits), _powers(pow(base, -1, 1 << 64), bits)
+    total = np.r_[np.uint64(0), np.cumsum(words * up[: len(words)])]
+    h = (total[n:] - total[:-n]) * down[: len(words) - n + 1]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``ANCHOR`` words, and for each window of ``WORDS`` which of them is its anchor."""
+    h = rolling(words, ANCHOR)
+    if len(words) < WORDS:
+        return h, np.zeros(0, np.int64)
+    return h, np.lib.stride_tricks.sliding_window_view(h, WORDS - ANCHOR + 1).argmin(axis=1) + np.arange(len(words) - WORDS + 1)
+
+
+def _unit_batch(h1: list[np.ndarray], h2: list[np.ndarray], ids: list, anchor: list[bool]) -> pa.RecordBatch:
+    n = [len(h) for h in h1]
+    cols = [np.concatenate(h1).view(np.int64), np.concatenate(h2).view(np.int64), np.repeat(np.array(ids, np.int64), n), np.repeat(np.array(anchor, bool), n)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h1", "h2", "doc_id", "anchor"])
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["h1", "h2", "doc_id", "at"]
+    """Sentence runs and anchors of (doc_id, text), each once per text."""
     for b in sliced(batches):
-        ids, at, hashes = [], [], []
+        h1, h2, ids, kinds = [], [], [], []
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-            first: dict[bytes, int] = {}
-            for k, h in enumerate(span_hashes(sentences(text.as_py()))):
-                first.setdefault(h, k)
-            hashes += first
-            at += first.values()
-            ids += [doc_id] * len(first)
-        if hashes:
-            pair = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(ids, pa.int64()), pa.array(at, pa.int32())], names=names)
+            text = text.as_py()
+            runs = np.frombuffer(b"".join(dict.fromkeys(span_hashes(sentences(text)))), np.uint64).reshape(-1, 2)
+            words = word_hashes(text)
+            h, chosen = anchors(words)
+            at = np.unique(chosen)
+            _, one = np.unique(h[at], return_index=True)
+            h1 += [runs[:, 0], h[at[one]]]
+            h2 += [runs[:, 1], rolling(words, ANCHOR, _BASES[1])[at[one]]]
+            ids += [doc_id] * 2
+            kinds += [False, True]
+        if h1:
+            yield _unit_batch(h1, h2, ids, kinds)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word windows of (doc_id, text, anchors held by others too) with such an anchor, each once per text."""
+    for b in sliced(batches):
+        h1, h2 = [], []
+        for text, shared in zip(b.column(1), b.column(2)):
+            words = word_hashes(text.as_py())
+            h, chosen = anchors(words)
+            at = np.flatnonzero(np.isin(h, np.asarray(shared.values, np.int64).view(np.uint64))[chosen])
+            w = rolling(words, WORDS)[at]
+            _, one = np.unique(w, return_index=True)
+            h1.append(w[one])
+            h2.append(rolling(words, WORDS, _BASES[1])[at[one]])
+        if h1:
+            yield _unit_batch(h1, h2, b.column(0).to_pylist(), [False] * len(h1))
+
+
+_UNIT = "h1 bigint, h2 bigint, doc_id bigint, anchor boolean"
+
+
+def _shared(units: DataFrame) -> DataFrame:
+    """The units that more than one document holds, with first_doc."""
+    firsts = units.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
+    return units.join(firsts, ["h1", "h2"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, found: where in the document the non-first runs start (first occurrence within it)."""
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    spans = materialize(rows.mapInArrow(_spans, "h1 bigint, h2 bigint, doc_id bigint, at int"), "spans")
-    firsts = spans.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
-    hits = spans.join(firsts, ["h1", "h2"]).where("doc_id > first_doc")
-    found = materialize(hits.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("found")), "repeats")
-    drop(spans)
+    """doc_id, found: the first halves of the hashes of the runs and windows that an earlier document holds."""
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("doc_id is not null")
+    units = materialize(rows.mapInArrow(_spans, _UNIT), "spans")
+    hits = _shared(units).where("anchor or doc_id > first_doc").groupBy("doc_id")
+    hits = materialize(hits.agg(*(F.collect_set(F.when(F.col("anchor") == a, F.col("h1"))).alias(n) for a, n in ((True, "anchors"), (False, "found")))), "hits")
+    drop(units)
+    again = hits.where(F.size("anchors") > 0).select(F.col("doc_id").alias("_id"), "anchors").hint("shuffle_hash")
+    again = rows.join(again, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "anchors")
+    units = materialize(again.mapInArrow(_windows, _UNIT), "windows")
+    more = _shared(units).where("doc_id > first_doc").select("doc_id", "h1")
+    found = more.union(hits.select("doc_id", F.explode("found"))).groupBy("doc_id").agg(F.collect_set("h1").alias("found"))
+    found = materialize(found, "repeats")
+    drop(units, hits)
     return found
 
 
-def strip(text: str | None, found: list[int] | None, span: int = SPAN) -> tuple[str | None, int, int]:
-    """The text without the sentences of non-first runs; its sentences, and those removed."""
+def _repeats(h: np.ndarray, found: np.ndarray, apart: int) -> np.ndarray:
+    """Where a unit stands that is among ``found``, or that stands ``apart`` or more before in the text."""
+    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    at = np.arange(len(h))
+    return np.flatnonzero((at - first[which] >= apart) | np.isin(h, found)) if len(h) else at
+
+
+def _covered(n: int, at: np.ndarray, width: int) -> np.ndarray:
+    edges = np.zeros(n + 1, np.int64)
+    edges[at] += 1
+    np.subtract.at(edges, np.minimum(at + width, n), 1)
+    return np.cumsum(edges[:-1]) > 0
+
+
+def strip(text: str | None, found: np.ndarray, span: int = SPAN) -> tuple[str | None, int, int]:
+    """The text without what non-first runs and windows cover; its sentences, and those that lost words."""
     parts = sentences(text)
-    cover = np.zeros(len(parts), bool)
-    wanted, seen = set(found or ()), {}
-    for k, h in enumerate(span_hashes(parts, span)):
-        start = seen.setdefault(h, k)
-        if start < k or start in wanted:
-            cover[k : k + span] = True
-    gone = int(cover.sum())
-    return ("".join(p for p, c in zip(parts, cover) if not c) if gone else text), len(parts), gone
+    runs = np.frombuffer(b"".join(span_hashes(parts, span)), np.uint64)[::2]
+    cover = _covered(len(parts), _repeats(runs, found, 1), span)
+    words = word_hashes(text)
+    again = _repeats(rolling(words, WORDS), found, WORDS)
+    if not len(again):
+        gone = int(cover.sum())
+        return ("".join(p for p, c in zip(parts, cover) if not c) if gone else text), len(parts), gone
+    starts = np.array([m.start() for m in _WORD.finditer(text)] + [len(text)])
+    lost = _covered(len(words), again, WORDS)
+    out, ends = np.repeat(cover, [len(p) for p in parts]), np.cumsum([len(p) for p in parts])
+    out[starts[0] :] |= np.repeat(lost, np.diff(starts))
+    cover[np.unique(np.searchsorted(ends, starts[:-1][lost], side="right"))] = True
+    keep = np.diff(np.r_[False, ~out, False].astype(np.int8))
+    return "".join(text[a:b] for a, b in zip(np.flatnonzero(keep == 1), np.flatnonzero(keep == -1))), len(parts), int(cover.sum())
 
 
 def _strip_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in sliced(batches):
-        rows = [strip(t.as_py(), f.as_py()) for t, f in zip(b.column("_text"), b.column("_found"))]
+        rows = [strip(t.as_py(), np.asarray(f.values if f.is_valid else [], np.int64).view(np.uint64)) for t, f in zip(b.column("_text"), b.column("_found"))]
         new = [pa.array(list(c), k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64()))] if rows else [pa.array([], k) for k in (pa.string(), pa.int64(), pa.int64())]
         kept = [k for k in range(b.num_columns) if b.schema.names[k] not in ("_text", "_found")]
         yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), *new], names=[*(b.schema.names[k] for k in kept), "_kept", "_sentences", "_removed"])
@@ -110,7 +215,7 @@ def remove_repeated_spans(docs: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
-    """The documents with repeated spans taken out of text; those of which nothing is left go."""
+    """The documents with repeated spans and windows taken out of text; those of which nothing is left go."""
     others = [c for c in docs.columns if c != "text"]
     done = _stripped(docs, others).where("_removed = 0 or trim(_kept) <> ''").withColumnRenamed("_kept", "text")
     if "n_chars" in docs.columns:
