@@ -397,3 +397,14 @@ def test_rows_without_an_id(spark):
     kept = {r.doc_id: len(r.kept) for r in suffix_dedup.remove_repeats(t).where("n_bytes > 0").collect()}
     assert kept[None] == 2 * len(SENTENCES) and kept[8] == 0 and kept[7] == 2 * len(SENTENCES)
     assert {r.doc_id for r in simhash.keep_first(t).collect()} >= {7} and simhash.keep_first(t).where("doc_id = 8").count() == 0
+
+
+def test_verdicts_and_copies_are_a_row_s_own(spark):
+    said = "The quick brown fox and all the others went over the hill to see what was there."
+    rows = [(None, "", "en", "a", 0), (None, said, "en", "a", 1), (None, said + " More of it.", "en", "b", 1), (5, None, "en", "a", 0), (5, said + " Again and again.", "en", "a", 1)]
+    kept = language_id.accept_documents(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r.text for r in kept) == sorted(r[1] for r in rows if r[1])
+    rows = [(None if k % 2 else 3, "word " * (k + 1), "en", "abc"[k % 3], 1) for k in range(40)] + [(None, "", "en", "a", 0), (3, None, "en", "b", 0)]
+    t = spark.createDataFrame(rows, SCHEMA)
+    want = {r["size"]: r.copies for r in mixing.mix_sources(t).collect() if r.copies}
+    assert len(want) > 20 and Counter(len(r.text.split()) for r in mixing.repeat_documents(t).collect()) == want

@@ -183,6 +183,9 @@ def identify(rows: DataFrame, training: DataFrame) -> DataFrame:
 
 def accept_documents(docs: DataFrame) -> DataFrame:
     """The documents whose language is told with enough certainty."""
-    found = identify(of_documents(docs), docs.select("lang", "text"))
+    rows = of_documents(docs)
+    # a verdict follows from the evidence alone, so it goes by a hash of that; ids may be null or shared
+    key = lambda names: F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names))
+    found = identify(rows.withColumn("doc_id", key(("text", "declared", "host"))), docs.select("lang", "text"))
     rejected = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias("_rejected")).distinct(), "rejected")
-    return docs.join(rejected, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_rejected")), "left_anti")
+    return docs.join(rejected, key(("text", "lang", "source")) == F.col("_rejected"), "left_anti")

@@ -70,11 +70,16 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 def mix_sources(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, source, size, weight, source_size, target, taken (words), copies (whole copies, the cut one rounded)."""
+    return _mixed(docs, [])
+
+
+def _mixed(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """``mix_sources`` with columns of docs carried along."""
     text = F.col("text").cast("string")
     doc_id = F.col("doc_id").cast("bigint")
     rows = docs.select(
         doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"),
-        quality_weight(text).alias("weight"), F.xxhash64(text).alias("tie"), uniform(doc_id).alias("u"),
+        quality_weight(text).alias("weight"), F.xxhash64(text).alias("tie"), uniform(doc_id).alias("u"), *carried,
     )
     rows = materialize(rows.withColumn("key", -F.log("u") / F.col("weight")).drop("u"), "mix")
     rows = rows.withColumn("sk", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
@@ -101,15 +106,15 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     return placed.select(
         "doc_id", "source", "size", "weight", "source_size", "target",
         (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"),
-        (F.col("epochs") + F.when((F.col("size") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)).alias("copies"),
+        (F.col("epochs") + F.when((F.col("size") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)).alias("copies"), *carried,
     )
 
 
 def repeat_documents(docs: DataFrame) -> DataFrame:
-    """The documents, each as many times as its ``copies``; rows that share a doc_id share the first one's."""
-    counts = mix_sources(docs).groupBy("doc_id").agg(F.min("copies").cast("int").alias("_copies")).where("_copies > 0")
-    counts = counts.withColumnRenamed("doc_id", "_id").hint("shuffle_hash")
-    taken = docs.join(counts, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")))
+    """The documents, each row as many times as its own ``copies``, whether or not ids are null or shared."""
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    counts = _mixed(rows, ["_row"]).select("_row", F.col("copies").cast("int").alias("_copies")).where("_copies > 0")
+    taken = rows.join(counts.hint("shuffle_hash"), "_row")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
