@@ -184,6 +184,19 @@ def test_chroma_finds_excerpts_and_copies(spark):
     assert chroma.match_media(chroma.fingerprint_media(media.limit(0))).count() == 0
 
 
+def test_chroma_judges_every_offset_with_a_meeting(spark):
+    r = np.random.default_rng(4)
+    noise = sum(np.uint32(1) << r.integers(0, 32, 50).astype(np.uint32) for _ in range(3)).astype(np.uint32)
+    noise[20:22] = 0
+    mine, other = r.integers(0, 2**32, 50, dtype=np.uint32), np.zeros(50, np.uint32)
+    other[:39] = mine[:39] ^ noise[:39]
+    mine[39:] = other[:11]  # ten runs meet at offset 39, whose overlap is too short; one at 0
+    other[39:] = mine[39:] ^ noise[39:]
+    prints = spark.createDataFrame([(50, mine.view(np.int32).tolist()), (1, other.view(np.int32).tolist())], "media_id bigint, codes array<int>")
+    got = {x.media_id: x for x in chroma.match_media(prints).collect()}
+    assert [(x["class_id"], x["offset"], x["overlap"]) for x in got[50].links] == [(1, 0, 50)]
+
+
 def test_mixing_equals_sql_and_meets_targets(spark, docs, nothing):
     got = queries()["op5_mixing"](spark, SF).toPandas().sort_values("doc_id").reset_index(drop=True)
     c = duckdb.connect()

@@ -2,9 +2,9 @@
 
 A recording's spectrum is folded into twelve pitch classes per frame; sixteen
 integral-image filters over that picture, two bits each, pack into one 32-bit
-integer per frame. Recordings align where runs of ``KEY_RUN`` equal integers meet: a
-histogram of their offsets gives the best one, and the share of differing bits
-over the overlap judges it.
+integer per frame. Recordings may align where runs of ``KEY_RUN`` equal integers meet: each
+offset at which one does is judged by the share of differing bits over its overlap, and the best of
+those that pass is the link.
 
 Recordings with equal fingerprints form a class, and classes are compared by
 their first member, so a group of copies costs one comparison. Null, empty and too
@@ -129,17 +129,19 @@ def match_media(prints: DataFrame) -> DataFrame:
     posts = posts.select("class_id", "query", F.xxhash64("p.key").alias("key"), F.col("p.at").alias("at"))
     asked = posts.where("query = 1").select(F.col("class_id").alias("asker"), "key", F.col("at").alias("asked_at"))
     meetings = posts.drop("query").join(asked, "key").where("class_id <> asker")
-    histogram = meetings.groupBy("asker", "class_id", (F.col("asked_at") - F.col("at")).alias("offset")).count()
-    best = histogram.groupBy("asker", "class_id").agg(F.max(F.struct("count", -F.abs("offset"), "offset")).alias("top"))
+    offsets = meetings.groupBy("asker", "class_id").agg(F.collect_set(F.col("asked_at") - F.col("at")).alias("offsets"))
     codes = classes.select("class_id", "codes")
-    pairs = best.select("asker", "class_id", F.col("top.offset").alias("offset"))
-    pairs = pairs.join(codes.select(F.col("class_id").alias("asker"), F.col("codes").alias("mine")), "asker").join(codes.withColumnRenamed("codes", "other"), "class_id")
+    pairs = offsets.join(codes.select(F.col("class_id").alias("asker"), F.col("codes").alias("mine")), "asker").join(codes.withColumnRenamed("codes", "other"), "class_id")
+    pairs = pairs.withColumn("offset", F.explode("offsets")).drop("offsets")
     a, b = F.greatest(F.col("offset"), F.lit(0)), F.greatest(-F.col("offset"), F.lit(0))
     n = F.least(F.size("mine") - a, F.size("other") - b)
     wrong = F.expr("aggregate(zip_with(slice(mine, a + 1, n), slice(other, b + 1, n), (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
     pairs = pairs.withColumn("a", a).withColumn("b", b).withColumn("n", n).withColumn("wrong", wrong)
-    links = pairs.where((F.col("n") >= LEAST_OVERLAP) & (F.col("wrong") <= MOST_ERRORS * 32 * F.col("n")))
-    links = links.groupBy("asker").agg(F.sort_array(F.collect_list(F.struct("class_id", "offset", F.col("n").alias("overlap"), (F.col("wrong") / (32 * F.col("n"))).alias("bit_errors")))).alias("links"))
+    passed = pairs.where((F.col("n") >= LEAST_OVERLAP) & (F.col("wrong") <= MOST_ERRORS * 32 * F.col("n")))
+    passed = passed.withColumn("bit_errors", F.col("wrong") / (32 * F.col("n")))
+    rank = F.struct("bit_errors", (-F.col("n")).alias("less"), F.abs("offset").alias("far"), "offset", F.col("n").alias("overlap"))
+    best = passed.groupBy("asker", "class_id").agg(F.min(rank).alias("top"))
+    links = best.groupBy("asker").agg(F.sort_array(F.collect_list(F.struct("class_id", F.col("top.offset").alias("offset"), F.col("top.overlap").alias("overlap"), F.col("top.bit_errors").alias("bit_errors")))).alias("links"))
     members = prints.select("media_id", F.size("codes").alias("n_codes"), "codes_sha256").join(classes.select("codes_sha256", "class_id"), "codes_sha256")
     done = members.join(links, members["class_id"] == links["asker"], "left")
     return done.select("media_id", "class_id", "n_codes", "codes_sha256", F.coalesce(F.size("links"), F.lit(0)).alias("n_links"), "links")
