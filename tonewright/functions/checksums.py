@@ -11,7 +11,7 @@ def byte_array(data: Column) -> Column:
     """The bytes of a binary column as integers."""
     n = F.length(data)
     one = lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), one)).otherwise(F.array().cast("array<int>"))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), one)).when(n == 0, F.array().cast("array<int>"))
 
 
 def _eight(step):

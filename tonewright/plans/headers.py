@@ -209,3 +209,11 @@ def stream_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FNV-1a over sixteen bytes of each document."""
     t = table(spark, sf_dir, "documents").select("doc_id", F.unhex(F.md5("text")).alias("b"))
     return t.select("doc_id", checksums.fnv1a_64(F.col("b")).cast("string").alias("fnv"))
+
+
+@query()
+def checksums_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both CRC-16s and FNV-1a over all bytes of each document."""
+    t = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
+    b = F.col("b")
+    return t.select("doc_id", checksums.crc16_arc(b).alias("arc"), checksums.frame_crc(b).alias("frame"), checksums.fnv1a_64(b).cast("string").alias("fnv"))

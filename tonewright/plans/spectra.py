@@ -60,6 +60,31 @@ def overlap_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("granule", "subband", "i", (F.round(sign, 6) + 0.0).alias("v"))
 
 
+def blocks(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """(vec_id, block, k, x): each vector whole, in blocks of n components, the last one filled with zeros."""
+    t = table(spark, sf_dir, "embeddings").withColumn("fill", F.pmod(-F.size("embedding"), F.lit(n)))
+    t = t.select("vec_id", F.posexplode(F.concat(F.col("embedding").cast("array<double>"), F.array_repeat(F.lit(0.0), F.col("fill")))).alias("at", "x"))
+    return t.select("vec_id", F.floor(F.col("at") / n).alias("block"), (F.col("at") % n).alias("k"), "x")
+
+
+@query()
+def imdct_long_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y = T.inverse_mdct(blocks(spark, sf_dir, 18), ["vec_id", "block"], 36)
+    return y.select("vec_id", "block", "i", (F.round("y", 6) + 0.0).alias("y"))
+
+
+@query()
+def imdct_short_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y = T.inverse_mdct(blocks(spark, sf_dir, 6), ["vec_id", "block"], 12)
+    return y.select("vec_id", "block", "i", (F.round("y", 6) + 0.0).alias("y"))
+
+
+@query()
+def mdct_long_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = blocks(spark, sf_dir, 36).withColumnsRenamed({"k": "i", "x": "y"})
+    return T.forward_mdct(samples, ["vec_id", "block"], 36).select("vec_id", "block", "k", (F.round("x", 6) + 0.0).alias("x"))
+
+
 _ORDER = T.short_order(SHORT_44)
 
 
@@ -70,6 +95,13 @@ def short_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("vec_id", "coded", L.permuted(_ORDER, F.col("coded")).alias("place"), F.get("embedding", F.col("coded") % 64).cast("double").alias("x"))
 
 
+@query()
+def short_reorder_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 576 coded lines of each vector's short blocks to their places."""
+    t = table(spark, sf_dir, "embeddings").withColumn("coded", F.explode(F.sequence(F.lit(0), F.lit(575))))
+    return t.select("vec_id", "coded", L.permuted(_ORDER, F.col("coded")).alias("place"), F.get("embedding", F.col("coded") % 64).cast("double").alias("x"))
+
+
 @query(
     """SELECT l_orderkey, l_linenumber, round(sign(v) * pow(abs(v), 4.0 / 3) * pow(2, (gg - 210) / 4.0 - 2.0 * sub - CASE WHEN l_linenumber % 2 = 1 THEN 1.0 ELSE 0.5 END * (sf + pre)), 9) + 0.0 AS x FROM (
       SELECT l_orderkey, l_linenumber, l_partkey % 31 - 15 AS v, 190 + l_suppkey % 40 AS gg, l_orderkey % 8 AS sub, l_partkey % 16 AS sf, """
