@@ -2,14 +2,11 @@
 
 from collections import Counter
 
-import numpy as np
-
 import corpus_pipeline
-from tonewright.llm import sentence_spans
 from tonewright.llm.common import materialize
 
 from ..conftest import SF
-from .test_operators import components, fingerprint
+from .test_operators import components, fingerprint, plain_spans
 
 
 def test_stages(spark):
@@ -23,17 +20,8 @@ def test_stages(spark):
     language, near, spans, mixed, packed = seen
     want = components({r.doc_id: fingerprint(r.text) for r in language})
     assert sorted(r.doc_id for r in near) == sorted({w for w in want.values()})
-    known, kept = set(), {}
-    for r in sorted(near, key=lambda r: r.doc_id):
-        parts = sentence_spans.sentences(r.text)
-        gone = np.zeros(len(parts), bool)
-        for k in range(len(parts) - 2):
-            key = tuple(p.strip() for p in parts[k : k + 3])
-            gone[k : k + 3] |= key in known
-            known.add(key)
-        left = "".join(p for p, g in zip(parts, gone) if not g)
-        if left.strip() or not gone.any():
-            kept[r.doc_id] = left
+    rows = sorted((r.doc_id, r.text) for r in near)
+    kept = {i: left for (i, _), (left, gone) in zip(rows, plain_spans(rows)) if left.strip() or not gone}
     assert {r.doc_id: r.text for r in spans} == kept
     times = Counter(r.doc_id for r in mixed)
     assert set(times) <= set(kept) and max(times.values()) <= 2 and all(r.text == kept[r.doc_id] for r in mixed)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="tonewright-")
     return _own_dir
@@ -60,6 +63,16 @@ def drop(*tables: DataFrame) -> None:
         at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the columns (case does not tell names apart)."""
+    taken, out = [c.lower() for c in columns], []
+    for name in names:
+        while any(c.startswith(name) for c in taken):
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in smaller ones, so that what Python holds of their texts at a time stays small."""
     for b in batches:

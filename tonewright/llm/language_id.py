@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize
+from .common import materialize, unused
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS = 1 << 15
@@ -187,5 +187,6 @@ def accept_documents(docs: DataFrame) -> DataFrame:
     # a verdict follows from the evidence alone, so it goes by a hash of that; ids may be null or shared
     key = lambda names: F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names))
     found = identify(rows.withColumn("doc_id", key(("text", "declared", "host"))), docs.select("lang", "text"))
-    rejected = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias("_rejected")).distinct(), "rejected")
-    return docs.join(rejected, key(("text", "lang", "source")) == F.col("_rejected"), "left_anti")
+    (name,) = unused(docs.columns, "rejected")
+    rejected = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct(), "rejected")
+    return docs.join(rejected, key(("text", "lang", "source")) == F.col(name), "left_anti")

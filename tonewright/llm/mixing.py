@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import materialize
+from .common import materialize, unused
 
 SHARES = (3, 1, 2)
 TOTAL_SHARE = 1.5
@@ -38,9 +38,10 @@ def quality_weight(text: Column) -> Column:
     return F.coalesce(F.lit(1.0) - F.least(F.lit(0.5), F.lit(5.0) * marks / F.greatest(F.length(text), F.lit(1))), F.lit(1.0))
 
 
-def uniform(doc_id: Column) -> Column:
-    """(0, 1) from 52 bits of an MD5 of seed and id."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("bigint")
+def uniform(doc_id: Column, text: Column) -> Column:
+    """(0, 1) from 52 bits of an MD5 of seed and id, or of the text where there is no id."""
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null"), F.md5(text)), F.lit("null"))
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(SEED + ":"), name)), 1, 13), 16, 10).cast("bigint")
     return (bits.cast("double") + 0.5) / F.lit(float(2**52))
 
 
@@ -79,7 +80,7 @@ def _mixed(docs: DataFrame, carried: list[str]) -> DataFrame:
     doc_id = F.col("doc_id").cast("bigint")
     rows = docs.select(
         doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"),
-        quality_weight(text).alias("weight"), F.xxhash64(text).alias("tie"), uniform(doc_id).alias("u"), *carried,
+        quality_weight(text).alias("weight"), F.xxhash64(text).alias("tie"), uniform(doc_id, text).alias("u"), *carried,
     )
     rows = materialize(rows.withColumn("key", -F.log("u") / F.col("weight")).drop("u"), "mix")
     rows = rows.withColumn("sk", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
@@ -106,16 +107,17 @@ def _mixed(docs: DataFrame, carried: list[str]) -> DataFrame:
     return placed.select(
         "doc_id", "source", "size", "weight", "source_size", "target",
         (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"),
-        (F.col("epochs") + F.when((F.col("size") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)).alias("copies"), *carried,
+        F.when(F.col("size") > 0, F.col("epochs") + (2 * F.col("part") >= F.col("size")).cast("int")).otherwise(0).alias("copies"), *carried,
     )
 
 
 def repeat_documents(docs: DataFrame) -> DataFrame:
-    """The documents, each row as many times as its own ``copies``, whether or not ids are null or shared."""
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    counts = _mixed(rows, ["_row"]).select("_row", F.col("copies").cast("int").alias("_copies")).where("_copies > 0")
-    taken = rows.join(counts.hint("shuffle_hash"), "_row")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The documents, each row as many times as its own ``copies``, whether or not ids are null or shared; texts without words are not taken."""
+    row, copies, copy = unused([*docs.columns, "doc_id", "source", "size", "weight", "tie", "u", "key"], "row", "copies", "copy")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    counts = _mixed(rows, [row]).select(F.col(row).alias(copy), F.col("copies").cast("int").alias(copies)).where(F.col(copies) > 0)
+    taken = rows.join(counts.hint("shuffle_hash"), F.col(row) == F.col(copy)).drop(copy)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 ORACLE_SQL = r"""
@@ -123,7 +125,7 @@ WITH d AS (
   SELECT doc_id, source,
     CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
     coalesce(1.0 - least(0.5, 5.0 * (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g'))) / greatest(length(text), 1)), 1.0) AS weight,
-    (CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
+    (CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null' || md5(text), 'null')), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight,

@@ -1,223 +1,250 @@
-"""Substring dedup by sliding sentence spans and word windows.
+"""Substring dedup by sliding sentence spans.
 
-Two units are hashed (128 bits). Every run of ``SPAN`` consecutive sentences, or the whole text
-where it has fewer sentences (and ``SPAN`` words at least); and every window of ``WORDS`` words, whatever
-sentences it crosses. In each document but the one with the smallest id that holds a unit, what the
-unit covers is removed. Within a document the first occurrence stays. A sentence ends after ``.``,
-``!`` or ``?`` before white space, or at a line break; white space does not count in a comparison of
-words, outer white space not in one of sentences.
+Every run of several consecutive sentences is hashed (96 bits): from each sentence on, the fewest that
+have ``WORDS`` words. A run that a document with a smaller id holds too is removed, whole sentences
+as they stand; of a run that repeats within a document the first occurrence stays.
 
-Word windows meet in two steps, both exact. Of the runs of ``ANCHOR`` words in a window the one of least hash is the
-window's anchor, so equal windows have equal anchors and a text has few of them; only windows whose anchor
-another document holds are hashed and compared themselves.
+A sentence ends after a word that ends in ``.``, ``!`` or ``?``, or at a line break. Long sentences, and text without
+marks, are cut further: in every ``PIECE`` words without such an end the word of least hash starts a new
+sentence. Cuts thus follow from at most ``PIECE`` words around them, and so texts that share 50 words share a
+whole run: the first cut that both have lies within 15 words of the passage's start, its run has at most
+27 words, and cuts are the same up to 7 words before the passage's end. A text of fewer than
+``WORDS`` words but ``FEWEST`` or more is one run. Words are compared with A-Z folded; white space between them does not count.
 
-The aggregations combine before their shuffle, so a unit that a third of all
+Runs are counted by aggregations that combine before their shuffle, so a run that a third of all
 documents hold costs one row per task; the joins back are ones Spark can split.
 
-Null texts stay null, empty ones empty, with no sentences. Rows that share a doc_id
-are one document's and are treated alike; rows without an id keep all but what repeats within them. Extra columns pass through ``clean_documents``.
+A row is known by its doc_id and a 64-bit hash of its text. Rows equal in both are one document and are treated alike; of rows that
+share a doc_id alone, that with the smaller hash counts as earlier. A row without an id keeps all but what repeats
+within it and takes nothing from others. Null texts stay null, empty ones empty. Extra columns pass through ``clean_documents``, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import drop, materialize, sliced
-
-SPAN = 3
-WORDS = 50
-ANCHOR = 25
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_BREAK = re.compile(r"[.!?]+\s+|\n\s*")
-
-
-def sentences(text: str | None) -> list[str]:
-    """The sentences with what white space follows them; joined, they are the text."""
-    if not text:
-        return []
-    ends = [m.end() for m in _BREAK.finditer(text)]
-    if not ends or ends[-1] < len(text):
-        ends.append(len(text))
-    return [text[a:b] for a, b in zip([0, *ends[:-1]], ends)]
-
-
-def span_hashes(parts: list[str], span: int = SPAN) -> list[bytes]:
-    """A 128-bit hash of each run of ``span`` sentences; of all of them where they are fewer but have ``span`` words."""
-    from xxhash import xxh3_128_digest as digest
-
-    if len(parts) < span and sum(len(_WORD.findall(p)) for p in parts) < span:
-        return []
-    each = [digest(p.strip().encode("utf-8", "surrogatepass")) for p in parts]
-    return [digest(b"".join(each[k : k + span])) for k in range(max(1, len(each) - span + 1))]
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    from xxhash import xxh3_64_intdigest as digest
-
-    return np.array(list(map(digest, (text or "").encode("utf-8", "surrogatepass").split())), np.uint64)
-
+from . import bytewise
+from .bytewise import Texts
+from .common import drop, materialize, unused
 
+WORDS = 20
+PIECE = 8
+FEWEST = 3
+_STOP = np.zeros(256, bool)
+_STOP[list(b".!?")] = True
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-
-
-@lru_cache(maxsize=8)
-def _powers(base: int, bits: int) -> np.ndarray:
-    return np.cumprod(np.r_[np.uint64(1), np.full((1 << bits) - 1, base, np.uint64)])
-
-
-def rolling(words: np.ndarray, n: int, base: int = _BASES[0]) -> np.ndarray:
-    """A hash of each run of ``n`` word hashes."""
-    if len(words) < n:
-        return np.zeros(0, np.uint64)
-    bits = max(10, len(words).bit_length())
-    up, down = _powers(base, bits), _powers(pow(base, -1, 1 << 64), bits)
-    total = np.r_[np.uint64(0), np.cumsum(words * up[: len(words)])]
-    h = (total[n:] - total[:-n]) * down[: len(words) - n + 1]
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
-def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of ``ANCHOR`` words, and for each window of ``WORDS`` which of them is its anchor."""
-    h = rolling(words, ANCHOR)
-    if len(words) < WORDS:
-        return h, np.zeros(0, np.int64)
-    return h, np.lib.stride_tricks.sliding_window_view(h, WORDS - ANCHOR + 1).argmin(axis=1) + np.arange(len(words) - WORDS + 1)
-
-
-def _unit_batch(h1: list[np.ndarray], h2: list[np.ndarray], ids: list, anchor: list[bool]) -> pa.RecordBatch:
-    n = [len(h) for h in h1]
-    cols = [np.concatenate(h1).view(np.int64), np.concatenate(h2).view(np.int64), np.repeat(np.array(ids, np.int64), n), np.repeat(np.array(anchor, bool), n)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h1", "h2", "doc_id", "anchor"])
-
-
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sentence runs and anchors of (doc_id, text), each once per text."""
-    for b in sliced(batches):
-        h1, h2, ids, kinds = [], [], [], []
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-            text = text.as_py()
-            runs = np.frombuffer(b"".join(dict.fromkeys(span_hashes(sentences(text)))), np.uint64).reshape(-1, 2)
-            words = word_hashes(text)
-            h, chosen = anchors(words)
-            at = np.unique(chosen)
-            _, one = np.unique(h[at], return_index=True)
-            h1 += [runs[:, 0], h[at[one]]]
-            h2 += [runs[:, 1], rolling(words, ANCHOR, _BASES[1])[at[one]]]
-            ids += [doc_id] * 2
-            kinds += [False, True]
-        if h1:
-            yield _unit_batch(h1, h2, ids, kinds)
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word windows of (doc_id, text, anchors held by others too) with such an anchor, each once per text."""
-    for b in sliced(batches):
-        h1, h2 = [], []
-        for text, shared in zip(b.column(1), b.column(2)):
-            words = word_hashes(text.as_py())
-            h, chosen = anchors(words)
-            at = np.flatnonzero(np.isin(h, np.asarray(shared.values, np.int64).view(np.uint64))[chosen])
-            w = rolling(words, WORDS)[at]
-            _, one = np.unique(w, return_index=True)
-            h1.append(w[one])
-            h2.append(rolling(words, WORDS, _BASES[1])[at[one]])
-        if h1:
-            yield _unit_batch(h1, h2, b.column(0).to_pylist(), [False] * len(h1))
-
-
-_UNIT = "h1 bigint, h2 bigint, doc_id bigint, anchor boolean"
-
-
-def _shared(units: DataFrame) -> DataFrame:
-    """The units that more than one document holds, with first_doc."""
-    firsts = units.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
-    return units.join(firsts, ["h1", "h2"])
+_U64 = np.uint64
+
+
+class Runs(NamedTuple):
+    """Sentences and runs of some texts.
+
+    starts: where each sentence starts in the bytes; edges: each text's first sentence and the end of the last's.
+    first, after, doc, h1, h2: of each run its sentences, its text and its hash.
+    """
+
+    starts: np.ndarray
+    edges: np.ndarray
+    first: np.ndarray
+    after: np.ndarray
+    doc: np.ndarray
+    h1: np.ndarray
+    h2: np.ndarray
+
+
+def sentence_starts(t: Texts, w: bytewise.Words, h: np.ndarray) -> np.ndarray:
+    """The words that start a sentence."""
+    n = len(h)
+    begins = np.zeros(n + 1, bool)
+    begins[1:] = _STOP[t.data[w.ends - 1]]
+    begins[np.searchsorted(w.starts, np.flatnonzero(t.data == 10))] = True
+    begins[w.edges] = True
+    value = np.where(begins[:n], _U64(0), h | _U64(1))
+    if n >= PIECE:
+        least = value
+        for k in (1, 2, 4):  # eight words
+            least = np.minimum(least[:-k], least[k:])
+        pad = np.zeros(PIECE - 1, _U64)
+        most = np.r_[pad, least, pad]
+        for k in (1, 2, 4):
+            most = np.maximum(most[:-k], most[k:])
+        begins[:n] |= most == value
+    return np.flatnonzero(begins[:n])
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.r_[_U64(1), np.full(max(n, 1) - 1, base, _U64)])
+
+
+def runs(t: Texts) -> Runs:
+    """Each sentence's run, and of a text of fewer words the one of all."""
+    w = bytewise.words(t)
+    h = bytewise.hash_ranges(bytewise.fold(t.data), w.starts, w.ends)
+    n = len(h)
+    cut = sentence_starts(t, w, h)
+    ends = np.r_[cut, n]
+    stop = w.edges[np.searchsorted(w.edges, cut, side="right")]  # where the words of each sentence's text end
+    begin = w.edges[np.searchsorted(w.edges, cut, side="right") - 1]
+    whole = (begin == cut) & (stop - begin < WORDS) & (stop - begin >= FEWEST)
+    after = np.searchsorted(ends, np.where(whole, stop, cut + WORDS))
+    first = np.flatnonzero(whole | (cut + WORDS <= stop))
+    after = after[first]
+    a, b = cut[first], ends[after]
+    hashes = []
+    for base in _BASES:
+        up, down = _powers(base, n), _powers(pow(base, -1, 1 << 64), n)
+        total = np.r_[_U64(0), np.cumsum(h * up[:n])]
+        hashes.append(bytewise.mix((total[b] - total[a]) * down[a] + (b - a).astype(_U64)) if len(a) else np.zeros(0, _U64))
+    return Runs(w.starts[cut], np.searchsorted(cut, w.edges), first, after, np.searchsorted(w.edges, a, side="right") - 1, *hashes)
+
+
+def _again(r: Runs) -> np.ndarray:
+    """True for a run that stands before in its text, where the first such run has ended."""
+    order = np.lexsort((r.first, r.h1, r.doc))
+    doc, h = r.doc[order], r.h1[order]
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])][: len(order)]
+    head = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order
+    out = np.zeros(len(order), bool)
+    out[order] = r.first[order] >= r.after[head]
+    return out
+
+
+_UNIT = "h1 bigint, h2 int, doc_id bigint, th bigint, own boolean"
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, th, text) to the runs of each text, each once; ``own`` marks a second row for those that repeat within it."""
+    for b in batches:
+        ids, th = b.column(0), b.column(1).to_numpy(zero_copy_only=False)
+        null, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+        for t in bytewise.texts(b.column(2)):
+            r = runs(t)
+            if not len(r.h1):
+                continue
+            own = _again(r)
+            order = np.lexsort((r.h1, r.doc))
+            doc, h = r.doc[order], r.h1[order]
+            one = order[np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]]
+            one = one[~null[t.first + r.doc[one]]]
+            at = np.r_[one, np.flatnonzero(own)]
+            row = t.first + r.doc[at]
+            kind = np.arange(len(at)) >= len(one)
+            cols = [r.h1[at].view(np.int64), (r.h2[at] >> _U64(32)).astype(np.uint32).view(np.int32), pa.array(ids[row], mask=null[row]), th[row], kind]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h1", "h2", "doc_id", "th", "own"])
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, found: the first halves of the hashes of the runs and windows that an earlier document holds."""
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("doc_id is not null")
-    units = materialize(rows.mapInArrow(_spans, _UNIT), "spans")
-    hits = _shared(units).where("anchor or doc_id > first_doc").groupBy("doc_id")
-    hits = materialize(hits.agg(*(F.collect_set(F.when(F.col("anchor") == a, F.col("h1"))).alias(n) for a, n in ((True, "anchors"), (False, "found")))), "hits")
-    drop(units)
-    again = hits.where(F.size("anchors") > 0).select(F.col("doc_id").alias("_id"), "anchors").hint("shuffle_hash")
-    again = rows.join(again, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "anchors")
-    units = materialize(again.mapInArrow(_windows, _UNIT), "windows")
-    more = _shared(units).where("doc_id > first_doc").select("doc_id", "h1")
-    found = more.union(hits.select("doc_id", F.explode("found"))).groupBy("doc_id").agg(F.collect_set("h1").alias("found"))
-    found = materialize(found, "repeats")
-    drop(units, hits)
+    """doc_id, th (hash of the text), found and own: first halves of the hashes of runs that an earlier document holds, or that repeat within."""
+    units = materialize(_keyed(docs).mapInArrow(_units, _UNIT), "spans")
+    each, key = units.where("not own"), ["h1", "h2"]
+    counted = each.groupBy(*key).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min("th").alias("t0"), F.max("th").alias("t1"))
+    held = each.join(counted.where("first_doc < last_doc or t0 < t1"), key).select(*key, "doc_id", "th", (F.col("doc_id") > F.col("first_doc")).alias("later"))
+    held = materialize(held, "held")
+    first = held.where("not later")
+    # of rows that share the first id with unlike texts, the one of least hash holds the run
+    tied = first.groupBy(*key).agg(F.min("th").alias("t0"), F.max("th").alias("t1")).where("t0 < t1").drop("t1")
+    hits = held.where("later").select("doc_id", "th", "h1").union(first.join(tied, key).where("th > t0").select("doc_id", "th", "h1"))
+    hits = hits.withColumn("own", F.lit(False)).union(units.where("own").select("doc_id", "th", "h1", "own"))
+    sets = [F.collect_set(F.when(F.col("own") == o, F.col("h1"))).alias(n) for o, n in ((False, "found"), (True, "own"))]
+    found = materialize(hits.groupBy("doc_id", "th").agg(*sets), "repeats")
+    drop(units, held)
     return found
 
 
-def _repeats(h: np.ndarray, found: np.ndarray, apart: int) -> np.ndarray:
-    """Where a unit stands that is among ``found``, or that stands ``apart`` or more before in the text."""
-    _, first, which = np.unique(h, return_index=True, return_inverse=True)
-    at = np.arange(len(h))
-    return np.flatnonzero((at - first[which] >= apart) | np.isin(h, found)) if len(h) else at
-
-
-def _covered(n: int, at: np.ndarray, width: int) -> np.ndarray:
-    edges = np.zeros(n + 1, np.int64)
-    edges[at] += 1
-    np.subtract.at(edges, np.minimum(at + width, n), 1)
-    return np.cumsum(edges[:-1]) > 0
-
-
-def strip(text: str | None, found: np.ndarray, span: int = SPAN) -> tuple[str | None, int, int]:
-    """The text without what non-first runs and windows cover; its sentences, and those that lost words."""
-    parts = sentences(text)
-    runs = np.frombuffer(b"".join(span_hashes(parts, span)), np.uint64)[::2]
-    cover = _covered(len(parts), _repeats(runs, found, 1), span)
-    words = word_hashes(text)
-    again = _repeats(rolling(words, WORDS), found, WORDS)
-    if not len(again):
-        gone = int(cover.sum())
-        return ("".join(p for p, c in zip(parts, cover) if not c) if gone else text), len(parts), gone
-    starts = np.array([m.start() for m in _WORD.finditer(text)] + [len(text)])
-    lost = _covered(len(words), again, WORDS)
-    out, ends = np.repeat(cover, [len(p) for p in parts]), np.cumsum([len(p) for p in parts])
-    out[starts[0] :] |= np.repeat(lost, np.diff(starts))
-    cover[np.unique(np.searchsorted(ends, starts[:-1][lost], side="right"))] = True
-    keep = np.diff(np.r_[False, ~out, False].astype(np.int8))
-    return "".join(text[a:b] for a, b in zip(np.flatnonzero(keep == 1), np.flatnonzero(keep == -1))), len(parts), int(cover.sum())
-
-
-def _strip_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in sliced(batches):
-        rows = [strip(t.as_py(), np.asarray(f.values if f.is_valid else [], np.int64).view(np.uint64)) for t, f in zip(b.column("_text"), b.column("_found"))]
-        new = [pa.array(list(c), k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64()))] if rows else [pa.array([], k) for k in (pa.string(), pa.int64(), pa.int64())]
-        kept = [k for k in range(b.num_columns) if b.schema.names[k] not in ("_text", "_found")]
-        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), *new], names=[*(b.schema.names[k] for k in kept), "_kept", "_sentences", "_removed"])
-
-
-def _stripped(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of docs with _kept (text), _sentences and _removed."""
-    found = repeated_spans(docs).select(F.col("doc_id").alias("_id"), F.col("found").alias("_found"))
-    rows = docs.select(*columns, F.col("doc_id").cast("bigint").alias("_key"), F.col("text").cast("string").alias("_text"))
-    joined = rows.join(found.hint("shuffle_hash"), F.col("_key") == F.col("_id"), "left").select(*columns, "_text", "_found")
-    schema = joined.drop("_text", "_found").schema.add("_kept", T.StringType()).add("_sentences", T.LongType()).add("_removed", T.LongType())
-    return joined.mapInArrow(_strip_batches, schema)
+def strip(t: Texts, found: list[np.ndarray], own: list[np.ndarray]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Of each text what is left, its sentences, and those removed.
+
+    found: hashes (uint64) of the runs that go wherever they stand; own: of those whose first occurrence stays.
+    """
+    r = runs(t)
+    edges = np.searchsorted(r.doc, np.arange(len(found) + 1))
+    again, gone = _again(r), np.zeros(len(r.h1), bool)
+    for k, (f, o) in enumerate(zip(found, own)):
+        x = slice(edges[k], edges[k + 1])
+        gone[x] = np.isin(r.h1[x], f) | (np.isin(r.h1[x], o) & again[x])
+    cover = np.zeros(len(r.starts) + 1, np.int64)
+    np.add.at(cover, r.first[gone], 1)
+    np.subtract.at(cover, r.after[gone], 1)
+    cover = np.cumsum(cover[:-1]) > 0
+    kept, removed = [], np.add.reduceat(np.r_[cover, False], np.minimum(r.edges[:-1], len(cover))) if len(r.edges) > 1 else r.edges[:0]
+    removed = np.where(np.diff(r.edges) > 0, removed, 0)
+    raw = t.data.tobytes()
+    for k, n in enumerate(removed):
+        a, b, lo, hi = t.edges[k], t.edges[k + 1], r.edges[k], r.edges[k + 1]
+        if not n:
+            kept.append(raw[a:b])
+            continue
+        at = np.r_[a, r.starts[lo:hi], b].tolist()
+        keep = [True, *(~cover[lo:hi]).tolist()]
+        kept.append(b"".join(raw[x:y] for x, y, stays in zip(at, at[1:], keep) if stays))
+    return kept, np.diff(r.edges), removed
+
+
+def _hashes(column: pa.Array) -> list[np.ndarray]:
+    return [np.asarray(x.values if x.is_valid else [], np.int64).view(np.uint64) for x in column]
+
+
+def _strip_batches(names: tuple[str, str, str], results: tuple[str, str]):
+    """Rows with text, found and own (by their names, the last columns) to the rows with what is left and the number of sentences that went."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text, found, own = (b.column(b.schema.get_field_index(n)) for n in names)
+            hit = np.flatnonzero((found.is_valid()).to_numpy(zero_copy_only=False))
+            gone = np.zeros(b.num_rows, np.int64)
+            if len(hit):
+                part, f, o = text.take(pa.array(hit)), _hashes(found.take(pa.array(hit))), _hashes(own.take(pa.array(hit)))
+                kept, removed = [], []
+                for t in bytewise.texts(part):
+                    out, _, n = strip(t, f[t.first : t.after], o[t.first : t.after])
+                    kept += out
+                    removed.append(n)
+                gone[hit] = np.concatenate(removed)
+                touched = np.flatnonzero(gone > 0)
+                mine = dict(zip(hit.tolist(), kept))
+                at = np.arange(b.num_rows)
+                at[touched] = b.num_rows + np.arange(len(touched))
+                left = pa.array([mine[k].decode("utf-8", "surrogatepass") for k in touched.tolist()], text.type)
+                text = pa.concat_arrays([text, left]).take(pa.array(at))
+            cut = [k for k in range(b.num_columns) if b.schema.names[k] not in names]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in cut), text, pa.array(gone)], names=[*(b.schema.names[k] for k in cut), *results])
+
+    return run
+
+
+def _stripped(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, str, str]:
+    """``columns`` of docs with what is left of the text and the number of sentences that went, and the names of these two."""
+    key, th, text, found, own, left, gone = unused(docs.columns, "key", "th", "text", "found", "own", "left", "gone")
+    hits = repeated_spans(docs).select(F.col("doc_id").alias(key + "_"), F.col("th").alias(th + "_"), F.col("found").alias(found), F.col("own").alias(own))
+    said = F.col("text").cast("string")
+    rows = docs.select(*columns, F.col("doc_id").cast("bigint").alias(key), F.xxhash64(said).alias(th), said.alias(text))
+    joined = rows.join(hits.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col(key + "_")) & (F.col(th) == F.col(th + "_")), "left").select(*columns, text, found, own)
+    schema = joined.drop(text, found, own).schema.add(left, T.StringType()).add(gone, T.LongType())
+    return joined.mapInArrow(_strip_batches((text, found, own), (left, gone)), schema), left, gone
 
 
 def remove_repeated_spans(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_sentences, n_removed, text (what is left)."""
-    done = _stripped(docs.select("doc_id", "text"), ["doc_id"])
-    return done.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("_sentences").alias("n_sentences"), F.col("_removed").alias("n_removed"), F.col("_kept").alias("text"))
+    """One row per document: doc_id, n_removed (sentences), text (what is left)."""
+    done, left, gone = _stripped(docs.select("doc_id", "text"), ["doc_id"])
+    return done.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(gone).alias("n_removed"), F.col(left).alias("text"))
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
-    """The documents with repeated spans and windows taken out of text; those of which nothing is left go."""
-    others = [c for c in docs.columns if c != "text"]
-    done = _stripped(docs, others).where("_removed = 0 or trim(_kept) <> ''").withColumnRenamed("_kept", "text")
+    """The documents with repeated spans taken out of text; those of which nothing is left go."""
+    done, left, gone = _stripped(docs, [c for c in docs.columns if c != "text"])
+    done = done.where((F.col(gone) == 0) | F.col(left).rlike(r"[^\x20\x09-\x0D]"))
+    counted = F.when(F.col(gone) > 0, F.length(left))
+    kept = {"text": F.col(left).alias("text")}
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+        kept["n_chars"] = F.coalesce(counted.cast(docs.schema["n_chars"].dataType), F.col("n_chars")).alias("n_chars")
+    return done.select(*(kept.get(c, F.col(c)) for c in docs.columns))

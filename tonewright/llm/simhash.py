@@ -29,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import drop, materialize, unused
 from .components import connected_components
 
 SHINGLE = 4
@@ -66,8 +66,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, ...) to (doc_id, fp, ...)."""
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py()) for t in b.column(1)], pa.int64())], names=["doc_id", "fp"])
+        prints = pa.array([fingerprint(t.as_py()) for t in b.column(1)], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), prints, *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
 
 
 def distance(a: np.ndarray, b, mask: np.uint64 = WHOLE) -> np.ndarray:
@@ -227,31 +229,46 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
     return dealt.groupBy("shard").applyInPandas(link, "a bigint, b bigint").where("a <> b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, fp (signed), component_id (smallest doc_id reachable)."""
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    prints = materialize(rows.mapInArrow(_fingerprints, "doc_id bigint, fp bigint"), "fp")
+def _classes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with doc_id and fp to (fp, root, least), root being one number per component and least a fingerprint's smallest doc_id; and the components' (root, component_id)."""
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
     roots = connected_components(link_fingerprints(distinct))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "rooted")
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(lowest, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    drop(distinct, roots)
+    return rooted, rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, fp (signed), component_id (smallest doc_id reachable)."""
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    prints = materialize(rows.mapInArrow(_fingerprints, "doc_id bigint, fp bigint"), "fp")
+    rooted, lowest = _classes(prints)
+    return prints.join(rooted.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents whose component has no smaller doc_id; of rows that repeat a doc_id, one.
+    """One row of each component: that with the smallest doc_id (rows without an id last), of rows that share it that with the smallest hash of the text.
 
-    Only ids travel to find out what goes; texts are moved at most once, and not at
-    all where Spark finds the ids few enough to broadcast.
+    Of rows equal in id and text that with the least hash of all its columns stays. Only ids and hashes travel to find out what
+    goes; texts are moved at most once, and not at all where Spark finds the keys few enough to broadcast.
     """
-    found = near_duplicates(docs)
-    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"))
-    gone = materialize(ids.where("n > 1 or first = 0").select(F.col("doc_id").alias("_gone"), (F.col("first") == 1).alias("_one")), "gone")
-    key = F.col("doc_id").cast("bigint") == F.col("_gone")
-    kept = docs.join(gone, key, "left_anti")
-    several = gone.where("_one")
+    doc_id, said = F.col("doc_id").cast("bigint"), F.col("text").cast("string")
+    rows = docs.select(doc_id.alias("doc_id"), said.alias("text"), F.xxhash64(said).alias("th"))
+    prints = materialize(rows.mapInArrow(_fingerprints, "doc_id bigint, fp bigint, th bigint"), "fp")
+    rooted, lowest = _classes(prints)
+    keys = prints.groupBy("doc_id", "th", "fp").agg(F.count(F.lit(1)).alias("n")).join(rooted.select("fp", "root"), "fp").join(lowest, "root")
+    keys = materialize(keys.select("root", "doc_id", "th", "n", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("least")), "keys")
+    heads = keys.where("least").groupBy("root").agg(F.min("th").alias("head"))
+    g, th, first, many = unused(docs.columns, "g", "th", "first", "many")
+    told = keys.join(heads, "root").select(F.col("doc_id").alias(g), F.col("th").alias(th), (F.col("least") & (F.col("th") == F.col("head"))).alias(first), (F.col("n") > 1).alias(many))
+    told = materialize(told.where(~F.col(first) | F.col(many)), "told")
+    drop(prints, rooted, keys)
+    same = doc_id.eqNullSafe(F.col(g)) & (F.xxhash64(said) == F.col(th))
+    kept = docs.join(told, same, "left_anti")
+    several = told.where(first)
     if several.isEmpty():
         return kept
-    return kept.unionByName(docs.join(several, key, "left_semi").dropDuplicates(["doc_id"]))
+    plain = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    one = docs.join(several, same, "left_semi").groupBy(doc_id.alias(g), F.xxhash64(said).alias(th))
+    return kept.unionByName(one.agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias(first)).select(f"{first}.*"))
