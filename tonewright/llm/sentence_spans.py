@@ -11,8 +11,8 @@ whole run: the first cut that both have lies within 15 words of the passage's st
 27 words, and cuts are the same up to 7 words before the passage's end. A text of fewer than
 ``WORDS`` words but ``FEWEST`` or more is one run. Words are compared with A-Z folded; white space between them does not count.
 
-Runs are counted by aggregations that combine before their shuffle, so a run that a third of all
-documents hold costs one row per task; the joins back are ones Spark can split.
+Runs meet in one shuffle by hash. Of a run that many rows of a block of some megabytes hold, one row goes there; the
+others are known to be later already. So a run that a third of all documents hold costs one row per block.
 
 A row is known by its doc_id and a 64-bit hash of its text. Rows equal in both are one document and are treated alike; of rows that
 share a doc_id alone, that with the smaller hash counts as earlier. A row without an id keeps all but what repeats
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import bytewise
 from .bytewise import Texts
-from .common import drop, materialize, unused
+from .common import materialize, unused
 
 WORDS = 20
 PIECE = 8
@@ -114,28 +114,65 @@ def _again(r: Runs) -> np.ndarray:
     return out
 
 
-_UNIT = "h1 bigint, h2 int, doc_id bigint, th bigint, own boolean"
+_UNIT = "h1 bigint, h2 int, doc_id bigint, th bigint, kind byte"
+SHARED, LATER, OWN = 0, 1, 2
+BLOCK = 1 << 18
+
+
+def _merged(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+    """Runs of some rows as a batch. Of a run that several rows hold, the first goes to where other tasks' rows meet it; the others are known to be later and travel under a key of their own."""
+    h1, h2, ids, th, null, own = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((th, ids, h2, h1, null | own))
+    h1, h2, ids, th, null, own = (c[order] for c in (h1, h2, ids, th, null, own))
+    new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])] | null | own
+    first = np.maximum.accumulate(np.where(new, np.arange(len(h1)), 0))
+    same = ~new & (ids == ids[first]) & (th == th[first])  # a repeated row of the table
+    kind = np.where(own, OWN, np.where(new, SHARED, LATER)).astype(np.int8)
+    keep = ~same & ~(null & ~own)
+    cols = [h1.view(np.int64), h2, pa.array(ids, mask=null), th, kind]
+    return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], names=["h1", "h2", "doc_id", "th", "kind"]).filter(pa.array(keep))
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, th, text) to the runs of each text, each once; ``own`` marks a second row for those that repeat within it."""
+    """(doc_id, th, text) to the runs of each text, each once; a second row of kind ``OWN`` for those that repeat within it."""
     for b in batches:
         ids, th = b.column(0), b.column(1).to_numpy(zero_copy_only=False)
         null, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+        parts, held = [], 0
         for t in bytewise.texts(b.column(2)):
             r = runs(t)
             if not len(r.h1):
                 continue
-            own = _again(r)
             order = np.lexsort((r.h1, r.doc))
             doc, h = r.doc[order], r.h1[order]
             one = order[np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]]
-            one = one[~null[t.first + r.doc[one]]]
-            at = np.r_[one, np.flatnonzero(own)]
+            at = np.r_[one, np.flatnonzero(_again(r))]
             row = t.first + r.doc[at]
-            kind = np.arange(len(at)) >= len(one)
-            cols = [r.h1[at].view(np.int64), (r.h2[at] >> _U64(32)).astype(np.uint32).view(np.int32), pa.array(ids[row], mask=null[row]), th[row], kind]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h1", "h2", "doc_id", "th", "own"])
+            parts.append([r.h1[at], (r.h2[at] >> _U64(32)).astype(np.uint32).view(np.int32), ids[row], th[row], null[row], np.arange(len(at)) >= len(one)])
+            held += len(at)
+            if held >= BLOCK:
+                yield _merged(parts)
+                parts, held = [], 0
+        if parts:
+            yield _merged(parts)
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of runs sorted by hash and row, those whose first row is another one; and those known before."""
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        h1, h2, th, kind = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3, 4))
+        ids = b.column(2).fill_null(0).to_numpy(zero_copy_only=False)
+        new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(h1)), 0))
+        lead_id, lead_th = ids[first], th[first]
+        if last is not None and last[:2] == (h1[0], h2[0]):
+            lead_id[first == 0], lead_th[first == 0] = last[2:]
+        hit = (ids != lead_id) | (th != lead_th) | (kind != SHARED)
+        last = h1[-1], h2[-1], lead_id[-1], lead_th[-1]
+        yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), b.column(0), b.column(4)], names=["doc_id", "th", "h1", "kind"]).filter(pa.array(hit))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -145,20 +182,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), found and own: first halves of the hashes of runs that an earlier document holds, or that repeat within."""
-    units = materialize(_keyed(docs).mapInArrow(_units, _UNIT), "spans")
-    each, key = units.where("not own"), ["h1", "h2"]
-    counted = each.groupBy(*key).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min("th").alias("t0"), F.max("th").alias("t1"))
-    held = each.join(counted.where("first_doc < last_doc or t0 < t1"), key).select(*key, "doc_id", "th", (F.col("doc_id") > F.col("first_doc")).alias("later"))
-    held = materialize(held, "held")
-    first = held.where("not later")
-    # of rows that share the first id with unlike texts, the one of least hash holds the run
-    tied = first.groupBy(*key).agg(F.min("th").alias("t0"), F.max("th").alias("t1")).where("t0 < t1").drop("t1")
-    hits = held.where("later").select("doc_id", "th", "h1").union(first.join(tied, key).where("th > t0").select("doc_id", "th", "h1"))
-    hits = hits.withColumn("own", F.lit(False)).union(units.where("own").select("doc_id", "th", "h1", "own"))
-    sets = [F.collect_set(F.when(F.col("own") == o, F.col("h1"))).alias(n) for o, n in ((False, "found"), (True, "own"))]
-    found = materialize(hits.groupBy("doc_id", "th").agg(*sets), "repeats")
-    drop(units, held)
-    return found
+    units = _keyed(docs).mapInArrow(_units, _UNIT)
+    # a key of their own for rows that need not meet others
+    spread = F.when(F.col("kind") == SHARED, F.col("h1")).otherwise(F.xxhash64("doc_id", "th", "h1"))
+    met = units.repartition(spread).sortWithinPartitions("h1", "h2", "kind", "doc_id", "th")
+    hits = met.mapInArrow(_later, "doc_id bigint, th bigint, h1 bigint, kind byte")
+    own = F.col("kind") == OWN
+    sets = [F.collect_set(F.when(o, F.col("h1"))).alias(n) for o, n in ((~own, "found"), (own, "own"))]
+    return materialize(hits.groupBy("doc_id", "th").agg(*sets), "repeats")
 
 
 def strip(t: Texts, found: list[np.ndarray], own: list[np.ndarray]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
