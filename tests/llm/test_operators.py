@@ -410,6 +410,39 @@ def test_packing(spark, docs, nothing):
     assert packing.pack_documents(nothing, tokenizer_file("word_bpe_49k.json")).count() == 0
 
 
+def test_text_encoder_equals_the_library():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    file = tokenizer_file("word_bpe_49k.json")
+    tok, r = Tokenizer.from_file(file), np.random.default_rng(8)
+    letters = list("abcXYZ'stdrv019 ,.;<|>éÉÄßÑ×÷ÞİΣσ́e \u0085\x1c\x7f\n\t漢字ſıŉ€😀 ")
+    texts = ["".join(r.choice(letters, r.integers(0, 40))) for _ in range(1500)]
+    texts += ["<|ENDOFTEXT|>", "a<|endoftext|>b", "<|startoftext|><|endoftext|> x", "it's don't WE'LL 'street", "x" * 100, "É" * 40, "", None, "Ünïted " * 3000]
+    got = packing.TextEncoder(file)(pa.array(texts))
+    assert [g.tolist() for g in got] == [[*tok.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert packing.TextEncoder(file)(pa.array([], pa.string())) == []
+
+
+def test_examples_keep_the_loss_limit(spark):
+    r = np.random.default_rng(9)
+    rows = [(k, r.integers(0, 49000, n).tolist(), None if k % 7 == 0 else (r.random(n) < 0.8).tolist(), "x") for k, n in enumerate(r.integers(0, 900, 200).tolist())] + [(None, None, None, "x")]
+    examples = spark.createDataFrame(rows, "id bigint, ids array<int>, loss array<boolean>, ids_ string")
+    got = packing.pack_examples(examples, 1024, 6, 500).collect()
+    by, seqs = defaultdict(list), defaultdict(lambda: [0, 0, 0])
+    given = {k: (ids, loss) for k, ids, loss, _ in rows}
+    for p in sorted(got, key=lambda p: (p.doc_id, p.start)):
+        ids, loss = given[p.doc_id]
+        assert np.frombuffer(p.ids, "<u4").tolist() == ids[p.start : p.start + p.length] and p.start == sum(by[p.doc_id]) and p.doc_tokens == len(ids)
+        by[p.doc_id].append(p.length)
+        bearing = p.length if loss is None else sum(loss[p.start : p.start + p.length])
+        seqs[p.sequence_id] = [a + b for a, b in zip(seqs[p.sequence_id], (p.length, 1, bearing))]
+    assert all(sum(by[k]) == len(ids) for k, (ids, _) in given.items() if ids)
+    assert all(a <= 1024 and b <= 6 and c <= 500 for a, b, c in seqs.values())
+    full = [s for s in seqs.values() if s[2] >= 495 and s[0] < 900]
+    assert len(full) > len(seqs) / 2  # it is the loss that fills most sequences
+
+
 def test_packing_keeps_all_three_limits():
     r = np.random.default_rng(2)
     p = packing.Packer(0, (256, 4, 100))
