@@ -13,7 +13,7 @@ Two reductions come first, so that text that cannot matter is not sorted:
 
 * segments between content-defined cuts, with the 99 bytes after them, that equal
   an earlier segment (128-bit hash) are removed whole, and leave the sort;
-* every string is represented by its least 32-byte gram (winnowing); a string whose gram occurs once among the
+* every 66 bytes are represented by their least 32-byte gram (winnowing); a string that holds 66 bytes whose gram occurs once among the
   remaining strings cannot repeat. Grams are told by 64-bit hashes; a collision costs a needless comparison, nothing else.
 
 Order is (doc_id, hash of the text, start). Null texts are empty. Texts under 100 bytes keep all.
@@ -36,6 +36,7 @@ from .common import drop, materialize
 LENGTH = 100
 GRAM = 32
 GRAMS = LENGTH - GRAM + 1
+WINDOW = 35
 #: A perfect difference set; the differences of its members give every remainder.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 SIDE = PERIOD - 1
@@ -144,7 +145,7 @@ def _surplus(key: np.ndarray) -> np.ndarray:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, th, text, copies) to the anchors of strings outside copied segments: their least grams.
+    """(doc_id, th, text, copies) to the anchors of strings outside copied segments: grams that are least in a window within one.
 
     Of a gram that one run of rows holds more than twice, two rows tell all other tasks; the rest are known to
     repeat and travel under a key of their own, so no task gets a frequent gram's rows.
@@ -155,10 +156,11 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = grams(t.data)
             if len(h) < GRAMS:
                 continue
-            least = _sliding(np.minimum, h, GRAMS)
-            least[~_fresh(t, copies)[: len(least)]] = 0
-            pad = np.zeros(GRAMS - 1, np.uint64)
-            at = np.flatnonzero((_sliding(np.maximum, np.r_[pad, least, pad], GRAMS) == h) & (h > 0))
+            least = _sliding(np.minimum, h, WINDOW)
+            seen, x = np.cumsum(np.r_[0, _fresh(t, copies)]), np.arange(len(least))
+            least[seen[x + 1] == seen[np.maximum(x - (GRAMS - WINDOW), 0)]] = 0  # in no string that counts
+            pad = np.zeros(WINDOW - 1, np.uint64)
+            at = np.flatnonzero((_sliding(np.maximum, np.r_[pad, least, pad], WINDOW) == h) & (h > 0))
             doc = np.searchsorted(t.edges, at, side="right") - 1
             gram, place, row = h[at].view(np.int64), at - t.edges[doc], t.first + doc
             known = _surplus(gram)
@@ -188,7 +190,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, th, text, copies, anchors that repeat) to the stretches of bytes whose strings may repeat: their least gram does."""
+    """(doc_id, th, text, copies, anchors that repeat) to the stretches of bytes whose strings may repeat: every window's least gram does."""
     for b in batches:
         ids, th, copies, anchors = b.column(0), b.column(1), b.column(3), b.column(4)
         for t in bytewise.texts(b.column(2), CHUNK):
@@ -196,10 +198,12 @@ def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(h) < GRAMS:
                 continue
             again = np.unique(np.concatenate([h[np.asarray(anchors[t.first + k].values) + t.edges[k]] for k in range(t.after - t.first)]))
-            least = _sliding(np.minimum, h, GRAMS)
+            least = _sliding(np.minimum, h, WINDOW)
+            found = again[np.minimum(np.searchsorted(again, least), len(again) - 1)] == least
+            every = _sliding(np.minimum, found.view(np.int8), GRAMS - WINDOW + 1) > 0
             live = _fresh(t, copies)
-            live[: len(least)] &= again[np.minimum(np.searchsorted(again, least), len(again) - 1)] == least
-            live[len(least) :] = False
+            live[: len(every)] &= every
+            live[len(every) :] = False
             lo, hi = _edges(live)
             cut = np.searchsorted(t.edges, lo, side="right") - 1
             raw = t.data.tobytes()
