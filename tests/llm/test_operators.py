@@ -184,17 +184,39 @@ def test_chroma_finds_excerpts_and_copies(spark):
     assert chroma.match_media(chroma.fingerprint_media(media.limit(0))).count() == 0
 
 
-def test_chroma_judges_every_offset_with_a_meeting(spark):
+def alignments(prints):
+    """(asker, other) to the best (share of differing bits, -overlap) over all offsets, for ids divisible by 50."""
+    best = {}
+    for q, a in prints.items():
+        for k, b in prints.items() if q % 50 == 0 else ():
+            for off in range(-(len(b) - 16), len(a) - 15) if k != q else ():
+                x, y = max(off, 0), max(-off, 0)
+                n = min(len(a) - x, len(b) - y)
+                if n >= 16:
+                    best[q, k] = min(best.get((q, k), (1, 0)), (float(np.bitwise_count(a[x : x + n] ^ b[y : y + n]).sum()) / (32 * n), -n))
+    return best
+
+
+def test_chroma_links_equal_all_offsets_of_all_pairs(spark):
     r = np.random.default_rng(4)
-    noise = sum(np.uint32(1) << r.integers(0, 32, 50).astype(np.uint32) for _ in range(3)).astype(np.uint32)
-    noise[20:22] = 0
-    mine, other = r.integers(0, 2**32, 50, dtype=np.uint32), np.zeros(50, np.uint32)
-    other[:39] = mine[:39] ^ noise[:39]
-    mine[39:] = other[:11]  # ten runs meet at offset 39, whose overlap is too short; one at 0
-    other[39:] = mine[39:] ^ noise[39:]
-    prints = spark.createDataFrame([(50, mine.view(np.int32).tolist()), (1, other.view(np.int32).tolist())], "media_id bigint, codes array<int>")
-    got = {x.media_id: x for x in chroma.match_media(prints).collect()}
-    assert [(x["class_id"], x["offset"], x["overlap"]) for x in got[50].links] == [(1, 0, 50)]
+    tunes = [chroma.melody(r.normal(size=64)) for _ in range(60)]
+    rows = [(50 * k, chroma.RATE, bytearray(t.tobytes())) for k, t in enumerate(tunes)]
+    for k in range(180):  # excerpts with noise, also cut between frames
+        t = tunes[k % 60][int(r.integers(0, 20 * 256)) :][: 256 * int(r.integers(34, 60))]
+        noisy = np.clip(t * r.uniform(0.4, 1.0) + r.normal(0, (300, 1000, 2000)[k % 3], len(t)), -32000, 32000).astype("<i2")
+        rows.append((50 * k + 7, chroma.RATE, bytearray(noisy.tobytes())))
+    rows += [(10**6 + k, chroma.RATE, bytearray(2 * (20000 + 500 * k))) for k in range(3)] + [(5 * 10**6, chroma.RATE, bytearray(2 * 30000))]
+    prints = chroma.fingerprint_media(spark.createDataFrame(rows, "media_id bigint, rate int, pcm binary"))
+    want = {k: v for k, v in alignments({x.media_id: np.array(x.codes, np.int32).view(np.uint32) for x in prints.collect()}).items() if v[0] <= chroma.MOST_ERRORS}
+    got = {(x.media_id, y["class_id"]): y["bit_errors"] for x in chroma.match_media(prints).collect() if x.media_id % 50 == 0 and x.media_id == x.class_id for y in x.links or ()}
+    assert set(got) <= set(want) and len(set(got)) >= 0.95 * len(want) > 150
+    assert all(got[k] == want[k][0] for k in got)
+
+
+def test_chroma_refuses_unlike_tunes(spark):
+    rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{SF}/embeddings.parquet' LIMIT 300").fetchall()
+    prints = {k: chroma.fingerprint(chroma.chroma(chroma.melody(np.array(v)) / 32768, chroma.RATE)) for k, v in rows}
+    assert min(e for e, _ in alignments(prints).values()) > chroma.MOST_ERRORS + 0.05
 
 
 def test_mixing_equals_sql_and_meets_targets(spark, docs, nothing):

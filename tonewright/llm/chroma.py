@@ -2,9 +2,9 @@
 
 A recording's spectrum is folded into twelve pitch classes per frame; sixteen
 integral-image filters over that picture, two bits each, pack into one 32-bit
-integer per frame. Recordings may align where runs of ``KEY_RUN`` equal integers meet: each
-offset at which one does is judged by the share of differing bits over its overlap, and the best of
-those that pass is the link.
+integer per frame. Recordings may align where integers meet that differ in at most one bit: each
+offset at which two do is judged by the share of differing bits over its overlap, and the best of
+those that pass is the link. Where an integer stands still for more than ``STILL`` frames (silence, a held chord) the first ``STILL`` are looked up.
 
 Recordings with equal fingerprints form a class, and classes are compared by
 their first member, so a group of copies costs one comparison. Null, empty and too
@@ -29,9 +29,9 @@ LOWEST, HIGHEST = 55.0, 1760.0
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 CLASSES = 12
 THRESHOLDS = (-0.3, 0.0, 0.3)
-KEY_RUN = 2
-LEAST_OVERLAP = 12
-MOST_ERRORS = 0.35
+STILL = 4
+LEAST_OVERLAP = 16
+MOST_ERRORS = 0.15  # unlike tunes differ in a quarter of their bits or more, wherever they are laid
 QUERY_STEP = 50
 GRAY = np.array([0, 1, 3, 2], dtype=np.uint32)
 
@@ -83,17 +83,18 @@ def fingerprint(image: np.ndarray) -> np.ndarray:
 
     codes = np.zeros(n, np.uint32)
     for kind, p, h, w in filters():
-        top, half, mid = p + h, w // 2, p + h // 2
-        whole = area(0, w, p, top)
+        top, half, mid, third = p + h, w // 2, p + h // 2, w // 3
         if kind == 0:  # later against earlier
-            a = area(half, w, p, top)
+            parts = [(half, w, p, top)]
         elif kind == 1:  # higher against lower
-            a = area(0, w, mid, top)
+            parts = [(0, w, mid, top)]
         elif kind == 2:  # the diagonal quarters against the others
-            a = area(0, half, p, mid) + area(half, w, mid, top)
+            parts = [(0, half, p, mid), (half, w, mid, top)]
         else:  # the middle third of the frames against the outer ones
-            a = area(w // 3, w - w // 3, p, top)
-        value = np.log((0.05 + a) / (0.05 + whole - a))
+            parts = [(third, w - third, p, top)]
+        size = sum((t1 - t0) * (p1 - p0) for t0, t1, p0, p1 in parts)
+        a = sum(area(*x) for x in parts)
+        value = np.log((0.02 + a / size) / (0.02 + (area(0, w, p, top) - a) / (w * h - size)))
         codes = codes << np.uint32(2) | GRAY[np.digitize(value, THRESHOLDS)]
     return codes
 
@@ -124,18 +125,21 @@ def match_media(prints: DataFrame) -> DataFrame:
     query = (F.pmod("media_id", F.lit(QUERY_STEP)) == 0).cast("int")
     classes = prints.groupBy("codes_sha256").agg(F.min("media_id").alias("class_id"), F.max(query).alias("query"), F.first("codes").alias("codes"))
     classes = materialize(classes, "classes")
-    run = F.expr(f"transform(sequence(1, size(codes) - {KEY_RUN - 1}), i -> struct(i AS at, slice(codes, i, {KEY_RUN}) AS key))")
-    posts = classes.where(F.size("codes") >= KEY_RUN).select("class_id", "query", F.explode(run).alias("p"))
-    posts = posts.select("class_id", "query", F.xxhash64("p.key").alias("key"), F.col("p.at").alias("at"))
-    asked = posts.where("query = 1").select(F.col("class_id").alias("asker"), "key", F.col("at").alias("asked_at"))
+    still = " AND ".join(f"codes[i - 1] = codes[i - {1 + k}]" for k in range(1, STILL + 1))
+    run = F.expr(f"filter(transform(sequence(1, size(codes)), i -> struct(i AS at, codes[i - 1] AS key, i > {STILL} AND {still} AS still)), p -> NOT p.still)")
+    posts = classes.where(F.size("codes") > 0).select("class_id", "query", F.explode(run).alias("p"))
+    posts = posts.select("class_id", "query", F.col("p.key").alias("key"), F.col("p.at").alias("at"))
+    near = F.explode(F.expr("transform(sequence(-1, 31), k -> IF(k < 0, key, key ^ shiftleft(1, k)))"))
+    asked = posts.where("query = 1").select(F.col("class_id").alias("asker"), near.alias("key"), F.col("at").alias("asked_at"))
     meetings = posts.drop("query").join(asked, "key").where("class_id <> asker")
     offsets = meetings.groupBy("asker", "class_id").agg(F.collect_set(F.col("asked_at") - F.col("at")).alias("offsets"))
     codes = classes.select("class_id", "codes")
     pairs = offsets.join(codes.select(F.col("class_id").alias("asker"), F.col("codes").alias("mine")), "asker").join(codes.withColumnRenamed("codes", "other"), "class_id")
     pairs = pairs.withColumn("offset", F.explode("offsets")).drop("offsets")
     a, b = F.greatest(F.col("offset"), F.lit(0)), F.greatest(-F.col("offset"), F.lit(0))
+    # bit_count widens an int with its sign: 32 bits too many where it is negative
     n = F.least(F.size("mine") - a, F.size("other") - b)
-    wrong = F.expr("aggregate(zip_with(slice(mine, a + 1, n), slice(other, b + 1, n), (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    wrong = F.expr("aggregate(zip_with(slice(mine, a + 1, n), slice(other, b + 1, n), (x, y) -> bit_count(x ^ y) - IF(x ^ y < 0, 32, 0)), 0, (s, x) -> s + x)")
     pairs = pairs.withColumn("a", a).withColumn("b", b).withColumn("n", n).withColumn("wrong", wrong)
     passed = pairs.where((F.col("n") >= LEAST_OVERLAP) & (F.col("wrong") <= MOST_ERRORS * 32 * F.col("n")))
     passed = passed.withColumn("bit_errors", F.col("wrong") / (32 * F.col("n")))
