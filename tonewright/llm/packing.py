@@ -117,7 +117,7 @@ class TextEncoder:
         at, raw = np.flatnonzero(odd), body.tobytes()
         for k, ids in zip(at.tolist(), self._library([raw[starts[k] : ends[k]] for k in at.tolist()])):
             found[k] = ids
-        count = np.array([len(x) for x in found])
+        count = np.array([len(x) for x in found], np.int64)
         parts = []
         for lo, hi in ((0, 4), (4, 8), (8, 16), (16, LONGEST)):
             at = np.flatnonzero(~odd & (size > lo) & (size <= hi))
