@@ -71,12 +71,55 @@ def test_quality_rules(spark, docs, nothing):
     assert quality_rules.quality_rules(nothing).count() == 0
 
 
+def plain_em(votes, rounds=2000):
+    """EM document by document, without a table of patterns: posteriors."""
+    n, rules = votes.shape
+    post = [0.97 if (v == 0).sum() == 0 else 0.4 if (v == 0).sum() == 1 else 0.05 for v in votes]
+    for _ in range(rounds):
+        share = (sum(post) + 1) / (n + 2)
+        acc = []
+        for c, (x, y) in ((0, (2.0, 2.0)), (1, (4.0, 1.0))):
+            weight = np.array(post) if c else 1 - np.array(post)
+            right, wrong = (weight[:, None] * (votes == c)).sum(axis=0), (weight[:, None] * (votes == 1 - c)).sum(axis=0)
+            acc.append((right + x) / (right + wrong + x + y))
+        new = []
+        for v in votes:
+            good, bad = share, 1 - share
+            for k in range(rules):
+                if v[k] == 1:
+                    good, bad = good * acc[1][k], bad * (1 - acc[0][k])
+                elif v[k] == 0:
+                    good, bad = good * (1 - acc[1][k]), bad * acc[0][k]
+            new.append(good / (good + bad))
+        moved, post = np.abs(np.array(new) - post).max(), new
+        if moved < 1e-9:
+            break
+    return np.array(post)
+
+
+def test_posteriors_equal_a_plain_em(spark):
+    got = {r.doc_id: r for r in queries()["op1_quality_rules"](spark, SF).collect()}
+    texts = texts_of()
+    votes = quality_rules.rule_votes(np.array([quality_rules.text_statistics(t) for t in texts.values()]))
+    post = dict(zip(texts, plain_em(votes)))
+    assert all(abs(got[i].posterior - post[i]) < 1e-5 and got[i].kept == (not got[i].base_failed and post[i] >= 0.5) for i in texts)
+
+
+def test_posterior_keeps_good_documents_that_one_rule_refuses(spark):
+    sf = SF.replace("0.001", "0.01")
+    texts, labels = (dict(duckdb.sql(f"SELECT doc_id, {c} FROM '{sf}/{t}.parquet'").fetchall()) for c, t in (("text", "documents"), ("quality", "labels")))
+    refused = {i for i, v in zip(texts, quality_rules.rule_votes(np.array([quality_rules.text_statistics(t) for t in texts.values()]))) if (v == 0).any()}
+    kept = {r.doc_id: r.kept for r in queries()["op1_quality_rules"](spark, sf).collect()}
+    assert sum(kept[i] for i in refused) >= 20 and not any(kept[i] for i in refused if labels.get(i) == 0)
+    assert np.mean([kept[i] == bool(y) for i, y in labels.items() if y == 0 or base_statistics(texts[i])[0] >= 50]) > 0.95
+
+
 def test_rule_accuracies_find_the_planted_class():
-    r = np.random.default_rng(1)
+    r, rules = np.random.default_rng(1), len(quality_rules.RULES)
     good = r.random(4000) < 0.85
-    votes = np.where(good[:, None], r.random((4000, 8)) < 0.98, r.random((4000, 8)) < 0.45).astype(int)  # 1 good, 0 bad
-    votes[r.random((4000, 8)) < 0.2] = quality_rules.ABSTAIN
-    code = ((votes + 1) * 3 ** np.arange(8)).sum(axis=1)
+    votes = np.where(good[:, None], r.random((4000, rules)) < 0.9, r.random((4000, rules)) < 0.45).astype(int)  # 1 good, 0 bad
+    votes[r.random((4000, rules)) < 0.2] = quality_rules.ABSTAIN
+    code = ((votes + 1) * 3 ** np.arange(rules)).sum(axis=1)
     patterns, inverse, counts = np.unique(code, return_inverse=True, return_counts=True)
     post, _, share = quality_rules.fit_accuracies(patterns, counts)
     assert abs(share - 0.85) < 0.05 and ((post[inverse] >= 0.5) == good).mean() > 0.95
@@ -444,6 +487,7 @@ def test_text_encoder_equals_the_library():
     got = packing.TextEncoder(file)(pa.array(texts))
     assert [g.tolist() for g in got] == [[*tok.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
     assert packing.TextEncoder(file)(pa.array([], pa.string())) == []
+    assert [g.tolist() for g in packing.TextEncoder(file)(pa.array([None, "", " \n"]))] == [[2]] * 3
 
 
 def test_examples_keep_the_loss_limit(spark):
