@@ -291,6 +291,68 @@ def test_language_id(spark, docs, nothing):
     assert language_id.accept_documents(nothing).count() == 0
 
 
+FOREIGN = (
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "xq zkvj wpf qqz jxk vvbn zzkp qwx jfgh kkp xzq vbnm wqp zxcv jklh gfds qwrt", "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+)
+
+
+def test_foreign_texts_go_and_wrong_declarations_do_not_matter(spark):
+    known = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    wrong = known.where("doc_id % 3 = 0").selectExpr("doc_id + 1000000 AS doc_id", "text", "CASE lang WHEN 'en' THEN 'fr' ELSE 'en' END AS lang", "source", "n_chars")
+    foreign = spark.createDataFrame([(-1 - k, t, ("en", "fr", None, "de")[k], "src0", 0) for k, t in enumerate(FOREIGN)], SCHEMA)
+    table = known.union(wrong).union(foreign)
+    got = {r.doc_id: r for r in language_id.identify(language_id.of_documents(table), table.select("lang", "text")).collect()}
+    lang = dict(known.select("doc_id", "lang").collect())
+    assert all(not got[-1 - k].kept and got[-1 - k].language == "other" for k in range(len(FOREIGN)))
+    assert np.mean([got[i].kept and got[i].language == lang[i] for i in lang]) > 0.99
+    assert np.mean([got[i].kept and got[i].language == lang[i - 10**6] for i in got if i >= 10**6]) > 0.97
+    assert {r.doc_id for r in language_id.accept_documents(table).select("doc_id").collect()} == {i for i, r in got.items() if r.kept}
+
+
+def plain_posteriors(rows):
+    """Rows (host, declared, suffix, text evidence per class or None) to posteriors per class, one by one."""
+    classes = language_id.CLASSES
+    best = [None if t is None else next(c for c in classes if t[c] == max(t.values())) for *_, t in rows]
+    domain = lambda host: ".".join(host.split(".")[::-1][:2])
+    world = Counter(b for b in best if b)
+    out = []
+    for k, (host, declared, suffix, t) in enumerate(rows):
+        others = [j for j in range(len(rows)) if j != k and best[j]]
+        post = {}
+        for c in classes:
+            share = (world[c] + 1) / (sum(world.values()) + len(classes))
+            near = [best[j] for j in others if domain(rows[j][0]) == domain(host)]
+            here = [best[j] for j in others if rows[j][0] == host]
+            wide = (near.count(c) + 4.0 * share) / (len(near) + 4.0)
+            prior = (here.count(c) + 4.0 * wide) / (len(here) + 4.0)
+            says = 1.0
+            for col, value in ((1, declared), (2, suffix)):
+                says *= (sum(best[j] == c and rows[j][col] == value for j in others) + 1) / (world[c] + len(classes))
+            post[c] = (t[c] if t else 0.0) + np.log(prior) + np.log(says)
+        top = max(post.values())
+        mass = {c: np.exp(p - top) for c, p in post.items()}
+        out.append({c: m / sum(mass.values()) for c, m in mass.items()})
+    return out
+
+
+def test_fused_evidence_equals_plain_bayes(spark):
+    r = np.random.default_rng(7)
+    rows, given = [], []
+    for k in range(150):
+        host = ["a.example.de", "b.example.de", "c.org", "", "d.org"][k % 5]
+        declared, suffix = ["de", "en", ""][int(r.integers(3))], host.split(".")[-1]
+        ll = None if k % 11 == 0 else [float(x) for x in np.round(r.normal(0, 3, 4) + [2.0 * (host[-2:] == "de"), 1.0, 0.0, 0.0], 3)]
+        rows.append((k, declared, host, suffix, 0 if ll is None else 50, *(ll or [0.0] * 4)))
+        given.append((host, declared, suffix, None if ll is None else dict(zip(language_id.CLASSES, [x / 3 for x in ll] + [0.0]))))
+    scored = spark.createDataFrame(rows, "doc_id bigint, declared string, host string, suffix string, letters bigint, " + ", ".join(f"ll_{x} double" for x in language_id.LANGUAGES))
+    want = plain_posteriors(given)
+    for x in language_id.fuse(scored).collect():
+        assert abs(x.posterior - max(want[x.doc_id].values())) < 1e-9 and abs(want[x.doc_id][x.language] - x.posterior) < 1e-9
+        assert x.kept == (x.letters > 0 and x.language != "other" and x.posterior >= 0.5)
+
+
 def test_pages_give_their_evidence(spark):
     rows = [(4, "https://user@Blog.Example.co.uk:80/x", '<HTML class=a LANG="de-AT"><p>x</p>'), (5, None, None), (6, "nonsense", "<p>lang=fr")]
     got = {r.doc_id: r for r in language_id.of_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}

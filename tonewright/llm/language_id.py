@@ -7,8 +7,12 @@ and the domain's towards the corpus's. How far each can be trusted is itself
 counted, against the languages that the texts alone suggest, by grouped
 aggregation; a row's own vote is taken out of its host's and domain's counts.
 
-A row is kept when it has letters and the posterior of its best language reaches
-the threshold. Null and empty texts have no text evidence and are not kept;
+Beside the languages stands the class ``other``: letters as frequent as in the corpus, but in no language's order. Text in
+another language, or gibberish, is likelier there. The training texts are dealt into two halves by a
+hash of the text, and each half is scored by what the other taught, so a row's declaration is no evidence twice.
+
+A row is kept when it has letters, its best class is a language, and the posterior of that reaches
+the threshold; of equal posteriors the first class in the order of ``CLASSES`` is the best. Null and empty texts have no text evidence and are not kept;
 null or unknown declarations, hosts and suffixes are evidence of nothing but their
 own kind. Repeated rows and rows without an id each count. Extra columns are ignored.
 """
@@ -26,8 +30,11 @@ from .common import materialize, unused
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS = 1 << 15
+OTHER = "other"
+CLASSES = (*LANGUAGES, OTHER)
+FOLDS = 2
+BASE = 2000.0  # trigrams that the letters' frequencies alone stand for in each language's table
 TEMPER = 1 / 3  # overlapping trigrams tell each letter three times
-MOST_TEXT = 60.0  # log units that text may speak for one language over another
 SMOOTH = 4.0
 THRESHOLD = 0.5
 SALTS = 16
@@ -43,67 +50,104 @@ def trigrams(data: np.ndarray) -> np.ndarray:
     if len(data) < 1:
         return np.zeros(0, np.int64)
     f = _FOLD[np.r_[np.uint8(32), data, np.uint8(32)]]
-    code = (f[:-2] * np.uint32(0x9E3779B1)) ^ (f[1:-1] * np.uint32(0x85EBCA77)) ^ (f[2:] * np.uint32(0xC2B2AE3D))
-    borders = (f[:-2] == 32).astype(np.uint8) + (f[1:-1] == 32) + (f[2:] == 32)
+    code, counts = _codes(f[:-2], f[1:-1], f[2:])
+    return code[counts]
+
+
+def _codes(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of folded trigrams, and which of them count."""
+    code = (a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77)) ^ (c * np.uint32(0xC2B2AE3D))
+    borders = (a == 32).astype(np.uint8) + (b == 32) + (c == 32)
     code = (code ^ (code >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    return (code >> np.uint32(17))[borders < 2].astype(np.int64)
+    return (code >> np.uint32(17)).astype(np.int64), borders < 2
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(language number, text) to counts per language and bucket, one row each per task."""
-    total = np.zeros((len(LANGUAGES), BUCKETS), np.int64)
+    """(language number, fold, text) to counts per table and bucket, one row each per task; buckets from ``BUCKETS`` on count folded bytes."""
+    total = np.zeros((len(LANGUAGES) * FOLDS, BUCKETS + 256), np.int64)
     for b in batches:
-        for k, text in zip(b.column(0).to_pylist(), b.column(1)):
+        for k, fold, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
             data = np.frombuffer((text.as_py() or "").encode("utf-8", "replace"), np.uint8)
             for at in range(0, len(data), CHUNK):
-                total[k] += np.bincount(trigrams(data[at : at + CHUNK]), minlength=BUCKETS)
-    lang, bucket = np.nonzero(total)
-    if len(lang):
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (lang, bucket, total[lang, bucket])], names=["lang", "bucket", "n"])
+                part, row = data[at : at + CHUNK], total[k * FOLDS + fold]
+                row[:BUCKETS] += np.bincount(trigrams(part), minlength=BUCKETS)
+                row[BUCKETS:] += np.bincount(_FOLD[part], minlength=256)
+    table, bucket = np.nonzero(total)
+    if len(table):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (table, bucket, total[table, bucket])], names=["tab", "bucket", "n"])
+
+
+def _fold(text: Column) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(FOLDS))
+
+
+def letters_alone(frequency: np.ndarray) -> np.ndarray:
+    """The share of each bucket among trigrams of independent folded bytes."""
+    known = np.unique(_FOLD).astype(np.uint8)
+    share = np.zeros(256)
+    share[known] = (frequency[known] + 0.5) / (frequency[known] + 0.5).sum()
+    out, two = np.zeros(BUCKETS), share[known][:, None] * share[known]
+    for first in known:
+        # the trigrams of first, x, y for all x and y: borders of a lone text are left out as in trigrams()
+        f = [np.full(two.shape, first, np.uint32), np.broadcast_to(known[:, None], two.shape).astype(np.uint32), np.broadcast_to(known, two.shape).astype(np.uint32)]
+        code, counts = _codes(*f)
+        out += np.bincount(code[counts], weights=(share[first] * two)[counts], minlength=BUCKETS)
+    return out / out.sum()
 
 
 def train(texts: DataFrame) -> np.ndarray:
-    """Log-probabilities (languages x buckets) from a table (lang, text), counted over all its rows."""
+    """From a table (lang, text), counted over all its rows: how much likelier a trigram is in a language than its letters alone make it (logs; folds x languages x buckets).
+
+    The tables of a fold are counted over the texts of all others.
+    """
     number = F.array_position(F.array(*map(F.lit, LANGUAGES)), F.col("lang")) - 1
-    rows = texts.where(F.col("lang").isin(*LANGUAGES)).select(number.cast("bigint").alias("k"), F.col("text").cast("string"))
-    counts = rows.mapInArrow(_count, "lang bigint, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = np.full((len(LANGUAGES), BUCKETS), 0.5)
-    found = counts.toPandas()  # at most languages x buckets rows
-    table[found["lang"].to_numpy(int), found["bucket"].to_numpy(int)] += found["n"].to_numpy(float)
-    return np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+    text = F.col("text").cast("string")
+    rows = texts.where(F.col("lang").isin(*LANGUAGES)).select(number.cast("bigint").alias("k"), _fold(text).cast("bigint").alias("f"), text.alias("text"))
+    counts = rows.mapInArrow(_count, "tab bigint, bucket bigint, n bigint").groupBy("tab", "bucket").agg(F.sum("n").alias("n"))
+    table = np.zeros((len(LANGUAGES) * FOLDS, BUCKETS + 256))
+    found = counts.toPandas()  # at most languages x folds x buckets rows
+    table[found["tab"].to_numpy(int), found["bucket"].to_numpy(int)] = found["n"].to_numpy(float)
+    table = table.reshape(len(LANGUAGES), FOLDS, -1).swapaxes(0, 1)
+    out = []
+    for f in range(FOLDS):
+        seen = np.delete(table, f, axis=0).sum(axis=0)
+        alone = np.maximum(letters_alone(seen[:, BUCKETS:].sum(axis=0)), 1e-12)
+        c = seen[:, :BUCKETS]
+        out.append(np.log((c + BASE * alone) / (c.sum(axis=1, keepdims=True) + BASE)) - np.log(alone))
+    return np.array(out, np.float32)
 
 
 def score_texts(rows: DataFrame, model: np.ndarray) -> DataFrame:
-    """(doc_id, text, markup, declared, host, suffix) to the same without text and markup, with letters and ll (per language).
+    """(doc_id, text, markup, declared, host, suffix) to the same without text and markup, with letters and ll (per language, against ``other``).
 
     ``markup`` says that the text is a page, whose tags are taken out.
     """
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.ascontiguousarray(shared.value.T)
+        tables = [np.ascontiguousarray(t.T) for t in shared.value]
         for b in batches:
             out, letters = np.zeros((b.num_rows, len(LANGUAGES))), np.zeros(b.num_rows, np.int64)
-            for r, (text, markup) in enumerate(zip(b.column(1), b.column(2).to_pylist())):
+            for r, (text, markup, fold) in enumerate(zip(b.column(1), b.column(2).to_pylist(), b.column(6).to_pylist())):
                 s = text.as_py() or ""
                 data = np.frombuffer((_MARKUP.sub(" ", s) if markup else s).encode("utf-8", "replace"), np.uint8)
                 for at in range(0, len(data), CHUNK):
                     seen = trigrams(data[at : at + CHUNK])
-                    out[r] += table[seen].sum(axis=0, dtype=np.float64)
+                    out[r] += tables[fold][seen].sum(axis=0, dtype=np.float64)
                     letters[r] += len(seen)
             cols = [b.column(0), *(b.column(k) for k in (3, 4, 5)), pa.array(letters), *(pa.array(out[:, k]) for k in range(len(LANGUAGES)))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "declared", "host", "suffix", "letters", *(f"ll_{x}" for x in LANGUAGES)])
 
     schema = "doc_id bigint, declared string, host string, suffix string, letters bigint, " + ", ".join(f"ll_{x} double" for x in LANGUAGES)
-    return rows.select("doc_id", "text", "markup", "declared", "host", "suffix").mapInArrow(run, schema)
+    return rows.select("doc_id", "text", "markup", "declared", "host", "suffix", _fold(F.col("text")).cast("int").alias("fold")).mapInArrow(run, schema)
 
 
 def _votes(keys: list[str], t: DataFrame, name: str) -> DataFrame:
-    return t.groupBy(*keys).agg(*(F.sum((F.col("best") == x).cast("double") * F.col("votes")).alias(f"{name}_{x}") for x in LANGUAGES))
+    return t.groupBy(*keys).agg(*(F.sum((F.col("best") == x).cast("double") * F.col("votes")).alias(f"{name}_{x}") for x in CLASSES))
 
 
 def _total(name: str) -> Column:
-    return sum((F.col(f"{name}_{x}") for x in LANGUAGES), F.lit(0.0))
+    return sum((F.col(f"{name}_{x}") for x in CLASSES), F.lit(0.0))
 
 
 def fuse(scored: DataFrame) -> DataFrame:
@@ -113,12 +157,12 @@ def fuse(scored: DataFrame) -> DataFrame:
     over all rows; their tables, and those of hosts and domains, are aggregated first
     and joined with salt, so a host with a third of all rows spreads over tasks.
     """
-    text = {x: F.col(f"ll_{x}") * TEMPER for x in LANGUAGES}
+    text = {x: F.col(f"ll_{x}") * TEMPER for x in LANGUAGES} | {OTHER: F.lit(0.0)}
     top = F.greatest(*text.values())
     t = scored.withColumn("top", top)
-    for x in LANGUAGES:
-        t = t.withColumn(f"t_{x}", F.greatest(text[x] - F.col("top"), F.lit(-MOST_TEXT)))
-    best = F.coalesce(*(F.when(F.col(f"t_{x}") >= 0, x) for x in LANGUAGES))
+    for x in CLASSES:
+        t = t.withColumn(f"t_{x}", text[x] - F.col("top"))
+    best = F.coalesce(*(F.when(F.col(f"t_{x}") >= 0, x) for x in CLASSES))
     t = t.withColumn("best", F.when(F.col("letters") > 0, best)).withColumn("votes", (F.col("letters") > 0).cast("double"))
     t = t.withColumn("declared", F.coalesce(F.lower(F.substring("declared", 1, 2)), F.lit("")))
     t = t.withColumn("suffix", F.coalesce(F.lower("suffix"), F.lit(""))).withColumn("host", F.coalesce(F.lower("host"), F.lit("")))
@@ -129,31 +173,31 @@ def fuse(scored: DataFrame) -> DataFrame:
     hosts = _votes(["host", "domain"], kinds, "h")
     domains = _votes(["domain"], kinds, "d")
     declared, suffix = _votes(["declared"], kinds, "c"), _votes(["suffix"], kinds, "s")
-    overall = kinds.groupBy().agg(*(F.coalesce(F.sum((F.col("best") == x).cast("double") * F.col("votes")), F.lit(0.0)).alias(f"g_{x}") for x in LANGUAGES)).first()
-    world = {x: (overall[f"g_{x}"] + 1) / (sum(overall) + len(LANGUAGES)) for x in LANGUAGES}
+    overall = kinds.groupBy().agg(*(F.coalesce(F.sum((F.col("best") == x).cast("double") * F.col("votes")), F.lit(0.0)).alias(f"g_{x}") for x in CLASSES)).first()
+    world = {x: (overall[f"g_{x}"] + 1) / (sum(overall) + len(CLASSES)) for x in CLASSES}
     spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     places = hosts.join(domains, "domain").drop("domain").withColumn("salt", spread)
     for side, keys in ((places, ["host", "salt"]), (declared.withColumn("salt", spread), ["declared", "salt"]), (suffix.withColumn("salt", spread), ["suffix", "salt"])):
         t = t.join(side, keys, "left")
     for name in "hdcs":
-        t = t.fillna(0.0, [f"{name}_{x}" for x in LANGUAGES])
+        t = t.fillna(0.0, [f"{name}_{x}" for x in CLASSES])
 
-    mine = {x: F.coalesce((F.col("best") == x).cast("double"), F.lit(0.0)) for x in LANGUAGES}
+    mine = {x: F.coalesce((F.col("best") == x).cast("double"), F.lit(0.0)) for x in CLASSES}
     own = sum(mine.values(), F.lit(0.0))
     logs = {}
-    for x in LANGUAGES:
+    for x in CLASSES:
         domain = (F.col(f"d_{x}") - mine[x] + SMOOTH * world[x]) / (_total("d") - own + SMOOTH)
         prior = (F.col(f"h_{x}") - mine[x] + SMOOTH * domain) / (_total("h") - own + SMOOTH)
         n = overall[f"g_{x}"]
-        says = lambda name: F.log((F.col(f"{name}_{x}") - mine[x] + 1.0) / (n + len(LANGUAGES)))  # noqa: E731, B023
+        says = lambda name: F.log((F.col(f"{name}_{x}") - mine[x] + 1.0) / (n + len(CLASSES)))  # noqa: E731, B023
         logs[x] = F.col(f"t_{x}") + F.log(F.greatest(prior, F.lit(1e-9))) + says("c") + says("s")
-    t = t.select("doc_id", "declared", "host", "suffix", "letters", "best", *(logs[x].alias(f"p_{x}") for x in LANGUAGES))
+    t = t.select("doc_id", "declared", "host", "suffix", "letters", "best", *(logs[x].alias(f"p_{x}") for x in CLASSES))
     t = materialize(t, "fused")  # in one expression with what follows, the generated code outgrows the compiler
-    most = F.greatest(*(F.col(f"p_{x}") for x in LANGUAGES))
-    mass = sum((F.exp(F.col(f"p_{x}") - most) for x in LANGUAGES), F.lit(0.0))
-    language = F.coalesce(*(F.when(F.col(f"p_{x}") >= most, x) for x in LANGUAGES))
+    most = F.greatest(*(F.col(f"p_{x}") for x in CLASSES))
+    mass = sum((F.exp(F.col(f"p_{x}") - most) for x in CLASSES), F.lit(0.0))
+    language = F.coalesce(*(F.when(F.col(f"p_{x}") >= most, x) for x in CLASSES))
     t = t.withColumn("language", language).withColumn("posterior", 1 / mass)
-    kept = (F.col("letters") > 0) & (F.col("posterior") >= THRESHOLD)
+    kept = (F.col("letters") > 0) & (F.col("language") != OTHER) & (F.col("posterior") >= THRESHOLD)
     return t.select("doc_id", "language", "posterior", kept.alias("kept"), F.col("best").alias("text_language"), "declared", "host", "suffix", "letters")
 
 
