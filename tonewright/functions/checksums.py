@@ -14,20 +14,26 @@ def byte_array(data: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), one)).when(n == 0, F.array().cast("array<int>"))
 
 
-def _eight(step):
-    return lambda crc: F.aggregate(F.sequence(F.lit(1), F.lit(8)), crc, lambda c, _: step(c))
+def _table(start, step) -> Column:
+    """What eight steps make of each byte, as one literal array."""
+    out = []
+    for v in map(start, range(256)):
+        for _ in range(8):
+            v = step(v)
+        out.append(F.lit(v))
+    return F.array(*out)
 
 
 def crc16_arc(data: Column) -> Column:
     """CRC-16/ARC: reflected polynomial, register zero; the checksum of tag frames."""
-    shift = _eight(lambda c: F.shiftright(c, 1).bitwiseXOR(F.when(c.bitwiseAND(F.lit(1)) == 1, ARC_POLY).otherwise(0)))
-    return F.aggregate(byte_array(data), F.lit(0), lambda crc, b: shift(crc.bitwiseXOR(b)))
+    after = _table(lambda b: b, lambda c: c >> 1 ^ (ARC_POLY if c & 1 else 0))
+    return F.aggregate(byte_array(data), F.lit(0), lambda crc, b: F.shiftright(crc, 8).bitwiseXOR(F.get(after, crc.bitwiseXOR(b).bitwiseAND(F.lit(0xFF)))))
 
 
 def frame_crc(data: Column) -> Column:
     """The frame CRC over whole bytes: polynomial 0x8005, register all ones, most significant bit first."""
-    shift = _eight(lambda c: F.shiftleft(c, 1).bitwiseAND(F.lit(0xFFFF)).bitwiseXOR(F.when(c.bitwiseAND(F.lit(0x8000)) != 0, FRAME_POLY).otherwise(0)))
-    return F.aggregate(byte_array(data), F.lit(0xFFFF), lambda crc, b: shift(crc.bitwiseXOR(F.shiftleft(b, 8))))
+    after = _table(lambda b: b << 8, lambda c: c << 1 & 0xFFFF ^ (FRAME_POLY if c & 0x8000 else 0))
+    return F.aggregate(byte_array(data), F.lit(0xFFFF), lambda crc, b: F.shiftleft(crc, 8).bitwiseAND(F.lit(0xFFFF)).bitwiseXOR(F.get(after, F.shiftright(crc, 8).bitwiseXOR(b))))
 
 
 def fnv1a_64(data: Column) -> Column:

@@ -22,7 +22,7 @@ def sine_window(n: int, i: Column) -> Column:
 
 def inverse_mdct(lines: DataFrame, keys: list[str], n: int) -> DataFrame:
     """(keys, k, x) of n/2 lines to (keys, i, y) of n windowed samples."""
-    wide = lines.where("x <> 0").select(*keys, "k", "x", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    wide = lines.select(*keys, "k", "x", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
     wide = wide.withColumn("part", F.col("x") * imdct_weight(n, F.col("i"), F.col("k")))
     return wide.groupBy(*keys, "i").agg(F.sum("part").alias("y")).withColumn("y", F.col("y") * sine_window(n, F.col("i")))
 

@@ -8,7 +8,8 @@ from ..functions import encoding as E
 from ..operators import streams
 from ..functions import scalefactors as S
 from ..functions.tables import BITRATES_MPEG1, LONG_44, LOWPASS, SHORT_44, SLEN1, SLEN2
-from .registry import query, sql_list, table
+from .registry import SQL, query, sql_list, table
+from . import spectra  # noqa: F401  (the SQL of one query here holds one of its)
 
 
 @query(
@@ -128,6 +129,22 @@ def lsf_scalefactor_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("l_orderkey", "l_linenumber", S.lsf_bits(lengths, row, F.col("l_partkey") % 3).cast("int").alias("bits"))
 
 
+_GROUPS = sql_list(n for r in S.GROUPS_LSF for k in r for n in k)
+
+
+@query(
+    f"""SELECT l_orderkey, l_linenumber, CAST(len0 * {_GROUPS}[spot + 1] + len1 * {_GROUPS}[spot + 2] + len2 * {_GROUPS}[spot + 3] + len3 * {_GROUPS}[spot + 4] AS INTEGER) AS bits
+    FROM (SELECT *, groups_row * 12 + l_orderkey % 3 * 4 AS spot FROM ({SQL["lsf_scalefactor_lengths"]}))"""
+)
+def lsf_scalefactor_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits of a granule's scalefactors at the lower rates: both channels' rules, all rows of lengths, long, short and mixed blocks."""
+    from ..functions.layers import lsf_lengths
+
+    t = table(spark, sf_dir, "lineitem")
+    lengths, row, _ = lsf_lengths((F.col("l_partkey") % 512).cast("int"), F.col("l_suppkey") % 2 == 1)
+    return t.select("l_orderkey", "l_linenumber", S.lsf_bits(lengths, row, F.col("l_orderkey") % 3).cast("int").alias("bits"))
+
+
 @query(
     """WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 14 + 1 AS i FROM lineitem),
     r AS (SELECT l_orderkey, sum(len) AS bytes, count(*) AS frames FROM (SELECT l_orderkey, 417 + l_partkey % 2 AS len FROM b) GROUP BY 1)

@@ -138,7 +138,7 @@ def free_format_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("l_orderkey", "l_linenumber", H.measured_bitrate(F.col("len"), word).alias("bitrate"))
 
 
-_BYTES = "[CAST(('0x' || substr(md5(text), 2 * i - 1, 2)) AS BIGINT) for i in range(1, 17)]"
+_BYTES = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda v: CAST(('0x' || v) AS BIGINT))"
 _FOLD = "list_reduce(list_concat([CAST({seed} AS BIGINT)], {bytes}), lambda c, b: list_reduce(list_concat([{mix}], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: {step}))"
 
 
@@ -150,8 +150,8 @@ _FOLD = "list_reduce(list_concat([CAST({seed} AS BIGINT)], {bytes}), lambda c, b
     + " AS INTEGER) AS frame FROM documents"
 )
 def checksums_of_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both CRC-16s over sixteen bytes of each document."""
-    t = table(spark, sf_dir, "documents").select("doc_id", F.unhex(F.md5("text")).alias("b"))
+    """Both CRC-16s over all bytes of each document."""
+    t = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
     return t.select("doc_id", checksums.crc16_arc(F.col("b")).alias("arc"), checksums.frame_crc(F.col("b")).alias("frame"))
 
 
@@ -206,14 +206,6 @@ def side_info_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     + "), lambda h, b: (h - h % 256 + xor((h % 256)::BIGINT, b::BIGINT)) * 1099511628211 % 18446744073709551616::HUGEINT) AS VARCHAR) AS fnv FROM documents"
 )
 def stream_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FNV-1a over sixteen bytes of each document."""
-    t = table(spark, sf_dir, "documents").select("doc_id", F.unhex(F.md5("text")).alias("b"))
-    return t.select("doc_id", checksums.fnv1a_64(F.col("b")).cast("string").alias("fnv"))
-
-
-@query()
-def checksums_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both CRC-16s and FNV-1a over all bytes of each document."""
+    """FNV-1a over all bytes of each document."""
     t = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
-    b = F.col("b")
-    return t.select("doc_id", checksums.crc16_arc(b).alias("arc"), checksums.frame_crc(b).alias("frame"), checksums.fnv1a_64(b).cast("string").alias("fnv"))
+    return t.select("doc_id", checksums.fnv1a_64(F.col("b")).cast("string").alias("fnv"))

@@ -9,7 +9,7 @@ from .registry import query, sql_list, table
 from ..functions.tables import LONG_44
 from ..functions.psychoacoustics import bark, spreading
 
-EDGES = tuple(e for e in LONG_44 if e <= 62)  # the eleven bands that a vector of 64 lines fills
+EDGES = LONG_44[: next(k for k, e in enumerate(LONG_44) if e >= 64) + 1]  # the bands that a vector of 64 lines reaches; zeros fill the last one
 LINE_HZ = 44100 / 1152
 _B = list(zip(EDGES, EDGES[1:]))
 _Z = [bark((a + b) * 0.5 * LINE_HZ) for a, b in _B]
@@ -19,7 +19,7 @@ for _i, (_a, _b) in enumerate(_B):
     _norm = sum(r * (b - a) for r, (a, b) in zip(_raw, _B)) / (_b - _a)
     _SPREAD += [(_i, j, r / _norm) for j, r in enumerate(_raw) if r]
 
-_BANDS = f"""lines AS (SELECT vec_id, unnest(range(64)) AS k, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+_BANDS = f"""lines AS (SELECT vec_id, k, coalesce(CAST(embedding[k + 1] AS DOUBLE), 0) AS x FROM embeddings, (SELECT unnest(range({EDGES[-1]})) AS k)),
   dim AS (SELECT unnest(range({len(_B)})) AS band, unnest({sql_list(a for a, _ in _B)}) AS lo, unnest({sql_list(b for _, b in _B)}) AS hi, unnest({sql_list(map(repr, _Z))}) AS z),
   bands AS (SELECT vec_id, band, z, hi - lo AS width, sum(x * x) AS energy, exp(avg(ln(x * x + 1e-30))) AS geo FROM lines JOIN dim ON k >= lo AND k < hi GROUP BY ALL),
   ton AS (SELECT *, CASE WHEN energy <= 1e-30 THEN 0 ELSE least(greatest(10 * log10(geo / (energy / width)) / -25, 0), 1) END AS tonality FROM bands),
@@ -29,8 +29,8 @@ _BANDS = f"""lines AS (SELECT vec_id, unnest(range(64)) AS k, CAST(unnest(embedd
 
 
 def spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "x"))
-    return t.withColumn("x", F.col("x").cast("double"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(EDGES[-1] - 1)), lambda k: F.coalesce(F.get("embedding", k).cast("double"), F.lit(0.0)))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(filled).alias("k", "x"))
 
 
 @query(f"WITH {_BANDS} SELECT vec_id, CAST(band AS INTEGER) AS band, round(energy, 7) AS energy, round(tonality, 6) + 0.0 AS tonality FROM ton")

@@ -9,95 +9,83 @@ from ..functions.tables import PRETAB, SHORT_44
 from .registry import query, sql_list, table
 
 
-def lines(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """(vec_id, k, x): the first n components of each vector."""
-    t = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, n)).alias("k", "x"))
-    return t.withColumn("x", F.col("x").cast("double"))
+def blocks(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """(vec_id, block, k, x): each vector whole, in blocks of n components, the last one filled with zeros."""
+    t = table(spark, sf_dir, "embeddings").withColumn("fill", F.pmod(-F.size("embedding"), F.lit(n)))
+    t = t.select("vec_id", F.posexplode(F.concat(F.col("embedding").cast("array<double>"), F.array_repeat(F.lit(0.0), F.col("fill")))).alias("at", "x"))
+    return t.select("vec_id", F.floor(F.col("at") / n).alias("block"), (F.col("at") % n).alias("k"), "x")
 
 
-def _lines_sql(n: int) -> str:
-    return f"SELECT vec_id, unnest(range({n})) AS k, CAST(unnest(embedding[1:{n}]) AS DOUBLE) AS x FROM embeddings"
+def _blocks_sql(n: int) -> str:
+    return f"""SELECT vec_id, k // {n} AS block, k % {n} AS k, coalesce(CAST(embedding[k + 1] AS DOUBLE), 0) AS x
+      FROM embeddings, LATERAL (SELECT unnest(range((len(embedding) + {n - 1}) // {n} * {n})) AS k)"""
 
 
 def _imdct_sql(n: int) -> str:
-    return f"""SELECT vec_id, i, sum(x * cos(pi() / {2 * n} * (2 * i + 1 + {n // 2}) * (2 * k + 1))) * sin(pi() / {n} * (i + 0.5)) AS y
-      FROM ({_lines_sql(n // 2)}), (SELECT unnest(range({n})) AS i) GROUP BY vec_id, i"""
+    return f"""SELECT vec_id, block, i, sum(x * cos(pi() / {2 * n} * (2 * i + 1 + {n // 2}) * (2 * k + 1))) * sin(pi() / {n} * (i + 0.5)) AS y
+      FROM ({_blocks_sql(n // 2)}), (SELECT unnest(range({n})) AS i) GROUP BY vec_id, block, i"""
 
 
-@query(f"SELECT vec_id, CAST(i AS INTEGER) AS i, round(y, 6) + 0.0 AS y FROM ({_imdct_sql(36)})")
-def imdct_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    y = T.inverse_mdct(lines(spark, sf_dir, 18), ["vec_id"], 36)
-    return y.select("vec_id", "i", (F.round("y", 6) + 0.0).alias("y"))
+def _rounded_imdct_sql(n: int) -> str:
+    return f"SELECT vec_id, CAST(block AS BIGINT) AS block, CAST(i AS INTEGER) AS i, round(y, 6) + 0.0 AS y FROM ({_imdct_sql(n)})"
 
 
-@query(f"SELECT vec_id, CAST(i AS INTEGER) AS i, round(y, 6) + 0.0 AS y FROM ({_imdct_sql(12)})")
-def imdct_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    y = T.inverse_mdct(lines(spark, sf_dir, 6), ["vec_id"], 12)
-    return y.select("vec_id", "i", (F.round("y", 6) + 0.0).alias("y"))
+def _inverse(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    y = T.inverse_mdct(blocks(spark, sf_dir, n // 2), ["vec_id", "block"], n)
+    return y.select("vec_id", "block", "i", (F.round("y", 6) + 0.0).alias("y"))
 
 
-@query(
-    f"""SELECT vec_id, CAST(m AS INTEGER) AS k, round(sum(x * sin(pi() / 36 * (k + 0.5)) * cos(pi() / 72 * (2 * k + 1 + 18) * (2 * m + 1))) / 9, 6) + 0.0 AS x
-    FROM ({_lines_sql(36)}), (SELECT unnest(range(18)) AS m) GROUP BY vec_id, m"""
-)
-def mdct_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = lines(spark, sf_dir, 36).withColumnsRenamed({"k": "i", "x": "y"})
-    return T.forward_mdct(samples, ["vec_id"], 36).select("vec_id", "k", (F.round("x", 6) + 0.0).alias("x"))
+@query(_rounded_imdct_sql(36))
+def imdct_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _inverse(spark, sf_dir, 36)
 
 
-@query(
-    f"""WITH y AS ({_imdct_sql(36)}), h AS (SELECT vec_id % 32 AS subband, vec_id // 32 AS granule, i, y FROM y),
-    o AS (SELECT a.granule, a.subband, a.i, a.y + coalesce(b.y, 0) AS v FROM h a LEFT JOIN h b ON a.subband = b.subband AND a.granule = b.granule + 1 AND b.i = a.i + 18 WHERE a.i < 18)
-    SELECT CAST(granule AS BIGINT) AS granule, CAST(subband AS BIGINT) AS subband, CAST(i AS INTEGER) AS i, round(CASE WHEN subband % 2 = 1 AND i % 2 = 1 THEN -v ELSE v END, 6) + 0.0 AS v FROM o"""
-)
-def overlap_add(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Halves of neighbouring granules added, then the frequency inversion; a window per (subband, sample), no self-join."""
-    y = T.inverse_mdct(lines(spark, sf_dir, 18), ["vec_id"], 36)
-    y = y.select((F.col("vec_id") % 32).alias("subband"), F.floor(F.col("vec_id") / 32).alias("granule"), (F.col("i") % 18).alias("i"), (F.col("i") < 18).alias("head"), "y")
-    half = y.groupBy("subband", "granule", "i").agg(F.sum(F.when(F.col("head"), F.col("y"))).alias("now"), F.sum(F.when(~F.col("head"), F.col("y"))).alias("tail"))
-    v = L.overlapped(half, ["subband", "i"], "granule")
-    sign = F.when((F.col("subband") % 2 == 1) & (F.col("i") % 2 == 1), -F.col("v")).otherwise(F.col("v"))
-    return v.select("granule", "subband", "i", (F.round(sign, 6) + 0.0).alias("v"))
+@query(_rounded_imdct_sql(12))
+def imdct_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _inverse(spark, sf_dir, 12)
 
 
-def blocks(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """(vec_id, block, k, x): each vector whole, in blocks of n components, the last one filled with zeros."""
-    t = table(spark, sf_dir, "embeddings").withColumn("fill", F.pmod(-F.size("embedding"), F.lit(n)))
-    t = t.select("vec_id", F.posexplode(F.concat(F.col("embedding").cast("array<double>"), F.array_repeat(F.lit(0.0), F.col("fill")))).alias("at", "x"))
-    return t.select("vec_id", F.floor(F.col("at") / n).alias("block"), (F.col("at") % n).alias("k"), "x")
+def _mdct_sql(n: int, scale: int) -> str:
+    return f"""SELECT vec_id, CAST(block AS BIGINT) AS block, CAST(m AS INTEGER) AS k, round(sum(x * sin(pi() / {n} * (k + 0.5)) * cos(pi() / {2 * n} * (2 * k + 1 + {n // 2}) * (2 * m + 1))) / {scale}, 6) + 0.0 AS x
+    FROM ({_blocks_sql(n)}), (SELECT unnest(range({n // 2})) AS m) GROUP BY vec_id, block, m"""
 
 
-@query()
-def imdct_long_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    y = T.inverse_mdct(blocks(spark, sf_dir, 18), ["vec_id", "block"], 36)
-    return y.select("vec_id", "block", "i", (F.round("y", 6) + 0.0).alias("y"))
+def _forward(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    samples = blocks(spark, sf_dir, n).withColumnsRenamed({"k": "i", "x": "y"})
+    return T.forward_mdct(samples, ["vec_id", "block"], n).select("vec_id", "block", "k", (F.round("x", 6) + 0.0).alias("x"))
 
 
-@query()
-def imdct_short_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    y = T.inverse_mdct(blocks(spark, sf_dir, 6), ["vec_id", "block"], 12)
-    return y.select("vec_id", "block", "i", (F.round("y", 6) + 0.0).alias("y"))
+@query(_mdct_sql(36, 9))
+def mdct_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forward(spark, sf_dir, 36)
 
 
-@query()
-def mdct_long_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = blocks(spark, sf_dir, 36).withColumnsRenamed({"k": "i", "x": "y"})
-    return T.forward_mdct(samples, ["vec_id", "block"], 36).select("vec_id", "block", "k", (F.round("x", 6) + 0.0).alias("x"))
+@query(_mdct_sql(12, 3))
+def mdct_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forward(spark, sf_dir, 12)
 
 
-_ORDER = T.short_order(SHORT_44)
+@query(
+    f"""WITH y AS ({_imdct_sql(36)}), h AS (SELECT vec_id % 32 AS subband, vec_id // 32 AS granule, block, i, y FROM y),
+    o AS (SELECT a.granule, a.subband, a.block, a.i, a.y + coalesce(b.y, 0) AS v FROM h a LEFT JOIN h b ON a.subband = b.subband AND a.block = b.block AND a.granule = b.granule + 1 AND b.i = a.i + 18 WHERE a.i < 18)
+    SELECT CAST(granule AS BIGINT) AS granule, CAST(subband AS BIGINT) AS subband, CAST(block AS BIGINT) AS block, CAST(i AS INTEGER) AS i, round(CASE WHEN subband % 2 = 1 AND i % 2 = 1 THEN -v ELSE v END, 6) + 0.0 AS v FROM o"""
+)
+def overlap_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Halves of neighbouring granules added, then the frequency inversion; a window per (subband, block, sample), no self-join. Each block of 18 components is a stream of its own."""
+    y = T.inverse_mdct(blocks(spark, sf_dir, 18), ["vec_id", "block"], 36)
+    y = y.select((F.col("vec_id") % 32).alias("subband"), F.floor(F.col("vec_id") / 32).alias("granule"), "block", (F.col("i") % 18).alias("i"), (F.col("i") < 18).alias("head"), "y")
+    half = y.groupBy("subband", "block", "granule", "i").agg(F.sum(F.when(F.col("head"), F.col("y"))).alias("now"), F.sum(F.when(~F.col("head"), F.col("y"))).alias("tail"))
+    v = L.overlapped(half, ["subband", "block", "i"], "granule")
+    sign = F.when((F.col("subband") % 2 == 1) & (F.col("i") % 2 == 1), -F.col("v")).otherwise(F.col("v"))
+    return v.select("granule", "subband", "block", "i", (F.round(sign, 6) + 0.0).alias("v"))
 
 
-@query(f"""WITH p AS (SELECT CAST(unnest(range(576)) AS INTEGER) AS coded, CAST(unnest({sql_list(_ORDER)}) AS INTEGER) AS place) SELECT vec_id, coded, place, CAST(embedding[coded % 64 + 1] AS DOUBLE) AS x FROM embeddings, p WHERE coded % 37 = vec_id % 37""")
-def short_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where coded lines of short blocks go (bands, windows, lines to lines, windows), over a permutation held as one literal array."""
-    t = table(spark, sf_dir, "embeddings").withColumn("coded", F.explode(F.filter(F.sequence(F.lit(0), F.lit(575)), lambda c: c % 37 == F.col("vec_id") % 37)))
-    return t.select("vec_id", "coded", L.permuted(_ORDER, F.col("coded")).alias("place"), F.get("embedding", F.col("coded") % 64).cast("double").alias("x"))
+_ORDER = T.short_order(SHORT_44)
 
 
-@query()
-def short_reorder_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 576 coded lines of each vector's short blocks to their places."""
+@query(f"""WITH p AS (SELECT CAST(unnest(range(576)) AS INTEGER) AS coded, CAST(unnest({sql_list(_ORDER)}) AS INTEGER) AS place) SELECT vec_id, coded, place, CAST(embedding[coded % 64 + 1] AS DOUBLE) AS x FROM embeddings, p""")
+def short_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the 576 coded lines of each vector's short blocks go (bands, windows, lines to lines, windows), over a permutation held as one literal array."""
     t = table(spark, sf_dir, "embeddings").withColumn("coded", F.explode(F.sequence(F.lit(0), F.lit(575))))
     return t.select("vec_id", "coded", L.permuted(_ORDER, F.col("coded")).alias("place"), F.get("embedding", F.col("coded") % 64).cast("double").alias("x"))
 
@@ -128,12 +116,12 @@ def quantise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH p AS (SELECT vec_id // 2 AS pair, k, max(CASE WHEN vec_id % 2 = 0 THEN x END) AS m, max(CASE WHEN vec_id % 2 = 1 THEN x END) AS s FROM ({_lines_sql(18)}) GROUP BY 1, 2)
+    f"""WITH p AS (SELECT vec_id // 2 AS pair, k, max(CASE WHEN vec_id % 2 = 0 THEN x END) AS m, max(CASE WHEN vec_id % 2 = 1 THEN x END) AS s FROM (SELECT vec_id, unnest(range(len(embedding))) AS k, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY 1, 2)
     SELECT CAST(pair AS BIGINT) AS pair, CAST(k AS INTEGER) AS k, round((m + s) / sqrt(2), 7) + 0.0 AS l, round((m - s) / sqrt(2), 7) + 0.0 AS r FROM p WHERE s IS NOT NULL AND m IS NOT NULL"""
 )
 def mid_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both channels of a granule side by side by one aggregation, then (m + s) and (m - s) over the root of two."""
-    t = lines(spark, sf_dir, 18).withColumn("pair", F.floor(F.col("vec_id") / 2))
+    t = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("k", "x")).withColumn("pair", F.floor(F.col("vec_id") / 2))
     both = t.groupBy("pair", "k").agg(F.max(F.when(F.col("vec_id") % 2 == 0, F.col("x"))).alias("m"), F.max(F.when(F.col("vec_id") % 2 == 1, F.col("x"))).alias("s"))
     left, right = L.mid_side(F.col("m"), F.col("s"))
     return both.where("m IS NOT NULL AND s IS NOT NULL").select("pair", "k", (F.round(left, 7) + 0.0).alias("l"), (F.round(right, 7) + 0.0).alias("r"))
