@@ -31,6 +31,14 @@ def lowpass(kbps: Column) -> Column:
     return rule.otherwise(20500.0)
 
 
+def lowpass_of(kbps: float) -> float:
+    """The same of one number."""
+    (first, low), (last, _) = LOWPASS[0], LOWPASS[-1]
+    if kbps > last:
+        return 20500.0
+    return float(low) if kbps <= first else next(y0 + (kbps - x0) / (x1 - x0) * (y1 - y0) for (x0, y0), (x1, y1) in zip(LOWPASS, LOWPASS[1:]) if kbps <= x1)
+
+
 def coding_rate(rate: Column) -> Column:
     """The nearest of the nine sampling rates, the first of equals."""
     every = [r // k for k in (1, 2, 4) for r in SAMPLE_RATES]

@@ -20,7 +20,7 @@ ROUND_UP = 0.4054
 
 
 def granules(subbands: DataFrame) -> DataFrame:
-    """(stream_id, channel, slot, s) to (stream_id, channel, granule, v): 576 values, subband by subband; an incomplete last granule is dropped."""
+    """(stream_id, channel, slot, s) to (stream_id, channel, granule, v): 576 values, subband by subband, of the granules that have all their slots."""
     g = subbands.withColumn("granule", F.floor(F.col("slot") / 18)).groupBy("stream_id", "channel", "granule")
     t = g.agg(F.array_sort(F.collect_list(F.struct("slot", "s"))).alias("all")).where(F.size("all") == 18)
     turn = lambda sb, i: F.when((sb % 2 == 1) & (i % 2 == 1), -1.0).otherwise(1.0)
@@ -77,16 +77,15 @@ def quantise_granule(x: np.ndarray, allowed: np.ndarray, rate: int, block_type:
     size, root = np.abs(x), np.abs(x) ** 0.75
     allow = np.asarray(allowed, dtype=float).reshape(-1)
     energy = np.bincount(cell, weights=size**2, minlength=n)
-    steps = np.arange(-100, 61)
-    fits = np.full(n, 60)
-    done = (energy <= allow) | (np.arange(n) // (3 if kind else 1) >= (12 if kind else 21))
-    for s in steps[::-1]:
-        if done.all():
-            break
+    low, high = np.full(n, -101), np.full(n, 61)  # the coarsest step that fits lies from low to below high
+    while (high - low > 1).any():
+        mid = (low + high) // 2
+        s = mid[cell]
         ix = np.floor(root * 2.0 ** (-3 * s / 16) + ROUND_UP)
         noise = np.bincount(cell, weights=(size - ix ** (4 / 3) * 2.0 ** (s / 4)) ** 2, minlength=n)
-        now = ~done & (noise <= allow)
-        fits[now], done = s, done | now
+        fits = noise <= allow
+        low, high = np.where(fits, mid, low), np.where(fits, high, mid)
+    fits = np.maximum(low, -100)
     need = (energy > allow) & (np.arange(n) // (3 if kind else 1) < (12 if kind else 21))
     limit = np.where(np.arange(n) // (3 if kind else 1) < (6 if kind else 11), 15, 7)
     base = int(min(fits[need].max(), (fits[need] + 2 * limit[need]).min())) if need.any() else 45

@@ -8,13 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import header as H
-from ..functions.tables import band_edges
+from ..functions import encoding as E, header as H
+from ..functions.tables import BITRATES_LSF, BITRATES_MPEG1, SAMPLE_RATES, band_edges
 from ..sources import framing, layer12, tags
 from . import analysis, encoder, filterbank, layer3, psychoacoustics as P
 from .layer3 import Codes
 
-SEGMENT = 64
 FULL_SCALE_DB = 96.0
 
 
@@ -43,20 +42,49 @@ def decode_streams(streams: DataFrame, codes: Codes, prototype: np.ndarray, trim
 
 
 def block_types_of(blocks: DataFrame) -> DataFrame:
-    """(stream_id, channel, slot, s) to (stream_id, granule, block_type): attacks of either channel, 576 samples a granule, through the automaton.
+    """(stream_id, channel, slot, s) to (stream_id, granule, block_type): attacks of either channel through the automaton.
 
-    Samples count as whole numbers of 1/32768; a granule attacks when a segment of 64 of its samples does.
+    The last granule has no region behind it and takes none for an attack to come.
     """
-    t = blocks.select(F.concat_ws("/", "stream_id", "channel").alias("stream"), "stream_id", "slot", F.posexplode("s").alias("i", "y"))
-    t = t.select("stream", "stream_id", (F.col("slot") * 32 + F.col("i")).alias("event_id"), F.round(F.col("y") * 32768).cast("bigint").alias("v")).withColumn("seg", F.floor(F.col("event_id") / SEGMENT))
-    a = P.transients(t, factor=(10, 1), floor=round(6.4e-5 * 32768**2))
-    a = a.withColumn("stream_id", F.expr("regexp_replace(stream, '/[0-9]+$', '')")).withColumn("granule", F.floor(F.col("seg") / 9))
-    g = a.groupBy("stream_id", "granule").agg(F.max("attack").alias("attack"))
-    kinds = P.block_types(g, ["stream_id"], "granule", "attack")
+    kinds = P.block_types(P.attacks(blocks), ["stream_id"], "granule", "attack")
     return kinds.select("stream_id", (F.col("n") - 1).cast("bigint").alias("granule"), F.col("kind").alias("block_type"))
 
 
-def allowances(lines: DataFrame, rate: int, offset_db: float = 0.0) -> DataFrame:
+def padded(blocks: DataFrame, rate: int) -> DataFrame:
+    """The slots of each stream with silence behind, up to the whole frames that hold its samples and both delays."""
+    per = 1152 if rate >= 32000 else 576
+    ends = blocks.groupBy("stream_id").agg((F.max("slot") + 1).alias("slots"), F.collect_set("channel").alias("channels"))
+    frames, _ = E.extent(F.col("slots") * 32, F.lit(per))
+    more = ends.select("stream_id", F.explode("channels").alias("channel"), "slots", frames.alias("frames"))
+    more = more.select("stream_id", "channel", F.explode(F.sequence(F.col("slots"), (F.col("frames") * (per // 32) - 1).cast("bigint"))).alias("slot"))
+    silence = F.array_repeat(F.lit(0.0), 32).cast(blocks.schema["s"].dataType)
+    return blocks.select("stream_id", "channel", "slot", "s").unionByName(more.withColumn("s", silence))
+
+
+def check_settings(rate: int, channels: int, kbps: int | None, quality: int | None = None) -> None:
+    """Raise ValueError for what Layer III cannot carry."""
+    if rate not in {r // k for k in (1, 2, 4) for r in SAMPLE_RATES}:
+        raise ValueError(f"{rate} Hz is no sampling rate of Layer III")
+    if channels not in (1, 2):
+        raise ValueError(f"one or two channels, not {channels}")
+    if kbps is not None and kbps not in (BITRATES_LSF if rate < 32000 else BITRATES_MPEG1)[2][1:]:
+        raise ValueError(f"{kbps} kb/s is no bit rate at {rate} Hz")
+    if kbps is None and (quality is None or not 0 <= quality <= 9):
+        raise ValueError(f"a quality from 0 to 9, not {quality}")
+
+
+def full_scale(prototype: np.ndarray) -> tuple[float, float]:
+    """Energy of the lines that a sine of full scale gives in a long block, and in one window of a short block; measured through the filterbank."""
+    x = np.sin(2 * np.pi / 64 * 2.5 * np.arange(576 * 8)).reshape(-1, 32)
+    history = np.lib.stride_tricks.sliding_window_view(np.r_[np.zeros((15, 32)), x], 16, axis=0).swapaxes(1, 2)
+    bands = filterbank.analyse_blocks(history, np.asarray(prototype, dtype=float)).T  # subband, slot
+    bands[1::2, 1::2] *= -1
+    before, now = (bands[:, 18 * g : 18 * g + 18].reshape(1, -1) for g in (4, 5))
+    long, short = (float((analysis.forward_lines(before, now, np.array([t])) ** 2).sum()) for t in (0, 2))
+    return long, short / 3
+
+
+def allowances(lines: DataFrame, rate: int, full: tuple[float, float], offset_db: float = 0.0) -> DataFrame:
     """(stream_id, channel, granule, block_type, x) with ``allowed``: noise per band from the masking model; per window in short blocks."""
     long, short = band_edges(rate)
     keys = ["stream_id", "channel", "granule", "block_type", "window"]
@@ -68,22 +96,21 @@ def allowances(lines: DataFrame, rate: int, offset_db: float = 0.0) -> DataFrame
             t = t.withColumn("window", (F.col("p") % 18 / 6).cast("int")).withColumn("k", (F.col("p") / 18).cast("int") * 6 + F.col("p") % 6)
         else:
             t = t.withColumn("window", F.lit(0)).withColumn("k", F.col("p"))
-        m = P.thresholds(P.band_statistics(t, keys, edges, hertz), keys, edges, hertz, quiet_energy(edges, hertz, F.col("band")))
+        m = P.thresholds(P.band_statistics(t, keys, edges, hertz), keys, edges, hertz, F.get(F.array(*map(F.lit, quiet_energies(edges, hertz, full[kind]))), F.col("band")))
         parts.append(m.select(*keys, "band", (F.col("threshold") * 10 ** (offset_db / 10)).alias("threshold")))
     flat = F.array_sort(F.collect_list(F.struct("band", "window", "threshold")))
     masks = parts[0].unionByName(parts[1]).groupBy("stream_id", "channel", "granule").agg(F.transform(flat, lambda m: m["threshold"]).alias("allowed"))
     return lines.join(masks, ["stream_id", "channel", "granule"])
 
 
-def quiet_energy(edges: tuple[int, ...], hertz: float, band: Column) -> Column:
-    """The threshold in quiet of each band as noise energy, a full-scale tone standing at 96 dB."""
-    full = 0.25  # energy of a full-scale tone's lines
+def quiet_energies(edges: tuple[int, ...], hertz: float, full: float) -> list[float]:
+    """The threshold in quiet of each band as noise energy, a full-scale tone (energy ``full``) standing at 96 dB."""
     values = []
     for lo, hi in zip(edges, edges[1:]):
         k = np.maximum((np.arange(lo, hi) + 0.5) * hertz, 20.0) / 1000
         db = np.minimum(3.64 * k**-0.8 - 6.5 * np.exp(-0.6 * (k - 3.3) ** 2) + 1e-3 * k**4, 110.0)
         values.append(float(full * 10 ** ((db.min() - FULL_SCALE_DB) / 10)))
-    return F.get(F.array(*map(F.lit, values)), band)
+    return values
 
 
 def low_passed(lines: DataFrame, rate: int, hertz: float) -> DataFrame:
@@ -94,8 +121,8 @@ def low_passed(lines: DataFrame, rate: int, hertz: float) -> DataFrame:
     return lines.withColumn("x", F.transform("x", lambda v, p: F.when(place(p), v).otherwise(F.lit(0.0).cast("float"))))
 
 
-def pre_echo(masks: DataFrame) -> DataFrame:
-    """``allowed`` of long blocks held to twice that of the granule before, itself held; a short block clears the memory.
+def pre_echo(masks: DataFrame, floor: list[float]) -> DataFrame:
+    """``allowed`` of long blocks held to twice that of the granule before, itself held, but not below ``floor`` (per band); a short block clears the memory.
 
     A recursion in order, so a channel's granules stream through one task; one granule is kept.
     """
@@ -111,7 +138,7 @@ def pre_echo(masks: DataFrame) -> DataFrame:
                 if kind == 2:
                     last = None
                 else:
-                    allowed = allowed if last is None else [min(a, 2 * p) for a, p in zip(allowed, last)]
+                    allowed = allowed if last is None else [max(min(a, 2 * p), f) if p > 0 else a for a, p, f in zip(allowed, last, floor)]
                     last = allowed
                 out.append(allowed)
             yield b.set_column(at, "allowed", pa.array(out, pa.list_(pa.float64())))
@@ -120,14 +147,23 @@ def pre_echo(masks: DataFrame) -> DataFrame:
     return t.repartition("stream_id", "channel").sortWithinPartitions("stream_id", "channel", "granule").mapInArrow(run, t.schema)
 
 
-def encode_pcm(blocks: DataFrame, codes: Codes, prototype: np.ndarray, rate: int, kbps: int | None, lowpass: float | None = None, joint: bool = True, quality: int | None = None) -> DataFrame:
-    """(stream_id, channel, slot, s: 32 samples) to frames (stream_id, frame_no, bytes): constant rate, or variable by quality 0-9."""
+def encode_pcm(blocks: DataFrame, codes: Codes, prototype: np.ndarray, rate: int, kbps: int | None, lowpass: float | None = None, joint: bool = True, quality: int | None = None, channels: int = 2) -> DataFrame:
+    """(stream_id, channel, slot, s: 32 samples) to frames (stream_id, frame_no, bytes): constant rate, or variable by quality 0-9.
+
+    Silence fills each stream up to whole frames behind the delays. ``lowpass`` follows from rate or quality where it is not given; ``channels`` is
+    what the settings are checked and the low-pass chosen for.
+    """
+    check_settings(rate, channels, kbps, quality)
+    blocks = padded(blocks, rate)
     bands = filterbank.analyse(blocks, ["stream_id", "channel"], "slot", "s", prototype)
     rows = analysis.granules(bands).join(block_types_of(blocks), ["stream_id", "granule"])
     lines = analysis.forward_hybrid(rows)
     offset = 0.0
-    if quality is not None:
+    if kbps is None:
         offset, lowpass = -4.0 + 1.6 * quality, lowpass or 20000.0 - 700.0 * quality
-    if lowpass and lowpass < rate / 2:
+    lowpass = lowpass or E.lowpass_of(kbps / channels * (1.15 if joint and channels == 2 else 1.0))
+    if lowpass < rate / 2:
         lines = low_passed(lines, rate, lowpass)
-    return encoder.encode(pre_echo(allowances(lines, rate, offset)), codes, rate, kbps, joint)
+    full = full_scale(prototype)
+    floor = [v * 10 ** (offset / 10) for v in quiet_energies(band_edges(rate)[0], rate / 1152, full[0])]
+    return encoder.encode(pre_echo(allowances(lines, rate, full, offset), floor), codes, rate, kbps, joint)

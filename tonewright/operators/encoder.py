@@ -101,11 +101,22 @@ def scalefactor_choice(sf: np.ndarray, block_type: int, lsf: bool) -> tuple[int,
 
 
 class _Writer:
+    """Bits in order; whole bytes leave the number that gathers them."""
+
     def __init__(self):
-        self.value, self.size = 0, 0
+        self.data, self.value, self.held, self.size = bytearray(), 0, 0, 0
 
     def put(self, v: int, n: int) -> None:
-        self.value, self.size = self.value << n | int(v), self.size + n
+        self.value, self.held, self.size = self.value << n | int(v), self.held + n, self.size + n
+        if self.held >= 64:
+            rest = self.held % 8
+            self.data += (self.value >> rest).to_bytes(self.held // 8, "big")
+            self.value, self.held = self.value & ((1 << rest) - 1), rest
+
+    def close(self) -> bytes:
+        """All bits, filled with zeros to a whole byte."""
+        self.put(0, -self.size % 8)
+        return bytes(self.data) + self.value.to_bytes(self.held // 8, "big")
 
 
 def write_granule(w: _Writer, q: dict, c: dict, rate: int, block_type: int, books: Books) -> None:
@@ -175,7 +186,7 @@ class Assembly:
         return out
 
 
-def encode_frame(granules: list[tuple], rate: int, books: Books, target_of, rounds: int = 7):
+def encode_frame(granules: list[tuple], rate: int, books: Books, target_of, rounds: int = 9):
     """granules: (block_type, lines in bit-stream order, allowance). The quietest noise that meets the target bits."""
 
     def attempt(offset: float):
@@ -193,8 +204,19 @@ def encode_frame(granules: list[tuple], rate: int, books: Books, target_of, roun
     target = target_of(demand)
     if fits and demand == target:
         return done
-    low, high = (-30.0, 0.0) if fits and demand < target else (0.0, 60.0)
-    best = done if fits and demand <= target else None
+    if fits and demand <= target:
+        best, low, high = done, -30.0, 0.0
+        done, bits, fits = attempt(low)
+        if fits and bits <= target:
+            return done
+    else:
+        low, high = 0.0, 60.0
+        best, bits, fits = attempt(high)
+        if not fits or bits > target:
+            while (not fits or bits > target) and high < 200:
+                high += 20.0
+                best, bits, fits = attempt(high)
+            return best
     for _ in range(rounds):
         mid = (low + high) / 2
         done, bits, fits = attempt(mid)
@@ -202,12 +224,6 @@ def encode_frame(granules: list[tuple], rate: int, books: Books, target_of, roun
             best, high = done, mid
         else:
             low = mid
-    extra = 60.0
-    while best is None:
-        extra += 20.0
-        done, bits, fits = attempt(extra)
-        if fits and bits <= target or extra > 400:
-            best = done
     return best
 
 
@@ -260,6 +276,7 @@ def encode(granules: DataFrame, codes: Codes, rate: int, kbps: int | None, joint
             parts = as_mid_side(parts) if ms else parts
             side = (9 if channels == 1 else 17) if lsf else (17 if channels == 1 else 32)
             bytes_at = lambda k: (72 if lsf else 144) * table[k] * 1000
+            limit = lambda k, more=0: max(0, min(255 if lsf else 511, 960 - bytes_at(k) // rate - more))
             if kbps is None:
                 need = sum(c["part2_3_length"] for _, c in encode_frame(parts, rate, books, lambda n: n))
                 index = next((k for k in range(1, 15) if 8 * (bytes_at(k) // rate - 4 - side) + 4 * a.tail >= need), 14)
@@ -268,6 +285,7 @@ def encode(granules: DataFrame, codes: Codes, rate: int, kbps: int | None, joint
                 state["acc"] += bytes_at(index) % rate
                 padding = int(state["acc"] >= rate)
                 state["acc"] -= rate * padding
+            a.limit = limit(index, padding)
             mode = 3 if channels == 1 else 1 if ms else 0
             word = 2047 << 21 | version << 19 | 1 << 17 | 1 << 16 | index << 12 | SAMPLE_RATES.index(rate * {3: 1, 2: 2, 0: 4}[version]) << 10 | padding << 9 | mode << 6 | (2 << 4 if ms else 0)
             slot = bytes_at(index) // rate + padding - 4 - side
@@ -278,8 +296,7 @@ def encode(granules: DataFrame, codes: Codes, rate: int, kbps: int | None, joint
             for n, ((t, *_), (q, c)) in enumerate(zip(parts, encode_frame(parts, rate, books, target))):
                 write_granule(w, q, c, rate, t, books)
                 rows.append({k: c[k] for k in ("part2_3_length", "big_values", "table_select", "region0_count", "region1_count", "count1_table")} | {"global_gain": q["global_gain"], "scalefac_compress": c["scalefac"][1], "window_switching": int(t > 0), "block_type": t, "mixed_block": 0, "subblock_gain": [0, 0, 0], "preflag": 0, "scalefac_scale": 0, "scfsi": [0, 0, 0, 0], "granule": n // channels, "channel": n % channels})
-            w.put(0, -w.size % 8)
-            main = w.value.to_bytes(w.size // 8, "big")
+            main = w.close()
             return a.add(lambda begin: word.to_bytes(4, "big") + sideinfo.pack([r | {"main_data_begin": begin} for r in rows], lsf, channels == 1), slot, main)
 
         def close():
