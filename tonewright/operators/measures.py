@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions import header as H
+
 FULL_RMS, FULL_MAX, LIMITED_RMS = 2.0**-15 / 12**0.5, 2.0**-14, 2.0**-11 / 12**0.5
 
 
@@ -27,3 +29,21 @@ def noise_to_mask(t: DataFrame, keys: list[str]) -> DataFrame:
     nmr = nmr.withColumn("_rank", F.row_number().over(w.orderBy("nmr"))).withColumn("_n", F.count(F.lit(1)).over(w))
     at = F.max(F.when(F.col("_rank") == F.floor(F.col("_n") * 95 / 100) + 1, F.col("nmr")))
     return nmr.groupBy(*keys).agg(F.max("_n").alias("n"), F.round(F.avg("nmr"), 6).alias("mean_db"), F.round(at, 6).alias("p95_db"), F.round(F.avg((F.col("nmr") > 0).cast("double")), 6).alias("share_over"))
+
+
+def best_variants(t: DataFrame, keys: list[str], variant: str, got: str, want: str) -> DataFrame:
+    """(keys, variant, got, want: whole samples) to each key's variant of least squared error (the least of equal ones), and that error."""
+    e = F.col(got) - F.col(want)
+    sums = t.groupBy(*keys, variant).agg(F.sum(e * e).alias("err"))
+    return sums.groupBy(*keys).agg(F.min(F.struct("err", variant)).alias("_least")).select(*keys, f"_least.{variant}", "_least.err")
+
+
+def coding_counts(frames: DataFrame, side: DataFrame) -> DataFrame:
+    """Per stream: granules of a channel, short blocks and bits of main data by the side information, frames and mid/side frames by the headers; frames that were refused do not count."""
+    read = side.where("error IS NULL")
+    mode = H.word_of(F.col("bytes"))
+    joint = (F.shiftright(mode, 6).bitwiseAND(F.lit(3)) == 1) & (F.shiftright(mode, 5).bitwiseAND(F.lit(1)) == 1)
+    good = frames.join(read.select("stream_id", "frame_no").distinct(), ["stream_id", "frame_no"], "left_semi")
+    heads = good.groupBy("stream_id").agg(F.count(F.lit(1)).alias("frames"), F.sum(joint.cast("bigint")).alias("mid_side"))
+    rows = read.groupBy("stream_id").agg(F.count(F.lit(1)).alias("granules"), F.sum((F.col("block_type") == 2).cast("bigint")).alias("short_blocks"), F.sum(F.col("part2_3_length").cast("bigint")).alias("bits"))
+    return rows.join(heads, "stream_id")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import coding, headers, masking, spectra  # noqa: F401  (they register their queries)
+from . import coding, headers, masking, readers, spectra  # noqa: F401  (they register their queries)
 from .registry import QUERIES, SQL
 
 
