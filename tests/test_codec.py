@@ -45,3 +45,18 @@ def test_attacks_give_short_blocks(spark):
     blocks = spark.createDataFrame([("a", 0, k, b.tolist()) for k, b in enumerate(x.reshape(-1, 32))], "stream_id string, channel int, slot bigint, s array<double>")
     kinds = [k.block_type for k in codec.block_types_of(blocks).orderBy("granule").collect()]
     assert kinds[5:8] == [1, 2, 3] and set(kinds[:5] + kinds[8:]) == {0}
+
+
+def test_refused_frames_keep_their_time(spark, tmp_path):
+    good = [layer1_frame(np.random.default_rng(k), 3)[0] for k in range(4)]
+    bad = bytearray(good[1])
+    bad[4:20] = b"\xff" * 16  # forbidden allocations
+    frames = [good[0], bytes(bad), good[2], good[3]]
+    rows = [("s", k, bytearray(f)) for k, f in enumerate(frames)] + [("t", k, bytearray(good[j])) for k, j in enumerate((0, 2, 3))]
+    t = spark.createDataFrame(rows, "stream_id string, frame_no bigint, bytes binary")
+    got = codec.played12(t, filterbank.designed_prototype()).collect()
+    of = lambda s: {(r.channel, r.slot): (r.concealed, r.s) for r in got if r.stream_id == s}
+    s, whole = of("s"), of("t")
+    assert {k for _, k in s} == set(range(48)) and {k for _, k in whole} == set(range(36))
+    for (c, k), (concealed, x) in s.items():
+        assert concealed == (12 <= k < 24) and (not any(x) if concealed else x == whole[c, k if k < 12 else k - 12][1])

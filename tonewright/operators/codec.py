@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import encoding as E, header as H
 from ..functions.tables import BITRATES_LSF, BITRATES_MPEG1, SAMPLE_RATES, band_edges
@@ -17,30 +18,48 @@ from .layer3 import Codes
 FULL_SCALE_DB = 96.0
 
 
-def decode_streams(streams: DataFrame, codes: Codes, prototype: np.ndarray, trim: bool = True) -> DataFrame:
-    """(stream_id, content) to (stream_id, channel, slot, s: 32 samples, keep_from, keep_to), all layers.
+def decode_streams(streams: DataFrame, codes: Codes, prototype: np.ndarray, trim: bool = True, strict: bool = False, check_crc: bool = False) -> DataFrame:
+    """(stream_id, content) to (stream_id, channel, slot, s: 32 samples, concealed, keep_from, keep_to), all layers.
 
-    A tag frame is not played. keep_from and keep_to bound the samples of a slot that remain after
-    gapless trimming (0 and 32 where there is no tag, or trim is off).
+    A tag frame is not played. A Layer I or II frame that is refused (or whose CRC fails, with ``check_crc``) is silence of its own length; a refused
+    frame of Layer III is silence through the filterbank. ``strict`` raises on bytes between frames. keep_from and keep_to bound the samples of a slot that
+    remain after gapless trimming (0 and 32 where there is no tag, or trim is off). Frames are found once and held on disk until the session drops them.
     """
-    frames = framing.frames(streams)
-    info = tags.info_headers(frames).where("kind IS NOT NULL").select(F.col("stream_id").alias("_s"), F.col("kind").alias("_tag"))
-    tagged = F.col("_tag").isNotNull() & (F.col("frame_no") == 0)
-    audio = frames.join(info, F.col("stream_id") == F.col("_s"), "left").where(~tagged).drop("_s", "_tag")
-    three = layer3.hybrid(layer3.spectrum(layer3.main_data(audio.where(H.layer(H.word_of(F.col("bytes"))) == 3)), codes))
-    other = layer12.subbands(audio).where("error IS NULL")
-    o = Window.partitionBy("stream_id", "channel").orderBy("frame_no", "slot")
-    other = other.withColumn("slot", (F.row_number().over(o) - 1).cast("bigint")).select("stream_id", "channel", "slot", "s")
-    pcm = filterbank.synthesise(three.unionByName(other), ["stream_id", "channel"], "slot", "s", prototype)
+    frames = framing.frames(streams, strict).persist(StorageLevel.DISK_ONLY)
+    info = tags.info_headers(frames)
+    tagged = info.where("kind IS NOT NULL").select(F.col("stream_id").alias("_s"), F.col("kind").alias("_tag"))
+    tag_frame = F.col("_tag").isNotNull() & (F.col("frame_no") == 0)
+    audio = frames.join(tagged, F.col("stream_id") == F.col("_s"), "left").where(~tag_frame).drop("_s", "_tag")
+    spectra = layer3.spectrum(layer3.main_data(audio.where(H.layer(H.word_of(F.col("bytes"))) == 3)), codes, check_crc)
+    three = filterbank.synthesise(layer3.hybrid(spectra), ["stream_id", "channel"], "slot", "s", prototype).withColumn("concealed", F.lit(False))
+    pcm = three.unionByName(played12(audio, prototype, check_crc))
     if not trim:
         return pcm.withColumns({"keep_from": F.lit(0), "keep_to": F.lit(32)})
-    cuts = tags.gapless(tags.info_headers(frames)).withColumnRenamed("stream_id", "_s")
+    cuts = tags.gapless(info).withColumnRenamed("stream_id", "_s")
     t = pcm.join(cuts, F.col("stream_id") == F.col("_s"), "left").drop("_s")
     inside = lambda at: F.least(F.greatest(at - F.col("slot") * 32, F.lit(0)), F.lit(32)).cast("int")
     t = t.withColumn("keep_from", F.when(F.col("skip").isNull(), 0).otherwise(inside(F.col("skip")))).withColumn("keep_to", F.when(F.col("length").isNull(), 32).otherwise(inside(F.col("skip") + F.col("length"))))
     return t.drop("skip", "length")
 
 
+def played12(frames: DataFrame, prototype: np.ndarray, check_crc: bool = False) -> DataFrame:
+    """Layer I and II frames to (stream_id, channel, slot, s, concealed): the filterbank runs over the frames that can be read, and silence stands where the others were."""
+    word = H.word_of(F.col("bytes"))
+    place = frames.where(H.layer(word) < 3).select("stream_id", "frame_no", F.when(H.layer(word) == 1, 12).otherwise(36).alias("n"), H.channels(word).alias("channels"))
+    before = Window.partitionBy("stream_id").orderBy("frame_no").rowsBetween(Window.unboundedPreceding, -1)
+    place = place.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint"))
+    read = layer12.subbands(frames, check_crc)
+    o = Window.partitionBy("stream_id", "channel").orderBy("frame_no", "slot")
+    good = read.where("error IS NULL").withColumn("at", (F.row_number().over(o) - 1).cast("bigint"))
+    played = filterbank.synthesise(good.select("stream_id", "channel", "at", "s"), ["stream_id", "channel"], "at", "s", prototype)
+    where = good.select("stream_id", "channel", "at", "frame_no", "slot").join(place.select("stream_id", "frame_no", "first"), ["stream_id", "frame_no"])
+    played = played.join(where, ["stream_id", "channel", "at"]).select("stream_id", "channel", (F.col("first") + F.col("slot")).alias("slot"), "s", F.lit(False).alias("concealed"))
+    bad = place.join(read.where("error IS NOT NULL").select("stream_id", "frame_no"), ["stream_id", "frame_no"])
+    bad = bad.select("stream_id", "first", "n", F.explode(F.sequence(F.lit(0), F.col("channels") - 1)).alias("channel"))
+    bad = bad.select("stream_id", F.col("channel").cast("int"), F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
+    return played.unionByName(bad.withColumns({"s": F.array_repeat(F.lit(0.0).cast("float"), 32), "concealed": F.lit(True)}))
+
+
 def block_types_of(blocks: DataFrame) -> DataFrame:
     """(stream_id, channel, slot, s) to (stream_id, granule, block_type): attacks of either channel through the automaton.
 
