@@ -206,6 +206,51 @@ def test_quality_classifier(spark, docs, nothing):
     assert quality_classifier.classify_quality(nothing, some.limit(0)).count() == 0
 
 
+def test_training_equals_plain_ftrl():
+    r = np.random.default_rng(11)
+    examples = [(np.unique(r.integers(0, 64, 9)), None, int(r.random() < 0.5), float(r.uniform(0.5, 2))) for _ in range(40)]
+    examples = [(i, r.uniform(0.1, 1, len(i)), y, c) for i, _, y, c in examples]
+    z, n, order = defaultdict(float), defaultdict(float), np.random.default_rng(7)
+
+    def weight(i):
+        if abs(z[i]) <= quality_classifier.L1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * quality_classifier.L1) / ((quality_classifier.BETA + n[i] ** 0.5) / quality_classifier.ALPHA + quality_classifier.L2)
+
+    for _ in range(3):
+        for k in order.permutation(len(examples)):
+            index, value, y, c = examples[k]
+            x = dict(zip(index.tolist(), value.tolist())) | {64: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = c * (p - y) * v
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / quality_classifier.ALPHA * w[i]
+                n[i] += g * g
+    assert np.allclose(quality_classifier.train_ftrl(examples, bits=6, epochs=3), [weight(i) for i in range(65)], atol=1e-12)
+
+
+def test_scores_are_sparse_dot_products(spark):
+    r = np.random.default_rng(12)
+    weights = r.normal(0, 0.1, (1 << quality_classifier.BITS) + 1).astype(np.float32)
+    texts = ["", None, "one two", "One  two\nthree, 4!", "word " * 70000]
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for x in quality_classifier.score(t, weights).collect():
+        data = (texts[x.doc_id] or "").encode()
+        index, _ = quality_classifier.hashed_features(np.frombuffer(data, np.uint8), np.array([len(data)]))
+        total = sum(float(weights[i]) for i in index.tolist()) / max(len(index), 1) ** 0.5
+        assert abs(x.score - 1 / (1 + np.exp(-(total + float(weights[-1]))))) < 1e-6
+
+
+def test_labels_that_disagree(spark):
+    docs = spark.createDataFrame([(k, f"{'good prose here' if k % 2 else 'bad bad junk'} {k}") for k in range(1, 41)] + [(None, "x")], "doc_id bigint, text string")
+    labels = [(k, k % 2) for k in range(1, 41)]
+    same = quality_classifier.classify_quality(docs, spark.createDataFrame(labels, "doc_id bigint, quality int"))
+    noisy = spark.createDataFrame(labels * 2 + [(k, 1 - k % 2) for k in range(1, 41)] + [(900, 1), (900, 0)], "doc_id bigint, quality int")
+    a, b = ({x.doc_id: (x.score, x.held_out) for x in t.collect()} for t in (same, quality_classifier.classify_quality(docs, noisy)))
+    assert a == b and a[None][1] is False
+
+
 def test_hashed_features_do_not_cross_documents():
     data = b"Abc dEf" + b"ghi,jkl" + b"" + b"abc def"
     index, doc = quality_classifier.hashed_features(np.frombuffer(data, np.uint8), np.array([7, 14, 14, 21]))

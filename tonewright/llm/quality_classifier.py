@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 BITS = 18
 MAX_ROWS = 20_000
 SHARDS = 8
+SHARD_BYTES = 1 << 25
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.01, 0.5
 FOLDS, HELD_FOLD, THRESHOLD = 5, 0, 0.3
@@ -135,11 +136,15 @@ def in_fold(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> np.ndarray:
     """Averaged weights of the shards; zeros where there is nothing to learn from."""
     labels = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("label"))
-    usable = labels.where((in_fold(F.col("doc_id")) != HELD_FOLD) & F.col("label").isin(0, 1)).dropDuplicates(["doc_id"])
+    usable = labels.where((in_fold(F.col("doc_id")) != HELD_FOLD) & F.col("label").isin(0, 1))
+    # of labels that disagree about a document the more frequent one counts, and none where both are as frequent
+    usable = usable.groupBy("doc_id").agg(F.avg("label").alias("mean")).where("mean <> 0.5").select("doc_id", (F.col("mean") > 0.5).cast("int").alias("label"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # at most max_rows pairs of numbers
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shard = (F.xxhash64("doc_id", F.lit(1)) % SHARDS + SHARDS) % SHARDS
-    joined = texts.join(F.broadcast(sample), "doc_id").select(shard.alias("shard"), "doc_id", "label", "text")
+    joined = texts.join(F.broadcast(sample), "doc_id")
+    total = joined.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(SHARDS, -(-total // SHARD_BYTES))  # what one task learns from is bounded in bytes
+    joined = joined.select(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).alias("shard"), "doc_id", "label", "text")
     features = joined.mapInArrow(_features_of, "shard bigint, doc_id bigint, label int, features array<int>")
     models = features.groupBy("shard").applyInPandas(_train_shard, "weights binary, n bigint").collect()  # SHARDS models of fixed size
     if not models:
@@ -170,5 +175,5 @@ def classify_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROW
     """One row per document: doc_id, held_out, score, predicted."""
     scored = score(docs, train(docs, labels, max_rows))
     return scored.select(
-        "doc_id", (in_fold(F.col("doc_id")) == HELD_FOLD).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted")
+        "doc_id", F.coalesce(in_fold(F.col("doc_id")) == HELD_FOLD, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted")
     )
