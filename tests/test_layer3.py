@@ -175,3 +175,27 @@ def test_stream_with_reservoir(spark, tmp_path):
     history = np.concatenate([np.zeros((15, 32)), slots])
     want = filterbank.synthesise_slots(np.stack([history[k : k + 16] for k in range(len(slots))]), filterbank.designed_prototype())
     np.testing.assert_allclose(np.array([p.s for p in pcm]), want, rtol=1e-4, atol=1e-5)
+
+
+def test_loaded_tables_are_checked(tmp_path):
+    book = codes(tmp_path)
+    raw = json.loads((tmp_path / "codes.json").read_text())
+    for spoil, word in ((lambda r: r["quads"][0].pop(), "values have a word"), (lambda r: r["pairs"]["1"]["codes"].__setitem__(0, [3, 0, 0, 0]), "begins another"), (lambda r: r["pairs"]["5"].update(codes=[[2, k, k >> 1, k & 1] for k in range(4)]), "linbits")):
+        bad = json.loads(json.dumps(raw))
+        spoil(bad)
+        (tmp_path / "bad.json").write_text(json.dumps(bad))
+        with pytest.raises(ValueError, match=word):
+            layer3.Codes.load(str(tmp_path / "bad.json"))
+    bits = sideinfo.Bits(bytes([0x35, 0xF0]))
+    assert book.symbol(bits, 1) == (3, 5) and book.symbol(bits, -1) == (1, 1, 1, 1) and bits.left == 4
+
+
+def test_loaded_prototype(tmp_path):
+    d = filterbank.designed_prototype()
+    for n, ok in ((512, True), (257, True), (300, False)):
+        (tmp_path / "d.json").write_text(json.dumps(d[:n].tolist()))
+        if ok:
+            assert np.allclose(filterbank.load_prototype(str(tmp_path / "d.json")), d)
+        else:
+            with pytest.raises(ValueError):
+                filterbank.load_prototype(str(tmp_path / "d.json"))

@@ -25,14 +25,17 @@ class Books:
     def __init__(self, codes: Codes):
         self.pairs = {t: (linbits, {v: k for k, v in book.items()}) for t, (linbits, book) in codes.pairs.items() if t}
         self.quads = tuple({v: k for k, v in book.items()} for book in codes.quads)
-        self.most, self.cost = {}, {}
+        self.most, cost_of = {}, {}
         for t, (linbits, book) in self.pairs.items():
             top = max(max(v) for v in book)
             cost = np.full((16, 16), 1 << 20)
             for (x, y), (n, _) in book.items():
                 cost[x, y] = n + (x > 0) + (y > 0) + (linbits if linbits and x == 15 else 0) + (linbits if linbits and y == 15 else 0)
-            self.cost[t] = cost
+            cost_of[t] = cost
             self.most[t] = top + (1 << linbits) - 1 if linbits else top
+        self.numbers = np.array(sorted(cost_of))
+        self.costs = np.stack([cost_of[t] for t in self.numbers])
+        self.reach = np.array([self.most[t] for t in self.numbers])
 
 
 def split(ix: np.ndarray) -> tuple[int, int]:
@@ -48,37 +51,36 @@ def split(ix: np.ndarray) -> tuple[int, int]:
     return big, big + 4 * max(quads, 0)
 
 
+def region_costs(size: np.ndarray, edges: np.ndarray, books: Books) -> tuple[np.ndarray, np.ndarray]:
+    """Between any two edges (even, in order) the fewest bits of a table that holds the values, and its number: 0 for silence, many bits where none does."""
+    x, y = np.minimum(size[: edges[-1] : 2], 15), np.minimum(size[1 : edges[-1] : 2], 15)
+    sums = np.c_[np.zeros(len(books.costs), int), np.cumsum(books.costs[:, x, y], axis=1)][:, edges // 2]
+    each = np.array([size[a:b].max(initial=0) for a, b in zip(edges, edges[1:])])
+    top = np.zeros((len(edges), len(edges)), int)
+    for k in range(len(each)):
+        top[k, k + 1 :] = np.maximum.accumulate(each[k:])
+    cost = np.where(books.reach[:, None, None] >= top, sums[:, None, :] - sums[:, :, None], 1 << 20)
+    at = cost.argmin(axis=0)
+    return np.where(top > 0, np.take_along_axis(cost, at[None], 0)[0], 0), np.where(top > 0, books.numbers[at], 0)
+
+
 def choose(ix: np.ndarray, rate: int, block_type: int, books: Books) -> dict:
     """Tables, region counts and bits of a granule's lines; the first of equal choices."""
     big, end = split(ix)
     size = np.abs(ix)
-    x, y = size[:big:2], size[1:big:2]
-    sums = {t: np.r_[0, np.cumsum(c[np.minimum(x, 15), np.minimum(y, 15)])] for t, c in books.cost.items()}
-
-    def best(lo: int, hi: int) -> tuple[int, int]:
-        top = int(size[lo:hi].max(initial=0))
-        if not top:
-            return 0, 0
-        fits = [(int(s[hi // 2] - s[lo // 2]), t) for t, s in sums.items() if books.most[t] >= top]
-        return min(fits, default=(1 << 20, 0))  # beyond all tables: the frame does not fit
-
     long, short = band_edges(rate)
     if block_type:
         cut = min(3 * short[3] if block_type == 2 else long[8], big)
-        (b0, t0), (b1, t1) = best(0, cut), best(cut, big)
-        out = {"table_select": [t0, t1], "region0_count": 8 if block_type == 2 else 7, "region1_count": 36, "bits": b0 + b1}
+        bits, table = region_costs(size, np.array([0, cut, big]), books)
+        out = {"table_select": [int(table[0, 1]), int(table[1, 2])], "region0_count": 8 if block_type == 2 else 7, "region1_count": 36, "bits": int(bits[0, 1] + bits[1, 2])}
     else:
-        seen: dict[tuple[int, int], tuple[int, int]] = {}
-        ask = lambda a, b: seen.setdefault((a, b), best(a, b))
-        out = None
-        for r0 in range(16):
-            c0 = min(long[min(r0 + 1, 22)], big)
-            for r1 in range(8):
-                c1 = max(c0, min(long[min(r0 + r1 + 2, 22)], big))
-                parts = ask(0, c0), ask(c0, c1), ask(c1, big)
-                bits = sum(p[0] for p in parts)
-                if out is None or bits < out["bits"]:
-                    out = {"table_select": [p[1] for p in parts], "region0_count": r0, "region1_count": r1, "bits": bits}
+        edges = np.minimum(np.r_[long, 576], big)
+        bits, table = region_costs(size, edges, books)
+        r0, r1 = np.indices((16, 8)).reshape(2, -1)
+        one, two, last = np.minimum(r0 + 1, 22), np.minimum(r0 + r1 + 2, 22), len(edges) - 1
+        total = bits[0, one] + bits[one, two] + bits[two, last]
+        k = int(total.argmin())  # the first of equal choices
+        out = {"table_select": [int(table[0, one[k]]), int(table[one[k], two[k]]), int(table[two[k], last])], "region0_count": int(r0[k]), "region1_count": int(r1[k]), "bits": int(total[k])}
     fours = [tuple(size[k : k + 4].tolist()) for k in range(big, end, 4)]
     counts = [sum(book[q][0] + sum(q) for q in fours) for book in books.quads]
     table = int(counts[1] < counts[0])

@@ -7,6 +7,7 @@ prototype is a parameter of 512 values; ``designed_prototype`` gives one by form
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,23 @@ def designed_prototype() -> np.ndarray:
     return 4 / np.pi * h * np.where(np.arange(TAPS) // (2 * BANDS) % 2, -1.0, 1.0)
 
 
+def load_prototype(path: str) -> np.ndarray:
+    """512 values, or the first 257 of them, from a JSON list; ValueError unless the magnitudes are symmetric about the middle.
+
+    Of 257 values the rest follows: the same magnitudes backwards, with the signs turned in every other 64.
+    """
+    with open(path, encoding="utf-8") as f:
+        d = np.array(json.load(f), dtype=float)
+    if d.shape not in ((257,), (512,)):
+        raise ValueError(f"512 or 257 values, not {d.shape}")
+    if len(d) == 257:
+        turn = np.where(np.arange(1, 256) // 64 % 2, 1.0, -1.0) * np.where((TAPS - np.arange(1, 256)) // 64 % 2, 1.0, -1.0)
+        d = np.r_[d, (d[1:256] * turn)[::-1]]
+    if not np.allclose(np.abs(d[1:256]), np.abs(d[:256:-1])):
+        raise ValueError("the prototype is not symmetric")
+    return d
+
+
 def _synthesis_matrix() -> np.ndarray:
     i, k = np.arange(64)[:, None], np.arange(BANDS)[None, :]
     return np.cos((16 + i) * (2 * k + 1) * np.pi / 64)

@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,9 @@ RESERVOIR = 511
 ANTIALIAS = np.array([-0.6, -0.535, -0.33, -0.185, -0.095, -0.041, -0.0142, -0.0037])
 
 
+PEEK = 10
+
+
 @dataclass
 class Codes:
     """pairs: table number to (linbits, {(length, word): (x, y)}); quads: the two count-1 tables, {(length, word): (v, w, x, y)}."""
@@ -39,20 +42,60 @@ class Codes:
 
     @staticmethod
     def load(path: str) -> Codes:
-        """From JSON: {"pairs": {number: {"linbits": n, "codes": [[length, word, x, y], ...]}}, "quads": [[[length, word, v, w, x, y], ...], ...]}."""
+        """From JSON: {"pairs": {number: {"linbits": n, "codes": [[length, word, x, y], ...]}}, "quads": [[[length, word, v, w, x, y], ...], ...]}.
+
+        ValueError where a word begins another one, values repeat, a pair of the table's square is missing, or linbits stand at a table that does not reach 15.
+        """
         with open(path, encoding="utf-8") as f:
             raw = json.load(f)
         pairs = {int(k): (t["linbits"], {(c[0], c[1]): tuple(c[2:]) for c in t["codes"]}) for k, t in raw["pairs"].items()}
-        return Codes(pairs, tuple({(c[0], c[1]): tuple(c[2:]) for c in t} for t in raw["quads"]))
-
-
-def _symbol(bits: Bits, book: dict) -> tuple:
-    word = 0
-    for length in range(1, 33):
-        word = word << 1 | bits.take(1)
-        if (length, word) in book:
-            return book[length, word]
-    raise ValueError("no such code word")
+        quads = tuple({(c[0], c[1]): tuple(c[2:]) for c in t} for t in raw["quads"])
+        for name, book, values in (*((f"table {k}", b, 2) for k, (_, b) in pairs.items() if k), *((f"count-1 table {k}", b, 4) for k, b in enumerate(quads))):
+            check_book(name, book, values)
+        for k, (linbits, book) in pairs.items():
+            if linbits and max(map(max, book.values())) != 15:
+                raise ValueError(f"table {k}: linbits, but values only to {max(map(max, book.values()))}")
+        return Codes(pairs, quads)
+
+    @cached_property
+    def looked_up(self) -> dict:
+        """For each table (count-1 tables as -1 and -2) what the next ``PEEK`` bits say: (length, values), None where the word is longer."""
+        books = {k: b for k, (_, b) in self.pairs.items() if k} | {-1 - k: b for k, b in enumerate(self.quads)}
+        out = {}
+        for k, book in books.items():
+            table = out[k] = [None] * (1 << PEEK)
+            for (length, word), values in book.items():
+                if length <= PEEK:
+                    at = word << PEEK - length
+                    table[at : at + (1 << PEEK - length)] = [(length, values)] * (1 << PEEK - length)
+        return out
+
+    def symbol(self, bits: Bits, number: int) -> tuple:
+        """The next code word's values; ValueError where none fits or the bits end."""
+        left = bits.left
+        ahead = (bits.value >> left - PEEK if left >= PEEK else bits.value << PEEK - left) & (1 << PEEK) - 1
+        hit = self.looked_up[number][ahead]
+        if hit is not None:
+            bits.left = left - hit[0]
+            if bits.left < 0:
+                raise ValueError("ran past the end")
+            return hit[1]
+        book, word = self.quads[-1 - number] if number < 0 else self.pairs[number][1], 0
+        for length in range(1, 33):
+            word = word << 1 | bits.take(1)
+            if (length, word) in book:
+                return book[length, word]
+        raise ValueError("no such code word")
+
+
+def check_book(name: str, book: dict, values: int) -> None:
+    """ValueError unless no word begins another and every combination of values up to the largest has one word."""
+    words = sorted(f"{word:0{length}b}" for length, word in book)
+    if any(b.startswith(a) for a, b in zip(words, words[1:])):
+        raise ValueError(f"{name}: a code word begins another one")
+    top = max(map(max, book.values()), default=0)
+    if len(set(book.values())) != len(book) or len(book) != (top + 1) ** values:
+        raise ValueError(f"{name}: {len(set(book.values()))} of {(top + 1) ** values} values have a word")
 
 
 def header_facts(frame: bytes) -> dict:
@@ -169,15 +212,15 @@ def read_lines(bits: Bits, g: dict, rate: int, codes: Codes) -> tuple[np.ndarray
     out, at = np.zeros(576, int), 0
     sign = lambda v: -v if v and bits.take(1) else v
     for stop, number in zip((*(min(c, big) for c in cuts), big), (*g["table_select"], 0, 0)):
-        linbits, book = codes.pairs[number] if number else (0, {})
+        linbits = codes.pairs[number][0] if number else 0
         for k in range(at, stop, 2) if number else ():
-            for d, v in enumerate(_symbol(bits, book)):
+            for d, v in enumerate(codes.symbol(bits, number)):
                 out[k + d] = sign(v + bits.take(linbits) if linbits and v == 15 else v)
         at = max(at, stop)
     exact = True
     while at + 4 <= 576 and bits.left > 0:
         try:
-            out[at : at + 4] = [sign(v) for v in _symbol(bits, codes.quads[g["count1_table"]])]
+            out[at : at + 4] = [sign(v) for v in codes.symbol(bits, -1 - g["count1_table"])]
         except ValueError:  # a word cut off by the end is dropped
             out[at : at + 4] = 0
             return out, False
