@@ -34,6 +34,7 @@ OTHER = "other"
 CLASSES = (*LANGUAGES, OTHER)
 FOLDS = 2
 BASE = 2000.0  # trigrams that the letters' frequencies alone stand for in each language's table
+NOISE = 0.1  # the share of any text's trigrams that follow no language: names, keys, numbers
 TEMPER = 1 / 3  # overlapping trigrams tell each letter three times
 SMOOTH = 4.0
 THRESHOLD = 0.5
@@ -113,7 +114,8 @@ def train(texts: DataFrame) -> np.ndarray:
         seen = np.delete(table, f, axis=0).sum(axis=0)
         alone = np.maximum(letters_alone(seen[:, BUCKETS:].sum(axis=0)), 1e-12)
         c = seen[:, :BUCKETS]
-        out.append(np.log((c + BASE * alone) / (c.sum(axis=1, keepdims=True) + BASE)) - np.log(alone))
+        likelier = (c + BASE * alone) / (c.sum(axis=1, keepdims=True) + BASE) / alone
+        out.append(np.log((1 - NOISE) * likelier + NOISE))
     return np.array(out, np.float32)
 
 
