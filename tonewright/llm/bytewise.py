@@ -34,11 +34,11 @@ class Words(NamedTuple):
 
 
 def texts(column: pa.Array, most: int = CHUNK) -> Iterator[Texts]:
-    """The rows in runs of about ``most`` bytes, at least one row each; null texts are empty."""
-    column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
+    """The rows in runs of about ``most`` bytes, at least one row each; null texts are empty. Texts are read where they lie, without a copy."""
     if column.null_count:
-        column = column.fill_null(b"")
-    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+    width = np.int64 if pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type) else np.int32
+    at = np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
     whole = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     row = 0
     while row < len(column):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import bytewise
 from .bytewise import Texts
-from .common import materialize, unused
+from .common import materialize, sliced, unused
 
 WORDS = 20
 PIECE = 8
@@ -116,7 +116,7 @@ def _again(r: Runs) -> np.ndarray:
 
 _UNIT = "h1 bigint, h2 int, doc_id bigint, th bigint, kind byte"
 SHARED, LATER, OWN = 0, 1, 2
-BLOCK = 1 << 18
+BLOCK = 1 << 17
 
 
 def _merged(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
@@ -229,7 +229,7 @@ def _strip_batches(names: tuple[str, str, str], results: tuple[str, str]):
     """Rows with text, found and own (by their names, the last columns) to the rows with what is left and the number of sentences that went."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1024):
             text, found, own = (b.column(b.schema.get_field_index(n)) for n in names)
             hit = np.flatnonzero((found.is_valid()).to_numpy(zero_copy_only=False))
             gone = np.zeros(b.num_rows, np.int64)
