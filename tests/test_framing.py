@@ -66,6 +66,12 @@ def test_batch_source(spark):
     assert [(r.stream_id, r.frame_no, r.position, len(r.bytes)) for r in got] == [("a", k, 417 * k, 417) for k in range(4)]
 
 
+def test_stream_facts(spark):
+    rows = spark.createDataFrame([("a", bytearray(b"noise" + stream(4) + b"TAG" + bytes(125))), ("b", bytearray(stream(3)[:-100])), ("c", None)], "stream_id string, content binary")
+    got = {r.stream_id: (r.frames, r.audio_bytes, r.skipped_bytes, r.truncated, r.free_length) for r in framing.stream_facts(rows).collect()}
+    assert got == {"a": (4, 4 * 417, 133, False, None), "b": (3, 3 * 417, 0, True, None), "c": (0, 0, 0, False, None)}
+
+
 def test_streaming_equals_batch(spark, tmp_path):
     data = b"ID3\x03\0\0\0\0\0\x0a" + b"y" * 10 + stream(9)
     parts = [data[k : k + 700] for k in range(0, len(data), 700)]

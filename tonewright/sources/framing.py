@@ -179,6 +179,24 @@ def frames(streams: DataFrame, strict: bool = False) -> DataFrame:
     return rows.mapInArrow(_frames_of(strict), FRAME_SCHEMA)
 
 
+def stream_facts(streams: DataFrame, strict: bool = False) -> DataFrame:
+    """(stream_id, content) to one row per stream: frames, bytes in frames, bytes skipped (tags and noise), whether the last frame is cut short, and the frame length of a free-format stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [("stream_id", pa.string()), ("frames", pa.int64()), ("audio_bytes", pa.int64()), ("skipped_bytes", pa.int64()), ("truncated", pa.bool_()), ("free_length", pa.int32())]
+        for b in batches:
+            rows = []
+            for stream, content in zip(b.column(0).to_pylist(), b.column(1)):
+                framer = Framer(strict)
+                found = framer.feed(content.as_py() or b"", last=True)
+                cut = bool(found) and found[-1][1] == "truncated"
+                rows.append((stream, len(found), sum(len(f[2]) for f in found), framer.skipped, cut, framer.free))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=[n for n, _ in kinds])
+
+    rows = streams.select(F.col("stream_id").cast("string"), F.col("content").cast("binary"))
+    return rows.mapInArrow(run, "stream_id string, frames bigint, audio_bytes bigint, skipped_bytes bigint, truncated boolean, free_length int")
+
+
 def read_audio(spark: SparkSession, path: str, pattern: str = "*.{mp1,mp2,mp3,mpa}") -> DataFrame:
     """Streams of a folder: (stream_id, content); path and size filters reach the file listing."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("stream_id"), "content")

@@ -1 +1 @@
-"""streaming of the audio-frame engine."""
+"""Streams decoded as their bytes arrive."""
