@@ -37,7 +37,7 @@ SEED = 42
 RADIUS = 4
 BLOCKS = 4
 SHARD_ROWS = 16_384
-MOST_SHARDS = 4_096
+MOST_SHARDS = 1 << 16  # a block has no more values
 SAMPLE = 65_536
 LEAF_PAIRS = 1 << 18
 WHOLE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -206,13 +206,13 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
     sample = np.array([r["fp"] for r in picked], dtype=np.int64).view(np.uint64)
     rng = np.random.default_rng(3)
     masks, radius = block_masks(), RADIUS // BLOCKS
-    trees = [build_tree(sample, m, leaves, rng)[0] for m in masks]
+    trees = distinct.sparkSession.sparkContext.broadcast([build_tree(sample, m, leaves, rng)[0] for m in masks])  # at most as many nodes as the sample has points
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             signed = b.column(0).to_numpy(zero_copy_only=False)
             fps = signed.view(np.uint64)
-            for t, (tree, mask) in enumerate(zip(trees, masks)):
+            for t, (tree, mask) in enumerate(zip(trees.value, masks)):
                 for leaf, home, visit in route(fps, tree, mask, radius):
                     where = np.r_[home, visit]
                     cols = [np.full(len(where), t * MOST_SHARDS + leaf), np.arange(len(where)) < len(home), signed[where]]
