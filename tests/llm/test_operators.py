@@ -658,6 +658,50 @@ def test_suffix_dedup(spark, docs, nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_sorted_suffixes_alone_find_every_repeat(seed):
+    """The sort and its comparisons without the reductions before them: every text is one piece, so no hash decides anything."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(seed)
+    stock = [bytes(r.integers(97, 97 + (2 if seed % 2 else 26), int(r.integers(60, 400))).astype(np.uint8)) for _ in range(6)]
+    texts = {}
+    for k in range(40 if seed < 4 else 14):
+        parts = [stock[int(r.integers(6))][int(r.integers(0, 50)) :] if r.random() < 0.6 else bytes(r.integers(97, 123, int(r.integers(0, 150))).astype(np.uint8)) for _ in range(int(r.integers(1, 5)))]
+        texts[k] = b"".join(parts) + (b"ab" * 120 if seed == 5 else b"")
+    pieces = [(k, 7, 0, t) for k, t in texts.items() if len(t) >= 100]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    batches = [pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*pieces[a : a + 9]), kinds)], names=["doc_id", "th", "start", "piece"]) for a in range(0, len(pieces), 9)]
+    rows = [row for b in suffix_dedup._samples(iter(batches)) for row in zip(*(c.to_pylist() for c in b.columns))]
+    rows.sort(key=lambda x: (x[0], *x[2:]))
+    types = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    for step in (37, 1000):
+        parts = [pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows[a : a + step]), types)], names=["head", "sides", "doc_id", "th", "at", "reach"]) for a in range(0, len(rows), step)]
+        gone = {k: np.zeros(len(t), bool) for k, t in texts.items()}
+        for b in suffix_dedup._later(iter(parts)):
+            for k, span in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                gone[k][span >> 32 : span & 0xFFFFFFFF] = True
+        want = {k: np.zeros(len(t), bool) for k, t in texts.items()}
+        seen = set()
+        for k, t in texts.items():
+            for at in range(len(t) - 99):
+                if t[at : at + 100] in seen:
+                    want[k][at : at + 100] = True
+                seen.add(t[at : at + 100])
+        assert all((gone[k] == want[k]).all() for k in texts) and any(w.any() for w in want.values())
+
+
+def test_bytes_repeated_within_one_text():
+    for raw in (b"", b"x" * 99, b"x" * 100, b"x" * 150, b"abc" * 90, bytes(np.random.default_rng(1).integers(0, 256, 300).astype(np.uint8)) * 2):
+        starts, stops = suffix_dedup.own_repeats(np.frombuffer(raw, np.uint8))
+        seen, want = set(), np.zeros(len(raw), bool)
+        for at in range(len(raw) - 99):
+            if raw[at : at + 100] in seen:
+                want[at : at + 100] = True
+            seen.add(raw[at : at + 100])
+        assert (suffix_dedup._covered(len(raw), starts, stops) == want).all()
+
+
 def test_rows_without_an_id(spark):
     t = spark.createDataFrame([(None, SENTENCES * 2, "en", None, 1), (None, None, None, None, None), (7, SENTENCES * 2, "en", "a", 1), (8, SENTENCES * 2, "en", "a", 1)], SCHEMA)
     labels = spark.createDataFrame([(None, 1), (7, 0), (8, 1)], "doc_id bigint, quality int")
