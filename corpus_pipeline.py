@@ -7,10 +7,10 @@ columns of ``documents``. A table without rows passes through every stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tonewright.llm import language_id, mixing, packing, sentence_spans, simhash
-from tonewright.llm.common import materialize
+from tonewright.llm.common import drop, materialize
 from tonewright.llm.queries import tokenizer_file
 
 
@@ -54,8 +54,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each returns is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage{k}")
+        drop(before)  # nothing reads it any more; the table of documents is not a scratch table and stays
+    return STAGES[-1][1](spark, docs, sf_dir)
