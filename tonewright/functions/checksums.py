@@ -8,10 +8,9 @@ FRAME_POLY, ARC_POLY = 0x8005, 0xA001
 
 
 def byte_array(data: Column) -> Column:
-    """The bytes of a binary column as integers."""
-    n = F.length(data)
-    one = lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), one)).when(n == 0, F.array().cast("array<int>"))
+    """The bytes of a binary column as integers: each is one character of ISO-8859-1."""
+    each = F.transform(F.split(F.decode(data, "ISO-8859-1"), ""), F.ascii)
+    return F.when(F.length(data) > 0, each).when(F.length(data) == 0, F.array().cast("array<int>"))
 
 
 def _table(start, step) -> Column:
