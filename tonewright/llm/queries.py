@@ -108,11 +108,31 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contamination
+
+    found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), items, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_quality_classifier, op4_chroma, op5_mixing, op6_language_id, op7_chat_format, op8_sentence_spans, op9_packing, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_quality_classifier, op4_chroma, op5_mixing, op6_language_id, op7_chat_format, op8_sentence_spans, op9_packing, op10_suffix_dedup, op11_importance, op12_decontamination, op13_divergence_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import mixing
+    from . import decontamination, divergence, importance, mixing
 
-    return {"op5_mixing": mixing.ORACLE_SQL}
+    return {"op5_mixing": mixing.ORACLE_SQL, "op11_importance": importance.ORACLE_SQL, "op12_decontamination": decontamination.ORACLE_SQL, "op13_divergence_audit": divergence.ORACLE_SQL}
