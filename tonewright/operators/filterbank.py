@@ -1,7 +1,7 @@
-"""The 32-band polyphase filterbank over ordered slots, as one window of sixteen rows and a small array step.
+"""The 32-band polyphase filterbank over ordered slots, in chunks that bring the fifteen slots before them along.
 
-A slot's output depends on itself and the fifteen before, so no state is kept: Spark
-brings the neighbours by a window per (stream, channel), and the step that follows is row by row. The
+A slot's output depends on itself and the fifteen before, so no state is kept: a stream spreads over tasks by chunks, of which
+each copies so many slots of the one before. Slots are numbered from 0 without gaps. The
 prototype is a parameter of 512 values; ``designed_prototype`` gives one by formula.
 """
 
@@ -9,12 +9,17 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
+
+from . import ordered
 
 BANDS, TAPS, SLOTS = 32, 512, 16
+#: Slots of a chunk: sixty-four granules.
+CHUNK = 1152
 
 
 def designed_prototype() -> np.ndarray:
@@ -42,56 +47,77 @@ def load_prototype(path: str) -> np.ndarray:
     return d
 
 
+@lru_cache(maxsize=1)
 def _synthesis_matrix() -> np.ndarray:
     i, k = np.arange(64)[:, None], np.arange(BANDS)[None, :]
     return np.cos((16 + i) * (2 * k + 1) * np.pi / 64)
 
 
+@lru_cache(maxsize=1)
 def _analysis_matrix() -> np.ndarray:
     k, i = np.arange(BANDS)[:, None], np.arange(64)[None, :]
     return np.cos((2 * k + 1) * (i - 16) * np.pi / 64)
 
 
+def shifted(x: np.ndarray, k: int, n: int) -> np.ndarray:
+    """The rows k before the last n."""
+    return x[len(x) - n - k : len(x) - k]
+
+
+def synthesise_run(x: np.ndarray, prototype: np.ndarray) -> np.ndarray:
+    """Subband slots in a row, the first fifteen of which come before, to the samples of the others. A slot's value does not depend on how many are asked for."""
+    n, w = len(x) - SLOTS + 1, prototype.reshape(8, 64)
+    v = np.einsum("nk,ik->ni", x, _synthesis_matrix())
+    out = np.zeros((n, BANDS))
+    for j in range(8):
+        out += shifted(v, 2 * j, n)[:, :BANDS] * w[j, :BANDS] + shifted(v, 2 * j + 1, n)[:, BANDS:] * w[j, BANDS:]
+    return out
+
+
+def analyse_run(x: np.ndarray, prototype: np.ndarray) -> np.ndarray:
+    """Blocks of samples in a row, the first fifteen of which come before, to the subbands of the others."""
+    n, c = len(x) - SLOTS + 1, (prototype / BANDS).reshape(SLOTS, BANDS)
+    z = np.zeros((n, 2 * BANDS))
+    for j in range(SLOTS):  # newest first
+        z[:, j % 2 * BANDS : j % 2 * BANDS + BANDS] += shifted(x, j, n)[:, ::-1] * c[j]
+    return np.einsum("ni,ki->nk", z, _analysis_matrix())
+
+
 def synthesise_slots(history: np.ndarray, prototype: np.ndarray) -> np.ndarray:
     """(n, 16, 32) subband slots, newest last, to (n, 32) samples."""
-    v = history[:, ::-1] @ _synthesis_matrix().T  # newest first, 64 each
-    w = prototype.reshape(8, 64)
-    return np.einsum("nij,ij->nj", v[:, 0::2, :32], w[:, :32]) + np.einsum("nij,ij->nj", v[:, 1::2, 32:], w[:, 32:])
+    return np.concatenate([synthesise_run(h, prototype) for h in history]) if len(history) else np.zeros((0, BANDS))
 
 
 def analyse_blocks(history: np.ndarray, prototype: np.ndarray) -> np.ndarray:
     """(n, 16, 32) blocks of samples, newest last, to (n, 32) subbands."""
-    x = history.reshape(len(history), TAPS)[:, ::-1] * (prototype / BANDS)
-    return x.reshape(len(x), 8, 64).sum(axis=1) @ _analysis_matrix().T
-
+    return np.concatenate([analyse_run(h, prototype) for h in history]) if len(history) else np.zeros((0, BANDS))
 
-def _apply(step, prototype: np.ndarray, keys: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            parts = b.column(keys).to_pylist()
-            history = np.zeros((len(parts), SLOTS, BANDS))
-            for r, p in enumerate(parts):
-                history[r, SLOTS - len(p) :] = p
-            out = step(history, prototype).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(keys)), pa.array(list(out), pa.list_(pa.float32()))], names=[*b.schema.names[:keys], "out"])
 
-    return run
+def _banked(rows: DataFrame, keys: list[str], by: str, value: str, step, prototype: np.ndarray) -> DataFrame:
+    prototype = np.asarray(prototype, dtype=float)
+    cut = ordered.with_halo(rows.select(*keys, by, value), keys, by, CHUNK, SLOTS - 1)
+    cut = cut.select(*keys, ordered.CHUNK, by, value)
+    schema = T.StructType([*(cut.schema[k] for k in (*keys, by)), T.StructField(value, T.ArrayType(T.FloatType()))])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(keys)
+        for b in ordered.runs(batches, n + 1):
+            own = int((b.column(n + 1).to_numpy() // CHUNK == b.column(n)[0].as_py()).sum())  # those of the chunk before stand first
+            if own:
+                x = ordered.matrix(b.column(n + 2), BANDS)
+                x = np.r_[np.zeros((max(0, own + SLOTS - 1 - len(x)), BANDS)), x]
+                mine = b.slice(b.num_rows - own)
+                out = step(x[len(x) - own - SLOTS + 1 :], prototype).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([*(mine.column(k) for k in range(n)), mine.column(n + 1), ordered.lists(out)], names=[*keys, by, value])
 
-def _banked(rows: DataFrame, keys: list[str], by: str, value: str, step, prototype: np.ndarray) -> DataFrame:
-    last = Window.partitionBy(*keys).orderBy(by).rowsBetween(-(SLOTS - 1), 0)
-    wide = rows.select(*keys, by, F.collect_list(value).over(last).alias("_history"))
-    schema = wide.drop("_history").schema.add("out", T.ArrayType(T.FloatType()))
-    return wide.mapInArrow(_apply(step, np.asarray(prototype, dtype=float), len(keys) + 1), schema).withColumnRenamed("out", value)
+    return cut.mapInArrow(run, schema)
 
 
 def synthesise(subbands: DataFrame, keys: list[str], by: str, value: str, prototype: np.ndarray) -> DataFrame:
     """(keys, by, value: 32 subbands) to (keys, by, value: 32 samples); slots before the first are silence."""
-    return _banked(subbands, keys, by, value, synthesise_slots, prototype)
+    return _banked(subbands, keys, by, value, synthesise_run, prototype)
 
 
 def analyse(blocks: DataFrame, keys: list[str], by: str, value: str, prototype: np.ndarray) -> DataFrame:
     """(keys, by, value: 32 samples) to (keys, by, value: 32 subbands)."""
-    return _banked(blocks, keys, by, value, analyse_blocks, prototype)
+    return _banked(blocks, keys, by, value, analyse_run, prototype)
