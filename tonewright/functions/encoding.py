@@ -66,3 +66,8 @@ def extent(n: Column, spf: Column) -> tuple[Column, Column]:
 def reservoir_most(lsf: Column, frame_bytes: Column) -> Column:
     """min(511 or 255, 960 - frame bytes), not under zero."""
     return F.greatest(F.least(F.when(lsf, 255).otherwise(511), 960 - frame_bytes), F.lit(0))
+
+
+def reservoir_limit(lsf: bool, frame_bytes: int) -> int:
+    """The same of one frame."""
+    return max(0, min(255 if lsf else 511, 960 - frame_bytes))

@@ -35,16 +35,22 @@ def band_dimension(spark: SparkSession, edges: tuple[int, ...], line_hz: float)
     return spark.createDataFrame(rows, "band int, lo int, hi int, z double")
 
 
-def spreading_dimension(spark: SparkSession, edges: tuple[int, ...], line_hz: float) -> DataFrame:
-    """(band, masker, weight): how much a masker band's energy counts in a band's threshold, normalised; at most 22 x 22 rows."""
+def spreading_matrix(edges: tuple[int, ...], line_hz: float) -> tuple[list[float], list[list[float]]]:
+    """Bark centres of the bands, and how much each band's energy counts in each band's threshold, normalised."""
     z = [bark((lo + hi) * 0.5 * line_hz) for lo, hi in zip(edges, edges[1:])]
     width = [hi - lo for lo, hi in zip(edges, edges[1:])]
     rows = []
     for b in range(len(z)):
         raw = [spreading(z[b] - z[j]) for j in range(len(z))]
         norm = sum(r * w for r, w in zip(raw, width)) / width[b]
-        rows += [(b, j, r / norm) for j, r in enumerate(raw) if r]
-    return spark.createDataFrame(rows, "band int, masker int, weight double")
+        rows.append([r / norm for r in raw])
+    return z, rows
+
+
+def spreading_dimension(spark: SparkSession, edges: tuple[int, ...], line_hz: float) -> DataFrame:
+    """(band, masker, weight): how much a masker band's energy counts in a band's threshold, normalised; at most 22 x 22 rows."""
+    _, weights = spreading_matrix(edges, line_hz)
+    return spark.createDataFrame([(b, j, w) for b, row in enumerate(weights) for j, w in enumerate(row) if w], "band int, masker int, weight double")
 
 
 def tonality(geometric: Column, arithmetic: Column) -> Column:

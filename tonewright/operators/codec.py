@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions import encoding as E, header as H
-from ..functions.tables import BITRATES_LSF, BITRATES_MPEG1, SAMPLE_RATES, band_edges
+from ..functions.tables import BITRATES_LSF, BITRATES_MPEG1, SAMPLE_RATES
 from ..sources import framing, layer12, tags
-from . import analysis, encoder, filterbank, layer3, psychoacoustics as P
+from . import analysis, encoder, filterbank, layer3, ordered, psychoacoustics as P
 from .layer3 import Codes
 
-FULL_SCALE_DB = 96.0
-
 
 def decode_streams(streams: DataFrame, codes: Codes, prototype: np.ndarray, trim: bool = True, strict: bool = False, check_crc: bool = False) -> DataFrame:
     """(stream_id, content) to (stream_id, channel, slot, s: 32 samples, concealed, keep_from, keep_to), all layers.
@@ -65,8 +60,8 @@ def block_types_of(blocks: DataFrame) -> DataFrame:
 
     The last granule has no region behind it and takes none for an attack to come.
     """
-    kinds = P.block_types(P.attacks(blocks), ["stream_id"], "granule", "attack")
-    return kinds.select("stream_id", (F.col("n") - 1).cast("bigint").alias("granule"), F.col("kind").alias("block_type"))
+    kinds = P.block_type_scan(analysis.attack_flags(blocks), ["stream_id"], "granule", "attack")
+    return kinds.select("stream_id", "granule", F.col("kind").alias("block_type"))
 
 
 def padded(blocks: DataFrame, rate: int) -> DataFrame:
@@ -103,67 +98,57 @@ def full_scale(prototype: np.ndarray) -> tuple[float, float]:
     return long, short / 3
 
 
-def allowances(lines: DataFrame, rate: int, full: tuple[float, float], offset_db: float = 0.0) -> DataFrame:
-    """(stream_id, channel, granule, block_type, x) with ``allowed``: noise per band from the masking model; per window in short blocks."""
-    long, short = band_edges(rate)
-    keys = ["stream_id", "channel", "granule", "block_type", "window"]
-    parts = []
-    for kind, edges, hertz in ((0, long, rate / 1152), (1, short, rate / 384)):
-        mine = lines.where(F.col("block_type") == 2 if kind else F.col("block_type") != 2)
-        t = mine.select("stream_id", "channel", "granule", "block_type", F.posexplode("x").alias("p", "x")).withColumn("x", F.col("x").cast("double"))
-        if kind:  # subband, window, line of six
-            t = t.withColumn("window", (F.col("p") % 18 / 6).cast("int")).withColumn("k", (F.col("p") / 18).cast("int") * 6 + F.col("p") % 6)
-        else:
-            t = t.withColumn("window", F.lit(0)).withColumn("k", F.col("p"))
-        m = P.thresholds(P.band_statistics(t, keys, edges, hertz), keys, edges, hertz, F.get(F.array(*map(F.lit, quiet_energies(edges, hertz, full[kind]))), F.col("band")))
-        parts.append(m.select(*keys, "band", (F.col("threshold") * 10 ** (offset_db / 10)).alias("threshold")))
-    flat = F.array_sort(F.collect_list(F.struct("band", "window", "threshold")))
-    masks = parts[0].unionByName(parts[1]).groupBy("stream_id", "channel", "granule").agg(F.transform(flat, lambda m: m["threshold"]).alias("allowed"))
-    return lines.join(masks, ["stream_id", "channel", "granule"])
-
-
-def quiet_energies(edges: tuple[int, ...], hertz: float, full: float) -> list[float]:
-    """The threshold in quiet of each band as noise energy, a full-scale tone (energy ``full``) standing at 96 dB."""
-    values = []
-    for lo, hi in zip(edges, edges[1:]):
-        k = np.maximum((np.arange(lo, hi) + 0.5) * hertz, 20.0) / 1000
-        db = np.minimum(3.64 * k**-0.8 - 6.5 * np.exp(-0.6 * (k - 3.3) ** 2) + 1e-3 * k**4, 110.0)
-        values.append(float(full * 10 ** ((db.min() - FULL_SCALE_DB) / 10)))
-    return values
-
-
-def low_passed(lines: DataFrame, rate: int, hertz: float) -> DataFrame:
-    """x with the lines from ``hertz`` on set to zero, by line in long blocks and by line of a window in short ones."""
-    share = hertz / (rate / 2)
-    long, short = round(share * 576), round(share * 192)
-    place = lambda p: F.when(F.col("block_type") == 2, (p / 18).cast("int") * 6 + p % 6 < short).otherwise(p < long)
-    return lines.withColumn("x", F.transform("x", lambda v, p: F.when(place(p), v).otherwise(F.lit(0.0).cast("float"))))
-
-
-def pre_echo(masks: DataFrame, floor: list[float]) -> DataFrame:
+class Settings:
+    """What an encoder is set to, checked; the model and the low-pass follow."""
+
+    def __init__(self, prototype: np.ndarray, rate: int, kbps: int | None, lowpass: float | None = None, joint: bool = True, quality: int | None = None, channels: int = 2):
+        check_settings(rate, channels, kbps, quality)
+        self.rate, self.kbps, self.joint, self.channels, self.prototype = rate, kbps, joint, channels, np.asarray(prototype, float)
+        offset = 0.0
+        if kbps is None:
+            offset, lowpass = -4.0 + 1.6 * quality, lowpass or 20000.0 - 700.0 * quality
+        self.lowpass = lowpass or E.lowpass_of(kbps / channels * (1.15 if joint and channels == 2 else 1.0))
+        self.model = P.Model(rate, full_scale(prototype), offset)
+
+
+def held_down(last: list[float] | None, allowed: list[float], floor: list[float]) -> list[float]:
+    """The allowed noise of a long block, at most twice that of the granule before (itself held), but not below ``floor``; ``last`` None is no such memory."""
+    return allowed if last is None else [max(min(a, 2 * p), f) for a, p, f in zip(allowed, last, floor)]
+
+
+def pre_echo(masks: DataFrame, floor: list[float], size: int = 512) -> DataFrame:
     """``allowed`` of long blocks held to twice that of the granule before, itself held, but not below ``floor`` (per band); a short block clears the memory.
 
-    A recursion in order, so a channel's granules stream through one task; one granule is kept.
+    A parallel prefix over chunks of granules numbered from 0: without a short block a chunk is the map p -> max(min(a, 2^k p), f) of each band, which
+    compositions keep; behind a short block nothing of the state is left. Powers of two are exact, so chunks change no bit of the result.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last = None, None
-        for b in batches:
-            out = []
-            at = b.schema.names.index("allowed")
-            for sid, ch, kind, allowed in zip(*(b.column(k).to_pylist() for k in ("stream_id", "channel", "block_type", "allowed"))):
-                if (sid, ch) != key:
-                    key, last = (sid, ch), None
-                if kind == 2:
-                    last = None
-                else:
-                    allowed = allowed if last is None else [max(min(a, 2 * p), f) if p > 0 else a for a, p, f in zip(allowed, last, floor)]
-                    last = allowed
-                out.append(allowed)
-            yield b.set_column(at, "allowed", pa.array(out, pa.list_(pa.float64())))
+    def follow(state, kinds: list[int], allowed: list[list[float]]) -> list[list[float]]:
+        out = []
+        for kind, a in zip(kinds, allowed):
+            held = a if kind == 2 else held_down(state, a, floor)
+            state = None if kind == 2 else held
+            out.append(held)
+        return out
+
+    def function(kinds: list[int], allowed: list[list[float]]) -> dict:
+        """State behind a chunk that starts without memory, and unless a short block cuts it the map of a state: a, the factor, f."""
+        out = {"none": None if kinds[-1] == 2 else follow(None, kinds, allowed)[-1]}
+        if 2 not in kinds:
+            top, factor, low = [float("inf")] * len(floor), 1.0, [0.0] * len(floor)
+            for a in allowed:
+                top, low, factor = [min(x, 2 * t) for x, t in zip(a, top)], [max(min(x, 2 * p), f) for x, p, f in zip(a, low, floor)], 2 * factor
+            out |= {"top": top, "factor": factor, "low": low}
+        return out
+
+    def behind(state, f: dict):
+        return f["none"] if state is None or "top" not in f else [max(min(t, f["factor"] * p), low) for t, p, low in zip(f["top"], state, f["low"])]
 
     t = masks.select("stream_id", "channel", "granule", "block_type", "x", "allowed")
-    return t.repartition("stream_id", "channel").sortWithinPartitions("stream_id", "channel", "granule").mapInArrow(run, t.schema)
+    out = T.StructField("_held", t.schema["allowed"].dataType)
+    done = ordered.scan(t.drop("x"), ["stream_id", "channel"], "granule", ["block_type", "allowed"], size, None, function, behind, follow, out)
+    done = done.select("stream_id", "channel", "granule", F.col("_held").alias("allowed"))
+    return t.drop("allowed").join(done, ["stream_id", "channel", "granule"]).select(t.columns)
 
 
 def encode_pcm(blocks: DataFrame, codes: Codes, prototype: np.ndarray, rate: int, kbps: int | None, lowpass: float | None = None, joint: bool = True, quality: int | None = None, channels: int = 2) -> DataFrame:
@@ -172,17 +157,7 @@ def encode_pcm(blocks: DataFrame, codes: Codes, prototype: np.ndarray, rate: int
     Silence fills each stream up to whole frames behind the delays. ``lowpass`` follows from rate or quality where it is not given; ``channels`` is
     what the settings are checked and the low-pass chosen for.
     """
-    check_settings(rate, channels, kbps, quality)
+    use = Settings(prototype, rate, kbps, lowpass, joint, quality, channels)
     blocks = padded(blocks, rate)
-    bands = filterbank.analyse(blocks, ["stream_id", "channel"], "slot", "s", prototype)
-    rows = analysis.granules(bands).join(block_types_of(blocks), ["stream_id", "granule"])
-    lines = analysis.forward_hybrid(rows)
-    offset = 0.0
-    if kbps is None:
-        offset, lowpass = -4.0 + 1.6 * quality, lowpass or 20000.0 - 700.0 * quality
-    lowpass = lowpass or E.lowpass_of(kbps / channels * (1.15 if joint and channels == 2 else 1.0))
-    if lowpass < rate / 2:
-        lines = low_passed(lines, rate, lowpass)
-    full = full_scale(prototype)
-    floor = [v * 10 ** (offset / 10) for v in quiet_energies(band_edges(rate)[0], rate / 1152, full[0])]
-    return encoder.encode(pre_echo(allowances(lines, rate, full, offset), floor), codes, rate, kbps, joint)
+    parts = analysis.subband_granules(blocks, use.prototype).join(block_types_of(blocks), ["stream_id", "granule"])
+    return encoder.encode(pre_echo(analysis.lines_and_masks(parts, use.model, use.lowpass), use.model.floor), codes, rate, kbps, joint)

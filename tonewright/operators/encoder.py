@@ -1,4 +1,4 @@
-"""Layer III coding of analysed granules: table choice, rate control and frame assembly, one ordered pass per stream.
+"""Layer III coding of analysed granules: rate control and frame assembly, one ordered pass per stream.
 
 A stream's frames depend on each other through the reservoir, so they go through one task in
 order; streams spread over tasks. Analysis and masks are done before, in parallel over
@@ -13,144 +13,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.tables import BITRATES_LSF, BITRATES_MPEG1, SAMPLE_RATES, SLEN1, SLEN2, band_edges
+from ..functions.encoding import reservoir_limit
+from ..functions.tables import BITRATES_LSF, BITRATES_MPEG1, SAMPLE_RATES
 from ..sources import sideinfo
-from .analysis import coded_order, quantise_granule
+from .analysis import coded_order
 from .layer3 import Codes, layout
-
-
-class Books:
-    """Code tables turned round: words by values, and the bits that each value pair costs in each table."""
-
-    def __init__(self, codes: Codes):
-        self.pairs = {t: (linbits, {v: k for k, v in book.items()}) for t, (linbits, book) in codes.pairs.items() if t}
-        self.quads = tuple({v: k for k, v in book.items()} for book in codes.quads)
-        self.most, cost_of = {}, {}
-        for t, (linbits, book) in self.pairs.items():
-            top = max(max(v) for v in book)
-            cost = np.full((16, 16), 1 << 20)
-            for (x, y), (n, _) in book.items():
-                cost[x, y] = n + (x > 0) + (y > 0) + (linbits if linbits and x == 15 else 0) + (linbits if linbits and y == 15 else 0)
-            cost_of[t] = cost
-            self.most[t] = top + (1 << linbits) - 1 if linbits else top
-        self.numbers = np.array(sorted(cost_of))
-        self.costs = np.stack([cost_of[t] for t in self.numbers])
-        self.reach = np.array([self.most[t] for t in self.numbers])
-
-
-def split(ix: np.ndarray) -> tuple[int, int]:
-    """Where pairs end (big values) and where quadruples of at most one end."""
-    held = np.flatnonzero(ix)
-    end = int(held[-1]) + 1 if len(held) else 0
-    over = np.flatnonzero(np.abs(ix) > 1)
-    big = int(over[-1]) // 2 * 2 + 2 if len(over) else 0
-    quads = -(-(end - big) // 4)
-    if big + 4 * max(quads, 0) > 576:
-        big = end + end % 2
-        quads = 0
-    return big, big + 4 * max(quads, 0)
-
-
-def region_costs(size: np.ndarray, edges: np.ndarray, books: Books) -> tuple[np.ndarray, np.ndarray]:
-    """Between any two edges (even, in order) the fewest bits of a table that holds the values, and its number: 0 for silence, many bits where none does."""
-    x, y = np.minimum(size[: edges[-1] : 2], 15), np.minimum(size[1 : edges[-1] : 2], 15)
-    sums = np.c_[np.zeros(len(books.costs), int), np.cumsum(books.costs[:, x, y], axis=1)][:, edges // 2]
-    each = np.array([size[a:b].max(initial=0) for a, b in zip(edges, edges[1:])])
-    top = np.zeros((len(edges), len(edges)), int)
-    for k in range(len(each)):
-        top[k, k + 1 :] = np.maximum.accumulate(each[k:])
-    cost = np.where(books.reach[:, None, None] >= top, sums[:, None, :] - sums[:, :, None], 1 << 20)
-    at = cost.argmin(axis=0)
-    return np.where(top > 0, np.take_along_axis(cost, at[None], 0)[0], 0), np.where(top > 0, books.numbers[at], 0)
-
-
-def choose(ix: np.ndarray, rate: int, block_type: int, books: Books) -> dict:
-    """Tables, region counts and bits of a granule's lines; the first of equal choices."""
-    big, end = split(ix)
-    size = np.abs(ix)
-    long, short = band_edges(rate)
-    if block_type:
-        cut = min(3 * short[3] if block_type == 2 else long[8], big)
-        bits, table = region_costs(size, np.array([0, cut, big]), books)
-        out = {"table_select": [int(table[0, 1]), int(table[1, 2])], "region0_count": 8 if block_type == 2 else 7, "region1_count": 36, "bits": int(bits[0, 1] + bits[1, 2])}
-    else:
-        edges = np.minimum(np.r_[long, 576], big)
-        bits, table = region_costs(size, edges, books)
-        r0, r1 = np.indices((16, 8)).reshape(2, -1)
-        one, two, last = np.minimum(r0 + 1, 22), np.minimum(r0 + r1 + 2, 22), len(edges) - 1
-        total = bits[0, one] + bits[one, two] + bits[two, last]
-        k = int(total.argmin())  # the first of equal choices
-        out = {"table_select": [int(table[0, one[k]]), int(table[one[k], two[k]]), int(table[two[k], last])], "region0_count": int(r0[k]), "region1_count": int(r1[k]), "bits": int(total[k])}
-    fours = [tuple(size[k : k + 4].tolist()) for k in range(big, end, 4)]
-    counts = [sum(book[q][0] + sum(q) for q in fours) for book in books.quads]
-    table = int(counts[1] < counts[0])
-    return out | {"big_values": big // 2, "end": end, "count1_table": table, "bits": out["bits"] + counts[table]}
-
-
-def scalefactor_choice(sf: np.ndarray, block_type: int, lsf: bool) -> tuple[int, int, list[int]] | None:
-    """(bits, scalefac_compress, length of each scalefactor), the cheapest that holds them; None if none does."""
-    sizes = [9] * 4 if block_type == 2 else [6, 5, 5, 5]
-    if lsf:
-        need = [int(p.max(initial=0)).bit_length() for p in np.split(sf[: sum(sizes)], np.cumsum(sizes)[:-1])]
-        if need[0] > 4 or need[1] > 4 or need[2] > 3 or need[3] > 3:
-            return None
-        each = [n for n, k in zip(need, sizes) for _ in range(k)]
-        return sum(each), (need[0] * 5 + need[1]) << 4 | need[2] << 2 | need[3], each
-    n, cut = (18, 18) if block_type == 2 else (11, 10)
-    need = [int(p.max(initial=0)).bit_length() for p in (sf[:n], sf[n : n + cut])]
-    best = min(((n * a + cut * b, k) for k, (a, b) in enumerate(zip(SLEN1, SLEN2)) if a >= need[0] and b >= need[1]), default=None)
-    return best and (*best, [SLEN1[best[1]]] * n + [SLEN2[best[1]]] * cut)
-
-
-class _Writer:
-    """Bits in order; whole bytes leave the number that gathers them."""
-
-    def __init__(self):
-        self.data, self.value, self.held, self.size = bytearray(), 0, 0, 0
-
-    def put(self, v: int, n: int) -> None:
-        self.value, self.held, self.size = self.value << n | int(v), self.held + n, self.size + n
-        if self.held >= 64:
-            rest = self.held % 8
-            self.data += (self.value >> rest).to_bytes(self.held // 8, "big")
-            self.value, self.held = self.value & ((1 << rest) - 1), rest
-
-    def close(self) -> bytes:
-        """All bits, filled with zeros to a whole byte."""
-        self.put(0, -self.size % 8)
-        return bytes(self.data) + self.value.to_bytes(self.held // 8, "big")
-
-
-def write_granule(w: _Writer, q: dict, c: dict, rate: int, block_type: int, books: Books) -> None:
-    """Scalefactors, pairs and quadruples of one granule."""
-    for v, n in zip(q["scalefactors"], c["scalefac"][2]):
-        w.put(v, n)
-    ix, big = q["ix"], 2 * c["big_values"]
-    long, short = band_edges(rate)
-    if block_type:
-        cuts = [min(3 * short[3] if block_type == 2 else long[8], big), big]
-    else:
-        one = min(long[min(c["region0_count"] + 1, 22)], big)
-        cuts = [one, max(one, min(long[min(c["region0_count"] + c["region1_count"] + 2, 22)], big)), big]
-    at = 0
-    for stop, t in zip(cuts, c["table_select"]):
-        linbits, book = books.pairs.get(t, (0, {}))
-        for k in range(at, stop, 2) if t else ():
-            v = np.abs(ix[k : k + 2]).tolist()
-            length, word = book[tuple(min(x, 15) if linbits else x for x in v)]
-            w.put(word, length)
-            for x, s in zip(v, ix[k : k + 2]):
-                if linbits and x >= 15:
-                    w.put(x - 15, linbits)
-                if x:
-                    w.put(int(s < 0), 1)
-        at = stop
-    for k in range(big, c["end"], 4):
-        length, word = books.quads[c["count1_table"]][tuple(np.abs(ix[k : k + 4]).tolist())]
-        w.put(word, length)
-        for s in ix[k : k + 4]:
-            if s:
-                w.put(int(s < 0), 1)
+from .quantiser import Books, Quantiser, granule_bits, packed
 
 
 class Assembly:
@@ -158,7 +26,7 @@ class Assembly:
 
     def __init__(self, limit: int):
         self.limit, self.start, self.end = limit, 0, 0  # bytes of slots so far; where main data ends
-        self.data, self.base = bytearray(), 0
+        self.data = bytearray()
         self.waiting: list[tuple[int, bytes, int]] = []  # (slot start, header and side information, slot bytes)
 
     @property
@@ -188,47 +56,6 @@ class Assembly:
         return out
 
 
-def encode_frame(granules: list[tuple], rate: int, books: Books, target_of, rounds: int = 9):
-    """granules: (block_type, lines in bit-stream order, allowance). The quietest noise that meets the target bits."""
-
-    def attempt(offset: float):
-        done, bits = [], 0
-        for t, x, allowed in granules:
-            q = quantise_granule(x, allowed * 10 ** (offset / 10), rate, t)
-            fac = scalefactor_choice(q["scalefactors"], t, rate < 32000)
-            c = choose(q["ix"], rate, t, books) | {"scalefac": fac}
-            c["part2_3_length"] = c["bits"] + fac[0]
-            bits += c["part2_3_length"]
-            done.append((q, c))
-        return done, bits, all(c["part2_3_length"] <= 4095 and c["big_values"] <= 288 for _, c in done)
-
-    done, demand, fits = attempt(0.0)
-    target = target_of(demand)
-    if fits and demand == target:
-        return done
-    if fits and demand <= target:
-        best, low, high = done, -30.0, 0.0
-        done, bits, fits = attempt(low)
-        if fits and bits <= target:
-            return done
-    else:
-        low, high = 0.0, 60.0
-        best, bits, fits = attempt(high)
-        if not fits or bits > target:
-            while (not fits or bits > target) and high < 200:
-                high += 20.0
-                best, bits, fits = attempt(high)
-            return best
-    for _ in range(rounds):
-        mid = (low + high) / 2
-        done, bits, fits = attempt(mid)
-        if fits and bits <= target:
-            best, high = done, mid
-        else:
-            low = mid
-    return best
-
-
 def entropy(parts: list[tuple], rate: int) -> float:
     """Perceptual entropy of granules of a frame: bits that their energies over their allowances ask for."""
     total = 0.0
@@ -249,74 +76,94 @@ def as_mid_side(parts: list[tuple]) -> list[tuple]:
     return out
 
 
-def encode(granules: DataFrame, codes: Codes, rate: int, kbps: int | None, joint: bool = False) -> DataFrame:
-    """(stream_id, granule, channel, block_type, x: lines in subband order, allowed) to frames (stream_id, frame_no, bytes).
+class FrameEncoder:
+    """Granules of a stream in order to frames; what is kept between them is the assembly and the padding's remainder.
 
     kbps: the constant rate; None: each frame takes the first rate that, with half the reservoir, holds its bits at the mask.
     joint: frames of two channels go as mid and side where that asks for fewer bits.
+    """
+
+    def __init__(self, books: Books, rate: int, kbps: int | None, joint: bool):
+        self.books, self.rate, self.kbps, self.joint = books, rate, kbps, joint
+        self.lsf = rate < 32000
+        self.granules = 1 if self.lsf else 2
+        self.version = 3 if rate >= 32000 else 2 if rate >= 16000 else 0
+        self.table = (BITRATES_LSF if self.lsf else BITRATES_MPEG1)[2]
+        self.assembly, self.remainder = Assembly(255 if self.lsf else 511), 0
+
+    def _target(self, demand: int, slot: int) -> int:
+        a = self.assembly
+        avail, mean, room = 8 * (a.tail + slot), 8 * slot, 8 * (a.limit - a.tail)
+        if self.kbps is None:
+            return min(demand, avail)
+        return min(min(demand, mean + 8 * a.tail * 6 // 10) if demand > mean else max(demand, mean - room), avail)
+
+    def add(self, parts: list[tuple]) -> list[bytes]:
+        """A frame's granules (block_type, lines in bit-stream order, allowance), channel by channel, to the frames that leave."""
+        channels, a, padding = len(parts) // self.granules, self.assembly, 0
+        sides = as_mid_side(parts) if self.joint and channels == 2 else None
+        ms = sides is not None and entropy(sides, self.rate) < entropy(parts, self.rate)
+        parts = sides if ms else parts
+        side = (9 if channels == 1 else 17) if self.lsf else (17 if channels == 1 else 32)
+        whole = lambda k: (72 if self.lsf else 144) * self.table[k] * 1000
+        quantiser = Quantiser(parts, self.rate, self.books)
+        if self.kbps is None:
+            need = sum(q["part2_3_length"] for q in quantiser.fit(lambda n: n))
+            index = next((k for k in range(1, 15) if 8 * (whole(k) // self.rate - 4 - side) + 4 * a.tail >= need), 14)
+        else:
+            index = self.table.index(self.kbps)
+            self.remainder += whole(index) % self.rate
+            padding = int(self.remainder >= self.rate)
+            self.remainder -= self.rate * padding
+        a.limit = reservoir_limit(self.lsf, whole(index) // self.rate + padding)
+        mode = 3 if channels == 1 else 1 if ms else 0
+        word = 2047 << 21 | self.version << 19 | 1 << 17 | 1 << 16 | index << 12 | SAMPLE_RATES.index(self.rate * {3: 1, 2: 2, 0: 4}[self.version]) << 10 | padding << 9 | mode << 6 | (2 << 4 if ms else 0)
+        slot = whole(index) // self.rate + padding - 4 - side
+        rows, bits = [], []
+        for n, ((t, *_), q) in enumerate(zip(parts, quantiser.fit(lambda demand: self._target(demand, slot)))):
+            bits.append(granule_bits(q, self.rate, t, self.books))
+            rows.append({k: int(q[k]) for k in ("part2_3_length", "big_values", "global_gain", "scalefac_compress", "region0_count", "region1_count", "count1_table", "preflag", "scalefac_scale")})
+            rows[-1] |= {"table_select": [int(self.books.numbers[k]) if k >= 0 else 0 for k in q["tables"]], "subblock_gain": q["subblock_gain"].tolist(), "window_switching": int(t > 0), "block_type": int(t), "mixed_block": 0, "scfsi": [0, 0, 0, 0], "granule": n // channels, "channel": n % channels}
+        main = packed(*(np.concatenate(c) for c in zip(*bits)))
+        return a.add(lambda begin: word.to_bytes(4, "big") + sideinfo.pack([r | {"main_data_begin": begin} for r in rows], self.lsf, channels == 1), slot, main)
+
+    def finish(self) -> list[bytes]:
+        return self.assembly.leave(final=True)
+
+
+def encode(granules: DataFrame, codes: Codes, rate: int, kbps: int | None, joint: bool = False) -> DataFrame:
+    """(stream_id, granule, channel, block_type, x: lines in subband order, allowed) to frames (stream_id, frame_no, bytes).
+
     Every granule has all channels of its stream; an odd last granule of MPEG-1 is dropped.
     """
-    lsf = rate < 32000
-    per = 1 if lsf else 2
-    version = 3 if rate >= 32000 else 2 if rate >= 16000 else 0
-    table = (BITRATES_LSF if lsf else BITRATES_MPEG1)[2]
     shared = granules.sparkSession.sparkContext.broadcast(codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books = Books(shared.value)
-        stream, held, state = None, [], None
-
-        def emit(frames: list[bytes]) -> None:
-            for f in frames:
-                done.append((stream, state["frames"], f))
-                state["frames"] += 1
-
-        def frame(parts):
-            channels = len(parts) // per
-            a, padding = state["assembly"], 0
-            ms = joint and channels == 2 and entropy(as_mid_side(parts), rate) < entropy(parts, rate)
-            parts = as_mid_side(parts) if ms else parts
-            side = (9 if channels == 1 else 17) if lsf else (17 if channels == 1 else 32)
-            bytes_at = lambda k: (72 if lsf else 144) * table[k] * 1000
-            limit = lambda k, more=0: max(0, min(255 if lsf else 511, 960 - bytes_at(k) // rate - more))
-            if kbps is None:
-                need = sum(c["part2_3_length"] for _, c in encode_frame(parts, rate, books, lambda n: n))
-                index = next((k for k in range(1, 15) if 8 * (bytes_at(k) // rate - 4 - side) + 4 * a.tail >= need), 14)
-            else:
-                index = table.index(kbps)
-                state["acc"] += bytes_at(index) % rate
-                padding = int(state["acc"] >= rate)
-                state["acc"] -= rate * padding
-            a.limit = limit(index, padding)
-            mode = 3 if channels == 1 else 1 if ms else 0
-            word = 2047 << 21 | version << 19 | 1 << 17 | 1 << 16 | index << 12 | SAMPLE_RATES.index(rate * {3: 1, 2: 2, 0: 4}[version]) << 10 | padding << 9 | mode << 6 | (2 << 4 if ms else 0)
-            slot = bytes_at(index) // rate + padding - 4 - side
-            avail, mean, room = 8 * (a.tail + slot), 8 * slot, 8 * (a.limit - a.tail)
-            constant = lambda need: min(min(need, mean + 8 * a.tail * 6 // 10) if need > mean else max(need, mean - room), avail)
-            target = constant if kbps else lambda need: min(need, avail)
-            rows, w = [], _Writer()
-            for n, ((t, *_), (q, c)) in enumerate(zip(parts, encode_frame(parts, rate, books, target))):
-                write_granule(w, q, c, rate, t, books)
-                rows.append({k: c[k] for k in ("part2_3_length", "big_values", "table_select", "region0_count", "region1_count", "count1_table")} | {"global_gain": q["global_gain"], "scalefac_compress": c["scalefac"][1], "window_switching": int(t > 0), "block_type": t, "mixed_block": 0, "subblock_gain": [0, 0, 0], "preflag": 0, "scalefac_scale": 0, "scfsi": [0, 0, 0, 0], "granule": n // channels, "channel": n % channels})
-            main = w.close()
-            return a.add(lambda begin: word.to_bytes(4, "big") + sideinfo.pack([r | {"main_data_begin": begin} for r in rows], lsf, channels == 1), slot, main)
+        stream, held, frames, n, done = None, [], None, 0, []
+
+        def emit(made: list[bytes]) -> None:
+            nonlocal n
+            for f in made:
+                done.append((stream, n, f))
+                n += 1
 
         def close():
-            if held and len({g for g, _ in held}) == per:
-                emit(frame([p[1] for p in held]))
-            if state is not None:
-                emit(state["assembly"].leave(final=True))
+            if held and len({g for g, _ in held}) == frames.granules:
+                emit(frames.add([p for _, p in held]))
+            if frames is not None:
+                emit(frames.finish())
 
-        done: list[tuple] = []
         for b in batches:
-            for sid, granule, _, t, x, allowed in zip(*(b.column(k).to_pylist() for k in range(6))):
-                if state is None or sid != stream:
+            lines = [np.asarray(x.values, float) for x in b.column(4)]
+            for sid, granule, t, x, allowed in zip(*(b.column(k).to_pylist() for k in (0, 1, 3)), lines, b.column(5)):
+                if frames is None or sid != stream:
                     close()
-                    stream, held, state = sid, [], {"assembly": Assembly(255 if lsf else 511), "acc": 0, "frames": 0}
-                if held and granule != held[-1][0] and granule % per == 0:
-                    emit(frame([p[1] for p in held]))
+                    stream, held, frames, n = sid, [], FrameEncoder(books, rate, kbps, joint), 0
+                if held and granule != held[-1][0] and granule % frames.granules == 0:
+                    emit(frames.add([p for _, p in held]))
                     held = []
-                held.append((granule, (t, coded_order(np.array(x, dtype=float), rate, t), np.array(allowed, dtype=float))))
+                held.append((granule, (t, coded_order(x, rate, t), np.asarray(allowed.values, float))))
             if len(done) > 256:
                 yield _rows(done)
                 done.clear()

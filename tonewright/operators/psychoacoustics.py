@@ -15,6 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import psychoacoustics as S
 from ..functions.layers import mid_side
+from ..functions.tables import band_edges
+from . import ordered
 
 
 def banded(lines: DataFrame, edges: tuple[int, ...]) -> DataFrame:
@@ -87,61 +89,76 @@ def transients(samples: DataFrame, factor: tuple[int, int], floor: int, history:
 
 
 SEGMENT, LEAK, BEFORE = 64, 0.6, 225
+FULL_SCALE_DB = 96.0
 
 
-class AttackDetector:
-    """Samples of one channel in order to attacks per granule of 576.
+def segment_energies(x: np.ndarray) -> np.ndarray:
+    """(n, 705) samples to (n, 9): energies of leaky differences in segments of 64. Two segments before them fill the leak, of which 1e-28 is older."""
+    d = np.diff(x, axis=1).reshape(len(x), -1, SEGMENT)
+    k = np.arange(SEGMENT)
+    leak = np.where(k <= k[:, None], LEAK ** np.maximum(k[:, None] - k, 0), 0.0)
+    high = np.einsum("nk,jk->nj", np.ascontiguousarray(d).reshape(-1, SEGMENT), leak).reshape(d.shape)
+    state, out = np.zeros(len(x)), []
+    for s in range(d.shape[1]):
+        row = high[:, s] + LEAK ** (k + 1) * state[:, None]
+        state = row[:, -1]
+        out.append(np.einsum("nk,nk->n", row, row))
+    return np.stack(out[2:], axis=1)
 
-    The region of a granule starts ``BEFORE`` samples ahead of it. Energies of leaky differences in segments of 64; an attack stands
-    where one passes the floor and ten times the mean of the nine before.
-    """
-
-    def __init__(self):
-        self.held, self.last, self.state, self.history = np.zeros(BEFORE), 0.0, 0.0, []
-
-    def feed(self, x: np.ndarray) -> list[bool]:
-        x = np.r_[self.held, x]
-        n = len(x) // 576 * 576
-        self.held = x[n:]
-        if not n:
-            return []
-        d = np.diff(x[:n], prepend=self.last).reshape(-1, SEGMENT)
-        self.last = x[n - 1]
-        k = np.arange(SEGMENT)
-        high = d @ np.where(k[:, None] <= k, LEAK ** np.maximum(k - k[:, None], 0), 0.0)
-        floor, hits = 1e-6 * SEGMENT, []
-        for row in high:
-            row = row + LEAK ** (k + 1) * self.state
-            self.state = row[-1]
-            energy = float(row @ row)
-            past = sum(self.history) / len(self.history) if self.history else energy
-            hits.append(energy > floor and energy > 10 * max(past, floor / 10))
-            self.history = [*self.history[-8:], energy]
-        return [any(hits[g : g + 9]) for g in range(0, len(hits), 9)]
-
-
-def attacks(blocks: DataFrame) -> DataFrame:
-    """(stream_id, channel, slot, s: samples) to (stream_id, granule, attack): of either channel; granules that the samples fill.
-
-    A channel streams through one task in order and keeps less than a granule of samples.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, detector, granule = None, None, 0
-        for b in batches:
-            out = []
-            for sid, ch, s in zip(*(b.column(k).to_pylist() for k in (0, 1, 3))):
-                if (sid, ch) != key:
-                    key, detector, granule = (sid, ch), AttackDetector(), 0
-                for hit in detector.feed(np.array(s, dtype=float)):
-                    out.append((sid, granule, hit))
-                    granule += 1
-            cols = list(zip(*out)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.bool_()))], names=["stream_id", "granule", "attack"])
+def attack(before: np.ndarray, now: np.ndarray, granule: np.ndarray) -> np.ndarray:
+    """Whether granules have an attack, of their segments' energies and those of the granule before: one that passes the floor and ten times the mean of the nine before it.
 
-    rows = blocks.select("stream_id", F.col("channel").cast("int"), F.col("slot").cast("bigint").alias("slot"), "s")
-    rows = rows.repartition("stream_id", "channel").sortWithinPartitions("stream_id", "channel", "slot")
-    return rows.mapInArrow(run, "stream_id string, granule bigint, attack boolean").groupBy("stream_id", "granule").agg(F.max("attack").alias("attack"))
+    The region of a granule starts ``BEFORE`` samples ahead of it. Segments before the stream do not count.
+    """
+    both, floor = np.concatenate([before, now], axis=1), 1e-6 * SEGMENT
+    hit = np.zeros(len(now), bool)
+    for j in range(9):
+        held = np.minimum(9 * granule + j, 9)
+        past = np.where(held > 0, both[:, j : j + 9].sum(axis=1) / np.maximum(held, 1), now[:, j])
+        hit |= (now[:, j] > floor) & (now[:, j] > 10 * np.maximum(past, floor / 10))
+    return hit
+
+
+def quiet_energies(edges: tuple[int, ...], hertz: float, full: float) -> list[float]:
+    """The threshold in quiet of each band as noise energy, a full-scale tone (energy ``full``) standing at 96 dB."""
+    values = []
+    for lo, hi in zip(edges, edges[1:]):
+        k = np.maximum((np.arange(lo, hi) + 0.5) * hertz, 20.0) / 1000
+        db = np.minimum(3.64 * k**-0.8 - 6.5 * np.exp(-0.6 * (k - 3.3) ** 2) + 1e-3 * k**4, 110.0)
+        values.append(float(full * 10 ** ((db.min() - FULL_SCALE_DB) / 10)))
+    return values
+
+
+class Model:
+    """The masking model of a rate over arrays of spectra; the same rule as ``thresholds``. full: energies of a full-scale sine in long blocks and in a window of short ones."""
+
+    def __init__(self, rate: int, full: tuple[float, float], offset_db: float = 0.0):
+        self.rate, self.scale, self.parts = rate, 10 ** (offset_db / 10), []
+        for edges, hertz, most in zip(band_edges(rate), (rate / 1152, rate / 384), full):
+            z, weights = S.spreading_matrix(edges, hertz)
+            self.parts.append((np.array(edges), np.array(z), np.array(weights), np.array(quiet_energies(edges, hertz, most))))
+
+    @property
+    def floor(self) -> list[float]:
+        """The least noise of long blocks."""
+        return (self.parts[0][3] * self.scale).tolist()
+
+    def _thresholds(self, x: np.ndarray, short: bool) -> np.ndarray:
+        edges, z, weights, quiet = self.parts[short]
+        square, width = x * x, np.diff(edges)
+        energy = np.add.reduceat(square, edges[:-1], axis=1)
+        flat = np.exp(np.add.reduceat(np.log(square + 1e-30), edges[:-1], axis=1) / width) / np.maximum(energy / width, 1e-300)
+        tonal = np.where(energy <= 1e-30, 0.0, np.clip(10 * np.log10(flat) / -25, 0, 1))
+        offset = tonal * (14.5 + z) + (1 - tonal) * 5.5
+        return np.maximum(np.einsum("nj,bj->nb", energy, weights) * 10 ** (-offset / 10), quiet) * self.scale
+
+    def allowed(self, x: np.ndarray, short: bool) -> np.ndarray:
+        """(n, 576) lines in subband order to the allowed noise per band, in short blocks per band and window."""
+        if not short:
+            return self._thresholds(x, False)
+        windows = x.reshape(-1, 32, 3, 6).swapaxes(1, 2).reshape(-1, 192)
+        return self._thresholds(windows, True).reshape(len(x), 3, -1).swapaxes(1, 2).reshape(len(x), -1)
 
 
 def next_kind(last: int, now: bool, following: bool) -> int:
@@ -178,3 +195,24 @@ def block_types(attacks: DataFrame, keys: list[str], by: str, attack: str) -> Da
     schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("n", T.IntegerType()), T.StructField("kind", T.IntegerType())])
     kinds = [f.type for f in to_arrow_schema(schema)]
     return rows.mapInArrow(run, schema)
+
+
+def block_type_scan(attacks: DataFrame, keys: list[str], by: str, attack: str, size: int = 4096) -> DataFrame:
+    """(keys, by, kind): the same of granules numbered from 0 without gaps, as a parallel prefix.
+
+    A chunk of granules is a map of the four kinds to kinds, and such maps compose; so one stream spreads over many tasks.
+    """
+    flags = attacks.select(*keys, by, F.col(attack).alias("_now"))
+    ahead = flags.select(*(F.col(k).alias(f"_{k}") for k in keys), (F.col(by) - 1).alias("_at"), F.col("_now").alias("_next"))
+    both = flags.join(ahead, [*(F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys), F.col(by) == F.col("_at")], "left")
+    rows = both.select(*keys, by, "_now", F.coalesce("_next", F.lit(False)).alias("_next"))
+
+    def kinds(last: int, now: list[bool], following: list[bool]) -> list[int]:
+        out = []
+        for n, f in zip(now, following):
+            last = next_kind(last, n, f)
+            out.append(last)
+        return out
+
+    done = ordered.scan(rows, keys, by, ["_now", "_next"], size, 0, lambda now, ahead: [kinds(k, now, ahead)[-1] for k in range(4)], lambda state, f: f[state], kinds, T.StructField("kind", T.IntegerType()))
+    return done.select(*keys, by, "kind")
