@@ -167,10 +167,12 @@ def test_tries(rows, cut):
     parts = divergence.Trie(), divergence.Trie()
     want = defaultdict(Counter)
     for k, (term, key, n) in enumerate(rows):
-        parts[k >= cut].add(term.encode(), {key: n})
+        parts[k >= cut].add(term.encode(), [1, key, n])
         want[term][key] += n
+        want[term]["docs"] += 1
     parts[0].merge(parts[1])
-    assert list(parts[0].walk()) == [(t.encode(), dict(want[t])) for t in sorted(want, key=str.encode)]
+    got = [(t, {"docs": c[0]} | dict(zip(c[1::2], c[2::2]))) for t, c in parts[0].walk()]
+    assert got == [(t.encode(), dict(want[t])) for t in sorted(want, key=str.encode)] and parts[0].leaves == len(got)
 
 
 def plain_audit(docs, least=3, top=200):

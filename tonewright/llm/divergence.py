@@ -18,9 +18,10 @@ always by far the smaller. A traversing task holds one table of sources by sourc
 
 from __future__ import annotations
 
+import gc
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,93 +31,112 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import bytewise
 from .common import materialize
 
-LEAVES = 150_000
+LEAVES = 250_000
 SCALE = 1_000_000_000
 #: Bytes of texts whose terms are counted before they enter the trie, and merged terms that are judged at a time.
 PIECE, ROWS = 1 << 22, 2048
+STRIDE = 3
 #: Bytes that stand in no term become spaces, A-Z small letters.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 class Trie:
-    """A radix trie over bytes. Leaves, which may be inner nodes too, have counters: a number for each key."""
+    """A radix trie over bytes. A node is [label, children by first byte or None, counters or None]; a term's node, which may be an inner one, has counters.
 
-    __slots__ = ("label", "kids", "counts")
-
-    def __init__(self, label: bytes = b"", counts: dict | None = None):
-        self.label, self.kids, self.counts = label, {}, counts
+    Counters are one flat list: documents, then pairs of a source's number and its count. The first ``STRIDE`` bytes are one step.
+    """
 
-    def leaf(self, term: bytes) -> dict:
-        """The counters of a term, which enters the trie if it is new."""
-        node, at = self, 0
-        while at < len(term):
-            kid = node.kids.get(term[at])
+    __slots__ = ("tops", "leaves")
+
+    def __init__(self):
+        self.tops, self.leaves = {}, 0
+
+    def add(self, term: bytes, counts: list[int]) -> None:
+        """Add to a term's counters; the list is the trie's own from then on."""
+        top = term[:STRIDE]
+        node, at, end = self.tops.get(top), len(top), len(term)
+        if node is None:
+            node = self.tops[top] = [top, None, None]
+        while at < end:
+            kids = node[1]
+            if kids is None:
+                node[1] = {term[at]: [term[at:], None, counts]}
+                self.leaves += 1
+                return
+            kid = kids.get(term[at])
             if kid is None:
-                kid = node.kids[term[at]] = Trie(term[at:], {})
-                return kid.counts
-            if not term.startswith(kid.label, at):
-                same = next((k for k, (x, y) in enumerate(zip(kid.label, term[at:])) if x != y), len(term) - at)
-                fork = node.kids[term[at]] = Trie(kid.label[:same])
-                kid.label = kid.label[same:]
-                fork.kids[kid.label[0]] = kid
+                kids[term[at]] = [term[at:], None, counts]
+                self.leaves += 1
+                return
+            label = kid[0]
+            if not term.startswith(label, at):
+                same, most = 1, min(len(label), end - at)
+                while same < most and label[same] == term[at + same]:
+                    same += 1
+                fork = kids[term[at]] = [label[:same], {label[same]: kid}, None]
+                kid[0] = label[same:]
                 kid = fork
-            node, at = kid, at + len(kid.label)
-        if node.counts is None:
-            node.counts = {}
-        return node.counts
-
-    def add(self, term: bytes, counts: dict) -> bool:
-        """Add to a term's counters; True if the term is new."""
-        held = self.leaf(term)
-        new = not held
-        for k, n in counts.items():
-            held[k] = held.get(k, 0) + n
-        return new
+                label = kid[0]
+            node, at = kid, at + len(label)
+        held = node[2]
+        if held is None:
+            node[2] = counts
+            self.leaves += 1
+            return
+        held[0] += counts[0]
+        for k in range(1, len(counts), 2):
+            for j in range(1, len(held), 2):
+                if held[j] == counts[k]:
+                    held[j + 1] += counts[k + 1]
+                    break
+            else:
+                held += counts[k : k + 2]
 
     def merge(self, other: Trie) -> None:
         """Add all that another trie has."""
         for term, counts in other.walk():
             self.add(term, counts)
 
-    def walk(self) -> Iterator[tuple[bytes, dict]]:
+    def walk(self) -> Iterator[tuple[bytes, list[int]]]:
         """Terms and counters in the order of bytes."""
-        stack = [(b"", self)]
+        stack = [(b"", self.tops[top]) for top in sorted(self.tops, reverse=True)]
         while stack:
-            before, node = stack.pop()
-            term = before + node.label
-            if node.counts is not None:
-                yield term, node.counts
-            stack += [(term, node.kids[b]) for b in sorted(node.kids, reverse=True)]
+            before, (label, kids, counts) = stack.pop()
+            term = before + label
+            if counts is not None:
+                yield term, counts
+            if kids is not None:
+                if len(kids) == 1:
+                    stack.append((term, *kids.values()))
+                else:
+                    stack += [(term, kids[b]) for b in sorted(kids, reverse=True)]
 
 
-#: The key of a leaf's counter of documents, beside those of sources.
-DOCS = -1
 _LEAF = "lang int, term binary, docs bigint, groups array<int>, counts array<bigint>"
 
 
-def _leaves(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["lang", "term", "docs", "groups", "counts"])
+def _leaves(lang: int, terms: list[bytes], counts: list[list[int]]) -> pa.RecordBatch:
+    edges = np.cumsum([0, *(len(c) // 2 for c in counts)])
+    flat = np.fromiter(chain.from_iterable(counts), np.int64)
+    heads = edges[:-1] * 2 + np.arange(len(counts))
+    pairs = np.delete(flat, heads)
+    lists = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(pairs[k::2], kind)) for k, kind in ((0, pa.int32()), (1, pa.int64()))]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), lang, np.int32)), pa.array(terms, pa.binary()), pa.array(flat[heads]), *lists], names=["lang", "term", "docs", "groups", "counts"])
 
 
 def _walked(tries: dict[int, Trie]) -> Iterator[pa.RecordBatch]:
-    rows = []
     for lang in sorted(tries):
-        for term, counts in tries[lang].walk():
-            docs = counts.pop(DOCS)
-            rows.append((lang, term, docs, list(counts), list(counts.values())))
-            if len(rows) >= 10_000:
-                yield _leaves(rows)
-                rows = []
-    if rows:
-        yield _leaves(rows)
+        leaves = tries[lang].walk()
+        while part := list(islice(leaves, 20_000)):
+            yield _leaves(lang, *zip(*part))
 
 
 def _tries(groups: dict[tuple[str, str], tuple[int, int]], most: int):
     """(lang, source, text) to the leaves of tries; groups: number of language and of group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries, leaves = defaultdict(Trie), 0
+        gc.disable()  # nodes are in no cycles, and there are many
+        tries = defaultdict(Trie)
         for b in batches:
             known = [groups[k] for k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             for t in bytewise.texts(b.column(2), PIECE):
@@ -124,18 +144,19 @@ def _tries(groups: dict[tuple[str, str], tuple[int, int]], most: int):
                 for (lang, group), a, z in zip(known[t.first : t.after], t.edges.tolist(), t.edges[1:].tolist()):
                     of[lang][group].append(data[a:z].translate(_LETTERS).split())
                 for lang, by in of.items():
-                    merged: dict[bytes, dict[int, int]] = {}
-                    for term, n in Counter(chain.from_iterable(map(set, chain.from_iterable(by.values())))).items():
-                        merged[term] = {DOCS: n}
+                    docs = Counter(chain.from_iterable(map(set, chain.from_iterable(by.values()))))
+                    merged = {term: [n] for term, n in docs.items()}
                     for group, texts in by.items():
                         for term, n in Counter(chain.from_iterable(texts)).items():
-                            merged[term][group] = n
-                    trie = tries[lang]
-                    leaves += sum(trie.add(term, counts) for term, counts in merged.items())
-                if leaves >= most:
+                            merged[term] += group, n
+                    add = tries[lang].add
+                    for term, counts in merged.items():
+                        add(term, counts)
+                if sum(t.leaves for t in tries.values()) >= most:
                     yield from _walked(tries)
-                    tries, leaves = defaultdict(Trie), 0
+                    tries = defaultdict(Trie)
         yield from _walked(tries)
+        gc.enable()
 
     return run
 
