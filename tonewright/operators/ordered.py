@@ -38,9 +38,10 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatc
         new = np.zeros(b.num_rows, bool)
         for k in range(keys):
             c = b.column(k)
-            new[1:] |= pc.fill_null(pc.not_equal(c[1:], c[:-1]), True).to_numpy(zero_copy_only=False)
+            none = c.is_null().to_numpy(zero_copy_only=False)
+            new[1:] |= pc.fill_null(pc.not_equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False) | (none[1:] != none[:-1])
         if held:
-            new[0] = any(held[-1].column(k)[-1] != b.column(k)[0] for k in range(keys))
+            new[0] = any(held[-1].column(k)[-1].as_py() != b.column(k)[0].as_py() for k in range(keys))
         cuts = [0, *np.flatnonzero(new).tolist(), b.num_rows]
         for lo, hi in zip(cuts, cuts[1:]):
             if lo < hi:
