@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import checksums, header as H
 from ..functions.tables import BITRATES_LSF, BITRATES_MPEG1, SAMPLE_RATES
 from ..operators import streams
-from .registry import query, sql_list, table
+from .registry import SQL, query, sql_list, table
 
 WORDS = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ((l_orderkey * 2654435761 + l_linenumber * 40503) & 2097151) | 4292870144 AS w FROM lineitem"""
 _RATES = sql_list(k * 1000 for t in (BITRATES_MPEG1, BITRATES_LSF) for row in t for k in row)
@@ -178,11 +178,25 @@ def framed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tag, noise and four frames made of each document's hash, framed again."""
     from ..sources import framing
 
+    return _facts(framing.frames(_streams(spark, sf_dir)))
+
+
+@query(SQL["framed_documents"])
+def ranged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same streams cut into ranges of 700 bytes, framed range by range and joined at the seams."""
+    from ..sources import ranges
+
+    return _facts(ranges.frames_of_ranges(ranges.cut(_streams(spark, sf_dir), 700)))
+
+
+def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.substring(F.repeat(F.md5("text"), 13), 1, 413)
     frame = F.concat(F.lit("FFFB9064"), F.hex(body))
     noise = F.lit("494433" + "03000000000000")  # an empty tag of ten bytes
-    made = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("stream_id"), F.unhex(F.concat(noise, F.repeat(frame, 4), F.hex(F.lit("TAG")), F.repeat(F.lit("20"), 125))).alias("content"))
-    f = framing.frames(made)
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("stream_id"), F.unhex(F.concat(noise, F.repeat(frame, 4), F.hex(F.lit("TAG")), F.repeat(F.lit("20"), 125))).alias("content"))
+
+
+def _facts(f: DataFrame) -> DataFrame:
     return f.select("stream_id", "frame_no", "position", "kind", F.length("bytes").alias("length"), F.hex(F.substring("bytes", 1, 4)).alias("head"))
 
 

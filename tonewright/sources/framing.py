@@ -68,9 +68,11 @@ class Framer:
         self.buffer += data
         found: list[tuple[int, str, bytes]] = []
         at = 0
-        while (step := self._step(at, last, found)) is not None:
+        while (step := self._step(at, False, found)) is not None:
             at = step
         if last:
+            while (step := self._step(at, True, found)) is not None:
+                at = step
             self.skipped += len(self.buffer) - at
             at = len(self.buffer)
         del self.buffer[:at]
@@ -112,10 +114,14 @@ class Framer:
             stop = len(data) - (data[-1:] == b"\xff") if sync < 0 or sync == len(data) - 1 else sync
             tag = data.find(b"ID3", at + 1, stop)
             stop = tag if tag > 0 else stop
+            if stop == len(data) and not last:  # a tag may begin here
+                stop -= 2 if data.endswith(b"ID") else data.endswith(b"I")
             if stop <= at:
                 return None
-            trailing = last and data[at : at + 3] in (b"TAG", b"APE", b"LYR")
-            return self._pass(at, stop, silently=last and (trailing or sync < 0))
+            if self.strict and self.locked and sync < 0 and not last:
+                return None  # it may be a tag at the end
+            trailing = data.startswith((b"TAG", b"APETAGEX", b"LYRICS"), at)
+            return self._pass(at, stop, silently=trailing or last and sync < 0)
         head = read_head(data, at)
         if len(data) < at + 4:
             return None
