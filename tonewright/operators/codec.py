@@ -9,15 +9,16 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from ..functions import encoding as E, header as H
 from ..functions.tables import BITRATES_LSF, BITRATES_MPEG1, SAMPLE_RATES
 from ..sources import framing, layer12, tags
-from . import analysis, encoder, filterbank, layer3, ordered, psychoacoustics as P
+from . import analysis, encoder, filterbank, ordered, playback, psychoacoustics as P
 from .layer3 import Codes
 
 
 def decode_streams(streams: DataFrame, codes: Codes, prototype: np.ndarray, trim: bool = True, strict: bool = False, check_crc: bool = False) -> DataFrame:
     """(stream_id, content) to (stream_id, channel, slot, s: 32 samples, concealed, keep_from, keep_to), all layers.
 
-    A tag frame is not played. A Layer I or II frame that is refused (or whose CRC fails, with ``check_crc``) is silence of its own length; a refused
-    frame of Layer III is silence through the filterbank. ``strict`` raises on bytes between frames. keep_from and keep_to bound the samples of a slot that
+    A tag frame is not played. A frame that is refused (or whose CRC fails, with ``check_crc``) is silence of its own length that the filterbank does not see; a Layer III
+    frame whose main data lies before the stream is silence through the filterbank. ``strict`` checks CRCs and raises on bytes between frames, on refused frames and
+    where the bits of Layer III do not add up (``playback.report`` tells without raising). keep_from and keep_to bound the samples of a slot that
     remain after gapless trimming (0 and 32 where there is no tag, or trim is off). Frames are found once and held on disk until the session drops them.
     """
     frames = framing.frames(streams, strict).persist(StorageLevel.DISK_ONLY)
@@ -25,9 +26,8 @@ def decode_streams(streams: DataFrame, codes: Codes, prototype: np.ndarray, trim
     tagged = info.where("kind IS NOT NULL").select(F.col("stream_id").alias("_s"), F.col("kind").alias("_tag"))
     tag_frame = F.col("_tag").isNotNull() & (F.col("frame_no") == 0)
     audio = frames.join(tagged, F.col("stream_id") == F.col("_s"), "left").where(~tag_frame).drop("_s", "_tag")
-    spectra = layer3.spectrum(layer3.main_data(audio.where(H.layer(H.word_of(F.col("bytes"))) == 3)), codes, check_crc)
-    three = filterbank.synthesise(layer3.hybrid(spectra), ["stream_id", "channel"], "slot", "s", prototype).withColumn("concealed", F.lit(False))
-    pcm = three.unionByName(played12(audio, prototype, check_crc))
+    rows = playback.ordered_rows(audio.where(H.layer(H.word_of(F.col("bytes"))) == 3), codes, check_crc, strict)
+    pcm = playback.played(rows, prototype).unionByName(played12(audio, prototype, check_crc or strict, strict))
     if not trim:
         return pcm.withColumns({"keep_from": F.lit(0), "keep_to": F.lit(32)})
     cuts = tags.gapless(info).withColumnRenamed("stream_id", "_s")
@@ -37,13 +37,15 @@ def decode_streams(streams: DataFrame, codes: Codes, prototype: np.ndarray, trim
     return t.drop("skip", "length")
 
 
-def played12(frames: DataFrame, prototype: np.ndarray, check_crc: bool = False) -> DataFrame:
+def played12(frames: DataFrame, prototype: np.ndarray, check_crc: bool = False, strict: bool = False) -> DataFrame:
     """Layer I and II frames to (stream_id, channel, slot, s, concealed): the filterbank runs over the frames that can be read, and silence stands where the others were."""
     word = H.word_of(F.col("bytes"))
     place = frames.where(H.layer(word) < 3).select("stream_id", "frame_no", F.when(H.layer(word) == 1, 12).otherwise(36).alias("n"), H.channels(word).alias("channels"))
     before = Window.partitionBy("stream_id").orderBy("frame_no").rowsBetween(Window.unboundedPreceding, -1)
     place = place.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint"))
     read = layer12.subbands(frames, check_crc)
+    if strict:
+        read = read.withColumn("s", F.when(F.col("error").isNull(), F.col("s")).otherwise(F.raise_error(F.col("error")).cast(read.schema["s"].dataType)))
     o = Window.partitionBy("stream_id", "channel").orderBy("frame_no", "slot")
     good = read.where("error IS NULL").withColumn("at", (F.row_number().over(o) - 1).cast("bigint"))
     played = filterbank.synthesise(good.select("stream_id", "channel", "at", "s"), ["stream_id", "channel"], "at", "s", prototype)

@@ -228,10 +228,10 @@ def read_lines(bits: Bits, g: dict, rate: int, codes: Codes) -> tuple[np.ndarray
     return out, exact and bits.left == 0
 
 
-def requantised(lines: np.ndarray, g: dict, sf: np.ndarray, rate: int, lsf: bool) -> np.ndarray:
+def requantised(lines: np.ndarray, g: dict, sf: np.ndarray, rate: int, lsf: bool, right: bool = False) -> np.ndarray:
     kind = (2 if g["mixed_block"] else 1) if g["block_type"] == 2 else 0
     band, window = layout(rate, kind)
-    pre = g["preflag"] or (lsf and g["scalefac_compress"] >= 500)
+    pre = g["preflag"] or (lsf and g["scalefac_compress"] >= 500 and not right)  # right: of intensity stereo
     up = sf[band, np.where(window < 0, 3, window)] + np.where((window < 0) & bool(pre), np.array(PRETAB)[band], 0)
     gain = g["global_gain"] - 210 - np.where(window >= 0, 8 * np.array([*g["subblock_gain"], 0])[window], 0) - (4 if g["scalefac_scale"] else 2) * up
     return np.sign(lines) * np.abs(lines) ** (4 / 3) * 2.0 ** (gain / 4)
@@ -293,7 +293,7 @@ def frame_spectrum(frame: bytes, main: bytes, codes: Codes) -> list[tuple]:
             sf, most = read_scalefactors(bits, g, facts, kept.get(g["channel"]))
             kept[g["channel"]] = sf
             lines, exact = read_lines(bits, g, facts["rate"], codes)
-            done.append([g, sf, most, exact, requantised(lines, g, sf, facts["rate"], facts["lsf"])])
+            done.append([g, sf, most, exact, requantised(lines, g, sf, facts["rate"], facts["lsf"], g["channel"] == 1 and facts["intensity"])])
         if len(done) == 2 and (facts["ms"] or facts["intensity"]):
             done[0][4], done[1][4] = stereo(done[0][4], done[1][4], *done[1][:3], facts)
         for g, _, _, exact, x in done:
@@ -402,4 +402,6 @@ def hybrid(spectra: DataFrame) -> DataFrame:
 
 def decode(frames: DataFrame, codes: Codes, prototype: np.ndarray) -> DataFrame:
     """Layer III frames to (stream_id, channel, slot, s: 32 samples)."""
-    return filterbank.synthesise(hybrid(spectrum(main_data(frames), codes)), ["stream_id", "channel"], "slot", "s", prototype)
+    from . import playback
+
+    return playback.played(playback.ordered_rows(frames, codes), prototype).drop("concealed")

@@ -59,6 +59,21 @@ def gapless(info: DataFrame) -> DataFrame:
     return info.where("delay IS NOT NULL").select("stream_id", (F.col("delay") + DECODER_DELAY).alias("skip"), length.alias("length"))
 
 
+def gapless_of(frame: bytes, at: int, samples: int) -> tuple[int, int | None] | None:
+    """The same of one tag frame (its mark at ``at``), for streams: skip, and length where frames are counted; None where it tells no delay."""
+    word = lambda p, n=4: int.from_bytes(frame[p : p + n], "big")
+    if frame[at : at + 4] not in (b"Xing", b"Info"):
+        delay, padding, count = word(VBRI_AT + 6, 2), 0, word(VBRI_AT + 14)
+    else:
+        flags = word(at + 4)
+        count = word(at + 8) if flags & 1 else None
+        lame = at + 8 + sum(n for bit, n in ((1, 4), (2, 4), (4, 100), (8, 4)) if flags & bit)
+        if len(frame) < lame + 36 or not all(32 <= c <= 126 for c in frame[lame : lame + 4]):
+            return None
+        delay, padding = word(lame + 21, 3) >> 12, word(lame + 21, 3) & 4095
+    return delay + DECODER_DELAY, None if count is None else max(count * samples - delay - padding, 0)
+
+
 def _crc_step(crc: int, byte: int) -> int:
     crc ^= byte
     for _ in range(8):

@@ -14,13 +14,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..operators import filterbank, layer3
+from ..operators import layer3
+from ..operators.huffman import Words
 from ..operators.layer3 import Codes
-from ..sources import layer12
+from ..operators.playback import Played, StreamState, Voice
+from ..sources import layer12, tags
 from ..sources.framing import Framer
-from ..sources.sideinfo import parse
 
-SCHEMA = "stream_id string, channel int, slot bigint, s array<float>, concealed boolean"
+SCHEMA = "stream_id string, channel int, slot bigint, s array<float>, concealed boolean, keep_from int, keep_to int"
 STATE_SCHEMA = "decoder binary, waiting map<bigint, binary>, next bigint, end bigint"
 
 
@@ -33,77 +34,81 @@ def is_tag(frame: bytes) -> bool:
 class StreamDecoder:
     """Feed bytes, get (channel, slot, 32 samples, concealed) of the frames they complete."""
 
-    def __init__(self, strict: bool = False, check_crc: bool = False):
-        self.framer, self.check_crc = Framer(strict), check_crc
-        self.frames, self.slots = 0, 0
+    def __init__(self, strict: bool = False, check_crc: bool = False, trim: bool = False):
+        self.framer, self.check_crc, self.strict, self.trim = Framer(strict), check_crc or strict, strict, trim
+        self.frames, self.slots, self.keep = 0, 0, None
         self.reset()
 
     def reset(self) -> None:
         """Forget what earlier frames left, as after a seek: reservoir, overlap, filterbank."""
-        self.reservoir, self.overlap, self.history = b"", None, {}
+        self.state, self.part, self.voices = StreamState(), 0, {}
 
     @property
     def skipped(self) -> int:
         return self.framer.skipped
 
-    def feed(self, data: bytes, codes: Codes, prototype: np.ndarray, last: bool = False) -> list[tuple[int, int, np.ndarray, bool]]:
-        out = []
+    def kept(self, slot: int) -> tuple[int, int]:
+        """The samples of a slot that remain after gapless trimming."""
+        if self.keep is None:
+            return 0, 32
+        skip, length = self.keep
+        inside = lambda at: min(max(at - 32 * slot, 0), 32)
+        return inside(skip), 32 if length is None else inside(skip + length)
+
+    def feed(self, data: bytes, codes: Codes | Words, prototype: np.ndarray, last: bool = False) -> list[tuple[int, int, np.ndarray, bool]]:
+        words, out, three = codes if isinstance(codes, Words) else Words(codes), [], []
+        prototype = np.asarray(prototype, float)
         for _, _, frame in self.framer.feed(data, last):
             layer, self.frames = 4 - (frame[1] >> 1 & 3), self.frames + 1
-            if layer == 3 and self.frames == 1 and is_tag(frame):
+            if layer == 3:
+                if self.frames == 1 and is_tag(frame):
+                    facts = layer3.header_facts(frame)
+                    self.keep = tags.gapless_of(frame, facts["start"], 576 if facts["lsf"] else 1152) if self.trim else None
+                else:
+                    three.append(frame)
                 continue
             try:
-                bands, concealed = self._layer3(frame, codes) if layer == 3 else (layer12.decode(frame, self.check_crc), False)
+                bands, concealed = layer12.decode(frame, self.check_crc), False
             except (ValueError, IndexError):
+                if self.strict:
+                    raise
                 bands, concealed = np.zeros((12 if layer == 1 else 36, layer3.header_facts(frame)["channels"], 32)), True
             for c in range(bands.shape[1]):
                 s = bands[:, c].astype(np.float32)
-                y = s if concealed and layer < 3 else self._synthesis(s, (layer == 3, c), prototype)
+                y = s if concealed else self.voices.setdefault((layer, c), Voice()).synthesise(s, prototype)
                 out += [(c, self.slots + k, v, concealed) for k, v in enumerate(y)]
             self.slots += len(bands)
+        for p in self.state.feed(three, words, self.check_crc, self.strict):
+            out += self._sound(p, prototype)
+        return out
+
+    def _sound(self, p: Played, prototype: np.ndarray) -> list[tuple[int, int, np.ndarray, bool]]:
+        if p.part != self.part:
+            self.part, self.voices = p.part, {}
+        out = []
+        for c in range(p.channels):
+            mine = [r for r in p.rows if r[1] == c]
+            if mine:
+                x = np.array([r[5] for r in mine]).astype(np.float32).astype(float)
+                y = self.voices.setdefault((3, c), Voice()).play(x, *(np.array([r[k] for r in mine]) for k in (2, 3)), prototype)
+            else:
+                y = np.zeros((18 * p.granules, 32), np.float32)
+            out += [(c, self.slots + k, v, p.concealed) for k, v in enumerate(y)]
+        self.slots += 18 * p.granules
         return out
 
-    def _layer3(self, frame: bytes, codes: Codes) -> tuple[np.ndarray, bool]:
-        """(slots, channels, 32) of a frame; silence through the transforms where it cannot be read."""
-        facts, main, concealed = layer3.header_facts(frame), None, False
-        try:
-            side, own = parse(frame), frame[facts["start"] :]
-            begin = side[0]["main_data_begin"]
-            main = self.reservoir[len(self.reservoir) - begin :] + own if begin <= len(self.reservoir) else None
-            self.reservoir = (self.reservoir + own)[-layer3.RESERVOIR :]
-            if main is None or self.check_crc and not layer3.crc_holds(frame):
-                raise ValueError("no main data, or a wrong CRC")
-            rows = layer3.frame_spectrum(frame, main, codes)
-        except (ValueError, KeyError, IndexError):
-            rows = [(g, c, 0, 0, False, np.zeros(576)) for g in range(1 if facts["lsf"] else 2) for c in range(facts["channels"])]
-            concealed = True
-        n = facts["channels"]
-        if self.overlap is None or len(self.overlap) != n:
-            self.overlap = np.zeros((n, 32, 18))
-        turn = np.where(np.arange(32)[:, None] % 2 * (np.arange(18) % 2) > 0, -1.0, 1.0)
-        out = np.zeros((18 * (rows[-1][0] + 1), n, 32))
-        for g, c, kind, mixed, _, x in rows:
-            y = layer3.inverse_hybrid(x.astype(np.float32).astype(float)[None], np.array([kind]), np.array([mixed]))[0]
-            out[18 * g : 18 * g + 18, c] = ((y[:, :18] + self.overlap[c]) * turn).T
-            self.overlap[c] = y[:, 18:]
-        return out, concealed
-
-    def _synthesis(self, s: np.ndarray, key: tuple, prototype: np.ndarray) -> np.ndarray:
-        before = self.history.get(key, np.zeros((filterbank.SLOTS - 1, 32), np.float32))
-        rows = np.r_[before, s]
-        self.history[key] = rows[len(rows) - filterbank.SLOTS + 1 :]
-        wide = np.lib.stride_tricks.sliding_window_view(rows, filterbank.SLOTS, axis=0).swapaxes(1, 2)
-        return filterbank.synthesise_slots(wide.astype(float), np.asarray(prototype, dtype=float)).astype(np.float32)
-
-
-def stream_decode(chunks: DataFrame, codes: Codes, prototype: np.ndarray, check_crc: bool = False) -> DataFrame:
-    """Streaming (stream_id, chunk_no, bytes, last) to slots of samples, whatever the chunking; ``last`` ends a stream and drops its state."""
+
+def stream_decode(chunks: DataFrame, codes: Codes, prototype: np.ndarray, check_crc: bool = False, trim: bool = True, strict: bool = False) -> DataFrame:
+    """Streaming (stream_id, chunk_no, bytes, last) to slots of samples, whatever the chunking; ``last`` ends a stream and drops its state.
+
+    The options are those of the batch decoder; keep_from and keep_to say what gapless trimming leaves of a slot.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    prototype = np.asarray(prototype, dtype=float)
+    prototype, words = np.asarray(prototype, dtype=float), Words(codes)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        decoder, waiting, turn, end = StreamDecoder(check_crc=check_crc), {}, 0, -1
+        decoder, waiting, turn, end = StreamDecoder(strict, check_crc, trim), {}, 0, -1
         if state.exists:
             held, waiting, turn, end = state.get
             decoder, waiting = pickle.loads(held), dict(waiting)
@@ -113,13 +118,14 @@ def stream_decode(chunks: DataFrame, codes: Codes, prototype: np.ndarray, check_
                 end = int(r.chunk_no) if r.last else end
         out = []
         while turn in waiting:
-            out += decoder.feed(bytes(waiting.pop(turn)), codes, prototype, last=turn == end)
+            out += decoder.feed(bytes(waiting.pop(turn)), words, prototype, last=turn == end)
             turn += 1
         if 0 <= end < turn:
             state.remove()
         else:
             state.update((pickle.dumps(decoder), waiting, turn, end))
         if out:
-            yield pd.DataFrame({"stream_id": key[0], "channel": [o[0] for o in out], "slot": [o[1] for o in out], "s": [o[2].tolist() for o in out], "concealed": [o[3] for o in out]})
+            keep = [decoder.kept(o[1]) for o in out]
+            yield pd.DataFrame({"stream_id": key[0], "channel": [o[0] for o in out], "slot": [o[1] for o in out], "s": [o[2].tolist() for o in out], "concealed": [o[3] for o in out], "keep_from": [k[0] for k in keep], "keep_to": [k[1] for k in keep]})
 
     return chunks.groupBy("stream_id").applyInPandasWithState(step, SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
