@@ -725,3 +725,30 @@ def test_verdicts_and_copies_are_a_row_s_own(spark):
     t = spark.createDataFrame(rows, SCHEMA)
     want = {r["size"]: r.copies for r in mixing.mix_sources(t).collect() if r.copies}
     assert len(want) > 20 and Counter(len(r.text.split()) for r in mixing.repeat_documents(t).collect()) == want
+
+
+def test_markup_goes_in_one_pass():
+    """Against the plain pattern, on random pages; and pages of megabytes that open and never close take seconds."""
+    import random
+    import time
+
+    plain = re.compile(rb"<(script|style)(?![0-9A-Za-z_\x80-\xff]).*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z#0-9]+;", re.S | re.I)
+    pieces = [b"<", b">", b"<!--", b"-->", b"<script ", b"<SCRIPT>", b"</script>", b"</Script  >", b"<style", b"</style\n>", b"</style", b"&amp;", b"&", b"&#12;", b"word ", b"scripts", b"<scripts>", b"\xc3\xb6", b"--", b"!", b";"]
+    r = random.Random(1)
+    for _ in range(3000):
+        page = b"".join(r.choice(pieces) for _ in range(r.randrange(25)))
+        assert language_id.without_markup(page) == plain.sub(b" ", page), page
+    began = time.time()
+    for piece in (b"<script ", b"<!-- ", b"<", b"<style>x", b"&amp", b"<a>", b"</script ", b"<!-- <script "):
+        language_id.without_markup(piece * (5_000_000 // len(piece)))
+    assert time.time() - began < 120
+
+
+def test_long_page(spark):
+    """A page of five megabytes of open marks around its words."""
+    page = "<html lang='en'>" + "the words of this page are there for the one that reads them and it is not a lot " * 40
+    rows = [(1, "http://a.example.de/x", page + "<script " * 300_000), (2, "http://a.example.de/y", page + "<!-- " * 500_000), (3, None, "<html " * 800_000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {x.doc_id: x for x in language_id.identify(language_id.of_pages(pages), docs.select("lang", "text")).collect()}
+    assert got[-2].declared == "en" and got[-3].declared == "en" and got[-4].declared in ("", None) and len(got) == 3

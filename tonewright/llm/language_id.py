@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize, unused
+from .common import drop, materialize, unused
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS = 1 << 15
@@ -43,7 +43,50 @@ CHUNK = 1 << 20
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 _FOLD[np.r_[0:65, 91:97, 123:128]] = 32  # digits, marks and white space are one border
-_MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z#0-9]+;", re.S | re.I)
+_MARK = re.compile(rb"<|&[a-z#0-9]+;", re.I)
+_RAW = re.compile(rb"<(script|style)(?![0-9A-Za-z_\x80-\xff])", re.I)
+_RAW_ENDS = {b"script": re.compile(rb"</script\s*>", re.I), b"style": re.compile(rb"</style\s*>", re.I)}
+
+
+def without_markup(page: bytes) -> bytes:
+    """A page with a space in place of each tag, comment, script, style sheet and entity; what is opened and never closed stays as text.
+
+    One pass: closing marks are looked for from the last place on, and no more once there is none behind.
+    """
+    out, at, none = [], 0, set()
+
+    def end_of(kind: bytes, start: int) -> int | None:
+        """Behind the next closing mark of a kind."""
+        if kind in none:
+            return None
+        if kind in _RAW_ENDS:
+            found = _RAW_ENDS[kind].search(page, start)
+            stop = found.end() if found else 0
+        else:
+            stop = page.find(kind, start) + len(kind)
+            stop = 0 if stop < len(kind) else stop
+        if not stop:
+            none.add(kind)
+        return stop or None
+
+    while found := _MARK.search(page, at):
+        start = found.start()
+        if page[start] != 60:
+            stop = found.end()
+        else:
+            raw, stop = _RAW.match(page, start), None
+            if raw:
+                stop = end_of(raw[1].lower(), raw.end())
+            elif page.startswith(b"<!--", start):
+                stop = end_of(b"-->", start + 4)
+            stop = stop or end_of(b">", start + 1)
+        if stop is None:
+            out.append(page[at : start + 1])
+            at = start + 1
+        else:
+            out += page[at:start], b" "
+            at = stop
+    return b"".join([*out, page[at:]])
 
 
 def trigrams(data: np.ndarray) -> np.ndarray:
@@ -131,8 +174,8 @@ def score_texts(rows: DataFrame, model: np.ndarray) -> DataFrame:
         for b in batches:
             out, letters = np.zeros((b.num_rows, len(LANGUAGES))), np.zeros(b.num_rows, np.int64)
             for r, (text, markup, fold) in enumerate(zip(b.column(1), b.column(2).to_pylist(), b.column(6).to_pylist())):
-                s = text.as_py() or ""
-                data = np.frombuffer((_MARKUP.sub(" ", s) if markup else s).encode("utf-8", "replace"), np.uint8)
+                s = (text.as_py() or "").encode("utf-8", "replace")
+                data = np.frombuffer(without_markup(s) if markup else s, np.uint8)
                 for at in range(0, len(data), CHUNK):
                     seen = trigrams(data[at : at + CHUNK])
                     out[r] += tables[fold][seen].sum(axis=0, dtype=np.float64)
@@ -195,6 +238,7 @@ def fuse(scored: DataFrame) -> DataFrame:
         logs[x] = F.col(f"t_{x}") + F.log(F.greatest(prior, F.lit(1e-9))) + says("c") + says("s")
     t = t.select("doc_id", "declared", "host", "suffix", "letters", "best", *(logs[x].alias(f"p_{x}") for x in CLASSES))
     t = materialize(t, "fused")  # in one expression with what follows, the generated code outgrows the compiler
+    drop(kinds)
     most = F.greatest(*(F.col(f"p_{x}") for x in CLASSES))
     mass = sum((F.exp(F.col(f"p_{x}") - most) for x in CLASSES), F.lit(0.0))
     language = F.coalesce(*(F.when(F.col(f"p_{x}") >= most, x) for x in CLASSES))
@@ -217,14 +261,17 @@ def of_pages(pages: DataFrame) -> DataFrame:
     empty = lambda c: F.when(c != "", c)
     return pages.select(
         (-1 - F.col("page_id").cast("bigint")).alias("doc_id"), F.col("html").cast("string").alias("text"), F.lit(True).alias("markup"),
-        empty(F.regexp_extract(F.col("html").cast("string"), r"""(?i)<html[^>]*?\slang\s*=\s*["']?([a-zA-Z]{2})""", 1)).alias("declared"),
+        empty(F.regexp_extract(F.regexp_extract(F.col("html").cast("string"), "(?i)<html([^>]*)", 1), r"""(?i)\slang\s*=\s*["']?([a-zA-Z]{2})""", 1)).alias("declared"),
         empty(host).alias("host"), empty(F.regexp_extract(host, r"\.([^.]+)$", 1)).alias("suffix"),
     )
 
 
 def identify(rows: DataFrame, training: DataFrame) -> DataFrame:
     """Languages of evidence rows; ``training``: (lang, text)."""
-    return fuse(materialize(score_texts(rows, train(training)), "languages"))
+    scored = materialize(score_texts(rows, train(training)), "languages")
+    done = fuse(scored)
+    drop(scored)  # what fuse returns reads its own table
+    return done
 
 
 def accept_documents(docs: DataFrame) -> DataFrame:
