@@ -1,47 +1,76 @@
-"""The two CRC-16s of an audio stream, and FNV-1a, over binary columns."""
+"""The two CRC-16s of an audio stream, and FNV-1a, over binary columns.
+
+A fold over bytes has no built-in form; here all values of an Arrow batch go byte by byte in lock-step, by a table of what eight steps make of a byte.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 FRAME_POLY, ARC_POLY = 0x8005, 0xA001
+FNV_START, FNV_PRIME = 14695981039346656037, 1099511628211
+
+
+@lru_cache(maxsize=2)
+def crc_table(reflected: bool) -> np.ndarray:
+    """What eight steps make of each byte: of the reflected polynomial, or most significant bit first."""
+    v = np.arange(256, dtype=np.int64) << (0 if reflected else 8)
+    for _ in range(8):
+        v = np.where(v & 1, v >> 1 ^ ARC_POLY, v >> 1) if reflected else np.where(v & 0x8000, v << 1 ^ FRAME_POLY, v << 1) & 0xFFFF
+    return v
+
 
+def lock_step(values: pd.Series, start: int, kind: type, step) -> np.ndarray:
+    """The fold of step(states, bytes) over each value's bytes; nulls are as empty."""
+    data = [v or b"" for v in values]
+    size = np.array([len(v) for v in data], np.int64)
+    order = np.argsort(-size, kind="stable")
+    flat = np.frombuffer(b"".join(data[k] for k in order), np.uint8).astype(kind)
+    size = size[order]
+    at, state = np.cumsum(size) - size, np.full(len(data), start, kind)
+    live = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")  # values longer than k
+    for k, n in enumerate(live.tolist()):
+        state[:n] = step(state[:n], flat[at[:n] + k])
+    out = np.empty_like(state)
+    out[order] = state
+    return out
 
-def byte_array(data: Column) -> Column:
-    """The bytes of a binary column as integers: each is one character of ISO-8859-1."""
-    each = F.transform(F.split(F.decode(data, "ISO-8859-1"), ""), F.ascii)
-    return F.when(F.length(data) > 0, each).when(F.length(data) == 0, F.array().cast("array<int>"))
 
+@F.pandas_udf(T.IntegerType())
+def _arc(data: pd.Series) -> pd.Series:
+    table = crc_table(True)
+    out = lock_step(data, 0, np.int64, lambda c, b: c >> 8 ^ table[(c ^ b) & 0xFF])
+    return pd.Series(out, dtype="Int32").mask(data.isna())
 
-def _table(start, step) -> Column:
-    """What eight steps make of each byte, as one literal array."""
-    out = []
-    for v in map(start, range(256)):
-        for _ in range(8):
-            v = step(v)
-        out.append(F.lit(v))
-    return F.array(*out)
+
+@F.pandas_udf(T.IntegerType())
+def _frame(data: pd.Series) -> pd.Series:
+    table = crc_table(False)
+    out = lock_step(data, 0xFFFF, np.int64, lambda c, b: (c << 8 & 0xFFFF) ^ table[c >> 8 ^ b])
+    return pd.Series(out, dtype="Int32").mask(data.isna())
+
+
+@F.pandas_udf(T.StringType())
+def _fnv(data: pd.Series) -> pd.Series:
+    prime = np.uint64(FNV_PRIME)
+    out = lock_step(data, FNV_START, np.uint64, lambda h, b: (h ^ b) * prime)
+    return pd.Series([None if v is None else str(h) for v, h in zip(data, out.tolist())], dtype=object)
 
 
 def crc16_arc(data: Column) -> Column:
     """CRC-16/ARC: reflected polynomial, register zero; the checksum of tag frames."""
-    after = _table(lambda b: b, lambda c: c >> 1 ^ (ARC_POLY if c & 1 else 0))
-    return F.aggregate(byte_array(data), F.lit(0), lambda crc, b: F.shiftright(crc, 8).bitwiseXOR(F.get(after, crc.bitwiseXOR(b).bitwiseAND(F.lit(0xFF)))))
+    return _arc(data)
 
 
 def frame_crc(data: Column) -> Column:
     """The frame CRC over whole bytes: polynomial 0x8005, register all ones, most significant bit first."""
-    after = _table(lambda b: b << 8, lambda c: c << 1 & 0xFFFF ^ (FRAME_POLY if c & 0x8000 else 0))
-    return F.aggregate(byte_array(data), F.lit(0xFFFF), lambda crc, b: F.shiftleft(crc, 8).bitwiseAND(F.lit(0xFFFF)).bitwiseXOR(F.get(after, F.shiftright(crc, 8).bitwiseXOR(b))))
+    return _frame(data)
 
 
 def fnv1a_64(data: Column) -> Column:
-    """FNV-1a over the bytes of a binary column, as an unsigned decimal; the wrap at 64 bits is a remainder."""
-    whole = lambda v: F.lit(v).cast("decimal(38,0)")
-
-    def step(h, b):
-        low = (h % 256).cast("int")
-        mixed = h - low + low.bitwiseXOR(b)
-        return ((mixed.cast("decimal(20,0)") * F.lit(1099511628211).cast("decimal(13,0)")) % whole(str(2**64))).cast("decimal(38,0)")
-
-    return F.aggregate(byte_array(data), whole("14695981039346656037"), step).cast("decimal(20,0)")
+    """FNV-1a over the bytes of a binary column, as an unsigned decimal."""
+    return _fnv(data).cast("decimal(20,0)")

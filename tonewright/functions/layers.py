@@ -79,7 +79,8 @@ def permuted(order: list[int], at: Column) -> Column:
 
 
 def overlapped(halves: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """(keys, by, now, tail): v = now + the tail of the granule before, if that is the neighbour."""
+    """(keys, by, now, tail: lists): v = now + the tail of the granule before, if that is the neighbour."""
     o = Window.partitionBy(*keys).orderBy(by)
     last = F.when(F.lag(by).over(o) == F.col(by) - 1, F.lag("tail").over(o))
-    return halves.withColumn("v", F.col("now") + F.coalesce(last, F.lit(0.0)))
+    t = halves.withColumn("_last", last)
+    return t.withColumn("v", F.when(F.col("_last").isNull(), F.col("now")).otherwise(F.zip_with("now", "_last", lambda a, b: a + b))).drop("_last")

@@ -139,15 +139,16 @@ def free_format_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BYTES = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda v: CAST(('0x' || v) AS BIGINT))"
-_FOLD = "list_reduce(list_concat([CAST({seed} AS BIGINT)], {bytes}), lambda c, b: list_reduce(list_concat([{mix}], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: {step}))"
+_TABLES = ", ".join(
+    f"{name} AS (SELECT list(v ORDER BY n) AS {name} FROM (SELECT n, list_reduce(list_prepend({start}, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: {step}) AS v FROM range(256) r(n)))"
+    for name, start, step in (("arc_of", "n", "xor(x >> 1, CASE WHEN x & 1 = 1 THEN 40961 ELSE 0 END)"), ("frame_of", "n << 8", "xor((x << 1) & 65535, CASE WHEN x & 32768 <> 0 THEN 32773 ELSE 0 END)"))
+)
 
 
 @query(
-    "SELECT doc_id, CAST("
-    + _FOLD.format(seed=0, bytes=_BYTES, mix="xor(c, b)", step="xor(x >> 1, CASE WHEN x & 1 = 1 THEN 40961 ELSE 0 END)")
-    + " AS INTEGER) AS arc, CAST("
-    + _FOLD.format(seed=65535, bytes=_BYTES, mix="xor(c, b << 8)", step="xor((x << 1) & 65535, CASE WHEN x & 32768 <> 0 THEN 32773 ELSE 0 END)")
-    + " AS INTEGER) AS frame FROM documents"
+    f"""WITH {_TABLES}, b AS (SELECT doc_id, {_BYTES} AS bytes FROM documents)
+    SELECT doc_id, CAST(list_reduce(list_prepend(0::BIGINT, bytes), lambda c, b: xor(c >> 8, arc_of[xor(c, b) % 256 + 1])) AS INTEGER) AS arc,
+      CAST(list_reduce(list_prepend(65535::BIGINT, bytes), lambda c, b: xor((c << 8) & 65535, frame_of[xor(c >> 8, b) + 1])) AS INTEGER) AS frame FROM b, arc_of, frame_of"""
 )
 def checksums_of_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both CRC-16s over all bytes of each document."""

@@ -10,10 +10,10 @@ from .registry import query, sql_list, table
 
 
 def blocks(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """(vec_id, block, k, x): each vector whole, in blocks of n components, the last one filled with zeros."""
+    """(vec_id, block, x): each vector whole, in lists of n components, the last one filled with zeros."""
     t = table(spark, sf_dir, "embeddings").withColumn("fill", F.pmod(-F.size("embedding"), F.lit(n)))
-    t = t.select("vec_id", F.posexplode(F.concat(F.col("embedding").cast("array<double>"), F.array_repeat(F.lit(0.0), F.col("fill")))).alias("at", "x"))
-    return t.select("vec_id", F.floor(F.col("at") / n).alias("block"), (F.col("at") % n).alias("k"), "x")
+    t = t.select("vec_id", F.concat(F.col("embedding").cast("array<double>"), F.array_repeat(F.lit(0.0), F.col("fill"))).alias("all")).where(F.size("all") > 0)
+    return t.select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), (F.size("all") / n).cast("int") - 1), lambda k: F.slice("all", k * n + 1, n))).alias("block", "x")).withColumn("block", F.col("block").cast("bigint"))
 
 
 def _blocks_sql(n: int) -> str:
@@ -31,8 +31,8 @@ def _rounded_imdct_sql(n: int) -> str:
 
 
 def _inverse(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    y = T.inverse_mdct(blocks(spark, sf_dir, n // 2), ["vec_id", "block"], n)
-    return y.select("vec_id", "block", "i", (F.round("y", 6) + 0.0).alias("y"))
+    y = T.inverse_mdct(blocks(spark, sf_dir, n // 2), ["vec_id", "block"], "x", n)
+    return y.select("vec_id", "block", F.posexplode("x").alias("i", "y")).withColumn("y", F.round("y", 6) + 0.0)
 
 
 @query(_rounded_imdct_sql(36))
@@ -51,8 +51,8 @@ def _mdct_sql(n: int, scale: int) -> str:
 
 
 def _forward(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    samples = blocks(spark, sf_dir, n).withColumnsRenamed({"k": "i", "x": "y"})
-    return T.forward_mdct(samples, ["vec_id", "block"], n).select("vec_id", "block", "k", (F.round("x", 6) + 0.0).alias("x"))
+    x = T.forward_mdct(blocks(spark, sf_dir, n), ["vec_id", "block"], "x", n)
+    return x.select("vec_id", "block", F.posexplode("x").alias("k", "x")).withColumn("x", F.round("x", 6) + 0.0)
 
 
 @query(_mdct_sql(36, 9))
@@ -71,11 +71,10 @@ def mdct_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT CAST(granule AS BIGINT) AS granule, CAST(subband AS BIGINT) AS subband, CAST(block AS BIGINT) AS block, CAST(i AS INTEGER) AS i, round(CASE WHEN subband % 2 = 1 AND i % 2 = 1 THEN -v ELSE v END, 6) + 0.0 AS v FROM o"""
 )
 def overlap_add(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Halves of neighbouring granules added, then the frequency inversion; a window per (subband, block, sample), no self-join. Each block of 18 components is a stream of its own."""
-    y = T.inverse_mdct(blocks(spark, sf_dir, 18), ["vec_id", "block"], 36)
-    y = y.select((F.col("vec_id") % 32).alias("subband"), F.floor(F.col("vec_id") / 32).alias("granule"), "block", (F.col("i") % 18).alias("i"), (F.col("i") < 18).alias("head"), "y")
-    half = y.groupBy("subband", "block", "granule", "i").agg(F.sum(F.when(F.col("head"), F.col("y"))).alias("now"), F.sum(F.when(~F.col("head"), F.col("y"))).alias("tail"))
-    v = L.overlapped(half, ["subband", "block", "i"], "granule")
+    """Halves of neighbouring granules added, then the frequency inversion; a window per (subband, block) over rows of eighteen samples. Each block of 18 components is a stream of its own."""
+    y = T.inverse_mdct(blocks(spark, sf_dir, 18), ["vec_id", "block"], "x", 36)
+    y = y.select((F.col("vec_id") % 32).alias("subband"), F.floor(F.col("vec_id") / 32).alias("granule"), "block", F.slice("x", 1, 18).alias("now"), F.slice("x", 19, 18).alias("tail"))
+    v = L.overlapped(y, ["subband", "block"], "granule").select("granule", "subband", "block", F.posexplode("v").alias("i", "v"))
     sign = F.when((F.col("subband") % 2 == 1) & (F.col("i") % 2 == 1), -F.col("v")).otherwise(F.col("v"))
     return v.select("granule", "subband", "block", "i", (F.round(sign, 6) + 0.0).alias("v"))
 
