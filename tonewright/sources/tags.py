@@ -15,42 +15,49 @@ from ..operators import streams
 VBRI_AT = 36
 
 
-def _be(data: Column, at: Column | int, n: int) -> Column:
-    """The unsigned number in ``n`` bytes from offset ``at`` (from 0)."""
-    return F.conv(F.hex(F.substring(data, at + F.lit(1), F.lit(n))), 16, 10).cast("bigint")
+_FIELDS = {"kind": pa.string(), "frames": pa.int64(), "size": pa.int64(), "quality": pa.int64(), "toc": pa.binary(), "encoder": pa.string(), "lowpass": pa.int64(), "delay": pa.int64(), "padding": pa.int64(), "music_length": pa.int64(), "music_crc": pa.int64(), "crc_holds": pa.bool_(), "samples": pa.int32()}
+_INFO = "stream_id string, kind string, frames bigint, size bigint, quality bigint, toc binary, encoder string, lowpass bigint, delay bigint, padding bigint, music_length bigint, music_crc bigint, crc_holds boolean, samples int"
 
 
-def info_headers(frames: DataFrame) -> DataFrame:
-    """One row per stream that begins with a Layer III frame: kind (null without a tag) and its fields.
+def read_tag(frame: bytes) -> dict:
+    """Kind (None without a tag) and fields of a Layer III frame's info header; what it does not tell is left out.
 
-    The block behind the flagged fields is taken as an encoder's when its nine characters look printable.
+    The block behind the flagged fields is taken as an encoder's when its name begins with four printable characters.
     """
-    first = frames.groupBy("stream_id").agg(F.min_by("bytes", "frame_no").alias("b"))
-    b, word = F.col("b"), H.word_of(F.col("b"))
-    t = first.where(H.layer(word) == 3).withColumn("at", H.header_length(word) + H.side_info_length(word))
-    mark = lambda at: F.decode(F.substring(b, at + F.lit(1), F.lit(4)), "ISO-8859-1")
-    t = t.withColumn("kind", F.when(mark(F.col("at")).isin("Xing", "Info"), mark(F.col("at"))).when(mark(F.lit(VBRI_AT)) == "VBRI", "VBRI"))
-    xing, vbri = F.col("kind").isin("Xing", "Info"), F.col("kind") == "VBRI"
-    t = t.withColumn("flags", F.when(xing, _be(b, F.col("at") + 4, 4)))
-    has = lambda bit: F.col("flags").bitwiseAND(F.lit(bit)) != 0
-    p = F.col("at") + 8
-    places = {}
+    word, out = int.from_bytes(frame[:4], "big"), {}
+    lsf, mono = word >> 19 & 3 != 3, word >> 6 & 3 == 3
+    at = (4 if word >> 16 & 1 else 6) + ((9 if mono else 17) if lsf else (17 if mono else 32))
+    out["samples"] = 576 if lsf else 1152
+    number = lambda p, n=4: int.from_bytes(frame[p : p + n], "big") if p + n <= len(frame) else None
+    mark = frame[at : at + 4]
+    if mark not in (b"Xing", b"Info"):
+        if frame[VBRI_AT : VBRI_AT + 4] != b"VBRI":
+            return out
+        v = VBRI_AT
+        return out | {"kind": "VBRI", "frames": number(v + 14), "size": number(v + 10), "quality": number(v + 8, 2), "delay": number(v + 6, 2), "padding": 0}
+    out["kind"], flags, p = mark.decode(), number(at + 4) or 0, at + 8
     for name, bit, size in (("frames", 1, 4), ("size", 2, 4), ("toc", 4, 100), ("quality", 8, 4)):
-        places[name] = F.when(has(bit), p)
-        p = p + F.when(has(bit), size).otherwise(0)
-    t = t.withColumns({f"_{k}": v for k, v in places.items()}).withColumn("lame", p)
-    name = F.decode(F.substring(b, F.col("lame") + 1, F.lit(9)), "ISO-8859-1")
-    known = xing & (F.length(b) >= F.col("lame") + 36) & name.rlike("^[\\x20-\\x7e]{4,}")
-    pair = _be(b, F.col("lame") + 21, 3)
-    v = F.lit(VBRI_AT)
-    num = lambda at, n, other=None: F.when(at.isNotNull(), _be(b, at, n)) if other is None else F.when(vbri, other).otherwise(F.when(at.isNotNull(), _be(b, at, n)))
-    return t.select(
-        "stream_id", "kind", num(F.col("_frames"), 4, _be(b, v + 14, 4)).alias("frames"), num(F.col("_size"), 4, _be(b, v + 10, 4)).alias("size"), num(F.col("_quality"), 4, _be(b, v + 8, 2)).alias("quality"),
-        F.when(F.col("_toc").isNotNull(), F.substring(b, F.col("_toc") + 1, F.lit(100))).alias("toc"), F.when(known, F.rtrim(F.regexp_replace(name, "\\x00+$", ""))).alias("encoder"),
-        F.when(known, _be(b, F.col("lame") + 10, 1) * 100).alias("lowpass"), F.when(vbri, _be(b, v + 6, 2)).when(known, F.shiftright(pair, 12)).alias("delay"), F.when(vbri, F.lit(0)).when(known, pair.bitwiseAND(F.lit(4095))).alias("padding"),
-        F.when(known, _be(b, F.col("lame") + 28, 4)).alias("music_length"), F.when(known, _be(b, F.col("lame") + 32, 2)).alias("music_crc"),
-        F.when(known, crc16_arc(F.substring(b, F.lit(1), F.col("lame") + 34)) == _be(b, F.col("lame") + 34, 2)).alias("crc_holds"), H.samples(word).alias("samples"),
-    )
+        if flags & bit:
+            out[name] = frame[p : p + size] if name == "toc" else number(p)
+            p += size
+    name = frame[p : p + 9]
+    if len(frame) >= p + 36 and all(32 <= c <= 126 for c in name[:4]):
+        pair = number(p + 21, 3)
+        out |= {"encoder": name.decode("ISO-8859-1").rstrip("\0").rstrip(" "), "lowpass": 100 * frame[p + 10], "delay": pair >> 12, "padding": pair & 4095}
+        out |= {"music_length": number(p + 28), "music_crc": number(p + 32, 2), "crc_holds": arc(frame[: p + 34]) == number(p + 34, 2)}
+    return out
+
+
+def info_headers(frames: DataFrame) -> DataFrame:
+    """One row per stream that begins with a Layer III frame: kind (null without a tag) and its fields."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [read_tag(f.as_py()) for f in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r.get(k) for r in rows], t) for k, t in _FIELDS.items())], names=["stream_id", *_FIELDS])
+
+    first = frames.groupBy("stream_id").agg(F.min_by("bytes", "frame_no").alias("b"))
+    return first.where(H.layer(H.word_of(F.col("b"))) == 3).select("stream_id", "b").mapInArrow(run, _INFO)
 
 
 def gapless(info: DataFrame) -> DataFrame:
@@ -59,19 +66,12 @@ def gapless(info: DataFrame) -> DataFrame:
     return info.where("delay IS NOT NULL").select("stream_id", (F.col("delay") + DECODER_DELAY).alias("skip"), length.alias("length"))
 
 
-def gapless_of(frame: bytes, at: int, samples: int) -> tuple[int, int | None] | None:
-    """The same of one tag frame (its mark at ``at``), for streams: skip, and length where frames are counted; None where it tells no delay."""
-    word = lambda p, n=4: int.from_bytes(frame[p : p + n], "big")
-    if frame[at : at + 4] not in (b"Xing", b"Info"):
-        delay, padding, count = word(VBRI_AT + 6, 2), 0, word(VBRI_AT + 14)
-    else:
-        flags = word(at + 4)
-        count = word(at + 8) if flags & 1 else None
-        lame = at + 8 + sum(n for bit, n in ((1, 4), (2, 4), (4, 100), (8, 4)) if flags & bit)
-        if len(frame) < lame + 36 or not all(32 <= c <= 126 for c in frame[lame : lame + 4]):
-            return None
-        delay, padding = word(lame + 21, 3) >> 12, word(lame + 21, 3) & 4095
-    return delay + DECODER_DELAY, None if count is None else max(count * samples - delay - padding, 0)
+def gapless_of(frame: bytes) -> tuple[int, int | None] | None:
+    """The same of one tag frame, for streams: skip, and length where frames are counted; None where it tells no delay."""
+    t = read_tag(frame)
+    if t.get("delay") is None:
+        return None
+    return t["delay"] + DECODER_DELAY, None if t.get("frames") is None else max(t["frames"] * t["samples"] - t["delay"] - t["padding"], 0)
 
 
 def _crc_step(crc: int, byte: int) -> int:
@@ -84,6 +84,14 @@ def _crc_step(crc: int, byte: int) -> int:
 _CRC = [_crc_step(0, b) for b in range(256)]
 
 
+def arc(data: bytes) -> int:
+    """CRC-16/ARC of some bytes."""
+    crc = 0
+    for b in data:
+        crc = crc >> 8 ^ _CRC[(crc ^ b) & 0xFF]
+    return crc
+
+
 def music_crc(frames: DataFrame) -> DataFrame:
     """(stream_id, crc): CRC-16/ARC over a stream's frames in order; frames stream through, nothing is gathered."""
 

@@ -25,12 +25,6 @@ SCHEMA = "stream_id string, channel int, slot bigint, s array<float>, concealed
 STATE_SCHEMA = "decoder binary, waiting map<bigint, binary>, next bigint, end bigint"
 
 
-def is_tag(frame: bytes) -> bool:
-    """Whether a Layer III frame holds an info header in place of sound."""
-    at = layer3.header_facts(frame)["start"]
-    return frame[at : at + 4] in (b"Xing", b"Info") or frame[36:40] == b"VBRI"
-
-
 class StreamDecoder:
     """Feed bytes, get (channel, slot, 32 samples, concealed) of the frames they complete."""
 
@@ -61,9 +55,8 @@ class StreamDecoder:
         for _, _, frame in self.framer.feed(data, last):
             layer, self.frames = 4 - (frame[1] >> 1 & 3), self.frames + 1
             if layer == 3:
-                if self.frames == 1 and is_tag(frame):
-                    facts = layer3.header_facts(frame)
-                    self.keep = tags.gapless_of(frame, facts["start"], 576 if facts["lsf"] else 1152) if self.trim else None
+                if self.frames == 1 and "kind" in tags.read_tag(frame):
+                    self.keep = tags.gapless_of(frame) if self.trim else None
                 else:
                     three.append(frame)
                 continue
