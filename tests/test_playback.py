@@ -179,3 +179,25 @@ def test_trimming_in_the_stream(spark, made):
     untrimmed = StreamDecoder()
     untrimmed.feed(content, book, d, last=True)
     assert untrimmed.kept(0) == (0, 32)
+
+
+def test_excerpts(spark, made):
+    """Every stretch equals that part of the whole, and few frames are read for it."""
+    from tonewright.operators import seek
+
+    book, frames = made
+    d, n = filterbank.designed_prototype(), len(frames["s"])
+    t = spark.createDataFrame([(s, k + 1, bytearray(f)) for s in "sm" for k, f in enumerate(frames[s])], "stream_id string, frame_no bigint, bytes binary")
+    whole = {}
+    for r in playback.played(playback.ordered_rows(t, book), d).collect():
+        whole[r.stream_id, r.channel, r.slot] = r.s
+    asked = [("s", f"frame {k}", 1152 * k, 1152 * (k + 1)) for k in range(n)] + [("m", "odd", 1000, 1033), ("m", "all", -5, 10**9), ("s", "one", 5000, 5001), ("s", "none", 70, 70), ("s", "behind", 10**8, 10**8 + 5), ("gone", "x", 0, 9)]
+    a = spark.createDataFrame(asked, "stream_id string, excerpt_id string, start bigint, stop bigint")
+    got = seek.excerpts(t, a, book, d).collect()
+    limits = {e: (s, lo, hi) for s, e, lo, hi in asked}
+    for e, (s, lo, hi) in limits.items():
+        mine = {(r.channel, 32 * r.slot + k): v for r in got if r.excerpt_id == e for k, v in enumerate(r.s) if r.keep_from <= k < r.keep_to}
+        want = {(c, 32 * slot + k): v for (x, c, slot), part in whole.items() if x == s for k, v in enumerate(part) if lo <= 32 * slot + k < hi}
+        assert mine.keys() == want.keys() and all(abs(mine[k] - want[k]) < 1e-6 for k in want), e
+    read = {r.excerpt_id: r["last"] - r["first"] + 1 for r in seek.needed(seek.numbered(t), a).collect()}
+    assert read["one"] <= 3 + 4 and read["all"] == n and "none" not in read and "behind" not in read
