@@ -1,12 +1,13 @@
 """The streaming decoder against the batch one, for any chunking, with noise and damage in the stream."""
 
+import time
+
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tonewright.operators import codec, encoder, filterbank
 from tonewright.operators.analysis import band_allowance
-from tonewright.streaming.decode import StreamDecoder, stream_decode
+from tonewright.streaming.decode import SCHEMA, StreamDecoder, stream_decode
 
 from .test_layer12 import layer1_frame
 from .test_layer3 import codes
@@ -42,6 +43,10 @@ def test_chunking_does_not_matter(spark, streams):
                 for c, slot, s, _ in decoder.feed(content[at : at + n], book, d):
                     got[c, slot] = s
                 at += n
+                if at % 7 == 0:
+                    fresh = StreamDecoder()
+                    fresh.restore(*decoder.state_of())  # what is kept says all
+                    decoder = fresh
             for c, slot, s, _ in decoder.feed(content[at:], book, d, last=True):
                 got[c, slot] = s
             assert set(got) == set(want) and all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
@@ -50,22 +55,36 @@ def test_chunking_does_not_matter(spark, streams):
 
 
 def test_streaming_query(spark, streams, tmp_path):
+    """Chunks out of order over two batches; a stream that never sends its end is ended by the timeout."""
     book, data = streams
-    rows = []
+    rows, data = [], data | {"open": data["three"][:-50]}
     for name, content in data.items():
         cuts = list(range(0, len(content), 300))
-        rows += [(name, k, bytearray(content[a : a + 300]), k == len(cuts) - 1) for k, a in enumerate(cuts)]
+        rows += [(name, k, bytearray(content[a : a + 300]), k == len(cuts) - 1 and name != "open") for k, a in enumerate(cuts)]
     schema = "stream_id string, chunk_no bigint, bytes binary, last boolean"
     for part in range(2):
         spark.createDataFrame(rows[1 - part :: 2], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     chunks = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     d = filterbank.designed_prototype()
-    q = stream_decode(chunks, book, d).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {(x.stream_id, x.channel, x.slot): x.s for x in spark.read.parquet(str(tmp_path / "out")).collect()}
     t = spark.createDataFrame([(k, bytearray(v)) for k, v in data.items()], "stream_id string, content binary")
     want = {(x.stream_id, x.channel, x.slot): x.s for x in codec.decode_streams(t, book, d, trim=False).collect()}
-    assert set(got) == set(want) and all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
+    known = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = stream_decode(chunks, book, d, timeout_ms=6000).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second").start()
+        got = {}
+        for _ in range(120):
+            time.sleep(0.5)
+            assert q.exception() is None
+            if (tmp_path / "out" / "_spark_metadata").exists():
+                got = {(x.stream_id, x.channel, x.slot): x for x in spark.read.schema(SCHEMA).parquet(str(tmp_path / "out")).collect()}
+            if len(got) == len(want):
+                break
+        q.stop()
+        assert spark.read.format("statestore").option("stateVarName", "head").load(str(tmp_path / "state")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", known)
+    assert set(got) == set(want) and all(np.allclose(got[k].s, want[k], atol=1e-6) and (got[k].keep_from, got[k].keep_to) == (0, 32) for k in want)
 
 
 def test_reset_forgets(streams):

@@ -1,4 +1,4 @@
-"""Decoding of streams whose bytes arrive in chunks, with the state of each stream in Spark's state store.
+"""Decoding of streams whose bytes arrive in chunks, with the state of each stream as typed values, lists and maps in Spark's state store.
 
 A stream's state is what framing has not consumed, at most 511 bytes of reservoir, half a granule of samples per
 subband and channel, fifteen slots of the filterbank, and chunks that came before their turn: some tens of kilobytes. What
@@ -7,12 +7,12 @@ comes out does not depend on the chunking, and equals the batch decoder's.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import layer3
 from ..operators.huffman import Words
@@ -20,9 +20,12 @@ from ..operators.layer3 import Codes
 from ..operators.playback import Played, StreamState, Voice
 from ..sources import layer12, tags
 from ..sources.framing import Framer
+from ..sources.ranges import packed_lock, unpacked_lock
 
 SCHEMA = "stream_id string, channel int, slot bigint, s array<float>, concealed boolean, keep_from int, keep_to int"
-STATE_SCHEMA = "decoder binary, waiting map<bigint, binary>, next bigint, end bigint"
+HEAD = "base bigint, lock bigint, free bigint, skipped bigint, frames bigint, slots bigint, skip bigint, length bigint, unused bigint, channels int, part int, at bigint, time bigint, voices_part int, turn bigint, last bigint"
+HELD = "buffer binary, reservoir binary"
+VOICE = "layer int, channel int, overlap array<double>, slots array<float>"
 
 
 class StreamDecoder:
@@ -37,6 +40,21 @@ class StreamDecoder:
         """Forget what earlier frames left, as after a seek: reservoir, overlap, filterbank."""
         self.state, self.part, self.voices = StreamState(), 0, {}
 
+    def state_of(self) -> tuple[tuple, tuple, list[tuple]]:
+        """What is kept, as values of ``HEAD`` (without the counters of chunks), ``HELD`` and ``VOICE``."""
+        f, s = self.framer, self.state
+        keep = (None, None) if self.keep is None else self.keep
+        head = (f.base, packed_lock(f.locked), f.free, f.skipped, self.frames, self.slots, *keep, s.unused, s.channels, s.part, s.at, s.time, self.part)
+        voices = [(layer, c, v.overlap.reshape(-1).tolist(), v.slots.reshape(-1).tolist()) for (layer, c), v in self.voices.items()]
+        return head, (bytes(f.buffer), bytes(s.reservoir)), voices
+
+    def restore(self, head: tuple, held: tuple, voices: list[tuple]) -> None:
+        f, s = self.framer, self.state
+        f.base, lock, f.free, f.skipped, self.frames, self.slots, skip, length, s.unused, s.channels, s.part, s.at, s.time, self.part = head
+        f.locked, self.keep = unpacked_lock(lock), None if skip is None else (skip, length)
+        f.buffer, s.reservoir = bytearray(held[0]), bytes(held[1])
+        self.voices = {(layer, c): Voice(np.array(overlap, float).reshape(32, 18), np.array(slots, np.float32).reshape(-1, 32)) for layer, c, overlap, slots in voices}
+
     @property
     def skipped(self) -> int:
         return self.framer.skipped
@@ -91,34 +109,75 @@ class StreamDecoder:
         return out
 
 
-def stream_decode(chunks: DataFrame, codes: Codes, prototype: np.ndarray, check_crc: bool = False, trim: bool = True, strict: bool = False) -> DataFrame:
-    """Streaming (stream_id, chunk_no, bytes, last) to slots of samples, whatever the chunking; ``last`` ends a stream and drops its state.
-
-    The options are those of the batch decoder; keep_from and keep_to say what gapless trimming leaves of a slot.
-    """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    prototype, words = np.asarray(prototype, dtype=float), Words(codes)
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        decoder, waiting, turn, end = StreamDecoder(strict, check_crc, trim), {}, 0, -1
-        if state.exists:
-            held, waiting, turn, end = state.get
-            decoder, waiting = pickle.loads(held), dict(waiting)
-        for p in parts:
+class _Decoding(StatefulProcessor):
+    def __init__(self, words: Words, prototype: np.ndarray, options: dict, timeout_ms: int | None):
+        self.words, self.prototype, self.options, self.timeout_ms = words, prototype, options, timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head, self.held = handle.getValueState("head", HEAD), handle.getValueState("held", HELD)
+        self.voices, self.waiting = handle.getListState("voices", VOICE), handle.getMapState("waiting", "chunk_no bigint", "bytes binary")
+
+    def _load(self) -> tuple[StreamDecoder, int, int]:
+        decoder, counters = StreamDecoder(**self.options), (0, -1)
+        if self.head.exists():
+            head = tuple(self.head.get())
+            decoder.restore(head[:-2], tuple(self.held.get()), list(self.voices.get()))
+            counters = head[-2:]
+        return decoder, *counters
+
+    def _end(self) -> None:
+        for state in (self.head, self.held, self.voices, self.waiting):
+            state.clear()
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        decoder, turn, last = self._load()
+        for p in rows:
             for r in p.itertuples():
-                waiting[int(r.chunk_no)] = bytes(r.bytes or b"")
-                end = int(r.chunk_no) if r.last else end
+                self.waiting.updateValue((int(r.chunk_no),), (bytes(r.bytes or b""),))
+                last = int(r.chunk_no) if r.last else last
         out = []
-        while turn in waiting:
-            out += decoder.feed(bytes(waiting.pop(turn)), words, prototype, last=turn == end)
+        while self.waiting.containsKey((turn,)):
+            out += decoder.feed(bytes(self.waiting.getValue((turn,))[0]), self.words, self.prototype, last=turn == last)
+            self.waiting.removeKey((turn,))
             turn += 1
-        if 0 <= end < turn:
-            state.remove()
+        if 0 <= last < turn:
+            self._end()
         else:
-            state.update((pickle.dumps(decoder), waiting, turn, end))
-        if out:
-            keep = [decoder.kept(o[1]) for o in out]
-            yield pd.DataFrame({"stream_id": key[0], "channel": [o[0] for o in out], "slot": [o[1] for o in out], "s": [o[2].tolist() for o in out], "concealed": [o[3] for o in out], "keep_from": [k[0] for k in keep], "keep_to": [k[1] for k in keep]})
-
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+            head, held, voices = decoder.state_of()
+            self.head.update((*head, turn, last))
+            self.held.update(held)
+            self.voices.put(voices) if voices else self.voices.clear()
+            if self.timeout_ms is not None:
+                for t in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
+        yield self._sound(key, decoder, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """No chunk for so long: the stream ends with what came in turn, a last frame that is cut short too."""
+        decoder, *_ = self._load()
+        out = decoder.feed(b"", self.words, self.prototype, last=True)
+        self._end()
+        yield self._sound(key, decoder, out)
+
+    def _sound(self, key, decoder: StreamDecoder, out: list[tuple]) -> pd.DataFrame:
+        keep = [decoder.kept(o[1]) for o in out]
+        column = lambda values, kind: pd.Series(values, dtype=kind)
+        return pd.DataFrame({"stream_id": column([key[0]] * len(out), object), "channel": column([o[0] for o in out], "int32"), "slot": column([o[1] for o in out], "int64"), "s": column([o[2].tolist() for o in out], object), "concealed": column([bool(o[3]) for o in out], bool), "keep_from": column([k[0] for k in keep], "int32"), "keep_to": column([k[1] for k in keep], "int32")})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_decode(chunks: DataFrame, codes: Codes, prototype: np.ndarray, check_crc: bool = False, trim: bool = True, strict: bool = False, timeout_ms: int | None = None) -> DataFrame:
+    """Streaming (stream_id, chunk_no, bytes, last) to slots of samples, whatever the chunking; ``last`` ends a stream and drops its state, and so does ``timeout_ms`` without a chunk.
+
+    The options are those of the batch decoder; keep_from and keep_to say what gapless trimming leaves of a slot. Needs the RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass``), whose state can be read by the state data source.
+    """
+    options = {"strict": strict, "check_crc": check_crc, "trim": trim}
+    processor = _Decoding(Words(codes), np.asarray(prototype, dtype=float), options, timeout_ms)
+    return chunks.groupBy("stream_id").transformWithStateInPandas(processor, SCHEMA, "append", "none" if timeout_ms is None else "processingTime")
