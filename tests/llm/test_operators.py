@@ -301,6 +301,24 @@ def test_chroma_links_equal_all_offsets_of_all_pairs(spark):
     assert all(got[k] == want[k][0] for k in got)
 
 
+def test_chroma_query_finds_the_excerpts(spark):
+    """Each query of the table has its excerpt as its one link, where the excerpt starts."""
+    got = {x.media_id: x for x in queries()["op4_chroma"](spark, SF.replace("0.001", "0.01")).collect()}
+    asked = [k for k in got if k >= 0 and k % 50 == 0]
+    found = {k: [x["class_id"] for x in got[k].links or ()] for k in asked}
+    assert len(asked) >= 10 and np.mean([found[k] == [-1 - k] for k in asked]) >= 0.95
+    assert all(got[k].links[0]["offset"] in range(7, 11) and got[k].links[0]["bit_errors"] <= chroma.MOST_ERRORS for k in asked if found[k])
+    assert sum(k < 0 for k in got) == len([k for k in got if k >= 0 and k % chroma.EXCERPT_STEP == 0])
+
+
+def test_chroma_alignment_breaks_ties():
+    """Equal errors: the longer overlap, then the nearer, then the smaller offset."""
+    a = np.full(40, 7, np.uint32)
+    assert chroma.align(a, a, [3, -3, 0]) == (0, 40, 0.0)
+    assert chroma.align(a, a, [3, -3]) == (-3, 37, 0.0)
+    assert chroma.align(a[:20], a, [-5, 0, -20]) == (0, 20, 0.0) and chroma.align(a[:15], a, [0]) is None and chroma.align(a, ~a, [0]) is None
+
+
 def test_chroma_refuses_unlike_tunes(spark):
     rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{SF}/embeddings.parquet' LIMIT 300").fetchall()
     prints = {k: chroma.fingerprint(chroma.chroma(chroma.melody(np.array(v)) / 32768, chroma.RATE)) for k, v in rows}

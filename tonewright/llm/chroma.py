@@ -2,9 +2,9 @@
 
 A recording's spectrum is folded into twelve pitch classes per frame; sixteen
 integral-image filters over that picture, two bits each, pack into one 32-bit
-integer per frame. Recordings may align where integers meet that differ in at most one bit: each
-offset at which two do is judged by the share of differing bits over its overlap, and the best of
-those that pass is the link. Where an integer stands still for more than ``STILL`` frames (silence, a held chord) the first ``STILL`` are looked up.
+integer per frame. Recordings may align where integers meet that differ in at most one bit. The meetings of two recordings make a histogram of
+offsets; a pair is one row with its histogram and both sequences, and every offset that has a meeting, the most frequent first, is judged by the share of differing bits over its
+overlap; the best of those that pass is the link. Where an integer stands still for more than ``STILL`` frames (silence, a held chord) the first ``STILL`` are looked up.
 
 Recordings with equal fingerprints form a class, and classes are compared by
 their first member, so a group of copies costs one comparison. Null, empty and too
@@ -115,6 +115,34 @@ def fingerprint_media(media: DataFrame) -> DataFrame:
     return rows.mapInArrow(_fingerprints, "media_id bigint, codes array<int>")
 
 
+def align(mine: np.ndarray, other: np.ndarray, offsets: list[int]) -> tuple[int, int, float] | None:
+    """The best of the offsets that pass, as (offset, overlap, share of differing bits): fewest errors, then longest overlap, then nearest to no offset, then the smaller."""
+    best = None
+    for off in offsets:
+        a, b = max(off, 0), max(-off, 0)
+        n = min(len(mine) - a, len(other) - b)
+        if n < LEAST_OVERLAP:
+            continue
+        wrong = int(np.bitwise_count(mine[a : a + n] ^ other[b : b + n]).sum())
+        if wrong <= MOST_ERRORS * 32 * n:
+            found = (wrong / (32 * n), -n, abs(off), off)
+            best = found if best is None or found < best else best
+    return best and (best[3], -best[1], best[0])
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(asker, class_id, offsets of the histogram, codes of both), a row a pair, to the pairs that align."""
+    for b in batches:
+        rows = []
+        for k, (asker, other_id) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+            offsets, mine, other = (np.asarray(b.column(c)[k].values) for c in (2, 3, 4))
+            found = align(mine.view(np.uint32), other.view(np.uint32), offsets.tolist())
+            if found:
+                rows.append((asker, other_id, *found))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["asker", "class_id", "offset", "overlap", "bit_errors"])
+
+
 def match_media(prints: DataFrame) -> DataFrame:
     """One row per recording: media_id, class_id, n_codes, codes_sha256, n_links and links of its class.
 
@@ -132,20 +160,12 @@ def match_media(prints: DataFrame) -> DataFrame:
     near = F.explode(F.expr("transform(sequence(-1, 31), k -> IF(k < 0, key, key ^ shiftleft(1, k)))"))
     asked = posts.where("query = 1").select(F.col("class_id").alias("asker"), near.alias("key"), F.col("at").alias("asked_at"))
     meetings = posts.drop("query").join(asked, "key").where("class_id <> asker")
-    offsets = meetings.groupBy("asker", "class_id").agg(F.collect_set(F.col("asked_at") - F.col("at")).alias("offsets"))
+    counted = meetings.groupBy("asker", "class_id", (F.col("asked_at") - F.col("at")).alias("offset")).agg(F.count(F.lit(1)).alias("n"))
+    histograms = counted.groupBy("asker", "class_id").agg(F.sort_array(F.collect_list(F.struct("n", "offset")), asc=False).alias("histogram"))
     codes = classes.select("class_id", "codes")
-    pairs = offsets.join(codes.select(F.col("class_id").alias("asker"), F.col("codes").alias("mine")), "asker").join(codes.withColumnRenamed("codes", "other"), "class_id")
-    pairs = pairs.withColumn("offset", F.explode("offsets")).drop("offsets")
-    a, b = F.greatest(F.col("offset"), F.lit(0)), F.greatest(-F.col("offset"), F.lit(0))
-    # bit_count widens an int with its sign: 32 bits too many where it is negative
-    n = F.least(F.size("mine") - a, F.size("other") - b)
-    wrong = F.expr("aggregate(zip_with(slice(mine, a + 1, n), slice(other, b + 1, n), (x, y) -> bit_count(x ^ y) - IF(x ^ y < 0, 32, 0)), 0, (s, x) -> s + x)")
-    pairs = pairs.withColumn("a", a).withColumn("b", b).withColumn("n", n).withColumn("wrong", wrong)
-    passed = pairs.where((F.col("n") >= LEAST_OVERLAP) & (F.col("wrong") <= MOST_ERRORS * 32 * F.col("n")))
-    passed = passed.withColumn("bit_errors", F.col("wrong") / (32 * F.col("n")))
-    rank = F.struct("bit_errors", (-F.col("n")).alias("less"), F.abs("offset").alias("far"), "offset", F.col("n").alias("overlap"))
-    best = passed.groupBy("asker", "class_id").agg(F.min(rank).alias("top"))
-    links = best.groupBy("asker").agg(F.sort_array(F.collect_list(F.struct("class_id", F.col("top.offset").alias("offset"), F.col("top.overlap").alias("overlap"), F.col("top.bit_errors").alias("bit_errors")))).alias("links"))
+    pairs = histograms.join(codes.select(F.col("class_id").alias("asker"), F.col("codes").alias("mine")), "asker").join(codes.withColumnRenamed("codes", "other"), "class_id")
+    best = pairs.select("asker", "class_id", "histogram.offset", "mine", "other").mapInArrow(_aligned, "asker bigint, class_id bigint, offset int, overlap int, bit_errors double")
+    links = best.groupBy("asker").agg(F.sort_array(F.collect_list(F.struct("class_id", "offset", "overlap", "bit_errors"))).alias("links"))
     members = prints.select("media_id", F.size("codes").alias("n_codes"), "codes_sha256").join(classes.select("codes_sha256", "class_id"), "codes_sha256")
     done = members.join(links, members["class_id"] == links["asker"], "left")
     return done.select("media_id", "class_id", "n_codes", "codes_sha256", F.coalesce(F.size("links"), F.lit(0)).alias("n_links"), "links")
@@ -165,14 +185,27 @@ def melody(vector: np.ndarray, rate: int = RATE, note: int = NOTE) -> np.ndarray
     return np.round(12000 * (np.sin(phase) + loud * np.sin(1.5 * phase))).astype("<i2")
 
 
+#: Every so manieth vector is played a second time, from its eighth to a fifth-last note, quieter and with noise.
+EXCERPT_STEP = 25
+
+
+def excerpt(tune: np.ndarray, seed: int) -> np.ndarray:
+    r = np.random.default_rng(seed)
+    part = tune[8 * NOTE + int(r.integers(NOTE)) : -5 * NOTE]
+    return np.clip(np.round(part * r.uniform(0.5, 0.9) + r.normal(0, 700, len(part))), -32768, 32767).astype("<i2")
+
+
 def render_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding) to a media table (media_id, rate, pcm)."""
+    """(vec_id, embedding) to a media table (media_id, rate, pcm): each vector as a tune, and under -1 - vec_id an excerpt of those whose id is divisible by ``EXCERPT_STEP``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                pcm = [melody(np.nan_to_num(np.array([x or 0.0 for x in v], dtype=np.float64))).tobytes() if v else None for v in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([RATE] * len(pcm), pa.int32()), pa.array(pcm, pa.binary())], names=["media_id", "rate", "pcm"])
+                tunes = [melody(np.nan_to_num(np.array([x or 0.0 for x in v], dtype=np.float64))) if v else None for v in part.column(1).to_pylist()]
+                rows = list(zip(part.column(0).to_pylist(), tunes))
+                rows += [(-1 - k, excerpt(t, k)) for k, t in rows if k is not None and t is not None and k >= 0 and k % EXCERPT_STEP == 0]
+                pcm = [None if t is None else t.tobytes() for _, t in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([RATE] * len(pcm), pa.int32()), pa.array(pcm, pa.binary())], names=["media_id", "rate", "pcm"])
 
     return vectors.select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(run, "media_id bigint, rate int, pcm binary")
