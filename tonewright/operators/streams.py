@@ -5,7 +5,9 @@ All are windows partitioned by stream; a stream's frames are ordered by a frame
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from . import ordered
 
 
 def _order(keys: list[str], by: str):
@@ -82,3 +84,26 @@ def accounting(frames: DataFrame, keys: list[str], by: str, main_bytes: str, beg
     t = frames.withColumn("unused", left).withColumn("_before", F.lag(left).over(_order(keys, by)))
     reach = F.when(F.col("_before").isNull(), F.col(begin) == 0).otherwise(F.col(begin) <= F.col("_before"))
     return t.withColumn("consistent", (F.col(bits) <= avail) & reach).drop("_before")
+
+
+def reservoir_levels(frames: DataFrame, keys: list[str], by: str, change: str, limit: int = 511, size: int = 4096) -> DataFrame:
+    """(keys, by: numbered without gaps, change: bytes of a frame's slot less those it uses) with ``level``, the free bytes behind each frame: from 0, never below 0 or above the limit.
+
+    A recursion as a parallel prefix: frames in a row are x -> max(lo, min(x + a, hi)), and such maps compose.
+    """
+
+    def levels(x: int, changes: list[int]) -> list[int]:
+        out = []
+        for a in changes:
+            x = max(0, min(x + a, limit))
+            out.append(x)
+        return out
+
+    def function(changes: list[int]) -> list[int]:
+        total, lo, hi = 0, 0, limit
+        for k, a in enumerate(changes):
+            total = total + a
+            lo, hi = (max(0, min(v + a, limit)) for v in (lo, hi)) if k else (0, limit)
+        return [total, lo, hi]
+
+    return ordered.scan(frames, keys, by, [change], size, 0, function, lambda x, f: max(f[1], min(x + f[0], f[2])), levels, T.StructField("level", T.LongType()))

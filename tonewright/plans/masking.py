@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import measures as M, psychoacoustics as P
-from .registry import query, sql_list, table
+from .registry import SQL, query, sql_list, table
 from ..functions.tables import LONG_44
 from ..functions.psychoacoustics import bark, spreading
 
@@ -96,6 +96,49 @@ def block_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.block_types(t, ["stream"], "seg", "attack").select("stream", "n", "kind")
 
 
+@query(SQL["block_types"])
+def block_types_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a parallel prefix over chunks of fifty granules."""
+    t = P.transients(_pcm(spark, sf_dir), factor=(11, 10), floor=64).withColumn("at", F.col("seg") % 157)
+    return P.block_type_scan(t, ["stream"], "at", "attack", 50).select("stream", (F.col("at") + 1).cast("int").alias("n"), "kind")
+
+
+_CHAINS = "c AS (SELECT event_id // 500 AS stream, event_id % 500 AS n, row_number() OVER (PARTITION BY event_id // 500 ORDER BY event_id) AS k, event_id % 11 = 0 AS short, 1 + abs(value) AS allowed, CAST(floor(abs(value) * 100) AS BIGINT) % 401 - 200 AS change FROM events)"
+
+
+def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "events")
+    return t.select(F.floor(F.col("event_id") / 500).alias("stream"), (F.col("event_id") % 500).alias("n"), "event_id", "value")
+
+
+@query(
+    f"""WITH RECURSIVE {_CHAINS}, r AS (SELECT stream, n, k, short, allowed AS held FROM c WHERE k = 1
+      UNION ALL SELECT c.stream, c.n, c.k, c.short, CASE WHEN c.short OR r.short THEN c.allowed ELSE greatest(least(c.allowed, 2 * r.held), 5.0) END FROM r JOIN c ON c.stream = r.stream AND c.k = r.k + 1)
+    SELECT CAST(stream AS BIGINT) AS stream, CAST(n AS BIGINT) AS n, held FROM r"""
+)
+def pre_echo_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allowed noise held to twice that of the granule before, itself held; a short block clears the memory. Chunks of sixty-four granules, composed."""
+    from ..operators import codec
+
+    t = _chains(spark, sf_dir)
+    masks = t.select(F.col("stream").cast("string").alias("stream_id"), F.lit(0).alias("channel"), F.col("n").alias("granule"), F.when(F.col("event_id") % 11 == 0, 2).otherwise(0).alias("block_type"), F.array().cast("array<float>").alias("x"), F.array(1 + F.abs("value")).alias("allowed"))
+    done = codec.pre_echo(masks, [5.0], 64)
+    return done.select(F.col("stream_id").cast("bigint").alias("stream"), F.col("granule").alias("n"), F.get("allowed", F.lit(0)).alias("held"))
+
+
+@query(
+    f"""WITH RECURSIVE {_CHAINS}, r AS (SELECT stream, n, k, greatest(0, least(change, 511)) AS level FROM c WHERE k = 1
+      UNION ALL SELECT c.stream, c.n, c.k, greatest(0, least(r.level + c.change, 511)) FROM r JOIN c ON c.stream = r.stream AND c.k = r.k + 1)
+    SELECT CAST(stream AS BIGINT) AS stream, CAST(n AS BIGINT) AS n, CAST(level AS BIGINT) AS level FROM r"""
+)
+def reservoir_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free bytes of the reservoir behind each frame, chunks of sixty-four frames, composed."""
+    from ..operators import streams
+
+    t = _chains(spark, sf_dir).withColumn("change", F.floor(F.abs("value") * 100) % 401 - 200)
+    return streams.reservoir_levels(t.select("stream", "n", "change"), ["stream"], "n", "change", 511, 64).select("stream", "n", "level")
+
+
 @query(
     """WITH p AS (SELECT event_id // 256 AS segment, CAST(round(value * 1000) AS BIGINT) AS v, CAST(round(value * 1000) AS BIGINT) // 8 * 8 AS ref FROM events),
     e AS (SELECT segment, count(*) AS n, CAST(sum((v - ref) * (v - ref)) AS BIGINT) AS err, max(abs(v - ref)) AS worst, CAST(sum(v * v) AS BIGINT) AS power FROM p GROUP BY 1)
