@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import bytewise
 from .common import materialize
 
-LEAVES = 250_000
+LEAVES = 320_000
 SCALE = 1_000_000_000
 #: Bytes of texts whose terms are counted before they enter the trie, and merged terms that are judged at a time.
-PIECE, ROWS = 1 << 22, 2048
+PIECE, ROWS = 1 << 23, 2048
 STRIDE = 3
 #: Bytes that stand in no term become spaces, A-Z small letters.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
