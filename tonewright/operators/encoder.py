@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.encoding import reservoir_limit
 from ..functions.tables import BITRATES_LSF, BITRATES_MPEG1, SAMPLE_RATES
 from ..sources import sideinfo
+from . import ordered
 from .analysis import coded_order
 from .layer3 import Codes, layout
 from .quantiser import Books, Quantiser, granule_bits, packed
@@ -172,8 +173,7 @@ def encode(granules: DataFrame, codes: Codes, rate: int, kbps: int | None, joint
             yield _rows(done)
 
     rows = granules.select("stream_id", F.col("granule").cast("bigint"), F.col("channel").cast("int"), F.col("block_type").cast("int"), "x", "allowed")
-    rows = rows.repartition("stream_id").sortWithinPartitions("stream_id", "granule", "channel")
-    return rows.mapInArrow(run, "stream_id string, frame_no bigint, bytes binary")
+    return ordered.in_order(rows, ["stream_id"], "granule", "channel").mapInArrow(run, "stream_id string, frame_no bigint, bytes binary")
 
 
 def _rows(done: list[tuple]) -> pa.RecordBatch:

@@ -214,20 +214,25 @@ class Rows:
         """Each granule quantised with its allowance raised by ``offset`` dB, in its best variant: what ``variants`` and ``choose`` give, and the scalefactors' coding."""
         lsf = self.rate < 32000
         asked = self.required(self.allowed * 10 ** (offset / 10))
-        all_of = self.variants(*asked, VARIANTS_SHORT if self.kind == 2 or lsf else VARIANTS_LONG)
-        all_of |= choose(all_of["ix"], self.rate, self.kind, books)
-        bits, all_of["scalefac_compress"], all_of["lengths"] = scalefactor_coding(all_of["scalefactors"], self.kind == 2, lsf)
-        all_of["part2_3_length"] = all_of["bits"] + bits
+        tried = self.variants(*asked, VARIANTS_SHORT if self.kind == 2 or lsf else VARIANTS_LONG)
         n = len(self.x)
-        order = (all_of["clipped"] * _FAR + all_of["part2_3_length"]).reshape(-1, n).argmin(axis=0)  # the first of equal ones
-        return [{k: v[o * n + r] for k, v in all_of.items()} for r, o in enumerate(order)]
+        clips = tried["clipped"].reshape(-1, n)
+        rows = np.flatnonzero((~clips | clips.all(axis=0)).reshape(-1))  # what clips loses to what does not, whatever its bits
+        of = {k: v[rows] for k, v in tried.items()}
+        of |= choose(of["ix"], self.rate, self.kind, books)
+        bits, of["scalefac_compress"], of["lengths"] = scalefactor_coding(of["scalefactors"], self.kind == 2, lsf)
+        of["part2_3_length"] = of["bits"] + bits
+        cost, place = np.full(clips.size, 1 << 40), np.zeros(clips.size, int)
+        cost[rows], place[rows] = of["part2_3_length"], np.arange(len(rows))
+        order = cost.reshape(-1, n).argmin(axis=0)  # the first of equal ones
+        return [{k: v[place[o * n + r]] for k, v in of.items()} for r, o in enumerate(order)]
 
 
 class Quantiser:
     """The granules (block_type, lines in bit-stream order, allowance) of a frame."""
 
     def __init__(self, granules: list[tuple], rate: int, books: Books):
-        self.books, self.rows, self.n = books, [], len(granules)
+        self.books, self.rows, self.n, self.tried = books, [], len(granules), {}
         kind = np.array([t if t in (0, 2) else 1 for t, *_ in granules])
         for k in (0, 1, 2):
             at = np.flatnonzero(kind == k)
@@ -236,11 +241,14 @@ class Quantiser:
 
     def attempt(self, offset: float) -> tuple[list[dict], int, bool]:
         """All granules at a noise offset, their bits, and whether a frame can hold them."""
+        if offset in self.tried:
+            return self.tried[offset]
         out: list = [None] * self.n
         for at, rows in self.rows:
             for i, q in zip(at, rows.attempt(offset, self.books)):
                 out[i] = q
-        return out, int(sum(q["part2_3_length"] for q in out)), all(q["part2_3_length"] <= 4095 and q["big_values"] <= 288 for q in out)
+        done = self.tried[offset] = out, int(sum(q["part2_3_length"] for q in out)), all(q["part2_3_length"] <= 4095 and q["big_values"] <= 288 for q in out)
+        return done
 
     def fit(self, target_of, rounds: int = 9) -> list[dict]:
         """The quietest noise that meets the target, which follows from the bits at the mask."""

@@ -86,6 +86,12 @@ def accounting(frames: DataFrame, keys: list[str], by: str, main_bytes: str, beg
     return t.withColumn("consistent", (F.col(bits) <= avail) & reach).drop("_before")
 
 
+def emitted(frames: DataFrame) -> DataFrame:
+    """``gapless`` rows with samples, those of a channel that a frame gives out, and empty: a frame that trimming leaves nothing of is still there."""
+    left = F.col("keep_to") - F.col("keep_from")
+    return frames.withColumn("samples", left).withColumn("empty", left == 0)
+
+
 def reservoir_levels(frames: DataFrame, keys: list[str], by: str, change: str, limit: int = 511, size: int = 4096) -> DataFrame:
     """(keys, by: numbered without gaps, change: bytes of a frame's slot less those it uses) with ``level``, the free bytes behind each frame: from 0, never below 0 or above the limit.
 

@@ -99,9 +99,18 @@ def frame_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def gapless_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which samples of each frame remain after the encoder's delay and padding are cut; delay and padding come from the order key."""
+    return _trimmed(spark, sf_dir).select("l_orderkey", "l_linenumber", "skip", "length", "keep_from", "keep_to")
+
+
+def _trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = frames(spark, sf_dir).withColumn("delay", F.col("l_orderkey") % 1200).withColumn("tail", F.col("l_orderkey") % 700)
-    t = streams.gapless(t, ["l_orderkey"], "place", "spf", "delay", "tail")
-    return t.select("l_orderkey", "l_linenumber", "skip", "length", "keep_from", "keep_to")
+    return streams.gapless(t, ["l_orderkey"], "place", "spf", "delay", "tail")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, CAST(keep_to - keep_from AS BIGINT) AS samples, keep_to = keep_from AS empty FROM ({SQL['gapless_trim']})")
+def frame_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples that each frame gives out after trimming, and whether it is empty."""
+    return streams.emitted(_trimmed(spark, sf_dir)).select("l_orderkey", "l_linenumber", "samples", "empty")
 
 
 @query(
