@@ -1,6 +1,9 @@
 """Layer I and II frames written by the test and read back; the filterbank's reconstruction; slots through Spark."""
 
+import time
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tonewright.functions.tables import SUBBANDS
@@ -105,6 +108,32 @@ def test_crc_and_refusals(spark):
     assert sum(x.frame_no == 0 for x in got) == 12 and [x.error is None for x in got if x.frame_no] == [False, False]
 
 
+def test_frames_of_many_layouts_together():
+    r = np.random.default_rng(5)
+    made = [layer1_frame(r, *kind) for kind in [(0, 0), (1, 0), (1, 2), (3, 0)] * 4]
+    frames = [made[k % 16][0] for k in range(700)]
+    frames[::7] = [f[:40] for f in frames[::7]]
+    frames[1::7] = [f[:4] + b"\xff" * 32 + f[36:] for f in frames[1::7]]
+    frames[2] = bytes.fromhex("FFFDEC00")  # a reserved rate of Layer II
+    batch = pa.record_batch([pa.array(["a"] * 700), pa.array(range(700), pa.int64()), pa.array(frames, pa.binary())], names=["stream_id", "frame_no", "bytes"])
+    start = time.process_time()
+    read = list(layer12._rows(False)(iter([batch])))
+    took = time.process_time() - start
+    errors, got = {}, {}
+    for x in (x for b in read for x in b.to_pylist()):
+        if x["error"]:
+            assert errors.setdefault(x["frame_no"], x["error"]) is x["error"] and x["s"] is None
+        else:
+            got[x["frame_no"], x["slot"], x["channel"]] = x["s"]
+    assert errors == {k: "ran past the end" for k in range(0, 700, 7)} | {k: "forbidden allocation" for k in range(1, 700, 7)} | {2: "tuple index out of range"}
+    whole = [k for k in range(700) if k not in errors]
+    assert len(got) == sum(made[k % 16][1][:, :, 0].size for k in whole)
+    for k in whole:
+        want = made[k % 16][1]
+        np.testing.assert_allclose([[got[k, slot, c] for c in range(want.shape[1])] for slot in range(12)], want, atol=1e-6)
+    assert took < 700 * 0.0003  # frame by frame it took 0.001 s each and more
+
+
 def test_reconstruction_and_halo(spark):
     r = np.random.default_rng(0)
     x = r.normal(size=32 * 80)
